@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .decontamination import op2_decontamination
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op6_bpe": op6_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
