@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .decontamination import op2_decontamination
+from .jaccard_join import op4_jaccard_join
 from .language_id import op9_language_id
 from .pii import op8_pii
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_bpe": op6_bpe,
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
