@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .flat import ALNUM, LOWER, column, slices, words
-from .tables import table
+from .tables import packed, table, unpacked
 
 NORMAL = bytes(LOWER[i] if ALNUM[LOWER[i]] else 32 for i in range(256))
 
@@ -115,6 +115,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows that hold no window of the benchmark, with the columns they came with."""
+    return unpacked(contamination(packed(docs), benchmark, ["_row"]).where(F.size("_ranges") == 0), docs)
+
+
 def original_spans(text: str, ranges: list[list[int]]) -> list[list[int]]:
     """Code-point offsets of word ranges in the text as it was."""
     data = np.frombuffer(text.encode(), np.uint8)

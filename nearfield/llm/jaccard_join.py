@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .flat import LOWER, NOT_SPACE, U64, Fingerprints, column, mix, runs_of, slices, window_hashes, words
-from .tables import durable, table
+from .tables import durable, packed, table, unpacked
 
 GROWTH = 1.5
 LONGEST_LIST = 1 << 20
@@ -366,5 +366,18 @@ def joined(docs: DataFrame, part: int = 85, whole: int = 100, n: int = 4) -> Dat
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One document of each component, that of the least doc_id, with the columns it came with.
+
+    A doc_id stands for one text; rows that repeat both go too. Rows without a doc_id stay unless
+    their component has one that has, or their text is repeated by another such row.
+    """
+    found = joined(docs, **options)
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    first = Window.partitionBy("_row.doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    rows = packed(docs).join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_id")))
+    return unpacked(rows.withColumn("_n", F.row_number().over(first)).where("_n = 1"), docs)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import sampled, table
+from .tables import packed, sampled, table, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -237,7 +237,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(df: DataFrame) -> Column:
+def redacted() -> Column:
     """The text with every span of `found` replaced by its kind in brackets; of overlapping spans the first one names the whole."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -253,6 +253,12 @@ def redacted(df: DataFrame) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(F.col("text"))
 
 
+def masked(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All rows with their columns; personal data in the text are replaced by their kind."""
+    rows = found(packed(docs), model, ["_row"])
+    return unpacked(rows.select("_row", redacted().alias("text")), docs)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return found(docs, fit(docs)).select(

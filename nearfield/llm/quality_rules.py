@@ -10,7 +10,8 @@ Defined results: a null or empty text has no words and fails the base rules; a n
 doc_id and repeated rows change nothing, as each row is judged by itself; an empty table gives an
 empty result; without usable labels the list is empty and the base rules decide alone. Columns of
 the input whose names clash with a statistic don't matter to `statistics`, which reads only the
-identifier and the text; `judged` refuses them by name.
+columns to keep and the text; of a clash among those, the statistic stands. `accepted` returns all
+columns of the input as they were.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .flat import NOT_SPACE, Fingerprints, column, mix, owners, runs_of, slices, totals, window_hashes, words
-from .tables import sampled, table
+from .tables import packed, sampled, table, unpacked
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_lines", "n_chars_seen", "n_distinct_words"]
 #: What rules may test, as (numerator, denominator) of the counts.
@@ -96,8 +97,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """COUNTS of every row's whole text, beside the columns to keep (doc_id if not given). Reads only those and the text."""
     keep = ["doc_id"] if keep is None else keep
-    if clash := set(keep) & set(COUNTS):
-        raise ValueError(f"columns {sorted(clash)} have names of statistics")
+    keep = [c for c in keep if c not in COUNTS]
     read = docs.select(*dict.fromkeys([*keep, "text"]))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema)
     return read.mapInArrow(_counted, f"{types}, " + ", ".join(f"{c} long" for c in COUNTS)).select(*keep, *COUNTS)
@@ -199,6 +199,11 @@ def judged(docs: DataFrame, rules: list[Rule], keep: list[str] | None = None) ->
     return statistics(docs, keep).withColumn("base_failed", base_failed()).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules)))
 
 
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows that the rules keep, with the columns they came with."""
+    return unpacked(judged(packed(docs), rules, ["_row", "text"]).where("kept"), docs)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = fit(docs, table(spark, sf_dir, "labels"))

@@ -28,3 +28,13 @@ def durable(df: DataFrame) -> DataFrame:
 def sampled(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
     """At most so many rows, the same ones however the table is partitioned: those with the least hashes of their keys."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """text, and all other columns as the struct _row, so that no name clashes with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"), "text")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from packed rows."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -61,7 +61,7 @@ def test_query_digests(spark):
 
 def test_redacted(spark):
     docs = spark.createDataFrame([(1, "x a@b.co y 10.0.0.1, z"), (2, None), (3, "")], "doc_id long, text string")
-    rows = pii.found(docs, None).select("doc_id", pii.redacted(docs).alias("t")).orderBy("doc_id").collect()
+    rows = pii.found(docs, None).select("doc_id", pii.redacted().alias("t")).orderBy("doc_id").collect()
     assert [r.t for r in rows] == ["x [EMAIL] y [IP], z", None, ""]
 
 
