@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .cotraining import op3_cotraining
 from .decontamination import op2_decontamination
+from .html_text import op5_html_text
 from .jaccard_join import op4_jaccard_join
 from .language_id import op9_language_id
 from .pii import op8_pii
 from .quality_rules import op10_quality_rules
+from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_cotraining": op3_cotraining,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
