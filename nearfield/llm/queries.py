@@ -11,6 +11,7 @@ from .language_id import op9_language_id
 from .pii import op8_pii
 from .quality_rules import op10_quality_rules
 from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op7_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_html_text": op5_html_text,
     "op6_bpe": op6_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,

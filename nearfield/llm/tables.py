@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,12 @@ def packed(docs: DataFrame) -> DataFrame:
 def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs from packed rows."""
     return rows.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like `durable`, as compressed Parquet, for results of many rows."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
