@@ -1,0 +1,194 @@
+"""Approximate search over sharded graphs: build, store, load, append, compact and search.
+
+An index is a folder of Parquet tables: `graphs`, a row for each shard with its vectors and links packed
+as arrays, and `meta`. Shards hold a bounded number of items, dealt by a hash of their ids, and are built
+in parallel. Appending writes more shards under a batch number, so that a batch written again replaces
+itself; readers keep the snapshot that they loaded. Searching pairs shards with blocks of queries, and a
+window merges what they find.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.plans.params import IndexParams
+
+from .exact import MOST_BROADCAST, packed, ranked
+from .kernel import Graph, built
+
+FORMAT = 1
+SHARD_ROWS = 20_000
+GRAPH = "shard long, batch long, n long, dim int, ids binary, vectors binary, links binary, link_ends binary, entry long, params string, n_dist long"
+
+
+def _graph_row(graph: Graph, shard: int, batch: int) -> dict:
+    flat = [np.array(x, np.int32) for node in graph.links for x in node]
+    return {
+        "shard": shard, "batch": batch, "n": len(graph.ids), "dim": graph.vectors.shape[1] if len(graph.ids) else 0, "ids": graph.ids.astype(np.int64).tobytes(), "vectors": graph.vectors.astype(np.float64).tobytes(),
+        "links": np.concatenate(flat).tobytes() if flat else b"", "link_ends": np.cumsum([len(x) for x in flat]).astype(np.int64).tobytes(), "entry": graph.entry, "params": graph.params.to_json(), "n_dist": graph.n_distances,
+    }
+
+
+def unpacked(row: dict) -> Graph:
+    ids = np.frombuffer(row["ids"], np.int64)
+    graph = Graph(ids, np.frombuffer(row["vectors"]).reshape(len(ids), -1), IndexParams.from_json(row["params"]))
+    flat, ends = np.frombuffer(row["links"], np.int32).tolist(), [0, *np.frombuffer(row["link_ends"], np.int64).tolist()]
+    i = 0
+    for node in graph.links:
+        for layer in range(len(node)):
+            node[layer] = flat[ends[i] : ends[i + 1]]
+            i += 1
+    graph.entry = row["entry"]
+    return graph
+
+
+def build(items: DataFrame, params: IndexParams | None = None, shard_rows: int = SHARD_ROWS, batch: int = 0) -> DataFrame:
+    """A graph row (GRAPH) for each shard of items (id, vector). Items without a vector are left out; of equal ids one stays."""
+    params = params or IndexParams()
+    items = items.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL AND id IS NOT NULL")
+    shards = max(1, math.ceil(items.count() / shard_rows))
+
+    def one(key, table):
+        table = table.combine_chunks()
+        ids = table.column("id").to_numpy()
+        _, first = np.unique(ids, return_index=True)
+        flat = table.column("vector").combine_chunks()
+        sizes = np.diff(flat.offsets.to_numpy())
+        if (sizes != sizes[0]).any():
+            raise ValueError("vectors differ in length")
+        x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        return pa.Table.from_pylist([_graph_row(built(ids[first], x[first], params), key[0].as_py(), batch)], schema=_schema())
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(one, GRAPH)
+
+
+def _schema() -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in GRAPH.split(", "))])
+
+
+def save(graphs: DataFrame, path: str, params: IndexParams) -> None:
+    """Writes or replaces the batches of the rows."""
+    spark = graphs.sparkSession
+    graphs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/graphs")
+    spark.createDataFrame([(FORMAT, params.metric, params.to_json())], "format int, metric string, params string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str, metric: str | None = None) -> DataFrame:
+    """The graph rows of an index; refuses another format or metric."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    if meta is None or meta.format != FORMAT:
+        raise ValueError("not an index of this format")
+    if metric and metric != meta.metric:
+        raise ValueError(f"the index was built for {meta.metric}")
+    return spark.read.parquet(f"{path}/graphs").select(*(c.split()[0] for c in GRAPH.split(", ")))
+
+
+def append(spark: SparkSession, path: str, items: DataFrame, batch: int, shard_rows: int = SHARD_ROWS) -> None:
+    """Adds items that the index doesn't have as shards of a batch; the same batch again replaces itself."""
+    params = IndexParams.from_json(spark.read.parquet(f"{path}/meta").first().params)
+    old = nodes(load(spark, path).where(F.col("batch") != batch)).select("id")
+    save(build(items.join(old, "id", "left_anti"), params, shard_rows, batch), path, params)
+
+
+def compact(spark: SparkSession, path: str, to: str, shard_rows: int = SHARD_ROWS) -> None:
+    """Rewrites all batches as one, elsewhere, so that readers of the old snapshot aren't disturbed."""
+    params = IndexParams.from_json(spark.read.parquet(f"{path}/meta").first().params)
+    save(build(vectors(load(spark, path)), params, shard_rows), to, params)
+
+
+def _rows_of(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                g = unpacked(row)
+                if kind == "nodes":
+                    out = [pa.array(np.full(len(g.ids), row["shard"])), pa.array(g.ids), pa.array(g.levels.astype(np.int64)), pa.array(np.arange(len(g.ids)) == g.entry)]
+                elif kind == "vectors":
+                    out = [pa.array(g.ids), pa.array(list(g.vectors), pa.list_(pa.float64()))]
+                else:
+                    flat = [(layer, g.ids[n], i, g.ids[x]) for n, layers in enumerate(g.links) for layer, own in enumerate(layers) for i, x in enumerate(own, 1)]
+                    out = [pa.array([row["shard"]] * len(flat), pa.int64()), *(pa.array([f[i] for f in flat], pa.int64()) for i in range(4))]
+                yield pa.RecordBatch.from_arrays(out, names=NAMES[kind].replace(" boolean", "").replace(" array<double>", "").replace(" long", "").split(", "))
+
+    return run
+
+
+NAMES = {"nodes": "shard long, id long, level long, is_entry boolean", "vectors": "id long, vector array<double>", "edges": "shard long, layer long, src long, pos long, dst long"}
+
+
+def nodes(graphs: DataFrame) -> DataFrame:
+    return graphs.mapInArrow(_rows_of("nodes"), NAMES["nodes"])
+
+
+def vectors(graphs: DataFrame) -> DataFrame:
+    return graphs.mapInArrow(_rows_of("vectors"), NAMES["vectors"])
+
+
+def edges(graphs: DataFrame) -> DataFrame:
+    return graphs.mapInArrow(_rows_of("edges"), NAMES["edges"])
+
+
+def _search(k: int, ef: int, max_visited: int | None, deadline_ms: float | None, passing):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import time
+
+        last, graph, ok = None, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["shard"], row["batch"]) != last:
+                    graph, last = unpacked(row), (row["shard"], row["batch"])
+                    ok = np.isin(graph.ids, np.array(row["passing"] or [], np.int64)) if passing else None
+                queries = np.frombuffer(row["q_ids"], np.int64)
+                q = np.frombuffer(row["q_vectors"]).reshape(len(queries), -1)
+                out = []
+                for i, v in zip(queries.tolist(), q, strict=True):
+                    began, before = time.perf_counter(), graph.n_distances
+                    budget = [max_visited, began + deadline_ms / 1000 if deadline_ms else None] if max_visited or deadline_ms else None
+                    found, visited = graph.search(v, k, ef, ok, budget)
+                    us = (time.perf_counter() - began) * 1e6
+                    out += [(i, int(graph.ids[x]), d, row["shard"], visited, graph.n_distances - before, us) for d, x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "distance", "shard", "visited", "n_dist", "latency_us"])
+
+    return run
+
+
+def _found(graphs: DataFrame, queries: DataFrame, k: int, ef: int, passing: DataFrame | None, max_visited: int | None, deadline_ms: float | None) -> DataFrame:
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    asked = packed(queries.select(F.col("query_id").cast("long"), "vector", F.lit(None).cast("string").alias("g")), 256).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim"))
+    if passing is not None:  # the ids of a shard that pass are as many as the shard holds at most
+        where = nodes(graphs).join(passing.select("id").distinct(), "id", "left_semi").groupBy("shard").agg(F.collect_list("id").alias("passing"))
+        graphs = graphs.join(where, "shard", "left")
+    else:
+        graphs = graphs.withColumn("passing", F.lit(None).cast("array<long>"))
+    dim = queries.select(F.max(F.size("vector"))).first()[0] or 0
+    small = queries.count() * (8 * dim + 16) <= MOST_BROADCAST
+    pairs = graphs.crossJoin(F.broadcast(asked) if small else asked)
+    return pairs.mapInArrow(_search(k, ef, max_visited, deadline_ms, passing is not None), "query_id long, id long, distance double, shard long, visited long, n_dist long, latency_us double")
+
+
+def search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 50, passing: DataFrame | None = None, max_visited: int | None = None, deadline_ms: float | None = None) -> DataFrame:
+    """query_id, id, distance and rank of the k nearest found. passing: the ids that a result may have.
+
+    max_visited and deadline_ms bound the work for a query in a shard; then the best so far is given.
+    """
+    found = _found(graphs, queries, k, ef, passing, max_visited, deadline_ms)
+    return ranked(found.select("query_id", "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance")), k)
+
+
+def search_metrics(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 50, passing: DataFrame | None = None) -> DataFrame:
+    """By query and shard: results, visited nodes, distances computed and microseconds."""
+    found = _found(graphs, queries, k, ef, passing, None, None)
+    return found.groupBy("query_id", "shard").agg(F.count("*").alias("n_found"), F.max("visited").alias("visited"), F.max("n_dist").alias("n_dist"), F.max("latency_us").alias("latency_us"))
+
+
+def cache_hit_rate(hits: Column, calls: Column) -> Column:
+    return F.try_divide(hits, calls)

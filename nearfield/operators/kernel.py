@@ -1,0 +1,217 @@
+"""Search and construction inside one shard's layered proximity graph, in numpy.
+
+The shard is the unit of parallelism: Spark deals items into shards of bounded size, builds and
+searches them in parallel, and merges results. Nodes are numbered within the shard.
+"""
+
+from __future__ import annotations
+
+import heapq
+import time
+from collections.abc import Callable
+
+import numpy as np
+
+from nearfield.plans.params import MOST_LEVEL, IndexParams
+
+
+def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Of ids, in (0, 1), whatever the partitions."""
+    x = ids.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+class Graph:
+    """vectors, and by node and layer its neighbours."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, params: IndexParams):
+        self.ids, self.vectors, self.params = ids, vectors, params
+        self.space = self.prepared(vectors)
+        self.levels = np.minimum(np.floor(-np.log(uniform(ids, params.seed)) * params.decay), MOST_LEVEL).astype(int)
+        self.links: list[list[list[int]]] = [[[] for _ in range(level + 1)] for level in self.levels]
+        self.entry = -1
+        self.n_distances = 0
+
+    def prepared(self, x: np.ndarray) -> np.ndarray:
+        """Vectors as distances are computed from them: of length one for cosine distance, zeros staying zeros."""
+        x = np.asarray(x, np.float64)
+        if self.params.metric != "cosine":
+            return x
+        norms = np.sqrt((x * x).sum(-1, keepdims=True))
+        return x / np.where(norms == 0, 1, norms)
+
+    def far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
+        """Distances of nodes to a prepared vector."""
+        self.n_distances += len(nodes)
+        x, metric = self.space[nodes], self.params.metric
+        if metric == "l2sq":
+            x = x - q
+            return np.einsum("ij,ij->i", x, x)
+        if metric == "l1":
+            return np.abs(x - q).sum(1)
+        return -(x @ q) if metric == "inner_product" else 1 - x @ q
+
+    def neighbours(self, node: int, layer: int, passing: np.ndarray | None) -> list[int]:
+        """Where a search goes on from a node. Under a filter with an index made for it: those that pass, and in layer 0 those
+        that pass behind ones that fail; without any, all of them, so that the search doesn't end where nothing passes."""
+        own = self.links[node][layer]
+        p = self.params
+        if passing is None or not p.optimize_for_filtering:
+            return own
+        if layer:
+            return [x for x in own if passing[x]][: p.m] or own
+        most = 2 * p.m
+        out: dict[int, None] = {}
+        if p.gamma == 1:
+            for x in own:
+                for y in [x] if passing[x] else (z for z in self.links[x][0] if passing[z]):
+                    if len(out) < most:
+                        out[y] = None
+        else:
+            for x in own[: p.mb]:
+                if passing[x]:
+                    out[x] = None
+            for x in own[p.mb :]:
+                for y in (x, *self.links[x][0]):
+                    if len(out) < most and passing[y]:
+                        out[y] = None
+        out.pop(node, None)
+        return list(out) or own
+
+    def beam(self, q: np.ndarray, entries: list[tuple[float, int]], layer: int, width: int, passing: np.ndarray | None = None, budget: list | None = None) -> tuple[list[tuple[float, int]], int]:
+        """The best nodes found in a layer, nearest first, and how many were visited. Nodes that fail the filter are walked but not kept.
+
+        budget: [nodes left to visit or None, time to stop at or None]; when spent, the best so far is returned.
+        """
+        seen = {x for _, x in entries}
+        queue = list(entries)
+        heapq.heapify(queue)
+        best = [(-d, -x) for d, x in entries if passing is None or passing[x]]
+        heapq.heapify(best)
+        while queue:
+            d, x = heapq.heappop(queue)
+            if len(best) >= width and d > -best[0][0]:
+                break
+            if budget and (budget[0] is not None and len(seen) > budget[0] or budget[1] is not None and time.perf_counter() > budget[1]):
+                break
+            new = [y for y in self.neighbours(x, layer, passing) if y not in seen]
+            if not new:
+                continue
+            seen.update(new)
+            for e, y in zip(self.far(q, new).tolist(), new, strict=True):
+                if len(best) < width or e < -best[0][0]:
+                    heapq.heappush(queue, (e, y))
+                    if passing is None or passing[y]:
+                        heapq.heappush(best, (-e, -y))
+                        if len(best) > width:
+                            heapq.heappop(best)
+        return sorted((-d, -x) for d, x in best), len(seen)
+
+    def select(self, q: np.ndarray, found: list[tuple[float, int]], cap: int, layer: int, skip: int) -> list[int]:
+        """Which candidates a node links to, by the heuristic of the parameters."""
+        p = self.params
+        found = sorted({(d, x) for d, x in found if x != skip})
+        if p.expand_best and p.heuristic != "simple":
+            known = {x for _, x in found}
+            more = sorted({y for _, x in found if layer < len(self.links[x]) for y in self.links[x][layer]} - known - {skip})
+            if more:
+                found = sorted([*found, *zip(self.far(q, more).tolist(), more, strict=True)])
+        if p.optimize_for_filtering and p.gamma > 1 and layer == 0:
+            kept, covered = [x for _, x in found[: p.mb]], set()
+            for _, x in found[p.mb :]:
+                if len(kept) + len(covered) >= cap:
+                    break
+                if x not in covered:
+                    kept.append(x)
+                    covered |= set(self.links[x][0])
+            return kept[:cap]
+        if p.heuristic == "simple":
+            return [x for _, x in found[:cap]]
+        if p.heuristic == "first":
+            return [x for _, x in found[: cap if p.keep_pruned else 1]]
+        kept, left = [], []
+        for d, x in found:
+            if len(kept) == cap:
+                break
+            near = kept and (self.far(self.space[x], kept) < d).any()
+            (left if near else kept).append(x)
+        return kept + (left[: cap - len(kept)] if p.keep_pruned else [])
+
+    def insert(self, node: int) -> None:
+        q, top = self.space[node], int(self.levels[node])
+        if self.entry < 0:
+            self.entry = node
+            return
+        at = [(float(self.far(q, [self.entry])[0]), self.entry)]
+        for layer in range(int(self.levels[self.entry]), top, -1):
+            at = self.beam(q, at, layer, 1)[0]
+        for layer in range(min(top, int(self.levels[self.entry])), -1, -1):
+            found = self.beam(q, at, layer, self.params.ef_construction)[0]
+            cap = self.params.degree(layer)
+            for x in self.select(q, found, self.params.m if not self.params.optimize_for_filtering else cap, layer, node):
+                self._link(node, x, layer, cap)
+                self._link(x, node, layer, cap)
+            at = found[:1]
+        if top > self.levels[self.entry]:
+            self.entry = node
+
+    def _link(self, a: int, b: int, layer: int, cap: int) -> None:
+        own = self.links[a][layer]
+        if b not in own:
+            own.append(b)
+            if len(own) > cap:
+                d = self.far(self.space[a], own).tolist()
+                self.links[a][layer] = self.select(self.space[a], list(zip(d, own, strict=True)), cap, layer, a)
+
+    def reached(self) -> set[int]:
+        """Nodes that a walk of layer 0 from the entry comes to."""
+        seen, todo = {self.entry}, [self.entry]
+        while todo:
+            for y in self.links[todo.pop()][0]:
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    def repair(self) -> None:
+        """Links nodes that can't be reached from the nearest one that can, beyond its cap if need be."""
+        seen = self.reached()
+        for node in range(len(self.ids)):
+            if node not in seen:
+                near = sorted(seen)
+                x = near[int(np.argmin(self.far(self.space[node], near)))]
+                self.links[x][0].append(node)
+                todo = [node]
+                seen.add(node)
+                while todo:
+                    for y in self.links[todo.pop()][0]:
+                        if y not in seen:
+                            seen.add(y)
+                            todo.append(y)
+
+    def search(self, q: np.ndarray, k: int, ef: int, passing: np.ndarray | None = None, budget: list | None = None) -> tuple[list[tuple[float, int]], int]:
+        """The k nearest found, nearest first, and the visited nodes of all layers."""
+        if self.entry < 0:
+            return [], 0
+        q = self.prepared(q)
+        at, visited = [(float(self.far(q, [self.entry])[0]), self.entry)], 0
+        for layer in range(int(self.levels[self.entry]), 0, -1):
+            at, n = self.beam(q, at, layer, 1, None, budget)
+            visited += n
+        found, n = self.beam(q, at, 0, max(k, ef), passing, budget)
+        return found[:k], visited + n
+
+
+def built(ids: np.ndarray, vectors: np.ndarray, params: IndexParams, progress: Callable[[int, int], None] | None = None) -> Graph:
+    """Of items in order of their ids, so that equal items make equal graphs."""
+    order = np.argsort(ids, kind="stable")
+    graph = Graph(ids[order], vectors[order], params)
+    for node in range(len(order)):
+        graph.insert(node)
+        if progress:
+            progress(node, len(order))
+    if len(order):
+        graph.repair()
+    return graph

@@ -1,6 +1,405 @@
-"""Queries by name, and DuckDB SQL with the same results."""
+"""Queries by name, and DuckDB SQL with the same results.
+
+Items are the rows of `embeddings`; searches ask for every row whose id is divisible by 100, against all rows.
+"""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions import vectors as v
+from nearfield.functions.vectors import rounded
+from nearfield.operators import evaluation as ev
+from nearfield.operators import exact, graph, index
+from nearfield.plans.params import IndexParams
+from nearfield.sources import vector_files
+
+PARAMS = IndexParams(m=16, ef_construction=200, heuristic="diverse", keep_pruned=True)
+SHARD = 1000
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its DuckDB SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    return items(spark, sf).where("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
+def cos(a: str, b: str) -> str:
+    return f"(round(list_cosine_distance({a}::DOUBLE[], {b}::DOUBLE[]), 6) + 0.0)"
+
+
+def l2sq(a: str, b: str) -> str:
+    return f"(round(list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda z: (z[1]-z[2])*(z[1]-z[2]))), 6) + 0.0)"
+
+
+def l1(a: str, b: str) -> str:
+    return f"(round(list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda z: abs(z[1]-z[2]))), 6) + 0.0)"
+
+
+def knn_sql(k: int, condition: str = "true", distance=cos, ask: str = "q.vec_id % 100 = 0") -> str:
+    d = distance("q.embedding", "e.embedding")
+    return f"""SELECT query_id, id, distance, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {d} AS distance,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY {d}, e.vec_id) AS rank
+        FROM embeddings q JOIN embeddings e ON {condition} WHERE {ask}) WHERE rank <= {k}"""
+
+
+GRAPH_K = 5
+GRAPH_SQL = f"""graph AS (SELECT 0::BIGINT AS layer, query_id AS src, rank AS pos, id AS dst, distance FROM ({knn_sql(GRAPH_K, "q.vec_id <> e.vec_id", ask="true")}))"""
+LEVEL_SQL = "least(floor(-ln((((vec_id % 4294967296) * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0) / ln(16.0)), 31)::BIGINT"
+
+
+# --- distances: each vector with the first one of its label ---
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    x = items(spark, sf)
+    first = x.groupBy("label").agg(F.min_by("vector", "id").alias("other"))
+    return x.join(F.broadcast(first), "label")  # as many rows as there are labels, a fixed ten
+
+
+PAIRS_SQL = "SELECT e.vec_id AS id, {} AS distance FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS other FROM embeddings GROUP BY label) f USING (label)"
+
+
+def _distance(name: str, metric: v.Metric, sql: str) -> None:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return pairs(spark, sf).select("id", rounded(metric(F.col("vector"), F.col("other"))).alias("distance"))
+
+    f.__name__ = name
+    query(PAIRS_SQL.format(sql))(f)
+
+
+E_, F_ = "e.embedding", "f.other"
+_distance("cosine_distance", v.cosine_distance, cos(E_, F_))
+_distance("cosine_distance_units", v.cosine_distance_units, f"(round(1 - list_inner_product({E_}::DOUBLE[], {F_}::DOUBLE[]), 6) + 0.0)")
+_distance("inner_product", v.inner_product, f"(round(list_inner_product({E_}::DOUBLE[], {F_}::DOUBLE[]), 6) + 0.0)")
+_distance("l2sq_distance", v.l2sq_distance, l2sq(E_, F_))
+_distance("l1_distance", v.l1_distance, l1(E_, F_))
+
+
+@query(PAIRS_SQL.format(f"CASE WHEN e.vec_id % 7 = 0 THEN 1.0 ELSE {cos(E_, F_)} END"))
+def cosine_distance_guarded(spark, sf):
+    """With every seventh vector made zero."""
+    zeroed = F.when(F.col("id") % 7 == 0, F.transform("vector", lambda x: x * 0)).otherwise(F.col("vector"))
+    return pairs(spark, sf).select("id", rounded(v.cosine_distance_guarded(zeroed, F.col("other"))).alias("distance"))
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
+def vector_magnitude(spark, sf):
+    return items(spark, sf).select("id", F.round(v.magnitude(F.col("vector")), 6).alias("norm"))
+
+
+@query("""SELECT id, (i - 1)::BIGINT AS place, round(x[i] / n, 6) + 0.0 AS component FROM (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS x,
+    sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x * 9))) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
+def vector_normalize(spark, sf):
+    tripled = F.transform("vector", lambda x: x.cast("double") * 3)
+    return items(spark, sf).select("id", F.posexplode(v.normalize(tripled)).alias("place", "c")).select("id", F.col("place").cast("long").alias("place"), rounded(F.col("c")).alias("component"))
+
+
+# --- search ---
+
+
+@query(knn_sql(10))
+def knn_exact(spark, sf):
+    return exact.knn(items(spark, sf), asked(spark, sf), 10)
+
+
+@query(knn_sql(10, "q.label = e.label"))
+def knn_filtered(spark, sf):
+    return exact.knn(items(spark, sf), asked(spark, sf), 10, same="label")
+
+
+@query(knn_sql(10, "e.label = 3 AND e.vec_id % 2 = 0"))
+def knn_where(spark, sf):
+    return exact.knn(items(spark, sf), asked(spark, sf), 10, where="label = 3 AND id % 2 = 0")
+
+
+@query(f"SELECT f.query_id, f.id, f.distance, f.rank FROM ({knn_sql(50)}) f JOIN embeddings a ON a.vec_id = f.query_id JOIN embeddings b ON b.vec_id = f.id WHERE a.label = b.label")
+def knn_post_filter(spark, sf):
+    x = items(spark, sf)
+    found = exact.knn(x, asked(spark, sf), 50)
+    labelled = found.join(x.select("id", "label"), "id").join(asked(spark, sf).select("query_id", F.col("label").alias("wanted")), "query_id")
+    return exact.post_filtered(labelled, "label = wanted").select("query_id", "id", "distance", "rank")
+
+
+@query(knn_sql(5, "true", ask="true"))
+def knn_join(spark, sf):
+    """Every item's neighbours, itself included."""
+    x = items(spark, sf)
+    return exact.knn(x, x.withColumnRenamed("id", "query_id"), 5)
+
+
+@query(knn_sql(10, distance=l2sq))
+def knn_l2sq(spark, sf):
+    return exact.knn(items(spark, sf), asked(spark, sf), 10, "l2sq")
+
+
+@query(knn_sql(10, distance=l1))
+def knn_custom_metric(spark, sf):
+    return exact.knn_by(items(spark, sf).select("id", "vector"), asked(spark, sf).select("query_id", "vector"), 10, v.l1_distance)
+
+
+@query(f"SELECT query_id, id, distance FROM ({knn_sql(1)})")
+def knn_best(spark, sf):
+    return exact.best(exact.knn(items(spark, sf), asked(spark, sf), 10))
+
+
+@query("SELECT vec_id AS id, label, len(embedding)::BIGINT AS dim FROM embeddings WHERE vec_id = 17")
+def get_item(spark, sf):
+    return exact.get_item(items(spark, sf), 17).select("id", "label", F.size("vector").cast("long").alias("dim"))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings ORDER BY vec_id")
+def list_items(spark, sf):
+    return exact.list_items(items(spark, sf).select("id", "label"))
+
+
+def _graphs(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of all items, saved and loaded."""
+    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/") + "/index-" + spark.sql("SELECT uuid()").first()[0]
+    index.save(index.build(items(spark, sf), PARAMS, SHARD), path, PARAMS)
+    return index.load(spark, path, "cosine")
+
+
+@query(knn_sql(10))
+def knn_ann_exhaustive(spark, sf):
+    """Beams as wide as a shard walk all of it, so the result is exact."""
+    return index.search(_graphs(spark, sf), asked(spark, sf), 10, ef=2 * SHARD)
+
+
+@query()
+def knn_ann(spark, sf):
+    return index.search(_graphs(spark, sf), asked(spark, sf), 10, ef=100)
+
+
+@query()
+def knn_ann_filtered(spark, sf):
+    return index.search(_graphs(spark, sf), asked(spark, sf), 10, ef=100, passing=items(spark, sf).where("label = 3"))
+
+
+@query()
+def search_metrics(spark, sf):
+    return index.search_metrics(_graphs(spark, sf), asked(spark, sf), 10)
+
+
+@query()
+def build_index(spark, sf):
+    return index.edges(_graphs(spark, sf))
+
+
+# --- building blocks of graphs ---
+
+
+@query("SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 + 1000 AS item_id FROM embeddings")
+def assign_ids(spark, sf):
+    return graph.assign_ids(items(spark, sf).select("id"), "id", 1000)
+
+
+@query("SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS item_id, event_id % 100 AS batch FROM events")
+def incremental_append(spark, sf):
+    """Ids go on from batch to batch: rows in order of arrival get what one numbering would give."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"))
+    return graph.assign_ids(events, "id").select("id", "item_id", (F.col("id") % 100).alias("batch"))
+
+
+@query(f"SELECT {LEVEL_SQL} AS level, count(*) AS n FROM embeddings GROUP BY 1")
+def level_assignment(spark, sf):
+    return items(spark, sf).groupBy(graph.level(F.col("id"), 16).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT vec_id AS entry_id, {LEVEL_SQL} AS max_level FROM embeddings ORDER BY 2 DESC, 1 LIMIT 1")
+def entry_point(spark, sf):
+    return graph.entry_point(items(spark, sf).select("id", graph.level(F.col("id"), 16).alias("level")))
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.knn_graph(items(spark, sf), GRAPH_K)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT * FROM graph")
+def select_neighbours_simple(spark, sf):
+    return graph.nearest_edges(_edges(spark, sf), GRAPH_K)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT * FROM graph WHERE pos = 1")
+def select_neighbours_first(spark, sf):
+    """The limit case of the `first` heuristic: one neighbour, the nearest."""
+    return graph.nearest_edges(_edges(spark, sf), 1)
+
+
+@query()
+def select_neighbours_heuristic(spark, sf):
+    return index.edges(index.build(items(spark, sf), IndexParams(m=8, ef_construction=64, heuristic="diverse", expand_best=True), SHARD))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM graph UNION ALL
+    SELECT a.src, b.dst FROM graph a JOIN graph b ON a.dst = b.src) WHERE src <> dst""")
+def extend_candidates(spark, sf):
+    e = _edges(spark, sf)
+    return graph.extended(e, e)
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT * FROM (SELECT layer, src, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS pos, dst, distance FROM
+    (SELECT layer, src, dst, distance FROM graph UNION SELECT layer, dst, src, distance FROM graph)) WHERE pos <= 6""")
+def degree_cap_edges(spark, sf):
+    return graph.capped(_edges(spark, sf), 6)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT DISTINCT a.src, b.dst FROM graph a JOIN graph b ON a.dst = b.src JOIN embeddings e ON e.vec_id = b.dst WHERE a.src <> b.dst AND e.label = 3")
+def two_hop_filtered(spark, sf):
+    return graph.two_hop(_edges(spark, sf), items(spark, sf).where("label = 3")).select("src", "dst")
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, walk(node, depth) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT g.dst, w.depth + 1 FROM walk w JOIN graph g ON g.src = w.node WHERE w.depth < 4)
+    SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+def bfs_reachable(spark, sf):
+    from nearfield.operators.storage import durable
+
+    return graph.reachable(durable(_edges(spark, sf)), items(spark, sf).where("id = 0"), most_hops=4)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT layer, src, '(' || src || ') -> {{' || string_agg(dst::VARCHAR, ', ' ORDER BY pos) || '}}' AS line FROM graph GROUP BY layer, src")
+def print_adjacency(spark, sf):
+    return graph.printed(_edges(spark, sf))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT src, pos, dst FROM graph WHERE layer = 0")
+def enumerate_layer(spark, sf):
+    return graph.layer_of(_edges(spark, sf), 0).select("src", "pos", "dst")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT * FROM graph")
+def csr_roundtrip(spark, sf):
+    return graph.from_csr(graph.to_csr(_edges(spark, sf)))
+
+
+@query("SELECT batch, n_total, n_delta, n_delta > 1000 AND n_delta > 0.1 * n_total AS needs_compaction FROM (SELECT label::BIGINT AS batch, sum(count(*)) OVER ()::BIGINT AS n_total, count(*) AS n_delta FROM embeddings GROUP BY label)")
+def needs_compaction(spark, sf):
+    x = items(spark, sf)
+    total = x.agg(F.count("*").alias("n_total"))
+    counts = x.groupBy(F.col("label").cast("long").alias("batch")).agg(F.count("*").alias("n_delta")).crossJoin(F.broadcast(total))  # one row
+    return graph.needs_compaction(counts.select("batch", "n_total", "n_delta"))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE label >= 8")
+def items_not_in_graph(spark, sf):
+    x = items(spark, sf)
+    built = index.nodes(index.build(x.where("label < 8"), IndexParams(m=4, ef_construction=16), SHARD))
+    return graph.items_not_in_graph(x, built).select("id", "label")
+
+
+# --- evaluation ---
+
+TRUTH_SQL = knn_sql(10, "q.label = e.label")
+FOUND_SQL = f"SELECT f.query_id, f.id, f.distance, row_number() OVER (PARTITION BY f.query_id ORDER BY f.rank) AS rank FROM ({knn_sql(50)}) f JOIN embeddings a ON a.vec_id = f.query_id JOIN embeddings b ON b.vec_id = f.id WHERE a.label = b.label"
+
+
+def _truth_and_found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Filtered search as the truth, and what filtering after a search leaves."""
+    truth = exact.knn(items(spark, sf), asked(spark, sf), 10, same="label")
+    return truth, exact.ranked(knn_post_filter(spark, sf).select("query_id", "id", "distance"), 50)
+
+
+@query(knn_sql(10, "q.label = e.label", l2sq))
+def hybrid_ground_truth(spark, sf):
+    return ev.hybrid_ground_truth(items(spark, sf), asked(spark, sf), 10, "label")
+
+
+@query("SELECT label::BIGINT AS label, count(*) AS n FROM embeddings GROUP BY 1")
+def attribute_histogram(spark, sf):
+    return items(spark, sf).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT t.query_id, count(f.id) AS matches, round(count(f.id) / 10.0, 6) AS recall, round(count(f.id) / count(*), 6) AS recall_vs_available
+    FROM ({TRUTH_SQL}) t LEFT JOIN ({FOUND_SQL}) f ON t.query_id = f.query_id AND t.id = f.id GROUP BY t.query_id""")
+def recall_at_k(spark, sf):
+    truth, found = _truth_and_found(spark, sf)
+    return ev.recall_at_k(found, truth, 10)
+
+
+@query(f"SELECT round(avg(CASE WHEN f.id = t.id THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall_at_1, count(*) AS n_queries FROM ({TRUTH_SQL}) t LEFT JOIN ({FOUND_SQL}) f ON t.query_id = f.query_id AND f.rank = 1 WHERE t.rank = 1")
+def recall_at_1(spark, sf):
+    truth, found = _truth_and_found(spark, sf)
+    return ev.recall_at_1(found, truth)
+
+
+@query(f"SELECT round(avg(CASE WHEN f.id IS NULL THEN 0.0::DOUBLE ELSE 1.0 END), 6) AS hit_rate, count(*) AS n_queries FROM ({TRUTH_SQL}) t LEFT JOIN ({FOUND_SQL}) f ON t.query_id = f.query_id AND f.id = t.id AND f.rank <= 10 WHERE t.rank = 1")
+def hit_rate_at_10(spark, sf):
+    truth, found = _truth_and_found(spark, sf)
+    return ev.hit_rate(found, truth, 10)
+
+
+@query(f"SELECT sum(CASE WHEN id <> query_id THEN 1 ELSE 0 END)::BIGINT AS wrong, max(distance) AS max_error, count(*) AS n FROM ({knn_sql(1, ask='true')})")
+def self_recall(spark, sf):
+    x = items(spark, sf)
+    return ev.self_recall(exact.knn(x, x.withColumnRenamed("id", "query_id"), 1))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS run, l_returnflag AS method, l_linenumber::BIGINT AS lim, l_quantity AS qps, l_discount AS recall FROM lineitem)
+    SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT method, lim, qps, recall FROM r) b WHERE a.method = b.method AND a.lim = b.lim AND b.qps >= a.qps AND b.recall >= a.recall AND (b.qps > a.qps OR b.recall > a.recall))""")
+def pareto_front(spark, sf):
+    """Of lineitem as runs: methods are return flags, and both goals are to be large."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey AS run", "l_returnflag AS method", "CAST(l_linenumber AS LONG) AS lim", "l_quantity AS qps", "l_discount AS recall")
+    return ev.pareto_front(rows, ["method", "lim"], "qps", "recall")
+
+
+@query("SELECT DISTINCT l_returnflag AS method, l_linenumber::BIGINT AS lim FROM lineitem ORDER BY 1, 2")
+def distinct_configs(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_returnflag AS method", "CAST(l_linenumber AS LONG) AS lim")
+    return ev.distinct_configs(rows, "method", "lim")
+
+
+@query(f"""WITH f AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {cos("q.embedding", "e.embedding")} AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)
+    SELECT pct, count(*) AS n, round(avg(distance), 6) AS mean_distance FROM (SELECT p.pct, f.*, row_number() OVER (PARTITION BY p.pct, query_id ORDER BY distance, id) AS rank
+    FROM f, (SELECT unnest(range(0, 101, 10)) AS pct) p WHERE id % 100 < 100 - pct) WHERE rank <= 50 GROUP BY pct""")
+def selectivity_sweep(spark, sf):
+    from functools import reduce
+
+    x, q = items(spark, sf), asked(spark, sf)
+    steps = [exact.knn(x, q, 50, where=f"id % 100 < {100 - p}").select(F.lit(p).cast("long").alias("pct"), "distance") for p in range(0, 101, 10)]
+    return reduce(DataFrame.union, steps).groupBy("pct").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+
+
+@query("SELECT m, efc, method, efs, lim FROM (SELECT unnest([16, 32]) AS m), (SELECT unnest([50, 100, 200, 400]) AS efc), (SELECT unnest(['post', 'pre', 'acorn-1', 'acorn-12']) AS method), (SELECT unnest([50, 100, 200, 400]) AS efs), (SELECT unnest([10, 100]) AS lim)")
+def param_grid(spark, sf):
+    return ev.param_grid(spark, m=[16, 32], efc=[50, 100, 200, 400], method=["post", "pre", "acorn-1", "acorn-12"], efs=[50, 100, 200, 400], lim=[10, 100])
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, max(value) AS largest, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def metric_summary(spark, sf):
+    return ev.metric_summary(spark.read.parquet(f"{sf}/events.parquet"), "value", "event_type")
+
+
+@query("SELECT vec_id AS id, label FROM embeddings QUALIFY row_number() OVER (ORDER BY vec_id) <= greatest(1, floor(count(*) OVER () * 0.05))")
+def subset_fraction(spark, sf):
+    return ev.subset_fraction(items(spark, sf).select("id", "label"), 0.05)
+
+
+# --- files ---
+
+
+@query("SELECT id, (i - 1)::BIGINT AS place, round(x[i], 6) + 0.0 AS component FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def tsv_roundtrip(spark, sf):
+    """Vectors as tab-separated text, the id first, and back."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/") + "/tsv-" + spark.sql("SELECT uuid()").first()[0]
+    vector_files.write_tsv(items(spark, sf).select(F.concat(F.array(F.col("id").cast("float")), F.col("vector")).alias("vector")), folder)
+    back = vector_files.read_tsv(spark, folder).select(F.col("vector")[0].cast("long").alias("id"), F.expr("slice(vector, 2, size(vector) - 1)").alias("vector"))
+    return back.select("id", F.posexplode("vector").alias("place", "c")).select("id", F.col("place").cast("long").alias("place"), rounded(F.col("c").cast("double")).alias("component"))
