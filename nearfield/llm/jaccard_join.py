@@ -16,7 +16,7 @@ and no pair across blocks is looked at.
 Answers from similar sets. In each block the sets are first compared with one of them, the pivot;
 links found so make components. A pair inside one component needs no comparison, as its answer
 follows from the pivot's. Only pairs of a block that are still in different components go on, if
-their sizes and parities (a 128-bit exclusive or of their elements' bits, which bounds the
+their sizes and parities (a 1024-bit exclusive or of their elements' bits, which bounds the
 difference from below) allow a link; these are compared exactly, so no link between components is
 lost. A group of near copies thus costs one comparison a copy, not one a pair.
 
@@ -32,6 +32,8 @@ doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ from .tables import durable, packed, table, unpacked
 
 GROWTH = 1.5
 LONGEST_LIST = 1 << 20
+PARITY = 16
+WORDS = [f"parity_{i}" for i in range(PARITY)]
 NO_ID = -(1 << 63)
 
 
@@ -97,9 +101,13 @@ def class_ids(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(grams), first) ^ mix(np.diff(first) + 17)).astype(np.int64)
 
 
-def parities(grams: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    bit = (grams >> U64(20)) & U64(127)
-    return [_sums(np.where((bit >= 64) == high, U64(1) << (bit & U64(63)), U64(0)), first, np.bitwise_xor).astype(np.int64) for high in (False, True)]
+def parities(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """PARITY words by set: the exclusive or of a bit for each element."""
+    n = len(first) - 1
+    bit = (grams >> U64(20)) % U64(64 * PARITY)
+    out = np.zeros(n * PARITY, U64)
+    np.bitwise_xor.at(out, np.repeat(np.arange(n), np.diff(first)) * PARITY + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return out.reshape(n, PARITY).astype(np.int64)
 
 
 def list_entries(grams: np.ndarray, first: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +159,8 @@ def _classes(n: int):
         for batch in batches:
             for first_row, end, data, offsets in slices(column(batch, "text")):
                 grams, first = element_sets(data, offsets, n)
-                low, high = parities(grams, first)
-                columns = [column(batch, "doc_id")[first_row:end], *map(pa.array, (np.diff(first), class_ids(grams, first), low, high))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "class", "low", "high"])
+                columns = [column(batch, "doc_id")[first_row:end], *map(pa.array, (np.diff(first), class_ids(grams, first), *parities(grams, first).T.copy()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "class", *WORDS])
 
     return run
 
@@ -161,7 +168,7 @@ def _classes(n: int):
 def classes(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, size, class, and the class's parity, of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_classes(n), f"doc_id {kind}, size long, class long, low long, high long")
+    return docs.select("doc_id", "text").mapInArrow(_classes(n), f"doc_id {kind}, size long, class long, {', '.join(f'{w} long' for w in WORDS)}")
 
 
 def _entries(n: int, limits: Limits):
@@ -316,7 +323,7 @@ def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, n: int, limits:
 def possible(limits: Limits, x: str, y: str) -> Column:
     """Whether the sizes and parities of two classes allow a link."""
     small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    differ = F.bit_count(F.col(f"{x}.low").bitwiseXOR(F.col(f"{y}.low"))) + F.bit_count(F.col(f"{x}.high").bitwiseXOR(F.col(f"{y}.high")))
+    differ = reduce(add, (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in WORDS))
     most = (small + large) * (limits.whole - limits.part) / (limits.whole + limits.part)
     return (small * limits.whole >= large * limits.part) & (differ <= most)
 
@@ -340,9 +347,9 @@ def joined(docs: DataFrame, part: int = 85, whole: int = 100, n: int = 4) -> Dat
     limits = Limits(part, whole)
     docs = docs.select("doc_id", "text")
     rows = classes(docs, n)
-    groups = durable(rows.where("size > 0").withColumn("key", _key()).groupBy("class").agg(F.min("size").alias("size"), F.min("low").alias("low"), F.min("high").alias("high"), F.min("key").alias("key"), F.min("doc_id").alias("least_id")))
+    groups = durable(rows.where("size > 0").withColumn("key", _key()).groupBy("class").agg(F.min("size").alias("size"), *(F.min(w).alias(w) for w in WORDS), F.min("key").alias("key"), F.min("doc_id").alias("least_id")))
     found = durable(blocks(docs, n, limits))
-    info = groups.select("class", "size", "low", "high")
+    info = groups.select("class", "size", *WORDS)
     pairs = found.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     x, y = info.withColumnRenamed("class", "a").alias("x"), info.withColumnRenamed("class", "b").alias("y")
     first = durable(pairs.join(x, "a").join(y, "b").where(possible(limits, "x", "y")).select("a", "b"))
@@ -350,7 +357,7 @@ def joined(docs: DataFrame, part: int = 85, whole: int = 100, n: int = 4) -> Dat
     labels = components(links)
     # what the pivots didn't answer: pairs of a block in different components
     known = F.coalesce("label", "class").alias("label")
-    rest = found.where("many").select("block", "class").join(info, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("block", "class", "size", "low", "high", known)
+    rest = found.where("many").select("block", "class").join(info, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("block", "class", "size", *WORDS, known)
     mixed = rest.groupBy("block").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("block")
     rest = durable(rest.join(mixed, "block", "left_semi"))
     p, q = rest.alias("p"), rest.alias("q")
