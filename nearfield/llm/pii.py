@@ -183,7 +183,7 @@ def _expression(tree, x: dict[str, Column]) -> Column:
 def fit(docs: DataFrame, most_documents: int = 4000, most_candidates: int = 20000) -> Model | None:
     """Fitted on the proposals in at most so many documents, chosen by a hash of doc_id, and at most so many of those."""
     chosen = sampled(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", most_documents)
-    found = candidates(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "text", F.explode("_proposed").alias("c"))
+    found = candidates(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "text", F.explode_outer("_proposed").alias("c")).where("c IS NOT NULL")  # outer, lest Spark test all documents for candidates before the join
     kind, text, c = F.col("c.kind"), F.col("text"), F.col("c")
     check = F.lit(False)
     for k in KINDS:  # a base form of the kind that passes its check
