@@ -4,7 +4,8 @@ A string of `length` bytes occurs again only where its anchor does: of the `anch
 window of that length the ones of least hash, which the window's content alone decides. So windows are
 compared among equal anchors only, each anchor with its context, the bytes of all windows around it.
 
-1. Tasks list every text's anchors with a fingerprint of their contexts. One shuffle brings equal
+1. Tasks list every text's anchors with a fingerprint of their contexts; contexts that occur again in
+   the same slice of texts are one row, and what they cover is settled there. One shuffle brings equal
    anchors together as narrow rows. An anchor whose whole context occurs again needs nothing more:
    all its windows are repeated. Only one context of each kind goes on, where an anchor has several.
 2. These contexts meet by anchor. A suffix array of all window starts, sorted by ranks of doubling
@@ -39,6 +40,7 @@ from .flat import U64, Fingerprints, column, mix, slices
 from .tables import table, written
 
 BUCKET_BYTES = 1 << 19
+ROWS = 256
 LEVELS = (8, 16, 32, 64, 128, 256)
 
 
@@ -93,8 +95,17 @@ def _anchor_rows(plan: Plan):
             keys = column(batch, "key").to_numpy()
             for first, _, data, offsets in slices(column(batch, "text")):
                 hashes, context, doc, at, before, after = anchors(data, offsets, plan)
-                columns = [hashes.astype(np.int64), context.astype(np.int64), keys[first + doc], at.astype(np.int32), before.astype(np.int32), after.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["anchor", "context", "key", "at", "before", "after"])
+                # contexts that occur again in the slice: one stands for all in the shuffle, and what they cover is known
+                pairs = np.stack([hashes, context], axis=1)
+                _, one, kind, count = np.unique(pairs, axis=0, return_index=True, return_inverse=True, return_counts=True)
+                again = count[kind.ravel()] > 1
+                weight = np.minimum(count, 2)
+                known = merged(zip(doc[again].tolist(), (at - before)[again].tolist(), (at + after)[again].tolist(), strict=True))
+                of, start, end = (np.array([k[i] for k in known], np.int64) for i in range(3))
+                spread = mix(keys[first + of].astype(U64) ^ mix(start))
+                columns = [np.append(hashes[one], spread).astype(np.int64), np.append(context[one], spread).astype(np.int64), np.append(keys[first + doc[one]], keys[first + of])]
+                columns += [x.astype(np.int32) for x in (np.append(at[one], start), np.append(before[one], 0 * start), np.append(after[one], end - start), np.append(weight, 0 * start))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["anchor", "context", "key", "at", "before", "after", "weight"])
 
     return run
 
@@ -301,18 +312,19 @@ def _digest_rows(plan: Plan):
     return run
 
 
-def merged(spans: list) -> list[list[int]]:
+def merged(spans) -> list[list[int]]:
+    """Sorted spans (..., start, end) with those of the same head that overlap or touch joined."""
     out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+    for *head, a, b in sorted(spans):
+        if out and out[-1][:-2] == head and a <= out[-1][-1]:
+            out[-1][-1] = max(out[-1][-1], b)
         else:
-            out.append([a, b])
+            out.append([*head, a, b])
     return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         out = []
         for text, spans in zip(column(batch, "text"), column(batch, "spans"), strict=True):
             data = (text.as_py() or "").encode()
@@ -331,13 +343,14 @@ def deduplicated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     if plan.length + plan.places > 2 * LEVELS[-1] or plan.anchor > plan.length:
         raise ValueError(f"contexts of over {2 * LEVELS[-1]} bytes aren't sorted")
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    listed = rows.select("key", "text").mapInArrow(_anchor_rows(plan), "anchor long, context long, key long, at int, before int, after int")
+    listed = rows.select("key", "text").mapInArrow(_anchor_rows(plan), "anchor long, context long, key long, at int, before int, after int, weight int")
     anchor, kind = Window.partitionBy("anchor"), Window.partitionBy("anchor", "context")
-    counted = listed.withColumn("total", F.count("*").over(anchor)).where("total > 1")
-    counted = counted.withColumn("n", F.count("*").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("key", "at")))
-    counted = counted.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(anchor))
-    shared = written(counted.where("n > 1 OR kinds > 1").drop("total", "context"))
-    whole = shared.where("n > 1").select("key", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
+    # weight: 1 for one place, 2 for several of one slice, 0 for a span that a slice knows
+    counted = listed.withColumn("total", F.sum("weight").over(anchor)).where("total <> 1")
+    counted = counted.withColumn("n", F.sum("weight").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("key", "at")))
+    counted = counted.withColumn("kinds", F.sum(F.when(F.col("weight") > 0, (F.col("nth") == 1).cast("int")).otherwise(0)).over(anchor))
+    shared = written(counted.where("weight = 0 OR n > 1 OR kinds > 1").drop("total", "context"))
+    whole = shared.where("weight = 0 OR n > 1").select("key", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
 
     def contexts(some: DataFrame) -> DataFrame:
         by_row = some.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "before", "after", (F.col("n") == 1).alias("alone"))).alias("listed"))
