@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .exact import knn, ranked
+from .exact import knn
 
 
 def hybrid_ground_truth(items: DataFrame, queries: DataFrame, k: int, attribute: str, metric: str = "l2sq") -> DataFrame:
@@ -43,8 +45,6 @@ def pareto_front(results: DataFrame, keys: list[str], x: str, y: str) -> DataFra
 
     Windows, not a join: a row is dominated if one of larger x has as large a y, or one of equal x a larger y.
     """
-    from pyspark.sql import Window
-
     by = Window.partitionBy(*keys)
     above = F.max(y).over(by.orderBy(F.col(x).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     level = F.max(y).over(Window.partitionBy(*keys, x))
@@ -58,12 +58,10 @@ def distinct_configs(results: DataFrame, *columns: str) -> DataFrame:
     return results.select(*columns).distinct().orderBy(*columns)
 
 
-def selectivity_sweep(found_all: DataFrame, steps: list[int], k: int) -> DataFrame:
-    """For each excluded percentage p, the k nearest with id % 100 < 100 - p of each query: how many, and their mean distance."""
-    shares = F.explode(F.array(*map(F.lit, steps))).alias("pct")
-    kept = found_all.select("*", shares).where(F.col("id") % 100 < 100 - F.col("pct"))
-    top = ranked(kept.withColumn("query_id", F.struct("pct", "query_id")), k)
-    return top.groupBy(F.col("query_id.pct").cast("long").alias("pct")).agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+def selectivity_sweep(items: DataFrame, queries: DataFrame, k: int, steps: range = range(0, 101, 10)) -> DataFrame:
+    """For each excluded percentage p, the k nearest items with id % 100 < 100 - p: how many, and their mean distance."""
+    found = [knn(items, queries, k, where=f"id % 100 < {100 - p}").select(F.lit(p).cast("long").alias("pct"), "distance") for p in steps]
+    return reduce(DataFrame.union, found).groupBy("pct").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 9).alias("mean_distance"))
 
 
 def param_grid(spark: SparkSession, **values: list) -> DataFrame:

@@ -368,14 +368,10 @@ def distinct_configs(spark, sf):
 
 
 @query(f"""WITH f AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {cos("q.embedding", "e.embedding")} AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)
-    SELECT pct, count(*) AS n, round(avg(distance), 6) AS mean_distance FROM (SELECT p.pct, f.*, row_number() OVER (PARTITION BY p.pct, query_id ORDER BY distance, id) AS rank
+    SELECT pct, count(*) AS n, round(avg(distance), 9) AS mean_distance FROM (SELECT p.pct, f.*, row_number() OVER (PARTITION BY p.pct, query_id ORDER BY distance, id) AS rank
     FROM f, (SELECT unnest(range(0, 101, 10)) AS pct) p WHERE id % 100 < 100 - pct) WHERE rank <= 50 GROUP BY pct""")
 def selectivity_sweep(spark, sf):
-    from functools import reduce
-
-    x, q = items(spark, sf), asked(spark, sf)
-    steps = [exact.knn(x, q, 50, where=f"id % 100 < {100 - p}").select(F.lit(p).cast("long").alias("pct"), "distance") for p in range(0, 101, 10)]
-    return reduce(DataFrame.union, steps).groupBy("pct").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+    return ev.selectivity_sweep(items(spark, sf), asked(spark, sf), 50)
 
 
 @query("SELECT m, efc, method, efs, lim FROM (SELECT unnest([16, 32]) AS m), (SELECT unnest([50, 100, 200, 400]) AS efc), (SELECT unnest(['post', 'pre', 'acorn-1', 'acorn-12']) AS method), (SELECT unnest([50, 100, 200, 400]) AS efs), (SELECT unnest([10, 100]) AS lim)")
