@@ -15,10 +15,10 @@ and no pair across blocks is looked at.
 
 Answers from similar sets. In each block the sets are first compared with one of them, the pivot;
 links found so make components. A pair inside one component needs no comparison, as its answer
-follows from the pivot's. Only pairs of a block that are still in different components go on, if
-their sizes and parities (a 1024-bit exclusive or of their elements' bits, which bounds the
-difference from below) allow a link; these are compared exactly, so no link between components is
-lost. A group of near copies thus costs one comparison a copy, not one a pair.
+follows from the pivot's. Components that still share a block are then compared by one member each,
+for a few rounds, which joins most that belong together. All pairs of a block that are in different
+components even then are compared, if their sizes and parities (a 512-bit exclusive or of their elements' bits, which bounds the
+difference from below) allow a link, so no link between components is lost. A group of near copies thus costs one comparison a copy, not one a pair.
 
 Equal sets are one class from the start. Sets are compared by 64-bit hashes of their elements, and
 classes are known by 64-bit digests.
@@ -45,7 +45,7 @@ from .tables import durable, packed, table, unpacked
 
 GROWTH = 1.5
 LONGEST_LIST = 1 << 20
-PARITY = 16
+PARITY = 8
 WORDS = [f"parity_{i}" for i in range(PARITY)]
 NO_ID = -(1 << 63)
 
@@ -255,7 +255,7 @@ def blocks(docs: DataFrame, n: int, limits: Limits) -> DataFrame:
 
 def _sets(n: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bitmap.value
+        wanted, sent = bitmap.value, set()  # a row that repeats is sent once
         for batch in batches:
             keys = column(batch, "key").to_numpy()
             for first_row, end, data, offsets in slices(column(batch, "text")):
@@ -263,10 +263,13 @@ def _sets(n: int, bitmap):
                 ids = class_ids(grams, first)
                 slot = mix(ids.astype(U64) ^ mix(keys[first_row:end])) % U64(8 * len(wanted))
                 take = ((wanted[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1).astype(bool)
+                for i in np.flatnonzero(take).tolist():
+                    take[i] = (row := (int(ids[i]), int(keys[first_row + i]))) not in sent
+                    sent.add(row)
                 sizes = np.diff(first)
                 grams = grams[np.repeat(take, sizes)]
                 ends = np.append(0, np.cumsum(sizes[take]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams.astype(np.int64)))], names=["class", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(keys[first_row:end][take]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams.astype(np.int64)))], names=["class", "key", "elements"])
 
     return run
 
@@ -289,32 +292,31 @@ def _bitmap_parts(size: int):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, most_bytes: int = 8 << 20) -> DataFrame:
-    """class and elements of one document, at least, of each wanted (class, key), where key is the representative's doc_id.
+    """class, key and elements of each wanted (class, key), where key is the representative's doc_id.
 
     A bitmap of at most `most_bytes` tells tasks which sets to send; those it lets through by chance go in the join.
     """
     size = 1 << 10
     count = wanted.count()
-    while size < most_bytes and size < 2 * count:
+    while size < most_bytes and size < 8 * count:
         size *= 2
     parts = wanted.mapInArrow(_bitmap_parts(size), "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(size, np.uint8)
     bitmap[parts.column("byte").to_numpy()] = parts.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    return docs.select(_key().alias("key"), "text").mapInArrow(_sets(n, shared), "class long, elements array<long>")
+    return docs.select(_key().alias("key"), "text").mapInArrow(_sets(n, shared), "class long, key long, elements array<long>")
 
 
 def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
-def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, n: int, limits: Limits) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link, by exact intersection."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = durable(groups.join(nodes, "class", "left_semi").select("class", "key"))
-    sets = sets_of(docs, wanted, n)
-    one = pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
-    two = one.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
+def linked(docs: DataFrame, pairs: DataFrame, n: int, limits: Limits) -> DataFrame:
+    """(a, b) of the pairs (a, a_key, b, b_key) of classes whose sets link, by exact intersection."""
+    nodes = pairs.select("a", "a_key").union(pairs.select("b", "b_key")).toDF("class", "key").distinct()
+    sets = sets_of(docs, durable(nodes), n)
+    one = pairs.join(sets.toDF("a", "a_key", "x"), ["a", "a_key"])
+    two = one.join(sets.toDF("b", "b_key", "y"), ["b", "b_key"])
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     return durable(two.where(limits.whole * common.cast("long") >= limits.part * union.cast("long")).select("a", "b").distinct())
@@ -342,32 +344,66 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def joined(docs: DataFrame, part: int = 85, whole: int = 100, n: int = 4) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of blocks that hold several components, with their components' labels."""
+    all_ = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    mixed = all_.groupBy("block").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("block")
+    return durable(all_.join(mixed, "block", "left_semi"))
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: Column, limits: Limits) -> DataFrame:
+    both = x.alias("p").join(y.alias("q"), (F.col("p.block") == F.col("q.block")) & on & (F.col("p.label") != F.col("q.label")) & possible(limits, "p", "q"))
+    swap = F.col("p.class") > F.col("q.class")
+    sides = [F.when(swap, F.col(f"{'q' if first else 'p'}.{c}")).otherwise(F.col(f"{'p' if first else 'q'}.{c}")).alias(name) for name, first, c in (("a", True, "class"), ("a_key", True, "key"), ("b", False, "class"), ("b_key", False, "key"))]
+    return both.select(*sides).distinct()
+
+
+def across(rest: DataFrame, seed: int, limits: Limits) -> DataFrame:
+    """In each block one member of each component, and their pairs with one of these: as many as there are components. Blocks choose differently."""
+    row = F.struct(F.xxhash64(F.lit(seed), "block", "class").alias("order"), "class", "key", "size", *WORDS)
+    ones = durable(rest.groupBy("block", "label").agg(F.min(row).alias("one")).select("block", "label", "one.*"))
+    pivots = ones.groupBy("block").agg(F.min(F.struct("order", "class", "key", "size", *WORDS, "label")).alias("one")).select("block", "one.*")
+    return _pairs(ones, pivots, F.lit(True), limits)
+
+
+def crossing(rest: DataFrame, limits: Limits) -> DataFrame:
+    """All pairs of a block in different components that may link."""
+    return _pairs(rest, rest, F.col("p.class") < F.col("q.class"), limits)
+
+
+def joined(docs: DataFrame, part: int = 85, whole: int = 100, n: int = 4, most_rounds: int = 1) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row. most_rounds: of comparisons between components by single members, before all pairs that are left."""
     limits = Limits(part, whole)
     docs = docs.select("doc_id", "text")
     rows = classes(docs, n)
     groups = durable(rows.where("size > 0").withColumn("key", _key()).groupBy("class").agg(F.min("size").alias("size"), *(F.min(w).alias(w) for w in WORDS), F.min("key").alias("key"), F.min("doc_id").alias("least_id")))
     found = durable(blocks(docs, n, limits))
-    info = groups.select("class", "size", *WORDS)
+    info = groups.select("class", "key", "size", *WORDS)
     pairs = found.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     x, y = info.withColumnRenamed("class", "a").alias("x"), info.withColumnRenamed("class", "b").alias("y")
-    first = durable(pairs.join(x, "a").join(y, "b").where(possible(limits, "x", "y")).select("a", "b"))
-    links = linked(docs, groups, first, n, limits)
+    first = durable(pairs.join(x, "a").join(y, "b").where(possible(limits, "x", "y")).select("a", F.col("x.key").alias("a_key"), "b", F.col("y.key").alias("b_key")))
+    links = linked(docs, first, n, limits)
     labels = components(links)
-    # what the pivots didn't answer: pairs of a block in different components
-    known = F.coalesce("label", "class").alias("label")
-    rest = found.where("many").select("block", "class").join(info, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("block", "class", "size", *WORDS, known)
-    mixed = rest.groupBy("block").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("block")
-    rest = durable(rest.join(mixed, "block", "left_semi"))
-    p, q = rest.alias("p"), rest.alias("q")
-    crossing = p.join(q, (F.col("p.block") == F.col("q.block")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.label") != F.col("q.label")) & possible(limits, "p", "q"))
-    second = durable(crossing.select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        more = linked(docs, groups, second, n, limits)
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    labelled = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", known)
+    # what the pivots didn't answer: members of a block in different components
+    members = found.where("many").select("block", "class").join(info, "class")
+    tried, rounds = first, 0
+    while True:
+        rest = unsettled(members, labels)
+        if rest.isEmpty():
+            break
+        final = rounds == most_rounds
+        pairs = crossing(rest, limits) if final else across(rest, rounds, limits)
+        new = durable(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = None if new.isEmpty() else linked(docs, new, n, limits)
+        if more is not None and not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+        if final:
+            break
+        # once a round finds nothing, all remaining pairs are compared
+        rounds = most_rounds if more is None or more.isEmpty() else rounds + 1
+        tried = tried.union(new)
+    labelled = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", F.coalesce("label", "class").alias("label"))
     named = labelled.join(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("class", "component_id")
     out = rows.select("doc_id", "size", "class").join(named, "class", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
