@@ -7,7 +7,9 @@ that share a whole run of elements, not just one, and a passage that many docume
 make long lists. Sets pair with sets of like size only, so parts are cut by size class; each set
 enters its own class and the next one up if a larger partner can be there. Empty parts match anything
 and are not listed; a set with so few filled parts that empty ones might be its only common ones
-enters lists of its least elements instead (prefix filtering among such sets).
+enters lists of its least elements as well (prefix filtering among such sets). A pair of such a set
+and one with more filled parts meets in a list of a part: it differs in too few of the latter's parts
+for all of them.
 
 Block skipping. A list is ordered by the position that the part has in each set. Positions further
 apart than D prove that the sets before and after differ too much: the list is cut there into blocks,
@@ -139,8 +141,7 @@ def list_entries(grams: np.ndarray, first: np.ndarray, limits: Limits) -> tuple[
         position = index[begins] - first[doc]
         filled = np.bincount(doc, minlength=len(sizes))
         enough = filled > np.where(docs, differ[np.minimum(k, len(differ) - 1)], 0)
-        keep = enough[doc]
-        out.append((lists[keep], doc[keep], position[keep]))
+        out.append((lists, doc, position))  # those of sets with few filled parts too: a partner may have enough
         few = docs & ~enough
         if few.any():
             prefix = sizes - -(-sizes * limits.part // limits.whole) + 1

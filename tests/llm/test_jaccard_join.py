@@ -90,3 +90,34 @@ def test_every_link_shares_a_block(part, whole):
         order = np.lexsort((position, lists))
         found = j.blocks_of(lists[order], position[order], np.diff(first)[of[order]], of[order], limits)
         assert len(found[0])
+
+
+@pytest.mark.parametrize("part, whole", [(85, 100), (80, 100)])
+def test_links_of_sets_with_few_and_with_enough_filled_parts_share_a_block(part, whole):
+    """Sizes across class bounds, hashes of all 64 bits, similarities from the threshold on."""
+    limits, draw = j.Limits(part, whole), np.random.default_rng(7)
+    mixed = 0
+    for bound in (62, 94, 141, 211, 316, 474, 711, 1066):
+        for _ in range(150):
+            small = int(bound * draw.uniform(0.85, 1.12))
+            large = int(small * draw.uniform(1, whole / part))
+            least = -(-part * (small + large) // (whole + part))  # elements in common of a pair that just links
+            common = min(small, least + int(draw.integers(0, 1 + small // 20)))
+            if common < least:
+                continue
+            drawn = np.unique(draw.integers(0, 1 << 64, small + large - common, dtype=np.uint64))
+            draw.shuffle(drawn)
+            a, b = np.sort(drawn[:small]), np.sort(np.append(drawn[:common], drawn[small:]))
+            overlap = len(np.intersect1d(a, b))
+            assert whole * overlap >= part * len(np.union1d(a, b))
+            if overlap == len(a) == len(b):
+                continue
+            lists, of, position = j.list_entries(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), limits)
+            order = np.lexsort((position, lists))
+            found = j.blocks_of(lists[order], position[order], np.array([len(a), len(b)])[of[order]], of[order], limits)
+            assert len(found[0]), (len(a), len(b), overlap)
+            bounds, differ, parts = limits.classes(len(b))
+            level = np.searchsorted(bounds, len(b), "right") - 1
+            filled = [len(np.unique((x >> np.uint64(32)) * np.uint64(parts[level]) >> np.uint64(32))) for x in (a, b)]
+            mixed += (filled[0] > differ[level]) != (filled[1] > differ[level])
+    assert part != 80 or mixed > 50
