@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +66,13 @@ def two_hop(edges: DataFrame, passing: DataFrame) -> DataFrame:
     return pairs.join(passing.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def reachable(edges: DataFrame, start: DataFrame, most_hops: int = 64, checkpoint_every: int = 8) -> DataFrame:
-    """node and depth of all that can be reached from the start nodes (id), breadth first."""
+def reachable(edges: DataFrame, start: DataFrame, most_hops: int | None = None, checkpoint_every: int = 8) -> DataFrame:
+    """node and depth of all that can be reached from the start nodes (id), breadth first, or of those within so many hops."""
     from .storage import durable
 
     seen = durable(start.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("depth")))
     frontier = seen
-    for hop in range(1, most_hops + 1):
+    for hop in count(1) if most_hops is None else range(1, most_hops + 1):
         out = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = durable(out.join(seen, "node", "left_anti").select("node", F.lit(hop).cast("long").alias("depth")))
         if frontier.isEmpty():

@@ -153,3 +153,17 @@ def test_strategy_and_levels(spark):
     assert 0.92 < counts[0] / 20000 < 0.955
     u = kernel.uniform(np.arange(100000), 3)
     assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.01
+
+
+def test_reachable_walks_on_until_nothing_is_new(spark):
+    """A chain longer than any bound on hops, with short cuts, cycles and a part that can't be reached, against a plain walk."""
+    edges = [(i, i + 1) for i in range(68)] + [(3, 1), (20, 22), (40, 40), (68, 60), (100, 0), (100, 101)]
+    depth, queue = {0: 0}, [0]
+    for node in queue:
+        for a, b in edges:
+            if a == node and b not in depth:
+                depth[b] = depth[a] + 1
+                queue.append(b)
+    assert max(depth.values()) > 64
+    found = g.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,)], "id long")).collect()
+    assert sorted((r.node, r.depth) for r in found) == sorted(depth.items())
