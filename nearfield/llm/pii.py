@@ -3,11 +3,12 @@ r"""Personal data: overlapping candidate spans, scored by boosted trees, in Data
 1. Base patterns, one for each kind, give spans that always stay (`base_spans`).
 2. High-recall generators propose further spans: the same kinds written with other separators,
    without a plus sign, or with spelled-out signs (`candidates`). They overlap freely.
-3. Gradient-boosted trees over the format of a candidate and its context score it. They are fitted on
-   a bounded sample of documents, on candidates that a base pattern confirms or refutes by its check
-   (Luhn, parts of an address, number of digits), so that forms in which real data occur in this corpus
-   score high. The fitted trees become one Spark expression: a sum of CASE expressions.
-4. A threshold calibrated on the sample's held-out half for a wanted precision selects spans; of
+3. Proposals that overlap a base span or fail the check of their kind (Luhn, parts of an address,
+   number of digits) go. Gradient-boosted trees over the format of the others and their context score
+   them. They are fitted on a table labelled by hand: wide forms in contexts where they are personal
+   data, the same forms in contexts where they aren't, and look-alikes (`FORMS` and below). The fitted
+   trees become one Spark expression: a sum of CASE expressions.
+4. A threshold calibrated on the table's held-out half for a wanted precision selects spans; of
    overlapping proposals the one of the highest score is taken, and none that overlaps a base span.
 
 Scanning is linear in the text: lookbehinds and possessive quantifiers start a match only where a run
@@ -15,7 +16,7 @@ of its characters begins, which finds what the plain patterns find, leftmost and
 
 Defined results: null and empty texts have no spans; offsets count code points, ends are exclusive;
 equal rows get equal spans; a null or repeated doc_id changes nothing, as rows are judged one by one;
-an empty table gives an empty result, and without candidates to learn from only base spans are given.
+an empty table gives an empty result.
 Columns other than those to keep and the text are not read.
 """
 
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import packed, sampled, table, unpacked
+from .tables import packed, table, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -47,6 +48,32 @@ WIDE = {
     "phone": r"(?<![0-9+])(?<![0-9][ ().-])(?:\+|00)?[(]?[0-9](?:[ ().-]{0,2}+[0-9]){9,14}+(?![ ().-]{0,2}[0-9])",
 }
 CONTEXT = 24
+#: The labelled table. Wide forms of each kind:
+FORMS = {
+    "email": ["john (at) example (dot) com", "jane.roe [at] corp [dot] org", "max(at)site.net", "a-b [at] mail.example.com", "info (at) shop (dot) co (dot) uk", "k_lee(at)uni(dot)edu", "sam @ firm.de", "pat@ web.org"],
+    "ip": ["192[.]168[.]1[.]10", "10[.]0[.]0[.]1", "8(.)8(.)8(.)8", "172.16.254[.]3", "203.0[.]113.77", "198[.]51[.]100[.]23"],
+    "card": ["4111.1111.1111.1111", "4111_1111_1111_1111", "5555/5555/5555/4444", "4012  8888  8888  1881", "6011.1111.1111.1117", "3782_822463_10005", "5105.1051.0510.5100", "3714.496353.98431"],
+    "phone": ["(555) 123-4567", "555-123-4567", "555.123.4567", "555 123 4567", "1 555 123 4567", "1-212-555-0187", "0044 20 7946 0958", "020 7946 0958", "0049 30 901820", "(020) 7946 0018", "00 33 1 42 68 53 00"],
+}
+#: contexts in which they are personal data,
+_SAID = ["write to {} today", "{}", "reach me under {} or by post", "from {} yesterday", "It is {} as always"]
+CONTEXTS = {
+    "email": [*_SAID, "mail: {}", "contact {} for more", "my address is {}"],
+    "ip": [*_SAID, "server {} was down", "blocked host {} again", "addr={} port 80"],
+    "card": [*_SAID, "card {} was charged", "Visa: {}", "paid with {} on Monday"],
+    "phone": [*_SAID, "call {} after six", "phone: {}", "Tel. {}", "mobile {}, evenings", "fax {}"],
+}
+#: and contexts in which something else is written that way;
+_NAMED = ["version {}", "order {} was sent", "serial {}", "part {}", "sku={}", "token {}"]
+OTHERWISE = {"email": [], "ip": _NAMED, "card": [*_NAMED, "id {} in the list"], "phone": [*_NAMED, "id {} in the list", "isbn {}", "doi {}"]}
+#: look-alikes, anywhere.
+ALIKE = [
+    "978-3-16-148410-0", "0-306-40615-2-11", "2024-01-15 10:20", "2023-11-05 12:30:01", "1999.12.31 23:59", "1700000000", "1699999999123", "100 200 300 4000", "1 2 3 4 5 6 7 8 9 10", "10-20-30-40-50", "3.14159265358979", "12345678901", "0000000000", "20240115 093000", "1990-2000 2010-2020", "2001 2002 2003 2004", "10.1000 182 3456",
+    "1 . 2 . 3 . 4", "1. 2. 3. 4", "4 .2 .1 .9", "5. 6. 7. 8", "7 . 0 . 12 . 1",
+    "met @ noon. then", "two @ 5.00 each", "sold @ 12.50", "be (at) home. later", "dinner @ eight. bring", "left @ dawn. nobody", "stay [at] work. today",
+    "4111111111.111111", "00000000000000.00", "1111 2222 3333 4444 5", "0000_0000_0000_0000",
+]
+ANYWHERE = [*_SAID, "see {} below", "on {} we left", "total {} units", "call {} times"]
 SPAN = "struct<start:int,end:int,found:string>"
 
 
@@ -112,7 +139,7 @@ def _features(kind: Column, text: Column, c: Column) -> dict[str, Column]:
     count = lambda pattern: (n - F.length(F.regexp_replace(found, pattern, ""))).cast("double")
     out = {f"is_{k}": yes(kind == k) for k in KINDS}
     out |= {
-        "length": n.cast("double"), "digits": count("[0-9]"), "blanks": count("[ ]"), "dots": count("[.]"), "dashes": count("[-]"), "others": count("[^A-Za-z0-9 .-]"), "plus": yes(found.startswith("+")),
+        "length": n.cast("double"), "digits": count("[0-9]"), "blanks": count("[ ]"), "dots": count("[.]"), "dashes": count("[-]"), "others": count("[^A-Za-z0-9 .-]"), "plus": yes(found.startswith("+")), "year_first": yes(found.rlike("^(19|20)[0-9]{2}([^0-9]|$)")), "letters_after_dot": yes(found.rlike("[A-Za-z0-9][.][a-z]{2,}$")),
         "zero_first": yes(found.rlike("^[(]?0")), "even_groups": yes(found.rlike("^[0-9]{4}([^0-9]?[0-9]{4}){3}$")), "three_three_four": yes(found.rlike("[0-9]{3}[^0-9]+[0-9]{3}[^0-9]+[0-9]{4}$")), "at_sign": yes(F.contains(found, F.lit("@"))),
         "word_before": yes(before.rlike("[A-Za-z0-9]$")), "sign_before": yes(before.rlike("[=#$/_:,.-]$")), "word_after": yes(after.rlike("^[A-Za-z0-9]")), "sign_after": yes(after.rlike("^[./:_-][A-Za-z0-9]")),
         "named_before": yes(before.rlike("(?i)(mail|phone|call|tel|fax|card|visa|host|addr|server|contact|mobile)[^A-Za-z]*$")), "other_name_before": yes(before.rlike("(?i)(version|isbn|doi|serial|order|part|sku|token|id|no)[^A-Za-z]*$")),
@@ -142,7 +169,7 @@ def _tree(x: dict[str, np.ndarray], gradient: np.ndarray, hessian: np.ndarray, d
     best = (1e-6, None, None)
     if depth:
         for name, v in x.items():
-            for t in np.unique(np.quantile(v, [0.1, 0.25, 0.5, 0.75, 0.9])) if v.min() < v.max() else ():
+            for t in np.unique(np.quantile(v, [0.1, 0.25, 0.5, 0.75, 0.9, 1])) if v.min() < v.max() else ():
                 low = v < t
                 if low.any():
                     gain = sum(gradient[s].sum() ** 2 / (hessian[s].sum() + 1.0) for s in (low, ~low)) - gradient.sum() ** 2 / (hessian.sum() + 1.0)
@@ -180,17 +207,44 @@ def _expression(tree, x: dict[str, Column]) -> Column:
     return F.lit(tree) if isinstance(tree, float) else F.when(x[tree[0]] < tree[1], _expression(tree[2], x)).otherwise(_expression(tree[3], x))
 
 
-def fit(docs: DataFrame, most_documents: int = 4000, most_candidates: int = 20000) -> Model | None:
-    """Fitted on the proposals in at most so many documents, chosen by a hash of doc_id, and at most so many of those."""
-    chosen = sampled(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", most_documents)
-    found = candidates(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "text", F.explode_outer("_proposed").alias("c")).where("c IS NOT NULL")  # outer, lest Spark test all documents for candidates before the join
-    kind, text, c = F.col("c.kind"), F.col("text"), F.col("c")
-    check = F.lit(False)
-    for k in KINDS:  # a base form of the kind that passes its check
-        check = F.when(kind == k, F.col("c.found").rlike(f"^(?:{BASE[k]})$") & passes(k, F.col("c.found"))).otherwise(check)
-    rows = found.select(*(v.alias(k) for k, v in _features(kind, text, c).items()), check.cast("int").alias("_y"), F.xxhash64("doc_id", "c.start", "c.kind").alias("_order")).orderBy("_order").limit(most_candidates).collect()
-    if not rows:
+def sound(kind: Column, found: Column) -> Column:
+    """The check of a proposal's kind, whatever signs part its digits."""
+    plain = F.regexp_replace(found, "[^0-9]+", ".")
+    out = F.lit(True)
+    for k in KINDS:
+        out = F.when(kind == k, passes(k, plain if k == "ip" else found)).otherwise(out)
+    return out
+
+
+def free(base: DataFrame) -> DataFrame:
+    """Adds to what `base_spans` gives _proposed, the sound proposals that overlap no base span."""
+    all_ = candidates(base.withColumn("_all", F.concat(*(F.col(f"_base_{k}") for k in KINDS))))
+    return all_.withColumn("_proposed", F.filter("_proposed", lambda c: ~F.exists("_all", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])) & sound(c["kind"], c["found"])))
+
+
+def _labelled_texts() -> list[tuple[str, str | None, int, int]]:
+    """(text, kind, start, end) of all forms in their contexts; no kind where none of the text is personal data."""
+    rows = []
+    for kind, forms in FORMS.items():
+        for form in forms:
+            for context in CONTEXTS[kind]:
+                start = context.index("{}")
+                rows.append((context.format(form), kind, start, start + len(form)))
+            for context in OTHERWISE[kind]:
+                rows.append((context.format(form), None, 0, 0))
+    return rows + [(context.format(x), None, 0, 0) for x in ALIKE for context in ANYWHERE]
+
+
+def fit(docs: DataFrame) -> Model | None:
+    """Fitted on the labelled table, on just the proposals that `found` would judge; none for a table without rows."""
+    if docs.isEmpty():
         return None
+    texts = docs.sparkSession.createDataFrame(_labelled_texts(), "text string, _kind string, _start int, _end int")
+    c = F.col("c")
+    rows = free(base_spans(texts)).select("*", F.explode("_proposed").alias("c"))
+    y = F.coalesce((c["kind"] == F.col("_kind")) & (c["start"] == F.col("_start")) & (c["end"] == F.col("_end")), F.lit(False))
+    order = F.xxhash64("text", "c.start", "c.kind")
+    rows = rows.select(*(v.alias(k) for k, v in _features(c["kind"], F.col("text"), c).items()), y.cast("int").alias("_y"), order.alias("_order")).orderBy("_order").collect()
     names = [n for n in rows[0].asDict() if n[0] != "_"]
     return boosted({n: np.array([r[n] for r in rows]) for n in names}, np.array([r["_y"] for r in rows], float))
 
@@ -201,8 +255,7 @@ def found(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
     base = base_spans(docs.select(*keep, "text"))
     if model is None:
         return base.withColumn("_added", F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
-    all_base = F.concat(*(F.col(f"_base_{k}") for k in KINDS))
-    free = candidates(base.withColumn("_all", all_base)).withColumn("_proposed", F.filter("_proposed", lambda c: ~F.exists("_all", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))))
+    judged = free(base)
 
     def scored(c: Column) -> Column:
         x = _features(c["kind"], F.col("text"), c)
@@ -220,7 +273,7 @@ def found(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
 
     taken = F.when(F.size("_proposed") > 0, F.aggregate(good, F.array().cast(spans), best)).otherwise(F.array().cast(spans))
     added = F.transform(taken, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["score"].alias("score")))
-    return free.select(*keep, "text", *(f"_base_{k}" for k in KINDS), added.alias("_added"))
+    return judged.select(*keep, "text", *(f"_base_{k}" for k in KINDS), added.alias("_added"))
 
 
 def _tagged(kind: str) -> Column:

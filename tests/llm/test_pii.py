@@ -77,3 +77,19 @@ def test_trees_as_expression_equal_trees(spark, small):
 def test_empty(small):
     assert pii.fit(small.limit(0)) is None
     assert pii.found(small.limit(0), None).count() == 0
+
+
+def test_wide_forms_are_added_and_look_alikes_are_not(spark):
+    """Values and most contexts are not those of the labelled table."""
+    planted = [
+        ("You can call (212) 867-5309 after nine", "phone", "(212) 867-5309"), ("her phone is 415-867-5310 at home", "phone", "415-867-5310"), ("tel 303.867.5311 or", "phone", "303.867.5311"),
+        ("é 💥 send it to mary.k (at) firma (dot) org please", "email", "mary.k (at) firma (dot) org"), ("ask tim[at]house[dot]net", "email", "tim[at]house[dot]net"),
+        ("traffic came from 203[.]0[.]113[.]9 all night", "ip", "203[.]0[.]113[.]9"), ("she gave card 4242.4242.4242.4242 then", "card", "4242.4242.4242.4242"),
+    ]
+    alike = ["isbn 978-0-306-40615-7", "order 212-867-5309 has left", "built 2022-08-09 11:45", "version 4[.]2[.]1[.]9", "the card 4242.4242.4242.4243 is none", "at 999[.]1[.]1[.]1 nothing", "we all met @ seven. then", "took 1650000000 steps", "points 1 . 3 . 5 . 7", "serial 4242.4242.4242.4242"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([p[0] for p in planted] + alike)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.found(docs, pii.fit(docs)).collect()}
+    for i, (text, kind, value) in enumerate(planted):
+        assert [(s.kind, text[s.start : s.end]) for s in rows[i]._added] == [(kind, value)], text
+    for i, text in enumerate(alike, len(planted)):
+        assert not rows[i]._added, text
