@@ -37,6 +37,13 @@ NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|widget\w*|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|footer|masthead|site-header|page-header|topbar|toolbar|tags|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Inside an article only these are judged by names, and only by a whole class or id (a section's id, like a heading's, comes from its words).
+CONTAINERS = frozenset("div section aside nav ul ol dl table".split())
+#: Dropped elements that only their own end tag closes; of others without one the tag alone is dropped.
+RAW = frozenset("script style textarea title".split())
+#: Dropped elements that can't hold their like: a second start tag says that the first has no end tag.
+FLAT = frozenset("button select".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -85,7 +92,14 @@ def place_of(tag: str, attributes: str, inside: int) -> int:
         return 0
     if tag in CONTENT or names.get("role", "").lower() in ("main", "article") or names.get("itemprop") == "articleBody":
         return 1
-    return -1 if NAMED.search(f"{names.get('class', '')} {names.get('id', '')}") else 0
+    if tag in HEADINGS:  # their ids come from their words
+        return 0
+    if inside <= 0:
+        return -1 if NAMED.search(f"{names.get('class', '')} {names.get('id', '')}") else 0
+    if tag not in CONTAINERS:
+        return 0
+    whole = names.get("class", "").split() + ([names.get("id", "")] if tag != "section" else [])
+    return -1 if any(map(NAMED.fullmatch, whole)) else 0
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
@@ -93,6 +107,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
     parts: list[str] = []
     words = linked = 0
     stack: list[tuple[str, int]] = []  # open elements, and the place inside each
+    absent: set[str] = set()  # dropped elements that have no end tag from here on
     links, at, end = 0, 0, len(page)
     heading = False
 
@@ -128,10 +143,14 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
             parts.append(" ")
         if not closing:
             if name in DROPPED and not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}(?![\w-])[^>]*>", re.I).search(page, at)
+                close = None if name in absent else re.compile(rf"</{re.escape(name)}(?![\w-])[^>]*>", re.I).search(page, at)
                 if name == "head" and not close:
                     close = re.compile(r"(?=<body[\s>])", re.I).search(page, at)
-                at = close.end() if close else at if name == "head" else end
+                if close and name in FLAT and re.compile(rf"<{name}(?![\w-])", re.I).search(page, at, close.start()):
+                    close = None
+                elif not close:
+                    absent.add(name)
+                at = close.end() if close else end if name in RAW else at
                 continue
             if name in VOID or (attributes.endswith("/") and name not in BLOCKS):
                 continue

@@ -51,3 +51,18 @@ def test_odd_pages(spark):
     assert len(rows) == len(odd) and all(r.text is not None for r in rows)
     assert rows[-1].text == ("long " * 50000).strip()
     assert h.extracted(df.limit(0)).count() == 0
+
+
+def test_names_of_headings_and_sections_in_an_article():
+    body = "word " * 30
+    parts = "".join(f"<h2 id='{i}'>About {i}</h2><p>{body}</p>" for i in ("related-work", "search", "legal-notice"))
+    page = f"<article>{parts}<section id='copyright'><p>{body}</p></section><div class='related'><p>{body}</p></div></article>"
+    text = body.strip()
+    assert h.main_text(page, TREE) == "\n".join(["About related-work", text, "About search", text, "About legal-notice", text, text])
+
+
+def test_dropped_elements_without_end_tag():
+    for name in ("button", "select", "svg", "math", "object", "video", "noscript"):
+        assert h.main_text(f"<article><p>First words here</p><{name}><p>Last words here</p></article>", TREE) == "First words here\nLast words here", name
+    page = "<article><p>First words</p><button><p>Middle words</p><button>x</button><p>Last words</p></article>"
+    assert h.main_text(page, TREE) == "First words\nMiddle words\nLast words"
