@@ -13,17 +13,25 @@ for all of them.
 
 Block skipping. A list is ordered by the position that the part has in each set. Positions further
 apart than D prove that the sets before and after differ too much: the list is cut there into blocks,
-and no pair across blocks is looked at.
-
-Answers from similar sets. In each block the sets are first compared with one of them, the pivot;
-links found so make components. A pair inside one component needs no comparison, as its answer
-follows from the pivot's. Components that still share a block are then compared by one member each,
-for a few rounds, which joins most that belong together. All pairs of a block that are in different
-components even then are compared, if their sizes and parities (a 512-bit exclusive or of their elements' bits, which bounds the
-difference from below) allow a link, so no link between components is lost. A group of near copies thus costs one comparison a copy, not one a pair.
-
-Equal sets are one class from the start. Sets are compared by 64-bit hashes of their elements, and
-classes are known by 64-bit digests.
+and no pair across blocks is looked at. Lists are streamed, whatever their length.
+
+Answers from similar sets. The set of a block that most other blocks hold too is its pivot.
+1. A pivot's answers are computed: each member of its blocks is compared with it by exact
+   intersection, which also gives the elements that the member has more and those that it has less.
+   Members that a bound already proves to be remote are left out: parities, an exclusive or of one
+   bit for each element, of twice as many bits as elements at least.
+2. Members' answers are derived from the pivot's by these differences alone (`derived`). Members that
+   link with the pivot are one component and need no comparison. For the others, differences are
+   what is joined: a pair of which one doesn't link with the pivot must share an element among the
+   first few of both differences, in an order with the elements that the pivot lacks first. So an edit
+   that copies have in common brings them together, and the text that all copies share doesn't.
+3. Remote members of a block have only the block's part in common with the pivot. They are compared
+   by sizes and parities, in tiles of bounded size (`remote_pairs`), and what that leaves exactly.
+
+Every set is shipped once for each pivot that it is compared with. Groups of a pivot are cut into
+shares of bounded size, each with the pivot's set. Equal sets are one class from the start. Sets are
+compared by 64-bit hashes of their elements; classes are known by 64 bits of their digests, or by
+another 64 where two classes have the first in common.
 
 Defined results: null and empty texts have the empty set and link with nothing, themselves apart;
 texts of fewer words than an n-gram are one element; repeated rows are copies; a null doc_id is in
@@ -35,7 +43,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +50,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .flat import LOWER, NOT_SPACE, U64, Fingerprints, column, mix, runs_of, slices, window_hashes, words
-from .tables import durable, packed, table, unpacked
+from .membership import bitmap_of, maybe_in
+from .tables import Scratch, packed, table, unpacked
 
 GROWTH = 1.5
-LONGEST_LIST = 1 << 20
-PARITY = 8
-WORDS = [f"parity_{i}" for i in range(PARITY)]
+HELD = 1 << 18  # entries of a list that a task looks at together; the same blocks come out at any value
+SHARE = 1024  # sets in a share of a group
+TILE = 1024  # sets on either side of a tile
 NO_ID = -(1 << 63)
 
 
@@ -57,6 +65,11 @@ class Limits:
 
     def __init__(self, part: int, whole: int):
         self.part, self.whole = part, whole
+        self.ball = 1 - -2 * whole // part
+
+    def remote(self, least, total):
+        """Whether two sets, which differ in so many elements at least, of so many in both together, are so far apart that nothing that links with one links with the other."""
+        return least > self.ball * (self.most_different(total) + 1)
 
     def most_different(self, total):
         """Elements in one of two linked sets only, of so many elements in both together."""
@@ -99,17 +112,38 @@ def _sums(values: np.ndarray, first: np.ndarray, add=np.add) -> np.ndarray:
     return out
 
 
-def class_ids(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return mix(_sums(mix(grams), first) ^ mix(np.diff(first) + 17)).astype(np.int64)
+def class_ids(grams: np.ndarray, first: np.ndarray, seed: int = 17) -> np.ndarray:
+    return mix(_sums(mix(grams ^ U64(seed)), first) ^ mix(np.diff(first) + seed)).astype(np.int64)
+
+
+def named(grams: np.ndarray, first: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """The names of the sets' classes: their digests, or second digests where those are shared by several classes."""
+    ids = class_ids(grams, first)
+    return np.where(np.isin(ids, clashes), class_ids(grams, first, 99), ids) if len(clashes) else ids
+
+
+def parities(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """By set, the exclusive or of a bit for each element, of a power of two of bits, twice its size at least."""
+    sizes = np.diff(first)
+    bits = np.maximum(512, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    begins = np.append(0, np.cumsum(bits))
+    at = np.repeat(begins[:-1], sizes) + ((grams >> U64(20)).astype(np.int64) & np.repeat(bits - 1, sizes))
+    flat = np.packbits(np.bincount(at, minlength=begins[-1]).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [flat[a:b] for a, b in zip((begins[:-1] // 8).tolist(), (begins[1:] // 8).tolist(), strict=True)]
+
+
+def folded(parity: int, bits: int, to: int) -> int:
+    """A parity as one of fewer bits."""
+    while bits > to:
+        bits //= 2
+        parity = (parity >> bits) ^ (parity & ((1 << bits) - 1))
+    return parity
 
 
-def parities(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """PARITY words by set: the exclusive or of a bit for each element."""
-    n = len(first) - 1
-    bit = (grams >> U64(20)) % U64(64 * PARITY)
-    out = np.zeros(n * PARITY, U64)
-    np.bitwise_xor.at(out, np.repeat(np.arange(n), np.diff(first)) * PARITY + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
-    return out.reshape(n, PARITY).astype(np.int64)
+def least_different(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of elements in one of two sets only, from their parities."""
+    to = 8 * min(len(a), len(b))
+    return (folded(int.from_bytes(a, "little"), 8 * len(a), to) ^ folded(int.from_bytes(b, "little"), 8 * len(b), to)).bit_count()
 
 
 def list_entries(grams: np.ndarray, first: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,25 +194,31 @@ def _classes(n: int):
         for batch in batches:
             for first_row, end, data, offsets in slices(column(batch, "text")):
                 grams, first = element_sets(data, offsets, n)
-                columns = [column(batch, "doc_id")[first_row:end], *map(pa.array, (np.diff(first), class_ids(grams, first), *parities(grams, first).T.copy()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "class", *WORDS])
+                carried = [column(batch, c)[first_row:end] for c in ("doc_id", "row", "exact")]
+                found = [pa.array(np.diff(first)), pa.array(class_ids(grams, first)), pa.array(class_ids(grams, first, 99)), pa.array(parities(grams, first), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*carried, *found], names=["doc_id", "row", "exact", "size", "class", "check", "parity"])
 
     return run
 
 
+def row_keys(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
+    """row and exact: 128 bits together that tell apart rows of different doc_id or text."""
+    return [F.xxhash64(doc_id, text).alias("row"), F.xxhash64(text).alias("exact")]
+
+
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, class, and the class's parity, of every row."""
+    """doc_id, row keys, size, digests and parity of the set of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_classes(n), f"doc_id {kind}, size long, class long, {', '.join(f'{w} long' for w in WORDS)}")
+    return docs.select("doc_id", "text", *row_keys()).mapInArrow(_classes(n), f"doc_id {kind}, row long, exact long, size long, class long, check long, parity binary")
 
 
-def _entries(n: int, limits: Limits):
+def _entries(n: int, limits: Limits, clashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()  # copies within a task enter the lists once
         for batch in batches:
             for _, _, data, offsets in slices(column(batch, "text")):
                 grams, first = element_sets(data, offsets, n)
-                ids = class_ids(grams, first)
+                ids = named(grams, first, clashes)
                 _, where = np.unique(ids, return_index=True)
                 new = np.zeros(len(ids), bool)
                 new[[i for i in where.tolist() if ids[i] not in met]] = True
@@ -192,235 +232,343 @@ def _entries(n: int, limits: Limits):
     return run
 
 
-def blocks_of(lists: np.ndarray, position: np.ndarray, size: np.ndarray, ids: np.ndarray, limits: Limits) -> tuple[np.ndarray, ...]:
-    """(block, class, pivot, many) of the members of whole lists in order of (list, position): pairs only for blocks of two."""
-    same = (lists[1:] == lists[:-1]) & (ids[1:] == ids[:-1])
-    once = np.append(True, ~same)[: len(lists)]
-    lists, position, size, ids = lists[once], position[once], size[once], ids[once]
+def gaps(lists: np.ndarray, position: np.ndarray, size: np.ndarray, limits: Limits) -> np.ndarray:
+    """Where blocks of ordered entries begin."""
     # no set of a list is smaller than its class's least partner, which bounds what all pairs may differ in
     gap = limits.most_different((2 * GROWTH * size * limits.whole / limits.part).astype(np.int64) + 4)
-    cut = np.append(True, (lists[1:] != lists[:-1]) | (position[1:] - position[:-1] > gap[1:]))[: len(lists)]
-    begins = np.flatnonzero(cut)
+    return np.append(True, (lists[1:] != lists[:-1]) | (position[1:] - position[:-1] > gap[1:]))[: len(lists)]
+
+
+def blocks_of(lists: np.ndarray, position: np.ndarray, size: np.ndarray, ids: np.ndarray, limits: Limits) -> tuple[np.ndarray, ...]:
+    """(block, class, number of members) of the members of blocks of several classes, of entries in order of (list, position, size, class). Blocks of the same members have the same name."""
+    once = np.append(True, (lists[1:] != lists[:-1]) | (ids[1:] != ids[:-1]))[: len(lists)]
+    lists, position, size, ids = lists[once], position[once], size[once], ids[once]
+    if not len(lists):
+        return lists, ids, ids
+    begins = np.flatnonzero(gaps(lists, position, size, limits))
     members = np.diff(np.append(begins, len(lists)))
-    if not len(begins):
-        return ids, ids, ids, np.zeros(0, bool)
-    pivot = np.repeat(np.minimum.reduceat(ids, begins), members)
     block = np.repeat(np.add.reduceat(mix(ids), begins), members).astype(np.int64)
     members = np.repeat(members, members)
-    keep = (members > 2) | ((members == 2) & (ids != pivot))
-    return block[keep], ids[keep], pivot[keep], members[keep] > 2
+    return block[members > 1], ids[members > 1], members[members > 1]
 
 
 def _blocks(limits: Limits):
+    names = ["block", "class", "weight"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["block", "class", "pivot", "many"])
+        held = [np.zeros(0, np.int64) for _ in range(4)]  # of the last block so far
+        known = None  # the name of that block, once part of it has been sent
+
+        def sent(rows: list[np.ndarray], name: int | None) -> pa.RecordBatch:
+            found = (np.full(len(rows[0]), name), rows[3], np.full(len(rows[0]), HELD)) if name is not None else blocks_of(*rows, limits)
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in found], names=names)
 
-        held = None
-        long_list, long_pivot = None, None
         for batch in batches:
-            new = [column(batch, c).to_numpy() for c in ("list", "position", "size", "class")]
-            now = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            if long_list is not None:  # the rest of a list too long to hold: all against its pivot, as one block
-                more = int(np.searchsorted(now[0], long_list, "right"))
-                if more:
-                    yield out((np.full(more, long_list), now[3][:more], np.full(more, long_pivot), np.ones(more, bool)))
-                now = [x[more:] for x in now]
-                if not len(now[0]):
-                    held = None
-                    continue
-                long_list = None
+            new = [column(batch, c).to_numpy().astype(np.int64) for c in ("list", "position", "size", "class")]
+            now = [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(now[0]):
                 continue
-            last = int(np.searchsorted(now[0], now[0][-1], "left"))
-            if len(now[0]) - last > LONGEST_LIST:
-                long_list, long_pivot = now[0][-1], now[3][last:].min()
-                rest = len(now[0]) - last
-                yield out((np.full(rest, long_list), now[3][last:], np.full(rest, long_pivot), np.ones(rest, bool)))
-                held = None
-            else:
-                held = [x[last:] for x in now]
-            yield out(blocks_of(*(x[:last] for x in now), limits))
-        if held:
-            yield out(blocks_of(*held, limits))
+            begins = np.flatnonzero(gaps(*now[:3], limits))
+            if known is not None:
+                end = begins[1] if len(begins) > 1 else len(now[0])
+                yield sent([x[1:end] for x in now], known)  # the first was sent before
+                if len(begins) < 2:
+                    held = [x[-1:] for x in now]
+                    continue
+                now, begins, known = [x[end:] for x in now], begins[1:] - end, None
+            last = int(begins[-1])
+            yield sent([x[:last] for x in now], None)
+            held = [x[last:] for x in now]
+            if len(held[0]) > HELD:  # too long to hold until it ends: its name is that of its first entry
+                known = int(mix(held[0][:1].astype(U64) ^ mix(held[1][:1])).astype(np.int64)[0])
+                yield sent(held, known)
+                held = [x[-1:] for x in held]
+        if known is None:
+            yield sent(held, None)
 
     return run
 
 
-def blocks(docs: DataFrame, n: int, limits: Limits) -> DataFrame:
-    """block, class, pivot, many: the members of all blocks of two or more sets, equal blocks once."""
-    entries = docs.select("text").mapInArrow(_entries(n, limits), "list long, position int, size int, class long")
+def blocks(docs: DataFrame, n: int, limits: Limits, clashes: np.ndarray) -> DataFrame:
+    """block, class and weight (the block's number of members, or a bound below it) of the members of all blocks of several sets, equal blocks once."""
+    entries = docs.select("text").mapInArrow(_entries(n, limits, clashes), "list long, position int, size int, class long")
     ordered = entries.repartition("list").sortWithinPartitions("list", "position", "size", "class")
-    return ordered.mapInArrow(_blocks(limits), "block long, class long, pivot long, many boolean").distinct()
+    return ordered.mapInArrow(_blocks(limits), "block long, class long, weight long").distinct()
+
 
+def _bounded(limits: Limits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (column(batch, c).to_numpy() for c in ("pivot_size", "size"))
+            least = np.array([least_different(a, b) for a, b in zip(column(batch, "pivot_parity").to_pylist(), column(batch, "parity").to_pylist(), strict=True)], np.int64)
+            remote = limits.remote(np.maximum(least, np.abs(x - y)), x + y)
+            yield pa.RecordBatch.from_arrays([column(batch, "pivot"), column(batch, "class"), pa.array(remote)], names=["pivot", "class", "remote"])
+
+    return run
 
-def _sets(n: int, bitmap):
+
+def stars(members: DataFrame, info: DataFrame, limits: Limits) -> DataFrame:
+    """pivot, class and remote, whether their sizes and parities prove them far apart, of each member and each pivot of its blocks."""
+    pairs = members.where("class <> pivot").select("pivot", "class").distinct()
+    both = pairs.join(info.select(F.col("class").alias("pivot"), F.col("size").alias("pivot_size"), F.col("parity").alias("pivot_parity")), "pivot").join(info.select("class", "size", "parity"), "class")
+    return both.mapInArrow(_bounded(limits), "pivot long, class long, remote boolean")
+
+
+def _sets(n: int, clashes: np.ndarray, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, sent = bitmap.value, set()  # a row that repeats is sent once
         for batch in batches:
             keys = column(batch, "key").to_numpy()
             for first_row, end, data, offsets in slices(column(batch, "text")):
                 grams, first = element_sets(data, offsets, n)
-                ids = class_ids(grams, first)
-                slot = mix(ids.astype(U64) ^ mix(keys[first_row:end])) % U64(8 * len(wanted))
-                take = ((wanted[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1).astype(bool)
+                ids = named(grams, first, clashes)
+                own = keys[first_row:end]
+                take = maybe_in(wanted, ids, own)
                 for i in np.flatnonzero(take).tolist():
-                    take[i] = (row := (int(ids[i]), int(keys[first_row + i]))) not in sent
+                    take[i] = (row := (int(ids[i]), int(own[i]))) not in sent
                     sent.add(row)
                 sizes = np.diff(first)
                 grams = grams[np.repeat(take, sizes)]
-                ends = np.append(0, np.cumsum(sizes[take]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(keys[first_row:end][take]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams.astype(np.int64)))], names=["class", "key", "elements"])
+                ends = 8 * np.append(0, np.cumsum(sizes[take]))
+                elements = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(take.sum()), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(grams)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(own[take]), elements], names=["class", "key", "elements"])
 
     return run
 
 
-def _wanted(rows: Iterator[pa.RecordBatch], size: int) -> np.ndarray:
-    bitmap = np.zeros(size, np.uint8)
-    for batch in rows:
-        slot = mix(column(batch, "class").to_numpy().astype(U64) ^ mix(column(batch, "key").to_numpy())) % U64(8 * size)
-        np.bitwise_or.at(bitmap, (slot >> U64(3)).astype(np.int64), (U64(1) << (slot & U64(7))).astype(np.uint8))
-    return bitmap
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
 
+def _answers(limits: Limits):
+    names = ["pivot", "class", "pivot_size", "size", "near", "more", "less"]
 
-def _bitmap_parts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = _wanted(batches, size)
-        at = np.flatnonzero(bitmap)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bitmap[at].astype(np.int32))], names=["byte", "bits"])
+        group, own = None, None
+        for batch in batches:
+            pivots, shares, ids = (column(batch, c).to_numpy() for c in ("pivot", "share", "class"))
+            out: list[tuple] = []
+            for pivot, share, class_, elements in zip(pivots.tolist(), shares.tolist(), ids.tolist(), column(batch, "elements"), strict=True):
+                grams = np.frombuffer(elements.as_buffer(), U64)
+                if pivot == class_:  # comes first in its share
+                    group, own = (pivot, share), grams.copy()
+                    continue
+                assert group == (pivot, share)
+                at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
+                common = own[at] == grams
+                missing = np.ones(len(own), bool)
+                missing[at[common]] = False
+                n = int(common.sum())
+                near = limits.whole * n >= limits.part * (len(own) + len(grams) - n)
+                out.append((pivot, class_, len(own), len(grams), near, grams[~common].astype(np.int64), own[missing].astype(np.int64)))
+            kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int, most_bytes: int = 8 << 20) -> DataFrame:
-    """class, key and elements of each wanted (class, key), where key is the representative's doc_id.
+def answers(docs: DataFrame, pairs: DataFrame, groups: DataFrame, n: int, limits: Limits, clashes: np.ndarray, scratch: Scratch) -> DataFrame:
+    """For pairs (pivot, class): sizes, near (whether they link), more (elements that the pivot lacks) and less (those that the class lacks), by exact comparison.
 
-    A bitmap of at most `most_bytes` tells tasks which sets to send; those it lets through by chance go in the join.
+    A bitmap of bounded size tells tasks which sets to send; those it lets through by chance go in the join.
     """
-    size = 1 << 10
-    count = wanted.count()
-    while size < most_bytes and size < 8 * count:
-        size *= 2
-    parts = wanted.mapInArrow(_bitmap_parts(size), "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bitmap = np.zeros(size, np.uint8)
-    bitmap[parts.column("byte").to_numpy()] = parts.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    return docs.select(_key().alias("key"), "text").mapInArrow(_sets(n, shared), "class long, key long, elements array<long>")
-
-
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    dealt = pairs.select("pivot", "class").join(counts, "pivot").withColumn("share", F.pmod(F.hash("class"), F.col("shares")))
+    asked = dealt.select("pivot", "share", "class").union(counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("pivot").alias("class")))
+    keys = groups.select("class", "key")
+    wanted = scratch.put(pairs.select("class").union(pairs.select("pivot")).distinct().join(keys, "class").select("class", "key"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
+    sets = docs.select(_key().alias("key"), "text").mapInArrow(_sets(n, clashes, shared), "class long, key long, elements binary")
+    rows = asked.join(sets, "class").select("pivot", "share", "class", "elements").repartition("pivot", "share")
+    ordered = rows.sortWithinPartitions("pivot", "share", F.col("class") != F.col("pivot"))
+    return ordered.mapInArrow(_answers(limits), "pivot long, class long, pivot_size long, size long, near boolean, more array<long>, less array<long>")
+
+
+def derived(found: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
+    """Links (a, b) between members of a pivot's group of which one at least doesn't link with the pivot, from their differences from it.
+
+    With p the pivot and d the difference from it, the common elements of x and y are those of p in neither's `less` and those in
+    both's `more`; they differ in as many elements as d(x) and d(y) do. A far x, d(x) > most_different(x, p), that links with y has
+    at least (d(x) + d(y) - most_different(x, y)) / 2 elements of its d in d(y), and the first of these, in any order that holds for
+    the whole group, stands before the last of d but so many, in both. What that number is at least follows for y from
+    x being far, and for x from d(y) having all of them.
+    """
+    part, whole = limits.part, limits.whole
+
+    def most(total: Column) -> Column:
+        return F.floor(total * (whole - part) / F.lit(whole + part))
+
+    groups = found.where("NOT near").select("pivot").distinct()
+    own = labels.select(F.col("node").alias("class"), "label")
+    rows = found.join(groups, "pivot", "left_semi").join(own, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    size, n = F.col("size"), F.col("n")
+    largest = most(size + F.floor(size * whole / part))
+    slack = F.when(size > F.col("pivot_size"), most(size - F.col("pivot_size")) + 1).otherwise(0)
+    rows = rows.withColumn("d", F.concat("more", "less")).withColumn("n", F.size("d").cast("long"))
+    rows = rows.withColumn("probed", F.least(n, largest + 1)).withColumn("listed", n - F.greatest(F.lit(1), F.ceil((n + 1 - slack) / 2), n - largest) + 1)
+
+    def entries(upto: str, side: str) -> DataFrame:
+        out = rows.where("n > 0") if upto == "listed" else rows.where("NOT near")
+        out = out.select("pivot", "class", "label", "size", "n", F.posexplode(F.slice("d", F.lit(1), F.col(upto).cast("int"))).alias("at", "element"))
+        return out.select("pivot", "element", *(F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "size", "n", "at")))
+
+    total = F.col("x_size") + F.col("y_size")
+    common = F.ceil((F.col("x_n") + F.col("y_n") - most(total)) / 2)
+    left = 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
+    alike = (F.least("x_size", "y_size") * whole >= F.greatest("x_size", "y_size") * part) & (left >= common)
+    met = entries("probed", "x").join(entries("listed", "y"), ["pivot", "element"]).where((F.col("x_label") != F.col("y_label")) & alike)
+    pairs = met.select("pivot", F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
+    sides = found.select("pivot", "pivot_size", "class", "size", "more", "less")
+    both = pairs.join(sides.toDF("pivot", "pivot_size", "a", "x", "x_more", "x_less"), ["pivot", "a"]).join(sides.drop("pivot_size").toDF("pivot", "b", "y", "y_more", "y_less"), ["pivot", "b"])
+    n_common = F.col("pivot_size") - F.size(F.array_union("x_less", "y_less")) + F.size(F.array_intersect("x_more", "y_more"))
+    both = both.withColumn("common", n_common).where(whole * F.col("common") >= part * (F.col("x") + F.col("y") - F.col("common")))
+    return both.select("a", "b").distinct()
+
+
+def _tile_pairs(limits: Limits):
+    def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids, labels, sizes, remote, chunks, parity = rows
+        to = 8 * min(map(len, parity))
+        flat = np.stack([np.frombuffer(p if 8 * len(p) == to else folded(int.from_bytes(p, "little"), 8 * len(p), to).to_bytes(to // 8, "little"), U64) for p in parity])
+        split = chunks.min() != chunks.max()
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            j = j[(labels[j] != labels[i]) & (remote[j] | remote[i]) & ((chunks[j] != chunks[i]) | (not split)) & (np.minimum(sizes[j], sizes[i]) * limits.whole >= np.maximum(sizes[j], sizes[i]) * limits.part)]
+            j = j[np.bitwise_count(flat[j] ^ flat[i]).sum(1, dtype=np.int64) <= limits.most_different(sizes[j] + sizes[i])]
+            a.append(np.full(len(j), ids[i]))
+            b.append(ids[j])
+        return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
 
-def linked(docs: DataFrame, pairs: DataFrame, n: int, limits: Limits) -> DataFrame:
-    """(a, b) of the pairs (a, a_key, b, b_key) of classes whose sets link, by exact intersection."""
-    nodes = pairs.select("a", "a_key").union(pairs.select("b", "b_key")).toDF("class", "key").distinct()
-    sets = sets_of(docs, durable(nodes), n)
-    one = pairs.join(sets.toDF("a", "a_key", "x"), ["a", "a_key"])
-    two = one.join(sets.toDF("b", "b_key", "y"), ["b", "b_key"])
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    return durable(two.where(limits.whole * common.cast("long") >= limits.part * union.cast("long")).select("a", "b").distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("class", "label", "size", "remote", "chunk")
+        tile, held = None, []
+        for batch in batches:
+            keys = list(zip(*(column(batch, c).to_pylist() for c in ("block", "first", "second")), strict=True))
+            columns = [column(batch, c).to_numpy(zero_copy_only=False) for c in names] + [np.array([*column(batch, "parity").to_pylist(), None], object)[:-1]]
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and keys[a] != tile:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, pairs([np.concatenate(x) for x in zip(*held, strict=True)]))], names=["a", "b"])
+                    held = []
+                tile = keys[a]
+                held.append([x[a:b] for x in columns])
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, pairs([np.concatenate(x) for x in zip(*held, strict=True)]))], names=["a", "b"])
 
+    return run
 
-def possible(limits: Limits, x: str, y: str) -> Column:
-    """Whether the sizes and parities of two classes allow a link."""
-    small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    differ = reduce(add, (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in WORDS))
-    most = (small + large) * (limits.whole - limits.part) / (limits.whole + limits.part)
-    return (small * limits.whole >= large * limits.part) & (differ <= most)
 
+def remote_pairs(members: DataFrame, star: DataFrame, found: DataFrame, labels: DataFrame, info: DataFrame, limits: Limits) -> DataFrame:
+    """Pairs (pivot, class) of members of a block in different components, one of them remote from the block's pivot, whose sizes and parities allow a link.
 
-def components(links: DataFrame) -> DataFrame:
-    """node and label, the least node it is connected to, of all nodes of links (a, b): least labels of neighbours, then of labels, until none changes."""
-    edges = durable(links.union(links.select("b", "a")).toDF("a", "b").distinct())
-    labels = durable(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    Members that link with the pivot differ too much from remote ones, and pairs in its ball have been looked at.
+    """
+    state = star.join(found.where("near").select("pivot", "class"), ["pivot", "class"], "left_anti")
+    rest = members.join(state, ["pivot", "class"]).join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    open_ = rest.groupBy("block").agg(F.max("remote").alias("any"), F.min("label").alias("l"), F.max("label").alias("h"), F.ceil(F.count("*") / TILE).alias("chunks")).where("any AND l < h")
+    rows = rest.select("block", "class", "label", "remote").join(open_.select("block", "chunks"), "block").join(info.select("class", "size", "parity"), "class")
+    rows = rows.withColumn("chunk", F.pmod(F.hash("class"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("block", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "class", "label", "size", "remote", "chunk", "parity")
+    # a tile of one chunk with itself is there once, one of two chunks from both sides
+    tiles = rows.repartition("block", "first", "second").sortWithinPartitions("block", "first", "second", "class")
+    pairs = tiles.mapInArrow(_tile_pairs(limits), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("class")).distinct()
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for i in range(0, len(nodes), 100_000):
+        some = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], names=["a", "b"])
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and label, the least node it is connected to, of all nodes of links (a, b) but those that are labels themselves.
+
+    Each round unites the links that one task holds, brings all that a node is linked with together, and lets
+    labels of labels replace labels, until every node has one label and that one none.
+    """
+    edges = scratch.put(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").mapInArrow(_united, "a long, b long"))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = durable(stepped.join(jump, "label").select("node", "before", F.least("label", "further").alias("label")))
-        if after.where("label <> before").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
-
-
-def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of blocks that hold several components, with their components' labels."""
-    all_ = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = all_.groupBy("block").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("block")
-    return durable(all_.join(mixed, "block", "left_semi"))
-
-
-def _pairs(x: DataFrame, y: DataFrame, on: Column, limits: Limits) -> DataFrame:
-    both = x.alias("p").join(y.alias("q"), (F.col("p.block") == F.col("q.block")) & on & (F.col("p.label") != F.col("q.label")) & possible(limits, "p", "q"))
-    swap = F.col("p.class") > F.col("q.class")
-    sides = [F.when(swap, F.col(f"{'q' if first else 'p'}.{c}")).otherwise(F.col(f"{'p' if first else 'q'}.{c}")).alias(name) for name, first, c in (("a", True, "class"), ("a_key", True, "key"), ("b", False, "class"), ("b_key", False, "key"))]
-    return both.select(*sides).distinct()
-
-
-def across(rest: DataFrame, seed: int, limits: Limits) -> DataFrame:
-    """In each block one member of each component, and their pairs with one of these: as many as there are components. Blocks choose differently."""
-    row = F.struct(F.xxhash64(F.lit(seed), "block", "class").alias("order"), "class", "key", "size", *WORDS)
-    ones = durable(rest.groupBy("block", "label").agg(F.min(row).alias("one")).select("block", "label", "one.*"))
-    pivots = ones.groupBy("block").agg(F.min(F.struct("order", "class", "key", "size", *WORDS, "label")).alias("one")).select("block", "one.*")
-    return _pairs(ones, pivots, F.lit(True), limits)
-
-
-def crossing(rest: DataFrame, limits: Limits) -> DataFrame:
-    """All pairs of a block in different components that may link."""
-    return _pairs(rest, rest, F.col("p.class") < F.col("q.class"), limits)
-
-
-def joined(docs: DataFrame, part: int = 85, whole: int = 100, n: int = 4, most_rounds: int = 1) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row. most_rounds: of comparisons between components by single members, before all pairs that are left."""
-    limits = Limits(part, whole)
+        united = edges.repartition("a").mapInArrow(_united, "a long, b long")
+        once = scratch.put(united)
+        jump = once.groupBy("a").agg(F.min("b").alias("b"))
+        stepped = scratch.put(once.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a"), "left").select("x.a", F.coalesce("y.b", "x.b").alias("b"), F.col("y.a").isNotNull().alias("moved")))
+        scratch.drop(edges, once)
+        moved, n, nodes = stepped.agg(F.max("moved"), F.count("*"), F.countDistinct("a")).first()
+        if not moved and n == nodes:
+            return stepped.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        edges = stepped
+
+
+def labelled(docs: DataFrame, part: int, whole: int, n: int) -> tuple[DataFrame, Scratch]:
+    """doc_id, row, exact, size, class and label (the least class of the component) of every row."""
+    limits, scratch = Limits(part, whole), Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    rows = classes(docs, n)
-    groups = durable(rows.where("size > 0").withColumn("key", _key()).groupBy("class").agg(F.min("size").alias("size"), *(F.min(w).alias(w) for w in WORDS), F.min("key").alias("key"), F.min("doc_id").alias("least_id")))
-    found = durable(blocks(docs, n, limits))
-    info = groups.select("class", "key", "size", *WORDS)
-    pairs = found.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    x, y = info.withColumnRenamed("class", "a").alias("x"), info.withColumnRenamed("class", "b").alias("y")
-    first = durable(pairs.join(x, "a").join(y, "b").where(possible(limits, "x", "y")).select("a", F.col("x.key").alias("a_key"), "b", F.col("y.key").alias("b_key")))
-    links = linked(docs, first, n, limits)
-    labels = components(links)
-    # what the pivots didn't answer: members of a block in different components
-    members = found.where("many").select("block", "class").join(info, "class")
-    tried, rounds = first, 0
-    while True:
-        rest = unsettled(members, labels)
-        if rest.isEmpty():
-            break
-        final = rounds == most_rounds
-        pairs = crossing(rest, limits) if final else across(rest, rounds, limits)
-        new = durable(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = None if new.isEmpty() else linked(docs, new, n, limits)
-        if more is not None and not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-        if final:
-            break
-        # once a round finds nothing, all remaining pairs are compared
-        rounds = most_rounds if more is None or more.isEmpty() else rounds + 1
-        tried = tried.union(new)
-    labelled = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", F.coalesce("label", "class").alias("label"))
-    named = labelled.join(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("class", "component_id")
-    out = rows.select("doc_id", "size", "class").join(named, "class", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = scratch.put(classes(docs, n))
+    clashes = np.array([r[0] for r in rows.groupBy("class").agg(F.min("check").alias("l"), F.max("check").alias("h")).where("l < h").select("class").collect()], np.int64)
+    if len(clashes):
+        rows = rows.withColumn("class", F.when(F.col("class").isin(*clashes.tolist()), F.col("check")).otherwise(F.col("class")))
+    groups = scratch.put(rows.where("size > 0").withColumn("key", _key()).groupBy("class").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), F.min("key").alias("key")))
+    found = scratch.put(blocks(docs, n, limits, clashes))
+    central = F.struct(F.col("central"), F.col("class"))
+    ranked = found.join(found.groupBy("class").agg(F.sum("weight").alias("central")), "class")
+    pivots = ranked.groupBy("block").agg(F.max(central).alias("one")).select("block", F.col("one.class").alias("pivot"))
+    members = scratch.put(found.join(pivots, "block").select("block", "class", "pivot"))
+    star = scratch.put(stars(members, groups, limits))
+    answered = scratch.put(answers(docs, star.where("NOT remote"), groups, n, limits, clashes, scratch))
+    links = [answered.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))]
+    labels = components(links[0], scratch)
+    links.append(scratch.put(derived(answered, labels, limits)))
+    rest = scratch.put(remote_pairs(members, star, answered, labels, groups, limits))
+    if not rest.isEmpty():
+        more = scratch.put(answers(docs, rest, groups, n, limits, clashes, scratch).where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
+        links.append(more)
+    if any(not x.isEmpty() for x in links[1:]):
+        labels = components(reduce(DataFrame.union, links[1:], labels.toDF("a", "b")), scratch)
+    out = rows.select("doc_id", "row", "exact", "size", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
+    return out.withColumn("label", F.coalesce("label", "class")), scratch
+
+
+def joined(docs: DataFrame, part: int = 85, whole: int = 100, n: int = 4) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    rows, scratch = labelled(docs, part, whole, n)
+    named_ = rows.where("size > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(named_, "label", "left")
+    out = scratch.put(out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    scratch.clear(out)
+    return out
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that of the least doc_id, with the columns it came with.
+def representatives(docs: DataFrame, part: int = 80, whole: int = 100, n: int = 5) -> DataFrame:
+    """One document of each component with the columns it came with: of the least doc_id, rows without one last, and of equal ones the least class.
 
-    A doc_id stands for one text; rows that repeat both go too. Rows without a doc_id stay unless
-    their component has one that has, or their text is repeated by another such row.
+    Rows that repeat both doc_id and text stay once. Rows of empty sets link with nothing and stay.
     """
-    found = joined(docs, **options)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    first = Window.partitionBy("_row.doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    rows = packed(docs).join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_id")))
-    return unpacked(rows.withColumn("_n", F.row_number().over(first)).where("_n = 1"), docs)
+    rows, scratch = labelled(docs, part, whole, n)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "class", "exact", "row")
+    chosen = rows.where("size > 0").groupBy("label").agg(F.min(order).alias("one")).select("one.row", "one.exact")
+    kept = scratch.put(chosen.union(rows.where("size = 0").select("row", "exact")).distinct())
+    scratch.clear(kept)
+    keyed = packed(docs).select("_row", "text", *row_keys(doc_id="_row.doc_id")).join(kept, ["row", "exact"], "left_semi")
+    first = Window.partitionBy("row", "exact").orderBy(F.lit(1))
+    return unpacked(keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1"), docs)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

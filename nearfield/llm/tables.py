@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.operators.storage import Scratch, durable
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["Scratch", "durable", "packed", "sampled", "table", "unpacked", "written"]
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read from there, so that a lost executor costs no recomputing.
 
-    The folder is the session's spark.checkpoint.dir. One of our own is set only where that is unset, as in tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sampled(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
@@ -42,9 +30,5 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like `durable`, as compressed Parquet, for results of many rows."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows written to the shared folder as Parquet and read again, so that a lost executor costs no recomputing."""
+    return durable(df)

@@ -121,3 +121,60 @@ def test_links_of_sets_with_few_and_with_enough_filled_parts_share_a_block(part,
             filled = [len(np.unique((x >> np.uint64(32)) * np.uint64(parts[level]) >> np.uint64(32))) for x in (a, b)]
             mixed += (filled[0] > differ[level]) != (filled[1] > differ[level])
     assert part != 80 or mixed > 50
+
+
+def edited_copies(seed, copies=260):
+    """Near copies of one text, few of which link directly: edits come from a small pool, so that copies share some; cut copies; a passage in unrelated texts."""
+    draw = random.Random(seed)
+    word = lambda: draw.choice("abcdefghij") + str(draw.randrange(100000))
+    base = [word() for _ in range(90)]
+    pool = [(draw.randrange(90), word()) for _ in range(40)]
+    rows = []
+    for _ in range(copies):
+        text = base[:]
+        for at, new in draw.sample(pool, draw.randrange(8)):
+            text[at] = new if draw.random() < 0.8 else word()
+        if draw.random() < 0.3:
+            text = text[: draw.randrange(60, 91)]
+        if draw.random() < 0.1:
+            text += [word() for _ in range(draw.randrange(20))]
+        rows.append(text)
+    passage = [word() for _ in range(25)]
+    for _ in range(120):
+        rows.append([*(word() for _ in range(draw.randrange(30))), *passage, *(word() for _ in range(draw.randrange(30)))])
+        if draw.random() < 0.3:
+            rows.append([*rows[-1][:-1], word()])
+    draw.shuffle(rows)
+    return [(5 * i % 1013, " ".join(r)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("options", [{}, {"part": 80}, {"part": 60}], ids=["85", "80", "60"])
+def test_brute_force_edited_copies(spark, options, monkeypatch):
+    monkeypatch.setattr(j, "SHARE", 7)
+    monkeypatch.setattr(j, "TILE", 5)
+    check(spark, edited_copies(3), **options)
+
+
+def test_long_lists_are_cut_into_the_same_blocks(monkeypatch):
+    """Streamed with little held: every pair that shared a block shares one still, and no other does."""
+    import pyarrow as pa
+
+    draw, limits = np.random.default_rng(2), j.Limits(85, 100)
+    lists = np.sort(draw.integers(0, 6, 3000))
+    position = draw.integers(0, 400, 3000) * 3
+    order = np.lexsort((position, lists))
+    rows = [lists[order], position[order], np.full(3000, 60), draw.permutation(3000)]
+
+    def together(held, size):
+        monkeypatch.setattr(j, "HELD", held)
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in rows], names=["list", "position", "size", "class"]) for i in range(0, 3000, size)]
+        blocks = {}
+        for out in j._blocks(limits)(iter(batches)):
+            for block, one in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                blocks.setdefault(block, set()).add(one)
+        return {frozenset(b) for b in blocks.values()}
+
+    whole = together(1 << 18, 3000)
+    assert len(whole) > 6
+    for held, size in ((20, 7), (20, 500), (3, 1), (300, 64)):
+        assert together(held, size) == whole
