@@ -7,13 +7,11 @@ tables as the operator that it calls does (see there).
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, decontamination, jaccard_join, pii, quality_rules
-from nearfield.llm.tables import packed, table
+from nearfield.llm.tables import Scratch, packed, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    run_id = spark.sparkContext.applicationId
-    for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder.rstrip('/')}/pipeline-{run_id}-{abs(hash(sf_dir))}-{i}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
+    scratch = Scratch(spark)
+    for _, stage in STAGES:
+        before, docs = docs, scratch.put(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return docs
