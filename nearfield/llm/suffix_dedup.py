@@ -5,16 +5,21 @@ window of that length the ones of least hash, which the window's content alone d
 compared among equal anchors only, each anchor with its context, the bytes of all windows around it.
 
 1. Tasks list every text's anchors with a fingerprint of their contexts; contexts that occur again in
-   the same slice of texts are one row, and what they cover is settled there. One shuffle brings equal
-   anchors together as narrow rows. An anchor whose whole context occurs again needs nothing more:
-   all its windows are repeated. Only one context of each kind goes on, where an anchor has several.
-2. These contexts meet by anchor. A suffix array of all window starts, sorted by ranks of doubling
-   prefixes, is enhanced with common-prefix lengths; a stack scan walks its interval tree and gives
-   each repeat that can't be extended to the left, with all its occurrences (`maximal_repeats`).
+   the same slice of texts are one row, and what they cover is settled there. Spark counts the places of each
+   anchor, and of each anchor and context, in aggregates that combine before they shuffle, so a
+   very common passage costs a row a task. Anchors that occur once go no further: a bitmap of bounded
+   size keeps most of them from the second listing, and a join the rest. Where a whole context occurs again, all its windows are repeated.
+2. One context of each kind goes on, where an anchor has several, and these meet by anchor. Contexts
+   that have no long enough stretch around the anchor in common with another are put aside
+   (`alike`). A suffix array of all window starts of the others, sorted by ranks of doubling prefixes, is cut
+   where neighbours have less than `length` bytes in common: these are its intervals of repeated windows.
 3. Spans go back to their texts, which are shuffled once, by row.
 
-Anchors of very many different contexts: over `most_sorted` the window digests of the group are
-compared in the task instead, and over `most_held` Spark aggregates them, so no group must fit a task.
+`repeats` walks the interval tree of the same suffix arrays by a stack (`maximal_repeats`) and returns all
+repeats that can't be extended to the left, each with all its occurrences.
+
+An anchor of over `most_held` different contexts doesn't go to one task: Spark counts the digests of
+its windows instead, with the same result.
 
 Occurrences are judged on the input: overlaps count, and the same place never counts as two. Fingerprints
 of whole contexts have 128 bits.
@@ -33,13 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .flat import U64, Fingerprints, column, mix, slices
-from .tables import table, written
+from .membership import bitmap_of, maybe_in
+from .tables import Scratch, keyed, table
 
-BUCKET_BYTES = 1 << 19
+BUCKET_BYTES = 1 << 21
+STEP = 32
 ROWS = 256
 LEVELS = (8, 16, 32, 64, 128, 256)
 
@@ -48,8 +55,7 @@ LEVELS = (8, 16, 32, 64, 128, 256)
 class Plan:
     length: int = 200
     anchor: int = 72
-    most_sorted: int = 3000
-    most_held: int = 100_000
+    most_held: int = 10_000
 
     @property
     def places(self) -> int:
@@ -89,46 +95,65 @@ def anchors(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarr
     return mix(first.of(p, p + plan.anchor)), context, doc, p - offsets[doc], before, after
 
 
-def _anchor_rows(plan: Plan):
+def _anchor_rows(plan: Plan, wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = column(batch, "key").to_numpy()
             for first, _, data, offsets in slices(column(batch, "text")):
                 hashes, context, doc, at, before, after = anchors(data, offsets, plan)
                 # contexts that occur again in the slice: one stands for all in the shuffle, and what they cover is known
-                pairs = np.stack([hashes, context], axis=1)
-                _, one, kind, count = np.unique(pairs, axis=0, return_index=True, return_inverse=True, return_counts=True)
-                again = count[kind.ravel()] > 1
+                order = np.lexsort((context, hashes))
+                new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (context[order][1:] != context[order][:-1]))[: len(order)]
+                number, one = np.cumsum(new) - 1, order[new]
+                count = np.bincount(number, minlength=len(one))
                 weight = np.minimum(count, 2)
-                known = merged(zip(doc[again].tolist(), (at - before)[again].tolist(), (at + after)[again].tolist(), strict=True))
-                of, start, end = (np.array([k[i] for k in known], np.int64) for i in range(3))
+                if wanted is None:
+                    columns = [hashes[one], context[one], weight]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["anchor", "context", "weight"])
+                    continue
+                again = order[count[number] > 1]
+                of, start, end = united(doc[again], (at - before)[again], (at + after)[again])
+                through = maybe_in(wanted.value, hashes[one].astype(np.int64), np.zeros(len(one), np.int64))
+                one, weight, none = one[through], weight[through], np.zeros(len(of), np.int64)
                 spread = mix(keys[first + of].astype(U64) ^ mix(start))
                 columns = [np.append(hashes[one], spread).astype(np.int64), np.append(context[one], spread).astype(np.int64), np.append(keys[first + doc[one]], keys[first + of])]
-                columns += [x.astype(np.int32) for x in (np.append(at[one], start), np.append(before[one], 0 * start), np.append(after[one], end - start), np.append(weight, 0 * start))]
+                columns += [x.astype(np.int32) for x in (np.append(at[one], start), np.append(before[one], none), np.append(after[one], end - start), np.append(weight, none))]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["anchor", "context", "key", "at", "before", "after", "weight"])
 
     return run
 
 
+def united(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order, those of one owner that overlap or touch joined."""
+    if not len(of):
+        return of, start, end
+    order = np.lexsort((start, of))
+    of, start, end = of[order], start[order], end[order]
+    owner = np.cumsum(np.append(0, of[1:] != of[:-1]))
+    room = int(end.max()) + 2
+    reach = np.maximum.accumulate(end + owner * room)
+    begins = np.flatnonzero(np.append(True, (start + owner * room)[1:] > reach[:-1]))
+    return of[begins], start[begins], np.maximum.reduceat(end, begins)
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row with its bytes for each listed context of each text."""
     for batch in batches:
         keys, listed = column(batch, "key"), column(batch, "listed")
         flat, ends = listed.flatten(), listed.offsets.to_numpy()
         ends = ends - ends[0]
-        fields = {c: flat.field(c) for c in ("anchor", "at", "before", "after", "alone")}
+        fields = {c: flat.field(c) for c in ("anchor", "at", "before", "after")}
         at, before, after = (fields[c].to_numpy() for c in ("at", "before", "after"))
         for first, end, data, offsets in slices(column(batch, "text")):
             doc = np.repeat(np.arange(end - first), np.diff(ends[first : end + 1]))
-            rows = slice(int(ends[first]), int(ends[end]))
-            here = offsets[doc] + at[rows]
-            begins, stops = (here - before[rows]).tolist(), (here + after[rows]).tolist()
-            raw = data.tobytes()
-            for some in range(0, len(begins), 20_000):
+            for some in range(0, len(doc), 20_000):
                 part = slice(some, some + 20_000)
-                whole = slice(rows.start + some, min(rows.start + some + 20_000, rows.stop))
-                bytes_ = pa.array([raw[a:b] for a, b in zip(begins[part], stops[part], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([fields["anchor"][whole], keys.take(pa.array(first + doc[part])), *(fields[c][whole] for c in ("at", "before", "alone")), bytes_], names=["anchor", "key", "at", "before", "alone", "bytes"])
+                whole = slice(int(ends[first]) + some, min(int(ends[first]) + some + 20_000, int(ends[end])))
+                begins, sizes = offsets[doc[part]] + at[whole] - before[whole], (before[whole] + after[whole]).astype(np.int64)
+                stops = np.append(0, np.cumsum(sizes))
+                cut = data[np.arange(stops[-1]) + np.repeat(begins - stops[:-1], sizes)]
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(cut)])
+                yield pa.RecordBatch.from_arrays([fields["anchor"][whole], keys.take(pa.array(first + doc[part])), *(fields[c][whole] for c in ("at", "before")), bytes_], names=["anchor", "key", "at", "before", "bytes"])
 
 
 def maximal_repeats(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -156,7 +181,48 @@ def maximal_repeats(lcp: list[int], left: list[int], least: int) -> Iterator[tup
             stack.append([now, begin, byte])
 
 
-def ranks_of(text: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+@dataclasses.dataclass
+class Contexts:
+    """Contexts of some anchors: numbers of their groups, keys and places of their texts, bytes before the anchor, and all bytes with ends."""
+
+    group: np.ndarray
+    keys: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+    data: np.ndarray
+    ends: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends)
+
+    def some(self, index: np.ndarray) -> Contexts:
+        sizes = self.sizes[index]
+        ends = np.append(0, np.cumsum(sizes))
+        data = self.data[np.arange(ends[-1]) + np.repeat(self.ends[:-1][index] - ends[:-1], sizes)]
+        return Contexts(self.group[index], self.keys[index], self.at[index], self.before[index], data, ends)
+
+
+def alike(c: Contexts, plan: Plan) -> np.ndarray:
+    """The numbers of contexts that may have a window in common with another of their group.
+
+    A window has L bytes before the anchor, length - anchor - L behind it. With L from l to l + STEP, all windows share the
+    l bytes before and those behind but STEP: contexts with a common window agree in one such stretch at least.
+    """
+    prints, rest = Fingerprints(c.data), plan.length - plan.anchor
+    here = c.ends[:-1] + c.before
+    out = np.zeros(len(here), bool)
+    for left in range(0, rest, STEP):
+        behind = plan.anchor + max(0, rest - left - STEP)
+        has = np.flatnonzero((c.before >= left) & (here + behind <= c.ends[1:]))
+        print_ = prints.of(here[has] - left, here[has] + behind)
+        order = np.lexsort((print_, c.group[has]))
+        same = (print_[order][1:] == print_[order][:-1]) & (c.group[has][order][1:] == c.group[has][order][:-1])
+        out[has[order[1:][same]]] = out[has[order[:-1][same]]] = True
+    return np.flatnonzero(out)
+
+
+def ranks_of(text: np.ndarray, group: np.ndarray, upto: int = LEVELS[-1]) -> list[np.ndarray]:
     """By level: the rank of the first so many symbols from each place, among places of its group; 0 past the end."""
     n = len(text)
     packed = np.zeros(n + LEVELS[0], U64)
@@ -168,12 +234,12 @@ def ranks_of(text: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
     new = np.append(True, (word[order][1:] != word[order][:-1]) | (group[order][1:] != group[order][:-1]))
     out = []
     for level in LEVELS:
-        rank = np.zeros(n + 2 * LEVELS[-1], np.int64)
+        rank = np.zeros(n + 2 * LEVELS[-1], np.int32)
         rank[order] = np.cumsum(new)
         out.append(rank)
-        if level == LEVELS[-1]:
+        if level == upto:
             break
-        key = rank[:n] * (n + 1) + rank[level : n + level]
+        key = rank[:n] * np.int64(n + 1) + rank[level : n + level]
         order = np.argsort(key, kind="stable")
         new = np.append(True, key[order][1:] != key[order][:-1])
     return out
@@ -193,38 +259,125 @@ def common_prefixes(text: np.ndarray, ranks: list[np.ndarray], p: np.ndarray, q:
     return out
 
 
-def repeated_in(groups: np.ndarray, keys: np.ndarray, at: np.ndarray, before: np.ndarray, contexts: list[bytes], plan: Plan) -> Iterator[tuple[int, int, int]]:
-    """(context number, first byte of its text, end) of the spans of contexts that occur again in their group."""
-    sizes = np.array([len(c) for c in contexts])
+def suffixes(c: Contexts, plan: Plan, upto: int) -> tuple[np.ndarray, ...]:
+    """(text, ranks, p, number, place): of all window starts, each place of a text once, where they are in the contexts' text, of which context and where in its text."""
+    sizes = c.sizes
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
-    text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
-    ranks = ranks_of(text, np.repeat(groups, sizes + 1))
-    # all window starts, each place of a text once
-    starts = np.minimum(before, sizes - plan.length) + 1
-    number = np.repeat(np.arange(len(contexts)), starts)
+    text = np.zeros(ends[-1], np.uint8)
+    text[np.arange(len(c.data)) + np.repeat(np.arange(len(sizes)), sizes)] = c.data
+    ranks = ranks_of(text, np.repeat(c.group, sizes + 1), upto)
+    starts = np.minimum(c.before, sizes - plan.length) + 1
+    number = np.repeat(np.arange(len(sizes)), starts)
     within = np.arange(len(number)) - np.repeat(np.cumsum(starts) - starts, starts)
-    p = begins[number] + within
-    place = at[number] - before[number] + within
-    order = np.lexsort((within, place, keys[number], groups[number]))
-    same = (groups[number][order][1:] == groups[number][order][:-1]) & (keys[number][order][1:] == keys[number][order][:-1]) & (place[order][1:] == place[order][:-1])
-    once = order[np.append(True, ~same)]
-    p, number, place = p[once], number[once], place[once]
-    # a place whose neighbour on the left is taken from another context can't count on that one's span: it differs from all
-    left = np.where(np.append(False, (number[1:] == number[:-1]) & (place[1:] == place[:-1] + 1)), text[p - 1].astype(np.int64), -1)
+    place = c.at[number] - c.before[number] + within
+    order = np.lexsort((place, c.keys[number], c.group[number]))
+    group, key, there = c.group[number][order], c.keys[number][order], place[order]
+    once = np.sort(order[np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (there[1:] != there[:-1]))])
+    return text, ranks, begins[number[once]] + within[once], number[once], place[once]
+
+
+def repeated_in(c: Contexts, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, end) of the spans of texts that occur again in a group."""
+    level = max(x for x in LEVELS if x <= plan.length)
+    _, ranks, p, number, place = suffixes(c, plan, level)
+    rank, shift = ranks[-1], plan.length - level
+    order = np.lexsort((rank[p + level], rank[p]))
+    p = p[order]
+    # two prefixes of the last level, which overlap, make up the length: where neighbours have both in common
+    same = (rank[p[1:]] == rank[p[:-1]]) & (rank[p[1:] + shift] == rank[p[:-1] + shift])
+    found = order[np.append(same, False) | np.append(False, same)]
+    return united(c.keys[number[found]], place[found], place[found] + plan.length)
+
+
+def maximal_in(c: Contexts, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, keys, places) of every repeat of a group's contexts that can't be extended to the left, in all its occurrences."""
+    text, ranks, p, number, place = suffixes(c, plan, LEVELS[-1])
+    follows = np.append(False, (number[1:] == number[:-1]) & (place[1:] == place[:-1] + 1))
+    # a place whose neighbour on the left is taken from another context differs from all
+    left = np.where(follows, text[p - 1].astype(np.int64), -1)
     tail = ranks[-1]
     order = np.lexsort((tail[p + LEVELS[-1]], tail[p]))
     p, number, place, left = p[order], number[order], place[order], left[order]
-    room = ends[number] - 1 - p
+    ends = np.cumsum(c.sizes + 1) - 1
+    room = ends[number] - p
     lcp = np.minimum(common_prefixes(text, ranks, p[:-1], p[1:]), np.minimum(room[:-1], room[1:]))
-    cover = np.zeros(len(p), np.int64)
-    for first, last, length in maximal_repeats(lcp.tolist(), left.tolist(), plan.length):
-        np.maximum(cover[first : last + 1], length, out=cover[first : last + 1])
-    for i in np.flatnonzero(cover).tolist():
-        yield int(number[i]), int(place[i]), int(place[i] + cover[i])
+    lcp[c.group[number[1:]] != c.group[number[:-1]]] = 0
+    deep = lcp >= plan.length
+    begins = np.flatnonzero(deep & ~np.append(False, deep[:-1]))
+    stops = np.flatnonzero(deep & ~np.append(deep[1:], False)) + 1
+    for a, b in zip(begins.tolist(), stops.tolist(), strict=True):  # each run of neighbours with enough in common
+        for first, last, length in maximal_repeats(lcp[a:b].tolist(), left[a : b + 1].tolist(), plan.length):
+            rows = slice(a + first, a + last + 1)
+            yield length, c.keys[number[rows]], place[rows]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Contexts]:
+    """Contexts of whole anchors, some bytes at a time."""
+    held: list[list[np.ndarray]] = []
+    size, last = 0, None
+
+    def bucket() -> Contexts:
+        anchor, keys, at, before, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        return Contexts(np.cumsum(np.append(0, anchor[1:] != anchor[:-1])), keys, at, before, data, np.append(0, np.cumsum(sizes)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, keys, at, before = (column(batch, c).to_numpy().astype(np.int64) for c in ("anchor", "key", "at", "before"))
+        rows = column(batch, "bytes")
+        _, ends, data = rows.buffers()
+        ends = np.frombuffer(ends, np.int32, len(rows) + 1, 4 * rows.offset).astype(np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        starts = np.append(0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1)
+        first = 0
+        for cut in [*starts.tolist(), len(anchor)]:  # to the beginning of each anchor
+            full = size + ends[cut] - ends[first] >= BUCKET_BYTES
+            if cut > first and (full or cut == len(anchor)):
+                some = slice(first, cut)
+                held.append([anchor[some], keys[some], at[some], before[some], np.diff(ends[first : cut + 1]), data[ends[first] : ends[cut]].copy()])
+                size, last, first = size + ends[cut] - ends[some.start], int(anchor[cut - 1]), cut
+            if held and cut < len(anchor) and size >= BUCKET_BYTES and anchor[cut] != last:
+                yield bucket()
+                held, size = [], 0
+    if held:
+        yield bucket()
+
+
+def _span_rows(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _buckets(batches):
+            index = alike(bucket, plan)
+            if len(index):
+                key, start, end = repeated_in(bucket.some(index), plan)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "start", "end"])
+
+    return run
+
+
+def _repeat_rows(plan: Plan):
+    names = ["repeat", "length", "key", "start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _buckets(batches):
+            index = alike(bucket, plan)
+            if not len(index):
+                continue
+            some = bucket.some(index)
+            where = {(k, a - b): i for i, (k, a, b) in enumerate(zip(some.keys.tolist(), some.at.tolist(), some.before.tolist(), strict=True))}
+            begins = {k: [] for k in some.keys.tolist()}
+            for (k, a), i in where.items():
+                begins[k].append((a, i))
+            for length, keys, places in maximal_in(some, plan):
+                a, i = next((a, i) for a, i in begins[int(keys[0])] if a <= places[0] and places[0] + length <= a + some.sizes[i])
+                at = int(some.ends[i] + places[0] - a)
+                name = hashlib.sha256(some.data[at : at + length].tobytes()).hexdigest()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(np.full(len(keys), length)), pa.array(keys), pa.array(places)], names=names)
+
+    return run
 
 
-def window_digests(keys: np.ndarray, at: np.ndarray, before: np.ndarray, contexts: list[bytes], plan: Plan) -> tuple[np.ndarray, ...]:
+def window_digests(at: np.ndarray, before: np.ndarray, contexts: list[bytes], plan: Plan) -> tuple[np.ndarray, ...]:
     """(low, high, context number, place in the text) of every window of contexts."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts])
@@ -237,76 +390,13 @@ def window_digests(keys: np.ndarray, at: np.ndarray, before: np.ndarray, context
     return low, high, number, at[number] - before[number] + within
 
 
-def repeated_among(keys: np.ndarray, at: np.ndarray, before: np.ndarray, contexts: list[bytes], plan: Plan) -> Iterator[tuple[int, int, int]]:
-    """As `repeated_in`, of one group of many contexts, by digests of its windows, one block of places after another."""
-    block = 8
-    for d in range(0, plan.places, block):
-        # windows that begin d to d + block - 1 bytes before the anchor
-        begin = np.maximum(before - (d + block - 1), 0)
-        stop = np.minimum(before - d, np.array([len(c) for c in contexts]) - plan.length)
-        use = np.flatnonzero(stop >= begin)
-        if not len(use):
-            continue
-        cut = [contexts[i][begin[i] : stop[i] + plan.length] for i in use.tolist()]
-        low, high, number, place = window_digests(keys[use], at[use], before[use] - begin[use], cut, plan)
-        key = keys[use][number]
-        order = np.lexsort((place, key, high, low))
-        low, high, key, place, number = low[order], high[order], key[order], place[order], number[order]
-        alike = (low[1:] == low[:-1]) & (high[1:] == high[:-1])
-        other = alike & ((key[1:] != key[:-1]) | (place[1:] != place[:-1]))
-        run = np.cumsum(np.append(True, ~alike)) - 1
-        several = np.zeros(run[-1] + 1, bool)
-        several[run[1:][other]] = True
-        for i in np.flatnonzero(several[run]).tolist():
-            yield int(use[number[i]]), int(place[i]), int(place[i]) + plan.length
-
-
-def _span_rows(plan: Plan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(rows: dict) -> Iterator[pa.RecordBatch]:
-            group, keys, at, before, alone, contexts = rows.values()
-            group, keys, at, before = (np.array(x, np.int64) for x in (group, keys, at, before))
-            found: dict[int, list[list[int]]] = {}
-            _, number, count = np.unique(group, return_inverse=True, return_counts=True)
-            large = np.flatnonzero(count > plan.most_sorted)
-            parts = [(np.flatnonzero(number == g), True) for g in large.tolist()] + [(np.flatnonzero((count[number] <= plan.most_sorted) & (count[number] > 1)), False)]
-            for rows_, many in parts:
-                if len(rows_):
-                    some = [contexts[i] for i in rows_.tolist()]
-                    args = keys[rows_], at[rows_], before[rows_], some, plan
-                    for i, a, b in repeated_among(*args) if many else repeated_in(number[rows_], *args):
-                        found.setdefault(int(keys[rows_[i]]), []).append([a, b])
-            out = [(k, a, b) for k, s in found.items() for a, b in merged(s)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[i] for o in out], pa.int32()) for i in (1, 2))], names=["key", "start", "end"])
-
-        held: dict[str, list] = {c: [] for c in ("anchor", "key", "at", "before", "alone", "bytes")}
-        size = 0
-        for batch in batches:
-            anchor = column(batch, "anchor").to_numpy()
-            cuts = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, batch.num_rows)
-            first = 0
-            for end in cuts.tolist():  # each run of one anchor
-                if held["anchor"] and held["anchor"][-1] != anchor[first] and size >= BUCKET_BYTES:
-                    yield from spans(held)
-                    held, size = {c: [] for c in held}, 0
-                for c in held:
-                    held[c] += batch.column(batch.schema.get_field_index(c))[first:end].to_pylist()
-                size += (end - first) * (plan.length + plan.places)
-                first = end
-        if held["anchor"]:
-            yield from spans(held)
-
-    return run
-
-
 def _digest_rows(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, at, before = (column(batch, c).to_numpy().astype(np.int64) for c in ("key", "at", "before"))
             for some in range(0, batch.num_rows, 500):
                 part = slice(some, some + 500)
-                low, high, number, place = window_digests(keys[part], at[part], before[part], column(batch, "bytes")[part].to_pylist(), plan)
+                low, high, number, place = window_digests(at[part], before[part], column(batch, "bytes")[part].to_pylist(), plan)
                 yield pa.RecordBatch.from_arrays([pa.array(low.astype(np.int64)), pa.array(high.astype(np.int64)), pa.array(keys[part][number]), pa.array(place.astype(np.int32))], names=["low", "high", "key", "start"])
 
     return run
@@ -337,31 +427,44 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept_text"])
 
 
-def deduplicated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (removed, in bytes), kept_sha256 and kept_text of every row."""
-    plan = plan or Plan()
-    if plan.length + plan.places > 2 * LEVELS[-1] or plan.anchor > plan.length:
+def _check(plan: Plan) -> None:
+    if plan.length + plan.places > 2 * LEVELS[-1] or plan.anchor > plan.length or not LEVELS[0] <= plan.length <= 2 * max(x for x in LEVELS if x <= plan.length):
         raise ValueError(f"contexts of over {2 * LEVELS[-1]} bytes aren't sorted")
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    listed = rows.select("key", "text").mapInArrow(_anchor_rows(plan), "anchor long, context long, key long, at int, before int, after int, weight int")
-    anchor, kind = Window.partitionBy("anchor"), Window.partitionBy("anchor", "context")
+
+
+def _found(rows: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Places of contexts that recur as a whole or whose anchor has others, and one context of each kind of the latter."""
+    read = rows.select("key", "text")
+    counts = read.mapInArrow(_anchor_rows(plan), "anchor long, context long, weight long").groupBy("anchor").agg(F.sum("weight").alias("total"), F.min("context").alias("l"), F.max("context").alias("h"))
+    several = scratch.put(counts.where("total > 1").select("anchor", (F.col("l") < F.col("h")).alias("several")))
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap_of(several.select("anchor", F.lit(0).cast("long"))))
+    listed = read.mapInArrow(_anchor_rows(plan, wanted), "anchor long, context long, key long, at int, before int, after int, weight int")
     # weight: 1 for one place, 2 for several of one slice, 0 for a span that a slice knows
-    counted = listed.withColumn("total", F.sum("weight").over(anchor)).where("total <> 1")
-    counted = counted.withColumn("n", F.sum("weight").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("key", "at")))
-    counted = counted.withColumn("kinds", F.sum(F.when(F.col("weight") > 0, (F.col("nth") == 1).cast("int")).otherwise(0)).over(anchor))
-    shared = written(counted.where("weight = 0 OR n > 1 OR kinds > 1").drop("total", "context"))
-    whole = shared.where("weight = 0 OR n > 1").select("key", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
+    listed = scratch.put(listed.join(several, "anchor", "left").where("several IS NOT NULL OR weight = 0"))
+    kinds = scratch.put(listed.where("weight > 0").groupBy("anchor", "context").agg(F.sum("weight").alias("n"), F.min("key").alias("first_key"), F.max("several").alias("several")).where("n > 1 OR several"))
+    shared = scratch.put(listed.drop("several").join(kinds, ["anchor", "context"], "left").where("weight = 0 OR n IS NOT NULL"))
+    sizes = kinds.where("several").groupBy("anchor").agg(F.count("*").alias("kinds"))
+    ones = scratch.put(shared.where("several AND key = first_key").select("anchor", "key", "at", "before", "after").join(sizes, "anchor"))
+    scratch.drop(listed, kinds, several)
+    return shared, ones
 
-    def contexts(some: DataFrame) -> DataFrame:
-        by_row = some.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "before", "after", (F.col("n") == 1).alias("alone"))).alias("listed"))
-        found = rows.select("key", "text").join(by_row, "key")
-        return found.mapInArrow(_context_rows, "anchor long, key long, at int, before int, alone boolean, bytes binary")
 
-    several = shared.where("kinds > 1 AND nth = 1")
-    held = contexts(several.where(F.col("kinds") <= plan.most_held)).repartition("anchor").sortWithinPartitions("anchor", "key", "at")
+def _contexts(rows: DataFrame, some: DataFrame) -> DataFrame:
+    by_row = some.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "before", "after")).alias("listed"))
+    return rows.select("key", "text").join(by_row, "key").mapInArrow(_context_rows, "anchor long, key long, at int, before int, bytes binary")
+
+
+def deduplicated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (removed, in bytes), kept_sha256 and kept_text of every row."""
+    plan = plan or Plan()
+    _check(plan)
+    rows, scratch = keyed(docs.select("doc_id", "text")), Scratch(docs.sparkSession)
+    shared, ones = _found(rows, plan, scratch)
+    whole = shared.where("weight = 0 OR n > 1").select("key", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
+    held = _contexts(rows, ones.where(F.col("kinds") <= plan.most_held)).repartition("anchor").sortWithinPartitions("anchor")
     spans = whole.union(held.mapInArrow(_span_rows(plan), "key long, start int, end int"))
-    if not shared.where(F.col("kinds") > plan.most_held).isEmpty():
-        digests = written(contexts(several.where(F.col("kinds") > plan.most_held)).mapInArrow(_digest_rows(plan), "low long, high long, key long, start int").distinct())
+    if not ones.where(F.col("kinds") > plan.most_held).isEmpty():
+        digests = scratch.put(_contexts(rows, ones.where(F.col("kinds") > plan.most_held)).mapInArrow(_digest_rows(plan), "low long, high long, key long, start int").distinct())
         again = digests.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         spans = spans.union(digests.join(again, ["low", "high"]).select("key", "start", (F.col("start") + plan.length).alias("end")))
     by_row = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -370,6 +473,20 @@ def deduplicated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     return both.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string, kept_text string")
 
 
+def repeats(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
+    """repeat (the SHA-256 of its bytes), length, doc_id and start of all occurrences of all repeats of an anchor's contexts that can't be extended to the left.
+
+    Of contexts that recur as a whole, one stands for its copies. Anchors of over `most_held` contexts are left to `deduplicated`.
+    """
+    plan = plan or Plan()
+    _check(plan)
+    rows, scratch = keyed(docs.select("doc_id", "text")), Scratch(docs.sparkSession)
+    _, ones = _found(rows, plan, scratch)
+    held = _contexts(rows, ones.where(F.col("kinds") <= plan.most_held)).repartition("anchor").sortWithinPartitions("anchor")
+    found = held.mapInArrow(_repeat_rows(plan), "repeat string, length long, key long, start long")
+    return found.join(rows.select("key", "doc_id").distinct(), "key").select("repeat", "length", "doc_id", "start").distinct()
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

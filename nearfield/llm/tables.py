@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.operators.storage import Scratch, durable
 
-__all__ = ["Scratch", "durable", "packed", "sampled", "table", "unpacked", "written"]
+__all__ = ["Scratch", "durable", "keyed", "packed", "sampled", "table", "unpacked", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +32,11 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder as Parquet and read again, so that a lost executor costs no recomputing."""
     return durable(df)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, a digest of both that no other pair of them has: where two share 64 bits, the text's digest takes their place."""
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text").alias("other"))
+    shared = rows.groupBy("key").agg(F.min("other").alias("l"), F.max("other").alias("h")).where("l < h")
+    clashes = [r.key for r in shared.select("key").collect()]  # about n * n / 2 ** 65 of n rows
+    return rows.select("doc_id", "text", (F.when(F.col("key").isin(*clashes), F.col("other")).otherwise(F.col("key")) if clashes else F.col("key")).alias("key"))

@@ -52,7 +52,7 @@ def passages(seed):
     return rows + [(100 + i, some(draw.randrange(25)) + " " + hot + " " + some(draw.randrange(25))) for i in range(40)] + rows[:3]
 
 
-@pytest.mark.parametrize("plan", [None, s.Plan(most_sorted=5), s.Plan(most_held=4)], ids=["sorted", "digests in tasks", "digests by Spark"])
+@pytest.mark.parametrize("plan", [None, s.Plan(most_held=4)], ids=["sorted", "digests by Spark"])
 def test_brute_force_passages(spark, plan):
     check(spark, passages(2), plan)
 
@@ -82,3 +82,18 @@ def test_maximal_repeats_of_a_text():
             if len(places) > 1 and len({text[j + n : j + n + 1] or j for j in places}) > 1 and len({text[j - 1] if j else -1 - j for j in places}) > 1:
                 expected[w.decode()] = places
     assert found == sorted(expected.items())
+
+
+def test_repeats_have_all_their_occurrences(spark):
+    rows = passages(4)
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, set()).add((t or "").encode())
+    found = {}
+    for r in s.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        found.setdefault((r.repeat, r.length), []).append((r.doc_id, r.start))
+    assert found
+    for (name, length), places in found.items():
+        assert length >= 200 and len(places) > 1
+        for d, start in places:
+            assert any(hashlib.sha256(t[start : start + length]).hexdigest() == name for t in texts[d])
