@@ -4,19 +4,22 @@ A string of `length` bytes occurs again only where its anchor does: of the `anch
 window of that length the ones of least hash, which the window's content alone decides. So windows are
 compared among equal anchors only, each anchor with its context, the bytes of all windows around it.
 
-1. Tasks list every text's anchors with a fingerprint of their contexts; contexts that occur again in
-   the same slice of texts are one row, and what they cover is settled there. Spark counts the places of each
-   anchor, and of each anchor and context, in aggregates that combine before they shuffle, so a
-   very common passage costs a row a task. Anchors that occur once go no further: a bitmap of bounded
-   size keeps most of them from the second listing, and a join the rest. Where a whole context occurs again, all its windows are repeated.
-2. One context of each kind goes on, where an anchor has several, and these meet by anchor. Contexts
-   that have no long enough stretch around the anchor in common with another are put aside
-   (`alike`). A suffix array of all window starts of the others, sorted by ranks of doubling prefixes, is cut
-   where neighbours have less than `length` bytes in common: these are its intervals of repeated windows.
+1. Tasks list every text's anchors with a fingerprint of their contexts, the bytes of the windows whose anchor
+   they are; contexts that occur again in the same slice of texts are one row, and what they cover is settled
+   there. Spark counts the places of each anchor, and of each anchor and context, in aggregates that
+   combine before they shuffle, so a very common passage costs a row a task. Anchors that occur once go
+   no further: a bitmap of bounded size keeps most of them from the second listing, and a join the rest.
+   Where a whole context occurs again, all its windows are repeated.
+2. One context of each kind goes on, where an anchor has several, and these meet by anchor: a sparse
+   enhanced suffix array, of the suffixes behind the anchors in order, with the lengths that neighbours have in
+   common. Its intervals of a common prefix are told apart by what stands before the anchor, by the same
+   array of the reversed left parts: a window with so many bytes before its anchor occurs again where both
+   an interval and a left class hold another context (`repeated_in`).
 3. Spans go back to their texts, which are shuffled once, by row.
 
-`repeats` walks the interval tree of the same suffix arrays by a stack (`maximal_repeats`) and returns all
-repeats that can't be extended to the left, each with all its occurrences.
+`repeats` sorts all window starts of contexts by ranks of doubling prefixes, walks the interval tree of that
+suffix array by a stack, and returns all repeats that can't be extended to the left (`maximal_repeats`), each
+with all its occurrences.
 
 An anchor of over `most_held` different contexts doesn't go to one task: Spark counts the digests of
 its windows instead, with the same result.
@@ -46,7 +49,6 @@ from .membership import bitmap_of, maybe_in
 from .tables import Scratch, keyed, table
 
 BUCKET_BYTES = 1 << 21
-STEP = 32
 ROWS = 256
 LEVELS = (8, 16, 32, 64, 128, 256)
 
@@ -55,7 +57,7 @@ LEVELS = (8, 16, 32, 64, 128, 256)
 class Plan:
     length: int = 200
     anchor: int = 72
-    most_held: int = 10_000
+    most_held: int = 30_000
 
     @property
     def places(self) -> int:
@@ -63,6 +65,18 @@ class Plan:
         return self.length - self.anchor + 1
 
 
+def doubled(values: np.ndarray, width: int) -> list[np.ndarray]:
+    """By power of two up to width: the least of each value and those that follow it; past the end nothing changes."""
+    out = [values]
+    while 2 ** len(out) <= width:
+        step, have = 2 ** (len(out) - 1), out[-1]
+        more = have.copy()
+        if step < len(have):
+            more[:-step] = np.minimum(have[:-step], have[step:])
+        out.append(more)
+    return out
+
+
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     """The best of each value and the width - 1 that follow it; past the end nothing changes."""
     out, have = values.copy(), 1
@@ -74,25 +88,45 @@ def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context fingerprint, document, position in it, context bytes before, from there on) of a slice's anchors."""
-    n = len(data)
+def anchors(data: np.ndarray, offsets: np.ndarray, plan: Plan, contexts: bool = True) -> tuple[np.ndarray, ...]:
+    """(anchor hash, document, position in it) of a slice's anchors, and (fingerprint, bytes before, bytes from there on) of their contexts."""
+    n, reach = len(data), plan.places - 1
     lengths = np.diff(offsets)
     stop = np.repeat(offsets[1:], lengths)
-    first, second = Fingerprints(data, 0), Fingerprints(data, 1)
+    first = Fingerprints(data, 0)
     at = np.arange(n)
     fits = at + plan.anchor <= stop
     short = np.full(n, 0xFFFFFFFF, np.uint32)
     hashes = first.of(at[fits], at[fits] + plan.anchor)
     short[fits] = np.maximum((hashes * U64(0x9E3779B97F4A7C15)) >> U64(32), U64(1)).astype(np.uint32)
-    least = sliding(short, plan.places, np.minimum)
+    tables = doubled(short, plan.places)
+    rest = plan.places - 2 ** (len(tables) - 1)
+    least = tables[-1].copy()
+    least[: max(n - rest, 0)] = np.minimum(tables[-1][: max(n - rest, 0)], tables[-1][rest:])
     least[at + plan.length > stop] = 0
     chosen = sliding(least[::-1], plan.places, np.maximum)[::-1]
     p = np.flatnonzero(fits & (chosen == short))
     doc = np.searchsorted(offsets, p, "right") - 1
-    before, after = np.minimum(p - offsets[doc], plan.places - 1), np.minimum(offsets[doc + 1] - p, plan.length)
-    context = mix(second.of(p - before, p + after) ^ mix(before * 4096 + after))
-    return mix(first.of(p, p + plan.anchor)), context, doc, p - offsets[doc], before, after
+    names = mix(first.of(p, p + plan.anchor))
+    if not contexts:
+        return names, doc, p - offsets[doc]
+    # how far nothing less stands to the left and to the right bounds the windows in which each is the least
+    left, right, own = p.copy(), p + 1, short[p]
+    for power in range(len(tables) - 1, -1, -1):
+        step = 2**power
+        for _ in range(2 if power == len(tables) - 1 else 1):
+            to = left - step
+            more = (to >= np.maximum(p - reach, 0)) & (tables[power][np.maximum(to, 0)] >= own)
+            left = np.where(more, to, left)
+            more = (right + step <= np.minimum(p + 1 + reach, n)) & (tables[power][np.minimum(right, n - 1)] >= own)
+            right = np.where(more, right + step, right)
+    begin = np.maximum(left, offsets[doc])
+    last = np.minimum(np.minimum(p, right - 1 - reach), offsets[doc + 1] - plan.length)
+    # nothing stands behind the end of the slice
+    last = np.where(right == n, np.minimum(p, offsets[doc + 1] - plan.length), last)
+    before, after = p - begin, last + plan.length - p
+    context = mix(Fingerprints(data, 1).of(begin, last + plan.length) ^ mix(before * 4096 + after))
+    return names, doc, p - offsets[doc], context, before, after
 
 
 def _anchor_rows(plan: Plan, wanted=None):
@@ -100,17 +134,17 @@ def _anchor_rows(plan: Plan, wanted=None):
         for batch in batches:
             keys = column(batch, "key").to_numpy()
             for first, _, data, offsets in slices(column(batch, "text")):
-                hashes, context, doc, at, before, after = anchors(data, offsets, plan)
+                if wanted is None:
+                    names, count = np.unique(anchors(data, offsets, plan, contexts=False)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(np.minimum(count, 2))], names=["anchor", "weight"])
+                    continue
+                hashes, doc, at, context, before, after = anchors(data, offsets, plan)
                 # contexts that occur again in the slice: one stands for all in the shuffle, and what they cover is known
                 order = np.lexsort((context, hashes))
                 new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (context[order][1:] != context[order][:-1]))[: len(order)]
                 number, one = np.cumsum(new) - 1, order[new]
                 count = np.bincount(number, minlength=len(one))
                 weight = np.minimum(count, 2)
-                if wanted is None:
-                    columns = [hashes[one], context[one], weight]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["anchor", "context", "weight"])
-                    continue
                 again = order[count[number] > 1]
                 of, start, end = united(doc[again], (at - before)[again], (at + after)[again])
                 through = maybe_in(wanted.value, hashes[one].astype(np.int64), np.zeros(len(one), np.int64))
@@ -203,26 +237,7 @@ class Contexts:
         return Contexts(self.group[index], self.keys[index], self.at[index], self.before[index], data, ends)
 
 
-def alike(c: Contexts, plan: Plan) -> np.ndarray:
-    """The numbers of contexts that may have a window in common with another of their group.
-
-    A window has L bytes before the anchor, length - anchor - L behind it. With L from l to l + STEP, all windows share the
-    l bytes before and those behind but STEP: contexts with a common window agree in one such stretch at least.
-    """
-    prints, rest = Fingerprints(c.data), plan.length - plan.anchor
-    here = c.ends[:-1] + c.before
-    out = np.zeros(len(here), bool)
-    for left in range(0, rest, STEP):
-        behind = plan.anchor + max(0, rest - left - STEP)
-        has = np.flatnonzero((c.before >= left) & (here + behind <= c.ends[1:]))
-        print_ = prints.of(here[has] - left, here[has] + behind)
-        order = np.lexsort((print_, c.group[has]))
-        same = (print_[order][1:] == print_[order][:-1]) & (c.group[has][order][1:] == c.group[has][order][:-1])
-        out[has[order[1:][same]]] = out[has[order[:-1][same]]] = True
-    return np.flatnonzero(out)
-
-
-def ranks_of(text: np.ndarray, group: np.ndarray, upto: int = LEVELS[-1]) -> list[np.ndarray]:
+def ranks_of(text: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
     """By level: the rank of the first so many symbols from each place, among places of its group; 0 past the end."""
     n = len(text)
     packed = np.zeros(n + LEVELS[0], U64)
@@ -237,7 +252,7 @@ def ranks_of(text: np.ndarray, group: np.ndarray, upto: int = LEVELS[-1]) -> lis
         rank = np.zeros(n + 2 * LEVELS[-1], np.int32)
         rank[order] = np.cumsum(new)
         out.append(rank)
-        if level == upto:
+        if level == LEVELS[-1]:
             break
         key = rank[:n] * np.int64(n + 1) + rank[level : n + level]
         order = np.argsort(key, kind="stable")
@@ -259,14 +274,14 @@ def common_prefixes(text: np.ndarray, ranks: list[np.ndarray], p: np.ndarray, q:
     return out
 
 
-def suffixes(c: Contexts, plan: Plan, upto: int) -> tuple[np.ndarray, ...]:
+def suffixes(c: Contexts, plan: Plan) -> tuple[np.ndarray, ...]:
     """(text, ranks, p, number, place): of all window starts, each place of a text once, where they are in the contexts' text, of which context and where in its text."""
     sizes = c.sizes
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
     text = np.zeros(ends[-1], np.uint8)
     text[np.arange(len(c.data)) + np.repeat(np.arange(len(sizes)), sizes)] = c.data
-    ranks = ranks_of(text, np.repeat(c.group, sizes + 1), upto)
+    ranks = ranks_of(text, np.repeat(c.group, sizes + 1))
     starts = np.minimum(c.before, sizes - plan.length) + 1
     number = np.repeat(np.arange(len(sizes)), starts)
     within = np.arange(len(number)) - np.repeat(np.cumsum(starts) - starts, starts)
@@ -277,22 +292,51 @@ def suffixes(c: Contexts, plan: Plan, upto: int) -> tuple[np.ndarray, ...]:
     return text, ranks, begins[number[once]] + within[once], number[once], place[once]
 
 
+def classes_by_depth(parts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """[depth, row]: which rows of a group have so many first bytes in common, from their order and the common prefixes of neighbours."""
+    padded = np.zeros((len(parts), -(-parts.shape[1] // 8) * 8), np.uint8)
+    padded[:, : parts.shape[1]] = parts
+    words_ = padded.view(">u8")
+    order = np.lexsort((*words_.T[::-1], group))
+    differ = parts[order[1:]] != parts[order[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1), parts.shape[1])
+    common[group[order[1:]] != group[order[:-1]]] = -1
+    out = np.zeros((parts.shape[1] + 1, len(parts)), np.int32)
+    out[:, order[1:]] = np.cumsum(common < np.arange(parts.shape[1] + 1)[:, None], axis=1)
+    return out
+
+
+def around(c: Contexts, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes behind the anchors, and those before them in reverse, each row filled up with zeros."""
+    step, here = np.arange(plan.places - 1), c.ends[:-1] + c.before
+    last = max(len(c.data) - 1, 0)
+    right, left = here[:, None] + plan.anchor + step, here[:, None] - 1 - step
+    return (np.where(right < c.ends[1:, None], c.data[np.minimum(right, last)], 0), np.where(left >= c.ends[:-1, None], c.data[np.maximum(left, 0)], 0))
+
+
 def repeated_in(c: Contexts, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, end) of the spans of texts that occur again in a group."""
-    level = max(x for x in LEVELS if x <= plan.length)
-    _, ranks, p, number, place = suffixes(c, plan, level)
-    rank, shift = ranks[-1], plan.length - level
-    order = np.lexsort((rank[p + level], rank[p]))
-    p = p[order]
-    # two prefixes of the last level, which overlap, make up the length: where neighbours have both in common
-    same = (rank[p[1:]] == rank[p[:-1]]) & (rank[p[1:] + shift] == rank[p[:-1] + shift])
+    """(key, start, end) of the spans of texts that occur again in a group.
+
+    Equal windows have their anchor at the same place in them. Of a tie, each anchor has the window in its context.
+    """
+    order = np.lexsort((c.at, c.keys, c.group))
+    group, keys, at = c.group[order], c.keys[order], c.at[order]
+    c = c.some(order[np.append(True, (group[1:] != group[:-1]) | (keys[1:] != keys[:-1]) | (at[1:] != at[:-1]))])  # a place counts once
+    behind, ahead = (classes_by_depth(x, c.group) for x in around(c, plan))
+    windows = c.sizes - plan.length + 1
+    number = np.repeat(np.arange(len(windows)), windows)
+    lead = c.before[number] - np.arange(len(number)) + np.repeat(np.cumsum(windows) - windows, windows)  # bytes before the anchor
+    class_ = lead << 56 | behind[plan.places - 1 - lead, number].astype(np.int64) << 28 | ahead[lead, number]
+    order = np.argsort(class_)
+    same = class_[order[1:]] == class_[order[:-1]]
     found = order[np.append(same, False) | np.append(False, same)]
-    return united(c.keys[number[found]], place[found], place[found] + plan.length)
+    start = c.at[number[found]] - lead[found]
+    return united(c.keys[number[found]], start, start + plan.length)
 
 
 def maximal_in(c: Contexts, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, keys, places) of every repeat of a group's contexts that can't be extended to the left, in all its occurrences."""
-    text, ranks, p, number, place = suffixes(c, plan, LEVELS[-1])
+    """(length, context numbers, places in their texts) of every repeat of a group's contexts that can't be extended to the left, in all its occurrences."""
+    text, ranks, p, number, place = suffixes(c, plan)
     follows = np.append(False, (number[1:] == number[:-1]) & (place[1:] == place[:-1] + 1))
     # a place whose neighbour on the left is taken from another context differs from all
     left = np.where(follows, text[p - 1].astype(np.int64), -1)
@@ -309,7 +353,7 @@ def maximal_in(c: Contexts, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.nd
     for a, b in zip(begins.tolist(), stops.tolist(), strict=True):  # each run of neighbours with enough in common
         for first, last, length in maximal_repeats(lcp[a:b].tolist(), left[a : b + 1].tolist(), plan.length):
             rows = slice(a + first, a + last + 1)
-            yield length, c.keys[number[rows]], place[rows]
+            yield length, number[rows], place[rows]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Contexts]:
@@ -347,10 +391,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Contexts]:
 def _span_rows(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in _buckets(batches):
-            index = alike(bucket, plan)
-            if len(index):
-                key, start, end = repeated_in(bucket.some(index), plan)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "start", "end"])
+            key, start, end = repeated_in(bucket, plan)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "start", "end"])
 
     return run
 
@@ -360,19 +402,11 @@ def _repeat_rows(plan: Plan):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in _buckets(batches):
-            index = alike(bucket, plan)
-            if not len(index):
-                continue
-            some = bucket.some(index)
-            where = {(k, a - b): i for i, (k, a, b) in enumerate(zip(some.keys.tolist(), some.at.tolist(), some.before.tolist(), strict=True))}
-            begins = {k: [] for k in some.keys.tolist()}
-            for (k, a), i in where.items():
-                begins[k].append((a, i))
-            for length, keys, places in maximal_in(some, plan):
-                a, i = next((a, i) for a, i in begins[int(keys[0])] if a <= places[0] and places[0] + length <= a + some.sizes[i])
-                at = int(some.ends[i] + places[0] - a)
-                name = hashlib.sha256(some.data[at : at + length].tobytes()).hexdigest()
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(np.full(len(keys), length)), pa.array(keys), pa.array(places)], names=names)
+            for length, number, places in maximal_in(bucket, plan):
+                i = number[0]
+                at = int(bucket.ends[i] + places[0] - bucket.at[i] + bucket.before[i])
+                name = hashlib.sha256(bucket.data[at : at + length].tobytes()).hexdigest()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(number)), pa.array(np.full(len(number), length)), pa.array(bucket.keys[number]), pa.array(places)], names=names)
 
     return run
 
@@ -428,24 +462,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check(plan: Plan) -> None:
-    if plan.length + plan.places > 2 * LEVELS[-1] or plan.anchor > plan.length or not LEVELS[0] <= plan.length <= 2 * max(x for x in LEVELS if x <= plan.length):
-        raise ValueError(f"contexts of over {2 * LEVELS[-1]} bytes aren't sorted")
+    if plan.length + plan.places > 2 * LEVELS[-1] or not 0 < plan.anchor <= plan.length or plan.places > 127 + 2 or plan.most_held >= 1 << 28:
+        raise ValueError("windows of that length or with so many places of an anchor aren't sorted")
 
 
 def _found(rows: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Places of contexts that recur as a whole or whose anchor has others, and one context of each kind of the latter."""
     read = rows.select("key", "text")
-    counts = read.mapInArrow(_anchor_rows(plan), "anchor long, context long, weight long").groupBy("anchor").agg(F.sum("weight").alias("total"), F.min("context").alias("l"), F.max("context").alias("h"))
-    several = scratch.put(counts.where("total > 1").select("anchor", (F.col("l") < F.col("h")).alias("several")))
-    wanted = rows.sparkSession.sparkContext.broadcast(bitmap_of(several.select("anchor", F.lit(0).cast("long"))))
+    counts = read.mapInArrow(_anchor_rows(plan), "anchor long, weight long").groupBy("anchor").agg(F.sum("weight").alias("total"))
+    again = scratch.put(counts.where("total > 1").select("anchor"))
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap_of(again.select("anchor", F.lit(0).cast("long"))))
     listed = read.mapInArrow(_anchor_rows(plan, wanted), "anchor long, context long, key long, at int, before int, after int, weight int")
     # weight: 1 for one place, 2 for several of one slice, 0 for a span that a slice knows
-    listed = scratch.put(listed.join(several, "anchor", "left").where("several IS NOT NULL OR weight = 0"))
-    kinds = scratch.put(listed.where("weight > 0").groupBy("anchor", "context").agg(F.sum("weight").alias("n"), F.min("key").alias("first_key"), F.max("several").alias("several")).where("n > 1 OR several"))
-    shared = scratch.put(listed.drop("several").join(kinds, ["anchor", "context"], "left").where("weight = 0 OR n IS NOT NULL"))
-    sizes = kinds.where("several").groupBy("anchor").agg(F.count("*").alias("kinds"))
-    ones = scratch.put(shared.where("several AND key = first_key").select("anchor", "key", "at", "before", "after").join(sizes, "anchor"))
-    scratch.drop(listed, kinds, several)
+    listed = scratch.put(listed.join(again.withColumn("again", F.lit(True)), "anchor", "left").where("again OR weight = 0").drop("again"))
+    kinds = listed.where("weight > 0").groupBy("anchor", "context").agg(F.sum("weight").alias("n"), F.min("key").alias("first_key"))
+    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = scratch.put(kinds.join(sizes, "anchor").where("n > 1 OR kinds > 1"))
+    shared = scratch.put(listed.join(kinds, ["anchor", "context"], "left").where("weight = 0 OR n IS NOT NULL"))
+    ones = shared.where("kinds > 1 AND key = first_key").select("anchor", "key", "at", "before", "after", "kinds")
+    scratch.drop(listed, kinds, again)
     return shared, ones
 
 
