@@ -39,15 +39,18 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Cheap tests that a text must pass to hold a span of the kind.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: Cheap patterns that a text must hold to hold a base span of the kind,
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){2}", "phone": r"\+[0-9]"}
 WIDE = {
     "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}+){1,6}+",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}+){3}+(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?<![0-9][ ./_-])[0-9](?:[ ./_-]{0,2}+[0-9]){13,18}+(?![ ./_-]{0,2}[0-9])",
     "phone": r"(?<![0-9+])(?<![0-9][ ().-])(?:\+|00)?[(]?[0-9](?:[ ().-]{0,2}+[0-9]){9,14}+(?![ ().-]{0,2}[0-9])",
 }
+#: and to hold a wide one.
+WIDE_NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9] ?[.(\[]", "card": "(?:[0-9][ ./_-]{0,2}){13}[0-9]", "phone": "(?:[0-9][ ().-]{0,2}){9}[0-9]"}
 CONTEXT = 24
+CHUNK = 256
 #: The labelled table. Wide forms of each kind:
 FORMS = {
     "email": ["john (at) example (dot) com", "jane.roe [at] corp [dot] org", "max(at)site.net", "a-b [at] mail.example.com", "info (at) shop (dot) co (dot) uk", "k_lee(at)uni(dot)edu", "sam @ firm.de", "pat@ web.org"],
@@ -106,9 +109,17 @@ def passes(kind: str, x: Column) -> Column:
     return {"email": F.lit(True), "card": n.between(14, 19) & luhn(x), "phone": n.between(10, 15)}[kind]
 
 
-def located(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """All matches of a pattern in a text as an array of SPAN, by their lengths and those of the gaps between them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+def _once(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def located(text: Column, pattern: str, needs: str) -> Column:
+    """All matches of a pattern in a text as an array of SPAN, by their lengths and those of the gaps between them.
+
+    Matches are placed within chunks first, then chunks within the text, so that the cost stays in line with their number.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gap"))
 
     def step(so_far: Column, pair: Column) -> Column:
@@ -116,9 +127,17 @@ def located(text: Column, pattern: str, needs: str | None = None) -> Column:
         end = begin + F.length(pair["found"])
         return F.struct(end.alias("at"), F.array_append(so_far["spans"], F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("found"))).alias("spans"))
 
-    spans = F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), start, step, lambda x: x["spans"])
-    may = F.length(text) > 0 if needs is None else F.contains(text, F.lit(needs))
-    return F.coalesce(F.when(may & text.rlike(pattern), spans), F.array().cast(f"array<{SPAN}>"))
+    def chunks(matches: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(matches, c * CHUNK + 1, F.lit(CHUNK)), start, step))
+
+    def moved(parts: Column) -> Column:
+        begins = F.aggregate(parts, F.array(F.lit(0)), lambda b, p: F.array_append(b, F.element_at(b, -1) + p["at"]))
+        by_chunk = F.arrays_zip(parts.alias("part"), _once(begins, lambda b: F.slice(b, F.lit(1), F.size(b) - 1)).alias("at"))
+        return F.flatten(F.transform(by_chunk, lambda x: F.transform(x["part"]["spans"], lambda s: F.struct((s["start"] + x["at"]).alias("start"), (s["end"] + x["at"]).alias("end"), s["found"].alias("found")))))
+
+    spans = _once(F.filter(pairs, lambda p: p["found"].isNotNull()), lambda m: F.when(F.size(m) > 0, _once(chunks(m), moved)).otherwise(none))
+    return F.coalesce(F.when(text.rlike(needs) & text.rlike(pattern), spans), none)
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -150,7 +169,7 @@ def _features(kind: Column, text: Column, c: Column) -> dict[str, Column]:
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _proposed, the array of all generators' spans with their kinds; they may overlap each other and base spans."""
     def of(kind: str) -> Column:
-        return F.transform(located(F.col(text), WIDE[kind]), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
+        return F.transform(located(F.col(text), WIDE[kind], WIDE_NEEDS[kind]), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
 
     return docs.withColumn("_proposed", F.concat(*map(of, KINDS)))
 
