@@ -1,12 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark, one scan of each text.
 
-Texts are normalised as bytes: A-Z lowered, every run of other separators one space, so that a word
-window occurs in a document exactly if " w1 ... wk " occurs in its normalised form. Occurrences are
-mapped back through word numbers to code-point offsets of the original text.
+Texts are normalised as bytes: A-Z lowered, every run of other separators one space, and cut into words.
+The benchmark's words are numbered; the automaton reads word numbers, ten nodes or so for a window, and
+the words of a document that the benchmark doesn't have are one number that leads back to its root.
+Occurrences are mapped back through word numbers to code-point offsets of the original text.
 
-The automaton holds the benchmark only, whose size `automata` checks: items are dealt into blocks of
-at most `block_bytes` of text, each block is broadcast and scanned by itself, so that memory stays
-bounded whatever the benchmark's size; one block is the usual case.
+A worker builds the automaton once and keeps it for all its tasks. It holds the benchmark only, of which a block of
+`block_bytes` of text takes about a hundred times as much memory; a larger benchmark is dealt into blocks that are scanned one
+after another, so that memory stays bounded whatever its size. One block is the usual case.
 
 Defined results: null texts and items have no words; an item of fewer words than a window is one
 window, one of none has no window; equal windows of several items count for each of them; repeated
@@ -17,6 +18,7 @@ list but their windows hit; empty tables give empty or clean results.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,12 +36,47 @@ NORMAL = bytes(LOWER[i] if ALNUM[LOWER[i]] else 32 for i in range(256))
 
 def normal_words(text: str | None) -> list[str]:
     """The words of a text, each byte one character."""
-    return (text or "").encode().translate(NORMAL).decode("latin-1").split()
+    return [w for w in (text or "").encode().translate(NORMAL).decode("latin-1").split(" ") if w]
 
 
-def windows(text: str | None, length: int) -> list[str]:
-    w = normal_words(text)
-    return [f" {' '.join(w[i : i + length])} " for i in range(max(1, len(w) - length + 1))] if w else []
+def windows(words_: list, length: int) -> list[tuple]:
+    return [tuple(words_[i : i + length]) for i in range(max(1, len(words_) - length + 1))] if words_ else []
+
+
+class Scanner:
+    """The windows of some items as one automaton over word numbers."""
+
+    def __init__(self, items: list[tuple[str | None, str]], length: int):
+        self.numbers: dict[str, int] = {}
+        found = defaultdict(set)
+        for item, text in items:
+            for w in windows([self.numbers.setdefault(x, len(self.numbers) + 1) for x in normal_words(text)], length):
+                found[w].add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if found else None
+        for w, ids in found.items():
+            self.automaton.add_word(w, (len(w), ids))
+        if found:
+            self.automaton.make_automaton()
+
+    def hits(self, words_: list[str]) -> list[tuple[int, int, set]]:
+        """(first word, end, items) of all occurrences of windows."""
+        if self.automaton is None:
+            return []
+        get = self.numbers.get
+        return [(end + 1 - size, end + 1, ids) for end, (size, ids) in self.automaton.iter(tuple([get(w, 0) for w in words_]))] if words_ else []
+
+
+_scanners: dict[tuple[str, int], Scanner] = {}
+
+
+def _kept(shared, name: str, length: int) -> Scanner:
+    """The worker's scanner of a broadcast block, which has a name of its own."""
+    key = (name, length)
+    if key not in _scanners:
+        while len(_scanners) > 1:
+            _scanners.pop(next(iter(_scanners)))
+        _scanners[key] = Scanner(shared.value, length)
+    return _scanners[key]
 
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
@@ -54,39 +91,23 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
     yield block
 
 
-def _scanner(shared, length: int, key_columns: int):
+def _scanner(shared, name: str, length: int, key_columns: int):
     """Adds hits of one block of items: item ids and covered word ranges, to those of earlier blocks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = defaultdict(set)
-        for item, text in shared.value:
-            for w in windows(text, length):
-                found[w].add(item)
-        automaton = ahocorasick.Automaton()
-        for w, items in found.items():
-            automaton.add_word(w, (w.count(" ") - 1, items))
-        if found:
-            automaton.make_automaton()
+        scanner = _kept(shared, name, length)
         for batch in batches:
             items_before, ranges_before = column(batch, "_items").to_pylist(), column(batch, "_ranges").to_pylist()
             items, ranges, n_words, row = [], [], [], 0
             for _, _, data, offsets in slices(column(batch, "text")):
-                flat = data.tobytes().translate(NORMAL)
+                flat = data.tobytes().translate(NORMAL).decode("latin-1")
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    w = flat[a:b].split()
+                    w = flat[a:b].split(" ")
+                    w = [x for x in w if x]
                     n_words.append(len(w))
-                    hit_items, hit_words = set(items_before[row]), [x for x in ranges_before[row]]
-                    if found and w:
-                        text = f" {b' '.join(w).decode('latin-1')} "
-                        hits = list(automaton.iter(text))
-                        if hits:
-                            spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-                            last = np.searchsorted(spaces, [e for e, _ in hits])  # words before the closing space
-                            for end, (_, (size, ids)) in zip(last.tolist(), hits, strict=True):
-                                hit_items |= ids
-                                hit_words.append([end - size, end])
-                    items.append(sorted(x for x in hit_items if x is not None))
-                    ranges.append(merged(hit_words))
+                    hits = scanner.hits(w)
+                    items.append(sorted(set(items_before[row]).union(*(x for _, _, x in hits)) - {None}))
+                    ranges.append(merged(ranges_before[row] + [[x, y] for x, y, _ in hits]))
                     row += 1
             kept = [batch.column(i) for i in range(key_columns)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.list_(pa.int64())))], names=[*batch.schema.names[:key_columns], "_n_words", "_items", "_ranges"])
@@ -111,7 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     context = docs.sparkSession.sparkContext
     out = docs.select(*keep, "text", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<array<long>>").alias("_ranges"))
     for block in blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_scanner(context.broadcast(block), window, len(keep) + 1), out.schema)
+        out = out.mapInArrow(_scanner(context.broadcast(block), uuid.uuid4().hex, window, len(keep) + 1), out.schema)
     return out
 
 

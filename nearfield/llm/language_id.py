@@ -7,7 +7,7 @@ false positives, and the language with the largest share of the n-grams wins.
 
 n-grams are 3 to 5 bytes of the lower-cased letters with word boundaries. The filters hold n-grams
 that at least a share of a language's sampled documents contain. The sample is bounded
-(`most_documents` of each language, by a hash of doc_id) and the table has a fixed size.
+(`most_documents` of each language, those of the least hashes of doc_id) and the table has a fixed size.
 
 Defined results: null texts and texts without letters are `und` with score 0, as is everything when
 nothing could be learned; ties go to the first language in order; a null doc_id isn't held out and
@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .flat import column, mix, slices, totals
-from .tables import table
+from .tables import durable, table
 
 SIZES = (3, 4, 5)
-#: Bytes as n-grams see them: letters lowered, anything else in ASCII a space.
+#: Bytes as n-grams see them: letters lowered, anything else in ASCII a space. Spark lowers all other letters before.
 SEEN = np.array([i if 97 <= i <= 122 or i > 127 else i + 32 if 65 <= i <= 90 else 32 for i in range(256)], np.uint8)
 LETTER = np.array([65 <= i <= 90 or 97 <= i <= 122 for i in range(256)])
 
@@ -88,17 +88,22 @@ def slots_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, most_documents: int = 600, least_share: float = 0.02, bits: int = 20) -> Filters:
     """Filters from at most `most_documents` documents of each language that aren't held out."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_documents)
+    spark = docs.sparkSession
+    totals_ = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # hashes are spread evenly: those under a bound by language are about twice as many as needed, however many rows there are
+    share = totals_.select("lang", F.least(F.lit(1.0), (2 * most_documents + 50) / F.col("n")).alias("share"))
+    place = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)).alias("place")
+    near = known.select("doc_id", "lang", place).join(F.broadcast(share), "lang").where("place < share OR share = 1").groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("place").alias("place"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = durable(near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_documents).select("doc_id", "lang"))
     counts = {r.lang: r.n for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     n_words = max(1, -(-len(languages) // 64))
     masks = np.zeros((n_words, 1 << bits), np.uint64)
     if languages:
-        spark = docs.sparkSession
         numbers = spark.createDataFrame([(x, i, max(2, int(np.ceil(least_share * counts[x])))) for i, x in enumerate(languages)], "lang string, _language int, least int")
         ids = chosen.join(F.broadcast(numbers), "lang").select("doc_id", "_language")
-        found = known.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("_language", "text").mapInArrow(_distinct, "language int, gram long")
+        found = known.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(ids), "doc_id").select("_language", "text").mapInArrow(_distinct, "language int, gram long")
         often = found.groupBy("language", "gram").agg(F.count("*").alias("n")).join(F.broadcast(numbers), F.col("language") == F.col("_language")).where("n >= least")
         low = (1 << bits) - 1
         slots = often.select((F.col("language") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, language % 64)").alias("mask"), F.explode(F.array(F.col("gram").bitwiseAND(low), F.shiftrightunsigned("gram", 32).bitwiseAND(low))).alias("slot"))
@@ -148,7 +153,7 @@ def predicted(docs: DataFrame, filters: Filters, keep: list[str] | None = None)
                 score = np.where(lettered, share.max(axis=0), 0.0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i)[first:end] for i in range(len(keep))), pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    read = docs.select(*keep, F.col("text").alias("_text"))
+    read = docs.select(*keep, F.lower("text").alias("_text"))
     return read.mapInArrow(run, ", ".join([*(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"]))
 
 

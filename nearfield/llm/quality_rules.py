@@ -182,10 +182,13 @@ def base_failed() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, **options) -> list[Rule]:
     """Rules from at most `most_labelled` documents with a quality label, chosen by a hash of their identifiers.
 
-    The bound makes the chosen identifiers small enough to broadcast and the statistics to learn on the driver.
+    The bound makes the chosen identifiers small enough to broadcast and the statistics to learn on the driver. Of the
+    rows of one doc_id, the one of the least statistics counts.
     """
     chosen = sampled(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", most_labelled)
-    rows = statistics(docs.join(F.broadcast(chosen), "doc_id"), ["quality"]).limit(4 * most_labelled).collect()
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    least = statistics(known, ["doc_id", "quality"]).groupBy("doc_id").agg(F.min(F.struct("quality", *COUNTS)).alias("row"))
+    rows = least.orderBy("doc_id").select("row.*").collect()
     if not rows:
         return []
     counts = {c: np.array([r[c] for r in rows], np.int64) for c in COUNTS}

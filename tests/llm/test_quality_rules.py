@@ -43,3 +43,11 @@ def test_empty_tables(spark, small):
     assert q.judged(small.limit(0), q.fit(small.limit(0), labels)).count() == 0
     assert q.fit(small, labels.limit(0)) == []
     assert q.judged(small, []).where("kept = base_failed").count() == 0
+
+
+def test_columns_named_like_its_own(spark, small):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    plain = q.fit(small, labels)
+    clashing = small.selectExpr("*", "'x' AS quality", "1 AS row", "2 AS n_words")
+    assert q.fit(clashing.union(clashing), labels) == plain
+    assert q.accepted(clashing, plain).columns == clashing.columns
