@@ -65,11 +65,13 @@ class Limits:
 
     def __init__(self, part: int, whole: int):
         self.part, self.whole = part, whole
-        self.ball = 1 - -2 * whole // part
 
     def remote(self, least, total):
-        """Whether two sets, which differ in so many elements at least, of so many in both together, are so far apart that nothing that links with one links with the other."""
-        return least > self.ball * (self.most_different(total) + 1)
+        """Whether two sets, which differ in so many elements at least, of so many in both together, are so far apart that nothing links with both.
+
+        What links with both has at most whole / part times the elements of either, and differs from them in so many less than these two differ.
+        """
+        return least * self.part > total * (self.whole - self.part)
 
     def most_different(self, total):
         """Elements in one of two linked sets only, of so many elements in both together."""
