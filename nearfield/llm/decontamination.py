@@ -1,13 +1,15 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark, one scan of each text.
 
 Texts are normalised as bytes: A-Z lowered, every run of other separators one space, and cut into words.
-The benchmark's words are numbered; the automaton reads word numbers, ten nodes or so for a window, and
-the words of a document that the benchmark doesn't have are one number that leads back to its root.
+The benchmark's words are numbered, and the automaton reads word numbers; the words of a document that the
+benchmark doesn't have are one number that leads back to its root. Its patterns are every second half window of
+each item, as any window holds one of those whole: a node for each word of the benchmark. What a half window finds is extended to
+both sides as far as item and document agree, which gives all windows around it at once.
 Occurrences are mapped back through word numbers to code-point offsets of the original text.
 
-A worker builds the automaton once and keeps it for all its tasks. It holds the benchmark only, of which a block of
-`block_bytes` of text takes about a hundred times as much memory; a larger benchmark is dealt into blocks that are scanned one
-after another, so that memory stays bounded whatever its size. One block is the usual case.
+A worker builds the automaton once and keeps it for all its tasks. It holds the benchmark only; one of over
+`block_bytes` of text is dealt into blocks that are scanned one after another, so that memory stays bounded
+whatever its size. One block is the usual case.
 
 Defined results: null texts and items have no words; an item of fewer words than a window is one
 window, one of none has no window; equal windows of several items count for each of them; repeated
@@ -39,31 +41,48 @@ def normal_words(text: str | None) -> list[str]:
     return [w for w in (text or "").encode().translate(NORMAL).decode("latin-1").split(" ") if w]
 
 
-def windows(words_: list, length: int) -> list[tuple]:
-    return [tuple(words_[i : i + length]) for i in range(max(1, len(words_) - length + 1))] if words_ else []
-
-
 class Scanner:
     """The windows of some items as one automaton over word numbers."""
 
     def __init__(self, items: list[tuple[str | None, str]], length: int):
-        self.numbers: dict[str, int] = {}
-        found = defaultdict(set)
-        for item, text in items:
-            for w in windows([self.numbers.setdefault(x, len(self.numbers) + 1) for x in normal_words(text)], length):
-                found[w].add(item)
+        self.length, self.numbers, half = length, {}, (length + 1) // 2
+        self.items = [(item, [self.numbers.setdefault(x, len(self.numbers) + 1) for x in normal_words(text)]) for item, text in items]
+        found: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, w) in enumerate(self.items):
+            if len(w) >= length:
+                for at in range(0, len(w) - half + 1, half):
+                    found[tuple(w[at : at + half])].append((i, at))
+            elif w:  # one window, whole
+                found[tuple(w)].append((i, 0))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if found else None
-        for w, ids in found.items():
-            self.automaton.add_word(w, (len(w), ids))
+        for w, places in found.items():
+            self.automaton.add_word(w, (len(w), places))
         if found:
             self.automaton.make_automaton()
 
-    def hits(self, words_: list[str]) -> list[tuple[int, int, set]]:
-        """(first word, end, items) of all occurrences of windows."""
-        if self.automaton is None:
+    def hits(self, words_: list[str]) -> list[tuple[int, int, str | None]]:
+        """(first word, end, item) of all stretches of a document that are windows of an item, one next to another."""
+        if self.automaton is None or not words_:
             return []
-        get = self.numbers.get
-        return [(end + 1 - size, end + 1, ids) for end, (size, ids) in self.automaton.iter(tuple([get(w, 0) for w in words_]))] if words_ else []
+        get, out = self.numbers.get, []
+        text = tuple([get(w, 0) for w in words_])
+        reached: dict[tuple[int, int], int] = {}  # of an item laid against the document, where they agree up to
+        for last, (size, places) in self.automaton.iter(text):
+            for i, at in places:
+                name, w = self.items[i]
+                first, lies = last + 1 - size, (i, last + 1 - size - at)
+                if reached.get(lies, -1) > first:
+                    continue
+                end, stop = last + 1, at + size
+                if len(w) >= self.length:
+                    while first and at and text[first - 1] == w[at - 1]:
+                        first, at = first - 1, at - 1
+                    while end < len(text) and stop < len(w) and text[end] == w[stop]:
+                        end, stop = end + 1, stop + 1
+                reached[lies] = end
+                if end - first >= min(self.length, len(w)):
+                    out.append((first, end, name))
+        return out
 
 
 _scanners: dict[tuple[str, int], Scanner] = {}
@@ -106,7 +125,7 @@ def _scanner(shared, name: str, length: int, key_columns: int):
                     w = [x for x in w if x]
                     n_words.append(len(w))
                     hits = scanner.hits(w)
-                    items.append(sorted(set(items_before[row]).union(*(x for _, _, x in hits)) - {None}))
+                    items.append(sorted({*items_before[row], *(x for _, _, x in hits)} - {None}))
                     ranges.append(merged(ranges_before[row] + [[x, y] for x, y, _ in hits]))
                     row += 1
             kept = [batch.column(i) for i in range(key_columns)]

@@ -1,6 +1,6 @@
 """Flat views of Arrow text columns: many texts as one byte array, cut at document ends.
 
-Every Python stage of this subpackage walks its Arrow batches in slices of about a megabyte of
+Every Python stage of this subpackage walks its Arrow batches in slices of about half a megabyte of
 text (one document at least, however long), so memory is bounded by a slice and never by a
 partition.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
 

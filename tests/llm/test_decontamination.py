@@ -48,3 +48,21 @@ def test_brute_force(spark, cases):
 
 def test_empty_benchmark(spark, odd):
     check(spark, odd, [])
+
+
+def test_stretches_of_items_that_share_words(spark):
+    """Items that repeat themselves and each other, documents of pieces of them, around the window's length."""
+    import random
+
+    draw = random.Random(5)
+    word = lambda: draw.choice("abc") * draw.randrange(1, 3)
+    items = [(i, " ".join(word() for _ in range(draw.choice((3, 5, 9, 10, 11, 14, 25, 60))))) for i in range(40)]
+    docs = []
+    for i in range(150):
+        parts = []
+        for _ in range(draw.randrange(1, 5)):
+            w = draw.choice(items)[1].split()
+            a = draw.randrange(len(w))
+            parts += [*w[a : a + draw.randrange(1, 30)], *(draw.choice(["zz", word()]) for _ in range(draw.randrange(3)))]
+        docs.append((i, " ".join(parts)))
+    check(spark, spark.createDataFrame(docs, "doc_id long, text string"), items)
