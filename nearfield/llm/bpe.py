@@ -17,6 +17,7 @@ with the same result and in time near its length. Other columns are kept only if
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -80,6 +81,11 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], NONE)
 
+    @functools.cached_property
+    def by_pair(self) -> dict[int, int]:
+        """The rank of each pair that merges."""
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
     def decode(self, ids: np.ndarray) -> bytes:
         return gathered(self.bytes, self.byte_ends, ids)[0].tobytes()
 
@@ -92,8 +98,7 @@ def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def merged_by_queue(vocabulary: Vocabulary, symbols: list[int]) -> list[int]:
     """The symbols of one long word after all merges, lowest rank and leftmost first."""
-    rank = dict(zip(vocabulary.keys.tolist(), vocabulary.ranks.tolist(), strict=True))
-    made, n = vocabulary.made.tolist(), len(symbols)
+    rank, made, n = vocabulary.by_pair, vocabulary.made, len(symbols)
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
     queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get(symbols[i] << 32 | symbols[i + 1])) is not None]
     heapq.heapify(queue)
@@ -102,7 +107,7 @@ def merged_by_queue(vocabulary: Vocabulary, symbols: list[int]) -> list[int]:
         j = after[i]
         if symbols[i] != left or j < 0 or symbols[j] != right:
             continue
-        symbols[i], symbols[j] = made[r], -1
+        symbols[i], symbols[j] = int(made[r]), -1
         after[i] = after[j]
         if after[j] >= 0:
             before[after[j]] = i
@@ -251,14 +256,32 @@ def decoded(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(run, _with(df, "decoded string"))
 
 
+def coded(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """As `encoded`, and decoded, the text of the ids, in one pass."""
+    keep = ["doc_id"] if keep is None else keep
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in batches:
+            texts = batch.column(len(keep))
+            for first, end, _, _ in slices(texts):
+                ids, ends = encoder.encode([x or "" for x in texts[first:end].to_pylist()])
+                back = [encoder.vocabulary.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[first:end] for i in range(len(keep))), lists, pa.array(back, pa.string())], names=[*keep, "ids", "decoded"])
+
+    read = docs.select(*keep, F.col(text).alias("_text"))
+    return read.mapInArrow(run, ", ".join([*(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>, decoded string"]))
+
+
 def _with(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    both = decoded(encoded(docs, path), path)
-    return both.select(
+    return coded(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -258,7 +258,9 @@ def fit(docs: DataFrame) -> Model | None:
     """Fitted on the labelled table, on just the proposals that `found` would judge; none for a table without rows."""
     if docs.isEmpty():
         return None
-    texts = docs.sparkSession.createDataFrame(_labelled_texts(), "text string, _kind string, _start int, _end int")
+    quoted = lambda x: "CAST(NULL AS STRING)" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({quoted(t)}, {quoted(k)}, {a}, {b})" for t, k, a, b in _labelled_texts())
+    texts = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(text, _kind, _start, _end)").repartition(1)
     c = F.col("c")
     rows = free(base_spans(texts)).select("*", F.explode("_proposed").alias("c"))
     y = F.coalesce((c["kind"] == F.col("_kind")) & (c["start"] == F.col("_start")) & (c["end"] == F.col("_end")), F.lit(False))
