@@ -41,7 +41,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packed(docs).select("_row", "text", F.sha2("text", 256).alias("_digest"))
-    both = bpe.decoded(bpe.encoded(rows, path, ["_row", "_digest"]), path)
+    both = bpe.coded(rows, path, ["_row", "_digest"])
     kept = [F.col(f"_row.{c}").alias(c) for c in ("doc_id", "lang", "source") if c in docs.columns]
     return both.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.coalesce("_digest", F.sha2(F.lit(""), 256))).alias("decodes"))
 
