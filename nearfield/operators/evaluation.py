@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .exact import knn
+from .exact import knn, near_by_block
+from .graph import assign_ids
+from .storage import durable
 
 
 def hybrid_ground_truth(items: DataFrame, queries: DataFrame, k: int, attribute: str, metric: str = "l2sq") -> DataFrame:
@@ -41,17 +45,16 @@ def self_recall(found: DataFrame) -> DataFrame:
 
 
 def pareto_front(results: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rows that none of the same keys dominates: at least as good in both and better in one. Equal optima all stay.
+    """Rows that none of the same keys dominates: at least as good in both and better in one. Equal optima all stay; rows without either goal don't.
 
-    Windows, not a join: a row is dominated if one of larger x has as large a y, or one of equal x a larger y.
+    The largest y of each x is aggregated first, which combines before the shuffle; the window sees one row for each x of a key.
     """
-    by = Window.partitionBy(*keys)
-    above = F.max(y).over(by.orderBy(F.col(x).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    level = F.max(y).over(Window.partitionBy(*keys, x))
-    ranked_ = results.withColumn("_level", level)
-    ranked_ = ranked_.withColumn("_above", above)
-    best_at = Window.partitionBy(*keys, "_level")
-    return ranked_.where((F.col(y) == F.col("_level")) & (F.col(y) >= F.col("_above"))).withColumn("_x", F.max(x).over(best_at)).where(F.col(x) == F.col("_x")).drop("_level", "_above", "_x")
+    tops = results.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x).agg(F.max(y).alias("_level"))
+    larger = Window.partitionBy(*keys).orderBy(F.col(x).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    front = tops.withColumn("_above", F.max("_level").over(larger)).where("_above IS NULL OR _level > _above").drop("_above")
+    a, b = results.alias("a"), front.alias("b")
+    same = reduce(lambda p, q: p & q, (F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in (*keys, x)))
+    return a.join(b, same & (F.col(f"a.`{y}`") == F.col("b._level")), "left_semi")
 
 
 def distinct_configs(results: DataFrame, *columns: str) -> DataFrame:
@@ -59,9 +62,15 @@ def distinct_configs(results: DataFrame, *columns: str) -> DataFrame:
 
 
 def selectivity_sweep(items: DataFrame, queries: DataFrame, k: int, steps: range = range(0, 101, 10)) -> DataFrame:
-    """For each excluded percentage p, the k nearest items with id % 100 < 100 - p: how many, and their mean distance."""
-    found = [knn(items, queries, k, where=f"id % 100 < {100 - p}").select(F.lit(p).cast("long").alias("pct"), "distance") for p in steps]
-    return reduce(DataFrame.union, found).groupBy("pct").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 9).alias("mean_distance"))
+    """For each excluded percentage p, the k nearest items with id % 100 < 100 - p: how many, and their mean distance.
+
+    One search: items are blocked by the steps that they pass, each block gives its k nearest, and steps rank what they pass.
+    """
+    passing = F.filter(F.array(*(F.lit(p).cast("long") for p in steps)), lambda p: F.col("id") % 100 < 100 - p)
+    near = near_by_block(items, queries, k, "cosine", same=False, item_group=F.size(passing))
+    order = Window.partitionBy("pct", "query_id").orderBy("distance", "id")
+    found = near.select("query_id", "id", "distance", F.explode(passing).alias("pct")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.groupBy("pct").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 9).alias("mean_distance"))
 
 
 def param_grid(spark: SparkSession, **values: list) -> DataFrame:
@@ -79,7 +88,24 @@ def metric_summary(df: DataFrame, value: str | Column, *by: str) -> DataFrame:
 
 def subset_fraction(items: DataFrame, share: float) -> DataFrame:
     """The first rows by id: the share of the table, at least one."""
-    n = items.count()
-    if not n:
-        return items
-    return items.orderBy("id").limit(max(1, int(n * share)))
+    numbered = assign_ids(items, "id")
+    return numbered.where(F.col("item_id") < max(1, int(items.count() * share))).drop("item_id")
+
+
+def runs(items: DataFrame, queries: DataFrame, truth: DataFrame, search, grid: list[dict], limit: int = 10) -> DataFrame:
+    """A row for each setting of a grid: the setting, recall at the limit against a truth, queries per second and n_queries.
+
+    search(items, queries, limit, **setting) gives query_id, id, distance and rank. Recall is the share of the truth that was
+    found. `pareto_front` takes the result.
+    """
+    rows = []
+    n = queries.count()
+    wanted = truth.where(F.col("rank") <= limit).select("query_id", "id")
+    total = wanted.count()
+    for setting in grid:
+        began = time.perf_counter()
+        found = durable(search(items, queries, limit, **setting))
+        seconds = time.perf_counter() - began
+        hits = found.select("query_id", "id").distinct().join(wanted, ["query_id", "id"]).count()
+        rows.append((json.dumps(setting, sort_keys=True), hits / max(1, total), n / max(seconds, 1e-9), n))
+    return items.sparkSession.createDataFrame(rows, "setting string, recall double, qps double, n_queries long")

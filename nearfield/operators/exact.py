@@ -52,18 +52,22 @@ def _packed(rows: int):
         for batch in batches:
             keep = batch.column(1).is_valid()
             batch = batch.filter(keep) if not keep.to_numpy(zero_copy_only=False).all() else batch
-            for first in range(0, batch.num_rows, rows):
-                part = batch.slice(first, rows)
-                x = matrix(part.column(1)).astype(np.float64)
-                groups = part.column(2).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([groups], pa.list_(pa.string()))], names=["dim", "ids", "vectors", "groups"])
+            group = batch.column(2)
+            names = group.to_pylist() if group.null_count < len(group) else []
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), batch.num_rows]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                for first in range(begin, end, rows):
+                    part = batch.slice(first, min(rows, end - first))
+                    x = matrix(part.column(1)).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), part.column(2).slice(0, 1)], names=["dim", "ids", "vectors", "g"])
 
     return run
 
 
-def packed(rows: DataFrame, rows_a_block: int) -> DataFrame:
-    """Blocks of (dim, ids, vectors, groups) of rows (id, vector, group); null vectors are left out."""
-    return rows.mapInArrow(_packed(rows_a_block), "dim int, ids binary, vectors binary, groups array<string>")
+def packed(rows: DataFrame, rows_a_block: int, grouped: bool = False) -> DataFrame:
+    """Blocks of (dim, ids, vectors, g), each of one group, of rows (id, vector, group as string); null vectors are left out."""
+    rows = rows.toDF("id", "vector", "g")
+    return (rows.sortWithinPartitions("g") if grouped else rows).mapInArrow(_packed(rows_a_block), "dim int, ids binary, vectors binary, g string")
 
 
 def _nearest(metric: str, k: int, digits: int, skip_self: bool):
@@ -75,8 +79,6 @@ def _nearest(metric: str, k: int, digits: int, skip_self: bool):
                 ids, queries = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 x, q = np.frombuffer(r["vectors"]).reshape(len(ids), -1), np.frombuffer(r["q_vectors"]).reshape(len(queries), -1)
                 d = np.round(distances(metric, q, x), digits) + 0.0
-                if any(g is not None for g in r["q_groups"]):
-                    d[np.array(r["q_groups"], object)[:, None] != np.array(r["groups"], object)[None]] = np.inf
                 if skip_self:
                     d[queries[:, None] == ids[None]] = np.inf
                 order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
@@ -93,6 +95,23 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
 
+def near_by_block(items: DataFrame, queries: DataFrame, k: int, metric: str, group: Column | None = None, same: bool = True, skip_self: bool = False, digits: int = 6, item_group: Column | None = None) -> DataFrame:
+    """query_id, id and distance of each query's k nearest in every block of items of one group.
+
+    With `same`, queries meet the items of their group alone: blocks are joined on it, so other groups' blocks aren't
+    touched. Query blocks are broadcast only if they are small.
+    """
+    none = F.lit(None).cast("string")
+    own = none if group is None else group.cast("string")
+    n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = packed(items.select(F.col("id").cast("long"), "vector", own if item_group is None else item_group.cast("string")), ITEM_BLOCK, group is not None or item_group is not None)
+    asked = queries.select(F.col("query_id").cast("long"), "vector", own if group is not None and same else none).coalesce(max(1, -(-n // QUERY_BLOCK)))
+    asked = packed(asked, QUERY_BLOCK, group is not None and same).toDF("q_dim", "q_ids", "q_vectors", "g")
+    asked = F.broadcast(asked) if n * (8 * (dim or 0) + 16) <= MOST_BROADCAST else asked
+    pairs = blocks.join(asked, "g") if group is not None and same else blocks.drop("g").crossJoin(asked.drop("g"))
+    return pairs.mapInArrow(_nearest(metric, k, digits, skip_self), "query_id long, id long, distance double")
+
+
 def knn(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | str | None = None, same: str | None = None, skip_self: bool = False, digits: int = 6) -> DataFrame:
     """query_id, id, distance and rank of the k nearest items (id, vector, ...) of each query (query_id, vector, ...).
 
@@ -105,13 +124,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", wh
         items = items.where(where)
     if same:
         items, queries = items.where(F.col(same).isNotNull()), queries.where(F.col(same).isNotNull())
-    group = F.col(same).cast("string") if same else F.lit(None).cast("string")
-    blocks = packed(items.select(F.col("id").cast("long"), "vector", group.alias("g")), ITEM_BLOCK)
-    asked = packed(queries.select(F.col("query_id").cast("long"), "vector", group.alias("g")).coalesce(8), QUERY_BLOCK).toDF("q_dim", "q_ids", "q_vectors", "q_groups")
-    dim = queries.select(F.max(F.size("vector"))).first()[0] or 0
-    small = queries.count() * (8 * dim + 16) <= MOST_BROADCAST
-    pairs = blocks.crossJoin(F.broadcast(asked) if small else asked)
-    return ranked(pairs.mapInArrow(_nearest(metric, k, digits, skip_self), "query_id long, id long, distance double"), k)
+    return ranked(near_by_block(items, queries, k, metric, F.col(same) if same else None, skip_self=skip_self, digits=digits), k)
 
 
 def knn_by(items: DataFrame, queries: DataFrame, k: int, metric: Metric, where: Column | str | None = None) -> DataFrame:

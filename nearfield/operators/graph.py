@@ -1,4 +1,8 @@
-"""Proximity graphs as tables of directed edges (layer, src, pos, dst, distance), and what is done with them."""
+"""Proximity graphs as tables of directed edges (layer, src, pos, dst, distance), and what is done with them.
+
+Defined results: edges with a null end or distance rank last and reach nothing; of equal distances the smaller id
+comes first; repeated edges count once where a function says so; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -8,20 +12,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact import knn
+from .storage import durable
 
 
 def assign_ids(items: DataFrame, order: str, start: int = 0) -> DataFrame:
-    """Adds item_id, dense from start on in the given order.
+    """Adds item_id, dense from start on in the given order; equal values in any order.
 
-    Counts by range partition give each its first number, so that no task sees more than its part.
+    Rows are dealt by ranges once and written with the number of their part, as a second deal may cut the ranges elsewhere;
+    counts by part give each its first number, so that no task sees more than its part.
     """
-    parts = items.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    spark = items.sparkSession
+    parts = durable(items.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    firsts, so_far = [], start
+    for part in sorted(sizes):
+        firsts.append((part, so_far))
+        so_far += sizes[part]
     within = Window.partitionBy("_part").orderBy(order)
-    numbered = parts.withColumn("_n", F.row_number().over(within))
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
-    return numbered.join(firsts, "_part").withColumn("item_id", (F.col("_first") + F.col("_n") - 1 + start).cast("long")).drop("_part", "_n", "_first")
+    numbered = parts.withColumn("_n", F.row_number().over(within)).join(F.broadcast(spark.createDataFrame(firsts, "_part int, _first long")), "_part")
+    return numbered.withColumn("item_id", (F.col("_first") + F.col("_n") - 1).cast("long")).drop("_part", "_n", "_first")
+
+
+def append_ids(numbered: DataFrame | None, batch: DataFrame, order: str) -> DataFrame:
+    """The rows of a table with dense item_id from 0 on and those of a batch, which go on where these end."""
+    start = numbered.count() if numbered is not None else 0
+    fresh = assign_ids(batch, order, start)
+    return fresh if numbered is None else numbered.unionByName(fresh)
 
 
 def level(item_id: Column, m: int, seed: int = 12345) -> Column:
@@ -68,8 +84,6 @@ def two_hop(edges: DataFrame, passing: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, most_hops: int | None = None, checkpoint_every: int = 8) -> DataFrame:
     """node and depth of all that can be reached from the start nodes (id), breadth first, or of those within so many hops."""
-    from .storage import durable
-
     seen = durable(start.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("depth")))
     frontier = seen
     for hop in count(1) if most_hops is None else range(1, most_hops + 1):

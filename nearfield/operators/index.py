@@ -1,20 +1,24 @@
 """Approximate search over sharded graphs: build, store, load, append, compact and search.
 
-An index is a folder of Parquet tables: `graphs`, a row for each shard with its vectors and links packed
-as arrays, and `meta`. Shards hold a bounded number of items, dealt by a hash of their ids, and are built
-in parallel. Appending writes more shards under a batch number, so that a batch written again replaces
-itself; readers keep the snapshot that they loaded. Searching pairs shards with blocks of queries, and a
+An index is a folder of Parquet tables. `graphs` has a row for each shard with its vectors and links packed
+as arrays, and `ids` the ids of each batch; every write goes to folders of its own, which are never written again.
+`manifest` has a row for each version, written last: the parameters, and which folders hold which batches. So a reader keeps the
+snapshot that it loaded, a write counts whole or not at all, and of two writers of one version the second fails.
+Shards hold a bounded number of items, dealt by a hash of their ids, and are built in parallel. Appending writes
+more shards under a batch number, and a batch written again replaces itself. Searching pairs shards with blocks of queries, and a
 window merges what they find.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from nearfield.plans.params import IndexParams
@@ -22,7 +26,7 @@ from nearfield.plans.params import IndexParams
 from .exact import MOST_BROADCAST, packed, ranked
 from .kernel import Graph, built
 
-FORMAT = 1
+FORMAT = 2
 SHARD_ROWS = 20_000
 GRAPH = "shard long, batch long, n long, dim int, ids binary, vectors binary, links binary, link_ends binary, entry long, params string, n_dist long"
 
@@ -74,33 +78,72 @@ def _schema() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in GRAPH.split(", "))])
 
 
+def _manifest(spark: SparkSession, path: str):
+    """The row of the newest version, or none for an index that isn't there yet."""
+    try:
+        return spark.read.parquet(f"{path}/manifest/*").orderBy(F.col("version").desc()).first()
+    except AnalysisException:
+        return None
+
+
 def save(graphs: DataFrame, path: str, params: IndexParams) -> None:
-    """Writes or replaces the batches of the rows."""
-    spark = graphs.sparkSession
-    graphs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/graphs")
-    spark.createDataFrame([(FORMAT, params.metric, params.to_json())], "format int, metric string, params string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    """Writes or replaces the batches of the rows, as a new version."""
+    spark, folder = graphs.sparkSession, f"version={uuid.uuid4().hex}"
+    graphs.write.partitionBy("batch").parquet(f"{path}/graphs/{folder}")
+    written = spark.read.schema(_types(graphs)).option("basePath", f"{path}/graphs").parquet(f"{path}/graphs/{folder}")
+    _ids(written).write.partitionBy("batch").parquet(f"{path}/ids/{folder}")
+    sizes = {r.batch: r.n for r in written.groupBy("batch").agg(F.sum("n").alias("n")).collect()}
+    old = _manifest(spark, path)
+    kept = [tuple(b) for b in old.batches if b.batch not in sizes] if old else []
+    row = (FORMAT, old.version + 1 if old else 1, params.metric, params.to_json(), kept + [(batch, folder, n) for batch, n in sorted(sizes.items())])
+    schema = "format int, version long, metric string, params string, batches array<struct<batch:long,folder:string,n:long>>"
+    spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{path}/manifest/{row[1]:09d}")
+
+
+def _types(graphs: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in graphs.schema)
+
+
+def _ids(graphs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own)], names=["batch", "id"])
+
+    return graphs.select("batch", "ids").mapInArrow(run, "batch long, id long")
+
+
+def _parts(spark: SparkSession, path: str, kind: str, schema: str, batches) -> DataFrame:
+    folders = [f"{path}/{kind}/{b.folder}/batch={b.batch}" for b in batches]
+    reader = spark.read.schema(schema).option("basePath", f"{path}/{kind}")
+    return reader.parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def load(spark: SparkSession, path: str, metric: str | None = None) -> DataFrame:
-    """The graph rows of an index; refuses another format or metric."""
-    meta = spark.read.parquet(f"{path}/meta").first()
+    """The graph rows of an index as it is now; refuses another format or metric, and rows that don't add up to the manifest's."""
+    meta = _manifest(spark, path)
     if meta is None or meta.format != FORMAT:
         raise ValueError("not an index of this format")
     if metric and metric != meta.metric:
         raise ValueError(f"the index was built for {meta.metric}")
-    return spark.read.parquet(f"{path}/graphs").select(*(c.split()[0] for c in GRAPH.split(", ")))
+    graphs = _parts(spark, path, "graphs", GRAPH, meta.batches).select(*(c.split()[0] for c in GRAPH.split(", ")))
+    if (graphs.agg(F.sum("n")).first()[0] or 0) != sum(b.n for b in meta.batches):
+        raise ValueError("the index lacks items that its manifest counts")
+    return graphs
 
 
 def append(spark: SparkSession, path: str, items: DataFrame, batch: int, shard_rows: int = SHARD_ROWS) -> None:
-    """Adds items that the index doesn't have as shards of a batch; the same batch again replaces itself."""
-    params = IndexParams.from_json(spark.read.parquet(f"{path}/meta").first().params)
-    old = nodes(load(spark, path).where(F.col("batch") != batch)).select("id")
+    """Adds items that the index doesn't have as shards of a batch; the same batch again replaces itself. Of the index only the ids are read."""
+    meta = _manifest(spark, path)
+    params = IndexParams.from_json(meta.params)
+    old = _parts(spark, path, "ids", "id long, batch long", [b for b in meta.batches if b.batch != batch]).select("id")
     save(build(items.join(old, "id", "left_anti"), params, shard_rows, batch), path, params)
 
 
 def compact(spark: SparkSession, path: str, to: str, shard_rows: int = SHARD_ROWS) -> None:
     """Rewrites all batches as one, elsewhere, so that readers of the old snapshot aren't disturbed."""
-    params = IndexParams.from_json(spark.read.parquet(f"{path}/meta").first().params)
+    params = IndexParams.from_json(_manifest(spark, path).params)
     save(build(vectors(load(spark, path)), params, shard_rows), to, params)
 
 
@@ -110,18 +153,18 @@ def _rows_of(kind: str):
             for row in batch.to_pylist():
                 g = unpacked(row)
                 if kind == "nodes":
-                    out = [pa.array(np.full(len(g.ids), row["shard"])), pa.array(g.ids), pa.array(g.levels.astype(np.int64)), pa.array(np.arange(len(g.ids)) == g.entry)]
+                    out = [pa.array(np.full(len(g.ids), row["batch"])), pa.array(np.full(len(g.ids), row["shard"])), pa.array(g.ids), pa.array(g.levels.astype(np.int64)), pa.array(np.arange(len(g.ids)) == g.entry)]
                 elif kind == "vectors":
                     out = [pa.array(g.ids), pa.array(list(g.vectors), pa.list_(pa.float64()))]
                 else:
                     flat = [(layer, g.ids[n], i, g.ids[x]) for n, layers in enumerate(g.links) for layer, own in enumerate(layers) for i, x in enumerate(own, 1)]
-                    out = [pa.array([row["shard"]] * len(flat), pa.int64()), *(pa.array([f[i] for f in flat], pa.int64()) for i in range(4))]
+                    out = [pa.array([row["batch"]] * len(flat), pa.int64()), pa.array([row["shard"]] * len(flat), pa.int64()), *(pa.array([f[i] for f in flat], pa.int64()) for i in range(4))]
                 yield pa.RecordBatch.from_arrays(out, names=NAMES[kind].replace(" boolean", "").replace(" array<double>", "").replace(" long", "").split(", "))
 
     return run
 
 
-NAMES = {"nodes": "shard long, id long, level long, is_entry boolean", "vectors": "id long, vector array<double>", "edges": "shard long, layer long, src long, pos long, dst long"}
+NAMES = {"nodes": "batch long, shard long, id long, level long, is_entry boolean", "vectors": "id long, vector array<double>", "edges": "batch long, shard long, layer long, src long, pos long, dst long"}
 
 
 def nodes(graphs: DataFrame) -> DataFrame:
@@ -154,8 +197,8 @@ def _search(k: int, ef: int, max_visited: int | None, deadline_ms: float | None,
                     budget = [max_visited, began + deadline_ms / 1000 if deadline_ms else None] if max_visited or deadline_ms else None
                     found, visited = graph.search(v, k, ef, ok, budget)
                     us = (time.perf_counter() - began) * 1e6
-                    out += [(i, int(graph.ids[x]), d, row["shard"], visited, graph.n_distances - before, us) for d, x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "distance", "shard", "visited", "n_dist", "latency_us"])
+                    out += [(i, int(graph.ids[x]), d, row["batch"], row["shard"], visited, graph.n_distances - before, us) for d, x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "distance", "batch", "shard", "visited", "n_dist", "latency_us"])
 
     return run
 
@@ -165,14 +208,14 @@ def _found(graphs: DataFrame, queries: DataFrame, k: int, ef: int, passing: Data
         raise ValueError("k must be 1 or more")
     asked = packed(queries.select(F.col("query_id").cast("long"), "vector", F.lit(None).cast("string").alias("g")), 256).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim"))
     if passing is not None:  # the ids of a shard that pass are as many as the shard holds at most
-        where = nodes(graphs).join(passing.select("id").distinct(), "id", "left_semi").groupBy("shard").agg(F.collect_list("id").alias("passing"))
-        graphs = graphs.join(where, "shard", "left")
+        where = nodes(graphs).join(passing.select("id").distinct(), "id", "left_semi").groupBy("batch", "shard").agg(F.collect_list("id").alias("passing"))
+        graphs = graphs.join(where, ["batch", "shard"], "left")
     else:
         graphs = graphs.withColumn("passing", F.lit(None).cast("array<long>"))
     dim = queries.select(F.max(F.size("vector"))).first()[0] or 0
     small = queries.count() * (8 * dim + 16) <= MOST_BROADCAST
     pairs = graphs.crossJoin(F.broadcast(asked) if small else asked)
-    return pairs.mapInArrow(_search(k, ef, max_visited, deadline_ms, passing is not None), "query_id long, id long, distance double, shard long, visited long, n_dist long, latency_us double")
+    return pairs.mapInArrow(_search(k, ef, max_visited, deadline_ms, passing is not None), "query_id long, id long, distance double, batch long, shard long, visited long, n_dist long, latency_us double")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 50, passing: DataFrame | None = None, max_visited: int | None = None, deadline_ms: float | None = None) -> DataFrame:
@@ -185,10 +228,6 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 50, passing:
 
 
 def search_metrics(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 50, passing: DataFrame | None = None) -> DataFrame:
-    """By query and shard: results, visited nodes, distances computed and microseconds."""
+    """By query, batch and shard: results, visited nodes, distances computed and microseconds."""
     found = _found(graphs, queries, k, ef, passing, None, None)
-    return found.groupBy("query_id", "shard").agg(F.count("*").alias("n_found"), F.max("visited").alias("visited"), F.max("n_dist").alias("n_dist"), F.max("latency_us").alias("latency_us"))
-
-
-def cache_hit_rate(hits: Column, calls: Column) -> Column:
-    return F.try_divide(hits, calls)
+    return found.groupBy("query_id", "batch", "shard").agg(F.count("*").alias("n_found"), F.max("visited").alias("visited"), F.max("n_dist").alias("n_dist"), F.max("latency_us").alias("latency_us"))

@@ -5,7 +5,7 @@ Items are the rows of `embeddings`; searches ask for every row whose id is divis
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from nearfield.functions import vectors as v
 from nearfield.functions.vectors import rounded
 from nearfield.operators import evaluation as ev
-from nearfield.operators import exact, graph, index
+from nearfield.operators import cells, exact, graph, index
+from nearfield.operators.storage import durable, fresh_path
 from nearfield.plans.params import IndexParams
 from nearfield.sources import vector_files
 
@@ -174,7 +175,7 @@ def list_items(spark, sf):
 
 def _graphs(spark: SparkSession, sf: str) -> DataFrame:
     """An index of all items, saved and loaded."""
-    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/") + "/index-" + spark.sql("SELECT uuid()").first()[0]
+    path = fresh_path(spark, "index")
     index.save(index.build(items(spark, sf), PARAMS, SHARD), path, PARAMS)
     return index.load(spark, path, "cosine")
 
@@ -185,14 +186,58 @@ def knn_ann_exhaustive(spark, sf):
     return index.search(_graphs(spark, sf), asked(spark, sf), 10, ef=2 * SHARD)
 
 
+N_CELLS = 16
+PROBES = 14
+
+
+def _cells(spark: SparkSession, sf: str):
+    """All items with their cells, as a table, and the centroids."""
+    x = items(spark, sf)
+    centres = cells.centroids(x, N_CELLS)
+    return durable(cells.with_cells(x, centres).repartition("cell").sortWithinPartitions("cell")), centres
+
+
 @query()
 def knn_ann(spark, sf):
-    return index.search(_graphs(spark, sf), asked(spark, sf), 10, ef=100)
+    celled, centres = _cells(spark, sf)
+    return cells.search(celled, centres, asked(spark, sf), 10, PROBES)
 
 
 @query()
 def knn_ann_filtered(spark, sf):
-    return index.search(_graphs(spark, sf), asked(spark, sf), 10, ef=100, passing=items(spark, sf).where("label = 3"))
+    celled, centres = _cells(spark, sf)
+    return cells.search(celled, centres, asked(spark, sf), 10, PROBES, where="label = 3")
+
+
+@query(knn_sql(10))
+def knn_cells_all(spark, sf):
+    """As many probes as cells: exact."""
+    celled, centres = _cells(spark, sf)
+    return cells.search(celled, centres, asked(spark, sf), 10, N_CELLS)
+
+
+@query("SELECT * FROM (VALUES (14, 'all', true), (16, 'all', true), (14, 'label = 3', true), (16, 'label = 3', true)) t(probes, items, enough)")
+def ann_recall(spark, sf):
+    """Whether searches of cells find 0.9 or more of what exact ones find, by probes and filter."""
+    celled, centres = _cells(spark, sf)
+    out = []
+    for where in (None, "label = 3"):
+        truth = durable(exact.knn(items(spark, sf), asked(spark, sf), 10, where=where))
+        for probes in (PROBES, N_CELLS):
+            found = cells.search(celled, centres, asked(spark, sf), 10, probes, where=where)
+            both = truth.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+            out.append(both.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough")).select(F.lit(probes).alias("probes"), F.lit(where or "all").alias("items"), "enough"))
+    return reduce(DataFrame.union, out)
+
+
+@query("SELECT * FROM (VALUES ('all', 1.0::DOUBLE)) t(front, recall)")
+def evaluation_runs(spark, sf):
+    """A grid of probes searched, measured and cut to its front: of the best recall there is one that probes all cells."""
+    celled, centres = _cells(spark, sf)
+    truth = durable(exact.knn(items(spark, sf), asked(spark, sf), 10))
+    found = ev.runs(celled, asked(spark, sf), truth, lambda x, q, k, probes: cells.search(x, centres, q, k, probes), [{"probes": p} for p in (4, N_CELLS)])
+    front = ev.pareto_front(found, [], "qps", "recall")
+    return front.agg(F.max("recall").alias("recall")).select(F.lit("all").alias("front"), "recall")
 
 
 @query()
@@ -213,11 +258,14 @@ def assign_ids(spark, sf):
     return graph.assign_ids(items(spark, sf).select("id"), "id", 1000)
 
 
-@query("SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS item_id, event_id % 100 AS batch FROM events")
+@query("SELECT event_id AS id, row_number() OVER (ORDER BY event_id % 4, event_id) - 1 AS item_id, event_id % 4 AS batch FROM events")
 def incremental_append(spark, sf):
-    """Ids go on from batch to batch: rows in order of arrival get what one numbering would give."""
-    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"))
-    return graph.assign_ids(events, "id").select("id", "item_id", (F.col("id") % 100).alias("batch"))
+    """Four batches, one appended after another: ids go on where those so far end."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), (F.col("event_id") % 4).alias("batch"))
+    numbered = None
+    for batch in range(4):
+        numbered = durable(graph.append_ids(numbered, events.where(F.col("batch") == batch), "id"))
+    return numbered.select("id", "item_id", "batch")
 
 
 @query(f"SELECT {LEVEL_SQL} AS level, count(*) AS n FROM embeddings GROUP BY 1")
@@ -268,12 +316,10 @@ def two_hop_filtered(spark, sf):
     return graph.two_hop(_edges(spark, sf), items(spark, sf).where("label = 3")).select("src", "dst")
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, walk(node, depth) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT g.dst, w.depth + 1 FROM walk w JOIN graph g ON g.src = w.node WHERE w.depth < 4)
-    SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+@query(f"""WITH RECURSIVE {GRAPH_SQL.replace("graph AS (", "graph AS MATERIALIZED (", 1)}, walk(node, depth) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT g.dst, min(w.depth) + 1 FROM walk w
+    JOIN graph g ON g.src = w.node WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = g.dst) GROUP BY g.dst) SELECT node, depth FROM walk""")
 def bfs_reachable(spark, sf):
-    from nearfield.operators.storage import durable
-
-    return graph.reachable(durable(_edges(spark, sf)), items(spark, sf).where("id = 0"), most_hops=4)
+    return graph.reachable(durable(_edges(spark, sf)), items(spark, sf).where("id = 0"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT layer, src, '(' || src || ') -> {{' || string_agg(dst::VARCHAR, ', ' ORDER BY pos) || '}}' AS line FROM graph GROUP BY layer, src")
@@ -395,7 +441,7 @@ def subset_fraction(spark, sf):
 @query("SELECT id, (i - 1)::BIGINT AS place, round(x[i], 6) + 0.0 AS component FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def tsv_roundtrip(spark, sf):
     """Vectors as tab-separated text, the id first, and back."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/") + "/tsv-" + spark.sql("SELECT uuid()").first()[0]
+    folder = fresh_path(spark, "tsv")
     vector_files.write_tsv(items(spark, sf).select(F.concat(F.array(F.col("id").cast("float")), F.col("vector")).alias("vector")), folder)
     back = vector_files.read_tsv(spark, folder).select(F.col("vector")[0].cast("long").alias("id"), F.expr("slice(vector, 2, size(vector) - 1)").alias("vector"))
     return back.select("id", F.posexplode("vector").alias("place", "c")).select("id", F.col("place").cast("long").alias("place"), rounded(F.col("c").cast("double")).alias("component"))

@@ -167,3 +167,43 @@ def test_reachable_walks_on_until_nothing_is_new(spark):
     assert max(depth.values()) > 64
     found = g.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,)], "id long")).collect()
     assert sorted((r.node, r.depth) for r in found) == sorted(depth.items())
+
+
+def test_ids_are_dense_whatever_the_columns(spark):
+    """Many rows of several columns: ranges dealt twice would be cut elsewhere."""
+    x = spark.range(1_500_000).selectExpr("(id * 7919) % 1500007 AS id", "repeat('x', int(id % 40)) AS a", "id % 7 AS b")
+    r = g.assign_ids(x, "id", 5).selectExpr("min(item_id) AS l", "max(item_id) AS h", "count(DISTINCT item_id) AS n", "max(id) AS m").first()
+    assert (r.l, r.h, r.n) == (5, 1_500_004, 1_500_000)
+
+
+def test_a_loaded_index_stays_as_it_is(spark, tmp_path):
+    x, path = items(spark, SF), str(tmp_path / "a")
+    index.save(index.build(x.where("id < 200"), PARAMS, 100), path, PARAMS)
+    index.append(spark, path, x.where("id < 300"), 1, 100)
+    old = index.load(spark, path)
+    for _ in range(2):
+        index.append(spark, path, x, 1, 100)
+    assert index.nodes(old).count() == 300 and index.nodes(index.load(spark, path)).count() == x.count()
+
+
+def test_metrics_by_batch_and_shard(spark, tmp_path):
+    x, path = items(spark, SF), str(tmp_path / "a")
+    index.save(index.build(x.where("id < 250"), PARAMS, 300), path, PARAMS)
+    index.append(spark, path, x, 1, 300)
+    asked = x.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    rows = index.search_metrics(index.load(spark, path), asked, 10).collect()
+    assert {(r.batch, r.shard) for r in rows} == {(0, 0), (1, 0)} and all(r.n_found == 10 for r in rows)
+
+
+def test_cells(spark):
+    from nearfield.operators import cells
+
+    x = items(spark, SF)
+    asked = x.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    centres = cells.centroids(x, 8)
+    celled = cells.with_cells(x, centres)
+    assert celled.count() == x.count()
+    found = cells.search(celled, centres, asked, 5, 8)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.knn(x, asked, 5).collect()))
+    none = x.where("false")
+    assert cells.search(cells.with_cells(none, cells.centroids(none, 8)), cells.centroids(none, 8), asked, 5, 3).count() == 0
