@@ -1,9 +1,11 @@
 """Main text of web pages from flat text blocks, classified by a small decision tree.
 
 A page is cut into text blocks at block-level tags. A block knows its words, the share of them inside
-links (link density), the same of its neighbours, and where it stands: in an article, in a part whose
-tag, role or class names say that it isn't content, or neither. A decision tree, trained on the
-labelled blocks of `LABELLED`, says which blocks are content. All of them are kept whole, in order.
+links (link density), the same of its neighbours, how much of it ends sentences, how many of its words are those of calls and
+notices (`CUES`), whether it is a heading, where it stands (in an article; in a part whose tag, role or whole
+class says that it isn't content; neither), and whether a part of a class or id name hints at the latter.
+A decision tree, trained on the blocks of the pages of `LABELLED`, of several templates with and without article
+tags, says which blocks are content. All of them are kept whole, in order.
 
 Defined results: null and empty html and pages without content give an empty text; broken markup is
 read as far as it goes (unclosed tags end with their parents, a `<` that begins no tag is text);
@@ -14,7 +16,9 @@ columns named are read.
 from __future__ import annotations
 
 import html
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +36,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 APART = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-#: Words in class and id names that mark a part as something other than the article.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|widget\w*|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|footer|masthead|site-header|page-header|topbar|toolbar|tags|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.I,
-)
+#: Class and id names of parts other than the article, alone or within longer names,
+STRONG = r"ads?|adverts?|advertis\w*|sponsor\w*|sidebar|side-bar|widget\w*|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|site-header|page-header|toolbar"
+#: and those that say so alone, but only hint at it within longer names.
+WEAK = r"promo\w*|banner|notices?|alerts?|login|search|share|sharing|social|related|recommend\w*|topbar|tags|copyright|legal|disclaimer"
+NAMED = re.compile(rf"(?:^|[\s_-])(?:{STRONG})(?:$|[\s_-])", re.I)
+WHOLE = re.compile(rf"(?:^|\s)(?:{STRONG}|{WEAK})(?:$|\s)", re.I)
+HINT = re.compile(rf"(?:^|[\s_-])(?:{WEAK})(?:$|[\s_-])", re.I)
+#: Words of calls and notices, which short blocks of a page's own consist of.
+CUES = re.compile(r"\b(?:subscribe|sign up|sign in|log in|register now|follow us|share this|share on|read more|click here|advertisement|sponsored|cookies?|accept all|privacy policy|terms of (?:use|service)|related (?:articles|posts|stories)|leave a (?:comment|reply)|newsletter|skip to content|back to top|next page|previous page|posted in|tagged)\b", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Inside an article only these are judged by names, and only by a whole class or id (a section's id, like a heading's, comes from its words).
 CONTAINERS = frozenset("div section aside nav ul ol dl table".split())
@@ -44,21 +52,50 @@ CONTAINERS = frozenset("div section aside nav ul ol dl table".split())
 RAW = frozenset("script style textarea title".split())
 #: Dropped elements that can't hold their like: a second start tag says that the first has no end tag.
 FLAT = frozenset("button select".split())
+HINTED = 2
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-#: Labelled blocks: words, link density, the same of the block before and the one after, place (1 in an
-#: article, -1 in a part that isn't, 0 neither), heading, and whether it is content. These by hand:
-LABELLED = [
-    (1, 1, 1, 1, 1, 1, 0, 0, 0), (2, 1, 2, 1, 3, 1, 0, 0, 0), (3, 1, 0, 0, 2, 1, 0, 0, 0), (6, 0.9, 2, 1, 4, 1, 0, 0, 0), (4, 0, 2, 1, 1, 1, 0, 0, 0), (5, 0, 0, 0, 2, 1, 0, 0, 0), (8, 0, 3, 1, 0, 0, 0, 0, 0), (30, 0.8, 10, 1, 12, 0.9, 0, 0, 0), (20, 0.7, 60, 0, 8, 1, 0, 0, 0), (2, 0, 4, 0, 3, 0, 0, 0, 0), (6, 0, 6, 0, 4, 0, 0, 0, 0), (7, 0, 90, 0, 0, 0, 0, 0, 0),
-    (60, 0, 5, 0, 80, 0, 0, 0, 1), (40, 0.1, 60, 0, 50, 0, 0, 0, 1), (90, 0, 2, 1, 3, 1, 0, 0, 1), (25, 0, 30, 0, 40, 0, 0, 0, 1), (6, 0, 0, 0, 50, 0, 0, 1, 1), (4, 0, 2, 1, 70, 0, 0, 1, 1), (7, 0, 60, 0, 45, 0, 0, 1, 1), (8, 0, 60, 0, 70, 0, 0, 0, 1), (5, 0, 45, 0, 80, 0.1, 0, 0, 1), (18, 0.2, 50, 0, 6, 0, 0, 0, 1), (3, 0, 5, 1, 4, 1, 0, 1, 0), (150, 0.25, 0, 0, 0, 0, 0, 0, 1), (16, 0, 20, 0, 18, 0, 0, 0, 1), (35, 0.2, 3, 1, 60, 0, 0, 0, 1),
-]
-#: Where a page says what a part is, blocks of all sizes and neighbours are labelled by that.
-LABELLED += [(n, d, before, 0, after, 0, place, heading, int(place > 0)) for place in (1, -1) for n in (1, 6, 25, 80, 300) for d in (0, 1) for before in (0, 12, 90) for after in (0, 12, 90) for heading in (0, 1)]
 
 
-def tree_of(rows: list[tuple], depth: int = 6):
+def _said(n: int) -> str:
+    """So many words of prose."""
+    some = "the old house by the river was sold in spring and nobody knew who had lived there before it stood empty".split()
+    return " ".join(some[i % len(some)] + ("." if i % 11 == 10 or i == n - 1 else "") for i in range(n))
+
+
+def _links(n: int) -> str:
+    return "".join(f"<li><a href=/{i}>Topic {i}</a>" for i in range(n))
+
+
+def _pages() -> list[str]:
+    """Labelled pages: content blocks begin with a section sign."""
+    out = []
+    notices = ["We use cookies to improve this page. Accept all", "Subscribe to our newsletter", "Share this on", "All rights reserved", "Advertisement", "Follow us for more", "Leave a comment", "Copyright 2020 by the site", "Read more", "Sign up for our newsletter and get one letter a week"]
+    for n in (4, 9, 16, 30, 60, 130):
+        for k, notice in enumerate(notices):
+            para, other = f"<p>§{_said(n)}</p>", f"<p>§{_said(2 * n)}</p><p>§{_said(25)} <a href=x>see there</a></p>"
+            talk = f"<p>{_said(n)}</p>"
+            call = notice if CUES.search(notice) else notices[0]  # a line of rights may be part of an article
+            title = _said(2 + 2 * k).replace(".", "")
+            bare = f"<p>§{_said(n).replace('.', '')}</p>"
+            body = f"<h1>§{title}</h1>{para}{bare if k % 2 else ''}<h2>§Part two</h2>{other}<ul><li>§first point<li>§second one of them</ul>"
+            out += [
+                f"<body><header><a href=/>Site</a></header><nav><ul>{_links(4 + k)}</ul></nav><main><article>{body}<p>{call}</p></article></main><aside><p>{notice}</p>{talk}</aside><footer>{notice}</footer></body>",
+                f"<body><div class=nav><ul>{_links(6)}</ul></div><div class=post>{body.replace('<ul>', '<div>').replace('</ul>', '</div>')}</div><div class=comments>{talk}{talk}</div><div class=related><ul>{_links(3)}</ul></div><div class=footer><p>{notice}</p></div></body>",
+                f"<body><p>{notice}</p><ul>{_links(5)}</ul><h2>§{title}</h2><div>§{_said(n + 30)}</div><p>§{_said(60)}</p>{f'<p>§{_said(n)}</p><p>§{_said(70)}</p>'}<ul>{_links(4)}</ul><p>{notice}</p></body>",
+                f"<body><div class=legal-news><h1>§{title}</h1><p>§{_said(n + 40)}</p><p>§{_said(50)}</p></div><div class=share-box><p>{notice}</p></div><div class=related-posts>{''.join(f'<p><a href={i}>{_said(7)}</a></p>' for i in range(3))}</div></body>",
+                f"<body><table><tr><td><a href=1>Home</a><td><a href=2>About us</a></table><table><tr><td><p>§{_said(n + 50)}<p>§{_said(40)}<td class=alert-box>{notice}</table><p>{notice}</p></body>",
+                f"<body><article>{para}<section class=comments>{talk}</section><div class=promo-box><p>{call}</p></div>{other}<p><a href=a>{_said(6)}</a></p></article></body>".replace(f"<p><a href=a>{_said(6)}", f"<p><a href=a>§{_said(6)}"),
+                f"<body><article>{body}{para}</article></body>", f"<body><main>{para}{other}<h2>§Part two</h2></main><footer>{notice}</footer></body>", f"<body><article><h1>§{title}</h1>{bare}<h3>§{title}</h3><pre>§{_said(n + k)}</pre>{bare}</article></body>", *(f"<body><article><p>§{_said(m)}</p>{bare}{x}<p>§{_said(m)}</p>{x}<p>§{_said(m)}</p></article>{y}</body>" for m in (1, 2, 3, 4, 5) for x in ("", para, other) for y in ("", f"<footer>{notice}</footer>", f"<ul>{_links(5)}</ul>")),
+                f"<body><h1>§{title}</h1><p>§{_said(n + 8)}</p><p>§{_said(n + 20)}</p></body>", f"<body><ul>{_links(k + 1)}</ul><h1>§{title}</h1><p>§{_said(n + 8)}</p><p>§{_said(40)}</p><p>§{_said(n + 9)}</p></body>", f"<p>§{_said(n + 8)}</p>",
+                f"<body><div class=nav><a href=1>One</a> <a href=2>Two</a></div><p>§{_said(n + 30)}</p><p>§{_said(60)}</p><div class=footer>{talk}</div></body>",
+            ]
+    return out + [page.replace(".", "") for page in out]
+
+
+def tree_of(rows: list[tuple], depth: int = 10):
     """A decision tree by Gini impurity: (feature, threshold, below, from there on) or the content flag of a leaf."""
     x, y = np.array([r[:-1] for r in rows], float), np.array([r[-1] for r in rows], float)
     share = y.mean()
@@ -84,7 +121,7 @@ def decide(tree, x: np.ndarray) -> np.ndarray:
 
 
 def place_of(tag: str, attributes: str, inside: int) -> int:
-    """1: an article begins; -1: something that isn't part of one; 0: as around it."""
+    """1: an article begins; -1: something that isn't part of one; 0: as around it; HINTED: as around it, but its name hints at the latter."""
     names = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     if tag in APART or (tag == "header" and inside <= 0) or names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", names.get("style", ""), re.I):
         return -1
@@ -95,21 +132,23 @@ def place_of(tag: str, attributes: str, inside: int) -> int:
     if tag in HEADINGS:  # their ids come from their words
         return 0
     if inside <= 0:
-        return -1 if NAMED.search(f"{names.get('class', '')} {names.get('id', '')}") else 0
+        own = f"{names.get('class', '')} {names.get('id', '')}"
+        return -1 if NAMED.search(own) or WHOLE.search(own) else HINTED if HINT.search(own) else 0
     if tag not in CONTAINERS:
         return 0
-    whole = names.get("class", "").split() + ([names.get("id", "")] if tag != "section" else [])
-    return -1 if any(map(NAMED.fullmatch, whole)) else 0
+    whole = f"{names.get('class', '')} {names.get('id', '') if tag != 'section' else ''}"
+    return -1 if WHOLE.search(whole) else HINTED if HINT.search(whole) else 0
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
-    """(text, words, words in links, place, heading) of a page's text blocks, in order."""
+def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool, bool]]:
+    """(text, words, words in links, place, heading, hint) of a page's text blocks, in order."""
     parts: list[str] = []
     words = linked = 0
-    stack: list[tuple[str, int]] = []  # open elements, and the place inside each
+    stack: list[tuple[str, int, bool]] = []  # open elements, and the place and hint inside each
+    opened: Counter[str] = Counter()
     absent: set[str] = set()  # dropped elements that have no end tag from here on
     links, at, end = 0, 0, len(page)
-    heading = False
+    heading = hint = False
 
     def flushed():
         text = " ".join("".join(parts).split())
@@ -137,7 +176,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
         name = name.lower()
         if name in BLOCKS:
             if text := flushed():
-                yield text, words, min(linked, words), place, heading
+                yield text, words, min(linked, words), place, heading, hint
             words = linked = 0
         elif name == "br":
             parts.append(" ")
@@ -155,34 +194,53 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
             if name in VOID or (attributes.endswith("/") and name not in BLOCKS):
                 continue
             while stack and stack[-1][0] in CLOSES.get(name, ()):
-                stack.pop()
-            around = stack[-1][1] if stack else 0
+                opened[stack.pop()[0]] -= 1
+            around, hinted = stack[-1][1:] if stack else (0, False)
             new = place_of(name, attributes, around)
-            stack.append((name, -1 if around < 0 else new or around))
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            stack.append((name, -1 if around < 0 else around if new == HINTED else new or around, hinted or new == HINTED))
+            opened[name] += 1
+        elif opened[name]:  # an end tag without a start changes nothing
+            while (last := stack.pop()[0]) != name:
+                opened[last] -= 1
+            opened[name] -= 1
         links = links + 1 if name == "a" and not closing else 0 if name == "a" or name in BLOCKS else links
-        place = stack[-1][1] if stack else 0
+        place, hint = stack[-1][1:] if stack else (0, False)
         if name in BLOCKS:
             heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
     if text := flushed():
-        yield text, words, min(linked, words), place, heading
+        yield text, words, min(linked, words), place, heading, hint
 
 
-def _features(found: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
-    x = np.zeros((len(found), 8))
+def _features(found: list[tuple[str, int, int, int, bool, bool]]) -> np.ndarray:
+    x = np.zeros((len(found), 11))
     n, k = np.array([b[1] for b in found], float), np.array([b[2] for b in found], float)
     density = k / np.maximum(n, 1)
     x[:, 0], x[:, 1] = n, density
     x[1:, 2], x[1:, 3] = n[:-1], density[:-1]
     x[:-1, 4], x[:-1, 5] = n[1:], density[1:]
-    x[:, 6], x[:, 7] = [b[3] for b in found], [b[4] for b in found]
+    x[:, 6], x[:, 7], x[:, 8] = ([b[i] for b in found] for i in (3, 4, 5))
+    x[:, 9] = [sum(len(c.split()) for c in CUES.findall(b[0])) for b in found] / np.maximum(n, 1)
+    x[:, 10] = [sum(map(b[0].count, ".!?")) for b in found] / np.maximum(n, 1)
     return x
 
 
+def _labelled() -> list[tuple]:
+    """The features of all blocks of the labelled pages, each kind once, and whether it is content."""
+    rows = {}
+    for page in _pages():
+        found = list(blocks(page))
+        for x, block in zip(_features([(b[0].removeprefix("§"), *b[1:]) for b in found]).tolist(), found, strict=True):
+            rows.setdefault(tuple(x), int(block[0][0] == "§"))
+    # where a page says that it is the article, blocks of any size and neighbours are content, calls apart
+    around = [(0, 0), (12, 1), (90, 0)]
+    for n, density, before, after, heading, hint in itertools.product((1, 6, 25, 80, 300), (0, 0.6, 1), around, around, (0, 1), (0, 1)):
+        rows.setdefault((n, density, *before, *after, 1, heading, hint, 0, 0), 1)
+    return [(*x, y) for x, y in rows.items()]
+
+
+LABELLED = _labelled()
+
+
 def main_text(page: str | None, tree) -> str:
     found = list(blocks(page or ""))
     if not found:
