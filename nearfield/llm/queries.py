@@ -8,6 +8,7 @@ from .decontamination import op2_decontamination
 from .html_text import op5_html_text
 from .jaccard_join import op4_jaccard_join
 from .language_id import op9_language_id
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .pii import op8_pii
 from .quality_rules import op10_quality_rules
 from .substring_dedup import op1_substring_dedup
@@ -25,4 +26,3 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
