@@ -1,19 +1,21 @@
 """Quality classifier by co-training of two views of a document.
 
-The text view sees what the text looks like: frequencies of pairs of character classes, and lengths
-and repetitions. The metadata view sees lang, source and n_chars only. Both are logistic regressions.
-In each round either view marks the unlabelled documents that it is surest of, in the proportion of
+The text view sees the text: frequencies of its words, hashed, of pairs of character classes, and
+repetitions. The metadata view sees lang and source only. Both are logistic regressions. First either view is
+fitted on labelled rows alone, and all documents are scored by both. Those of which a view is surest, at either end, are
+the pool of the rounds: in each, either view marks the documents of the pool that it is surest of, in the proportion of
 the labels, and these pseudo-labels join the other view's training rows. Then each view is calibrated
 on labelled rows that neither has seen, and a logistic regression of the calibrated log-odds combines
-them. All documents are scored in one pass without a shuffle.
+them. All documents are scored by that in one pass without a shuffle.
 
-Fitting uses at most `most_labelled` labelled and `most_unlabelled` other documents, chosen by a hash
-of doc_id; scoring covers every row and whole texts.
+The driver fits on at most `most_labelled` labelled documents, chosen by a hash of doc_id, and as many of the pool as
+`most_unlabelled` says; both passes of scoring cover every row and whole texts. Of rows that repeat a doc_id, the one
+of the least text is fitted.
 
 Defined results: null and empty texts, and null metadata, are values like any others; rows are scored
 one by one, so repeated rows and null identifiers are fine; without labels of both kinds every score
 is the share of good labels, or 0.5 without any; empty tables give empty results; columns besides
-doc_id, text, lang, source and n_chars aren't read, and those of the last three that lack are null.
+doc_id, text, lang and source aren't read, and those of the last two that lack are null.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ from __future__ import annotations
 import dataclasses
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flat import column, slices, totals
+from .flat import ALNUM, LOWER, U64, Fingerprints, column, mix, slices, totals, words
 from .quality_rules import count
-from .tables import sampled, table
+from .tables import durable, sampled, table
 
 #: Character classes of the text view, by what bytes they hold; others are class 0.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".,;:", "!", "?", "#$%&*", "|<>", "'\"`", "()[]{}", "-_=+~", "/\\@^"]
@@ -38,6 +41,7 @@ for _i, _bytes in enumerate(CLASSES):
     CLASS[[ord(c) for c in _bytes]] = _i + 1
 CLASS[128:] = 15
 PAIRS = 256
+WORDS = 256
 SHAPES = 6
 META = 256
 
@@ -59,18 +63,26 @@ def pair_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return codes, inside
 
 
+def word_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each word, A-Z lowered, and where each text's words begin."""
+    lowered = LOWER[data]
+    starts, ends, first = words(lowered, offsets, ALNUM)
+    return (mix(Fingerprints(lowered).of(starts, ends)) % U64(WORDS)).astype(np.int64), first
+
+
 def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     codes, inside = pair_codes(data, offsets)
     n = len(offsets) - 1
     doc = np.repeat(np.arange(n), np.diff(offsets))[inside]
     pairs = np.bincount(doc * PAIRS + codes[inside], minlength=n * PAIRS).reshape(n, PAIRS) / np.maximum(1, np.bincount(doc, minlength=n))[:, None]
-    return np.hstack([10 * pairs, shapes(data, offsets)])
+    slots, first = word_slots(data, offsets)
+    counts = np.bincount(np.repeat(np.arange(n), np.diff(first)) * WORDS + slots, minlength=n * WORDS).reshape(n, WORDS) / np.maximum(1, np.diff(first))[:, None]
+    return np.hstack([10 * pairs, 10 * counts, shapes(data, offsets)])
 
 
-def meta_slots(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
+def meta_slots(lang: str | None, source: str | None) -> list[int]:
     """The features of the metadata view that a document has: three of META."""
-    size = "null" if n_chars is None else str(max(n_chars, 0).bit_length())
-    return [zlib.crc32(f"{name}={value}".encode()) % META for name, value in (("lang", lang), ("source", source), ("size", size))]
+    return [zlib.crc32(f"{name}={value}".encode()) % META for name, value in (("lang", lang), ("source", source), ("both", f"{lang}/{source}"))]
 
 
 def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
@@ -105,7 +117,7 @@ class Model:
 def constant(share: float) -> Model:
     """The model that gives every document the same score."""
     one = np.array([0.0, 0.0, np.log(share / (1 - share))])
-    return Model(np.zeros(PAIRS + SHAPES + 1), np.zeros(META + 1), (np.zeros(2), np.zeros(2)), one)
+    return Model(np.zeros(PAIRS + WORDS + SHAPES + 1), np.zeros(META + 1), (np.zeros(2), np.zeros(2)), one)
 
 
 def cotrained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 5, share: float = 0.05) -> Model:
@@ -149,32 +161,39 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, end, data, offsets in slices(column(batch, "text")):
             x = text_features(data, offsets).astype(np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*(column(batch, c)[first:end] for c in ("quality", "lang", "source", "n_chars")), lists], names=["quality", "lang", "source", "n_chars", "x"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c)[first:end] for c in ("place", "quality", "lang", "source")), lists], names=["place", "quality", "lang", "source", "x"])
 
 
 def with_metadata(docs: DataFrame, *more: str) -> DataFrame:
-    have = {"lang": "string", "source": "string", "n_chars": "long"}
+    have = {"lang": "string", "source": "string"}
     return docs.select(*more, "text", *((F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in have.items()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_unlabelled: int = 3000, **options) -> Model:
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = sampled(known, "doc_id", most_labelled).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    others = sampled(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", most_unlabelled, seed=1)
-    both = chosen.union(others.join(F.broadcast(chosen), "doc_id", "left_anti").select("doc_id", F.lit(-1)))
-    rows = with_metadata(docs, "doc_id").join(F.broadcast(both), "doc_id").select("quality", "text", "lang", "source", "n_chars")
-    found = rows.mapInArrow(_wide, "quality int, lang string, source string, n_chars long, x array<float>").toArrow()
-    n = len(found)
-    y = found.column("quality").to_numpy()
-    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(n, PAIRS + SHAPES).astype(float) if n else np.zeros((0, PAIRS + SHAPES))
+def _gathered(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text features, metadata features, quality) of the chosen documents (doc_id, quality), in an order of their own; a row a doc_id."""
+    rows = with_metadata(docs, "doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "quality")).alias("row"))
+    read = rows.select(F.xxhash64(F.lit(11), "doc_id").alias("place"), "row.*")
+    found = read.select("place", "quality", "text", "lang", "source").mapInArrow(_wide, "place long, quality int, lang string, source string, x array<float>").orderBy("place").toArrow()
+    n, width = len(found), PAIRS + WORDS + SHAPES
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(n, width).astype(float) if n else np.zeros((0, width))
     meta = np.zeros((n, META))
-    for i, row in enumerate(zip(*(found.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)):
+    for i, row in enumerate(zip(*(found.column(c).to_pylist() for c in ("lang", "source")), strict=True)):
         meta[i, meta_slots(*row)] = 1
-    order = np.lexsort((x[:, -3], x[:, -1], x[:, -6], y)) if n else np.zeros(0, int)  # whatever order the rows came in
-    x, meta, y = x[order], meta[order], y[order]
-    mixed = np.random.default_rng(11).permutation(n)
-    x, meta, y = x[mixed], meta[mixed], y[mixed]
-    return cotrained(x[y >= 0], meta[y >= 0], (y[y >= 0] > 0).astype(float), x[y < 0], meta[y < 0], **options)
+    return x, meta, found.column("quality").to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_unlabelled: int = 3000, **options) -> Model:
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    x, meta, quality = _gathered(docs, sampled(known, "doc_id", most_labelled).select("doc_id", "quality"))
+    y = (quality > 0).astype(float)
+    none = np.zeros((0, x.shape[1])), np.zeros((0, META))
+    first = cotrained(x, meta, y, *none)
+    if not first.text.any():
+        return first
+    views = durable(scored(docs.where("doc_id IS NOT NULL"), first).select("doc_id", "p_text", "p_meta").join(known, "doc_id", "left_anti"))
+    ends = [views.orderBy(F.col(p) if low else F.col(p).desc(), F.xxhash64("doc_id"), "doc_id").limit(most_unlabelled // 4).select("doc_id") for p in ("p_text", "p_meta") for low in (True, False)]
+    pool = _gathered(docs, reduce(DataFrame.union, ends).distinct().withColumn("quality", F.lit(-1)))
+    return cotrained(x, meta, y, *pool[:2], **options)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -186,21 +205,23 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
         m = shared.value
         slots: dict = {}
         for batch in batches:
-            meta_columns = [column(batch, c).to_pylist() for c in ("lang", "source", "n_chars")]
+            meta_columns = [column(batch, c).to_pylist() for c in ("lang", "source")]
             for first, end, data, offsets in slices(column(batch, "text")):
                 codes, inside = pair_codes(data, offsets)
                 pairs = totals(inside, offsets)
                 sums = np.append(0.0, np.cumsum(np.where(inside, m.text[codes], 0.0)))
                 by_pairs = 10 * (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(pairs, 1)
-                text = np.clip(by_pairs + shapes(data, offsets) @ m.text[PAIRS:-1] + m.text[-1], -30, 30)
+                in_words, first_word = word_slots(data, offsets)
+                sums = np.append(0.0, np.cumsum(m.text[PAIRS + in_words]))
+                by_words = 10 * (sums[first_word[1:]] - sums[first_word[:-1]]) / np.maximum(np.diff(first_word), 1)
+                text = np.clip(by_pairs + by_words + shapes(data, offsets) @ m.text[PAIRS + WORDS : -1] + m.text[-1], -30, 30)
                 meta = np.empty(end - first)
                 for i, row in enumerate(zip(*(c[first:end] for c in meta_columns), strict=True)):
-                    key = (row[0], row[1], None if row[2] is None else max(row[2], 0).bit_length())
-                    if key not in slots:
+                    if row not in slots:
                         if len(slots) > 100_000:
                             slots.clear()
-                        slots[key] = m.meta[sorted(set(meta_slots(*row)))].sum() + m.meta[-1]
-                    meta[i] = slots[key]
+                        slots[row] = m.meta[sorted(set(meta_slots(*row)))].sum() + m.meta[-1]
+                    meta[i] = slots[row]
                 views = [logit(c, v[:, None]) for c, v in zip(m.calibration, (text, np.clip(meta, -30, 30)), strict=True)]
                 both = logit(m.combined, np.stack(views, axis=1))
                 columns = [pa.array(np.round(1 / (1 + np.exp(-v)), 9)) for v in (*views, both)]

@@ -21,14 +21,14 @@ def test_held_out_accuracy_and_use_of_both_views(spark):
 
 def test_fast_scores_equal_matrix_scores(cases):
     draw = np.random.default_rng(1)
-    model = c.Model(draw.normal(size=c.PAIRS + c.SHAPES + 1), draw.normal(size=c.META + 1), (np.array([1.1, 0.1]), np.array([0.9, -0.2])), np.array([0.5, 0.6, 0.1]))
+    model = c.Model(draw.normal(size=c.PAIRS + c.WORDS + c.SHAPES + 1), draw.normal(size=c.META + 1), (np.array([1.1, 0.1]), np.array([0.9, -0.2])), np.array([0.5, 0.6, 0.1]))
     rows = c.scored(cases, model, ["text", "lang", "source", "n_chars"]).collect()
     assert len(rows) == cases.count()
     for r in rows:
         data = np.frombuffer((r.text or "").encode(), np.uint8)
         x = c.text_features(data, np.array([0, len(data)]))
         m = np.zeros((1, c.META))
-        m[0, c.meta_slots(r.lang, r.source, r.n_chars)] = 1
+        m[0, c.meta_slots(r.lang, r.source)] = 1
         views = [c.logit(k, v[:, None]) for k, v in zip(model.calibration, (c.logit(model.text, x), c.logit(model.meta, m)), strict=True)]
         assert abs(1 / (1 + np.exp(-c.logit(model.combined, np.stack(views, axis=1))[0])) - r.score) < 1e-6
 

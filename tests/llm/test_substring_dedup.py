@@ -17,7 +17,7 @@ def chunked(data, bits=5, smallest=8, largest=128):
     return out + [(last, len(data))] * (last < len(data))
 
 
-def brute(rows, least=64):
+def brute(rows, least=80):
     docs = sorted({(d is not None, d or 0, t or "") for d, t in rows})
     first, out = {}, {}
     order = [(d, t, t.encode()) for d, t in ((x[1] if x[0] else None, x[2]) for x in docs)]
