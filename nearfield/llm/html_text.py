@@ -45,6 +45,8 @@ WHOLE = re.compile(rf"(?:^|\s)(?:{STRONG}|{WEAK})(?:$|\s)", re.I)
 HINT = re.compile(rf"(?:^|[\s_-])(?:{WEAK})(?:$|[\s_-])", re.I)
 #: Words of calls and notices, which short blocks of a page's own consist of.
 CUES = re.compile(r"\b(?:subscribe|sign up|sign in|log in|register now|follow us|share this|share on|read more|click here|advertisement|sponsored|cookies?|accept all|privacy policy|terms of (?:use|service)|related (?:articles|posts|stories)|leave a (?:comment|reply)|newsletter|skip to content|back to top|next page|previous page|posted in|tagged)\b", re.I)
+#: What any of these holds.
+STEMS = ("subscribe", "sign up", "sign in", "log in", "register now", "follow us", "share this", "share on", "read more", "click here", "advertisement", "sponsored", "cookie", "accept all", "privacy policy", "terms of", "related", "leave a", "newsletter", "skip to content", "back to top", "next page", "previous page", "posted in", "tagged")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Inside an article only these are judged by names, and only by a whole class or id (a section's id, like a heading's, comes from its words).
 CONTAINERS = frozenset("div section aside nav ul ol dl table".split())
@@ -211,6 +213,11 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, bool, bool]]:
         yield text, words, min(linked, words), place, heading, hint
 
 
+def cue_words(text: str) -> int:
+    lowered = text.lower()
+    return sum(len(c.split()) for c in CUES.findall(text)) if any(stem in lowered for stem in STEMS) else 0
+
+
 def _features(found: list[tuple[str, int, int, int, bool, bool]]) -> np.ndarray:
     x = np.zeros((len(found), 11))
     n, k = np.array([b[1] for b in found], float), np.array([b[2] for b in found], float)
@@ -219,7 +226,7 @@ def _features(found: list[tuple[str, int, int, int, bool, bool]]) -> np.ndarray:
     x[1:, 2], x[1:, 3] = n[:-1], density[:-1]
     x[:-1, 4], x[:-1, 5] = n[1:], density[1:]
     x[:, 6], x[:, 7], x[:, 8] = ([b[i] for b in found] for i in (3, 4, 5))
-    x[:, 9] = [sum(len(c.split()) for c in CUES.findall(b[0])) for b in found] / np.maximum(n, 1)
+    x[:, 9] = [cue_words(b[0]) for b in found] / np.maximum(n, 1)
     x[:, 10] = [sum(map(b[0].count, ".!?")) for b in found] / np.maximum(n, 1)
     return x
 
