@@ -1,12 +1,18 @@
 """Vector files: fixed-stride .fvecs and .ivecs, ground-truth .bin and tab-separated text.
 
-Binary files are read through Spark's own binary reader, which reaches any store that Spark does, and cut
-into records in tasks; a large collection is many files. Parquet is the format to keep vectors in.
+Files of fixed stride are read through Hadoop's input format of fixed-length records, which reaches any store that
+Spark does and splits a file between tasks; the driver reads each file's length and first four bytes only. A
+ground-truth file, a few ids a query, is read as one row. Parquet is the format to keep vectors in.
+
+Defined results: an empty file has no records; one that isn't whole records of the first one's dimension is an error;
+a missing path is an error of Spark's.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,33 +20,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _records(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                raw = row["content"]
-                if not raw:
-                    continue
-                dim = int.from_bytes(raw[:4], "little")
-                stride = 4 + 4 * dim
-                if len(raw) % stride:
-                    raise ValueError(f"{row['path']}: not whole records of {dim} components")
-                table = np.frombuffer(raw, "<i4").reshape(-1, dim + 1)
-                if (table[:, 0] != dim).any():
-                    raise ValueError(f"{row['path']}: records differ in dimension")
-                values = np.ascontiguousarray(table[:, 1:])
-                values = values.view("<f4") if kind == "float" else values
-                for first in range(0, len(values), 4096):
-                    part = values[first : first + 4096]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * dim, pa.int32()), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(part)), pa.array(np.arange(first, first + len(part))), lists], names=["file", "pos", "vector"])
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, dimension of the first record) of a file, or of the files of a folder or pattern."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for found in store.globStatus(at) or []:
+        for status in store.listStatus(found.getPath()) if found.isDirectory() else [found]:
+            name, length = status.getPath().toString(), status.getLen()
+            if length and not status.getPath().getName().startswith(("_", ".")):
+                stream = store.open(status.getPath())
+                dim = int.from_bytes(stream.readInt().to_bytes(4, "big", signed=True), "little", signed=True)
+                stream.close()
+                if dim < 1 or length % (4 + 4 * dim):
+                    raise ValueError(f"{name}: not whole records of {dim} components")
+                out.append((name, length, dim))
+    if not out and not (store.globStatus(at) or []):
+        raise ValueError(f"{path}: no such file")
+    return sorted(out)
+
+
+def _decoded(name: str, dim: int, kind: str):
+    def run(records: Iterator[tuple[bytes, int]]) -> Iterator[tuple[str, int, list]]:
+        while some := list(itertools.islice(records, 4096)):
+            table_ = np.frombuffer(b"".join(r for r, _ in some), "<i4").reshape(len(some), dim + 1)
+            if (table_[:, 0] != dim).any():
+                raise ValueError(f"{name}: records differ in dimension")
+            values = np.ascontiguousarray(table_[:, 1:])
+            for (_, pos), row in zip(some, (values.view("<f4") if kind == "float" else values).tolist(), strict=True):
+                yield name, pos, row
 
     return run
 
 
 def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_records(kind), f"file string, pos long, vector array<{kind}>")
+    schema = f"file string, pos long, vector array<{kind}>"
+    parts = [
+        spark.createDataFrame(spark.sparkContext.binaryRecords(name, 4 + 4 * dim).zipWithIndex().mapPartitions(_decoded(name, dim, kind)), schema)
+        for name, _, dim in _files(spark, path)
+    ]
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
