@@ -25,7 +25,7 @@ Answers from similar sets. The set of a block that most other blocks hold too is
    what is joined: a pair of which one doesn't link with the pivot must share an element among the
    first few of both differences, in an order with the elements that the pivot lacks first. So an edit
    that copies have in common brings them together, and the text that all copies share doesn't.
-3. Remote members of a block have only the block's part in common with the pivot. They are compared
+3. Remote members of a block have little but the block's part in common with the pivot. They are compared
    by sizes and parities, in tiles of bounded size (`remote_pairs`), and what that leaves exactly.
 
 Every set is shipped once for each pivot that it is compared with. Groups of a pivot are cut into
