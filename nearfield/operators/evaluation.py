@@ -19,6 +19,12 @@ def hybrid_ground_truth(items: DataFrame, queries: DataFrame, k: int, attribute:
     return knn(items, queries, k, metric, same=attribute)
 
 
+def random_attribute(item_id: Column, most: int = 12, seed: int = 42) -> Column:
+    """An attribute from 1 to `most`, evenly spread, from a hash of the id: the same wherever it is computed."""
+    spread = (F.pmod(item_id, F.lit(1 << 31)) * 2654435761 + seed) % (1 << 32)
+    return (F.floor(spread * most / float(1 << 32)) + 1).cast("long")
+
+
 def recall_at_k(found: DataFrame, truth: DataFrame, limit: int) -> DataFrame:
     """By query: matches / limit, and matches / size of its truth, which may be less than limit."""
     hits = truth.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")

@@ -6,6 +6,7 @@ comes first; repeated edges count once where a function says so; empty tables gi
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +43,7 @@ def append_ids(numbered: DataFrame | None, batch: DataFrame, order: str) -> Data
 
 def level(item_id: Column, m: int, seed: int = 12345) -> Column:
     """A node's top layer: floor(-ln(u) / ln(m)) with u in (0, 1) from a hash of its id, at most 31."""
-    u = (((item_id % (1 << 32)) * 2654435761 + seed) % (1 << 32) + F.lit(0.5)) / float(1 << 32)
+    u = ((F.pmod(item_id, F.lit(1 << 31)) * 2654435761 + seed) % (1 << 32) + F.lit(0.5)) / float(1 << 32)
     return F.least(F.floor(-F.log(u.cast("double")) / F.log(F.lit(float(m)))), F.lit(31)).cast("long")
 
 
@@ -104,6 +105,16 @@ def printed(edges: DataFrame) -> DataFrame:
     return lists.select("layer", "src", F.concat(F.lit("("), F.col("src").cast("string"), F.lit(") -> {"), names, F.lit("}")).alias("line"))
 
 
+def printed_reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """layer, depth, src and line of the nodes that a walk from the start nodes (id) reaches in their layer, breadth first by depth and id."""
+    lines = printed(edges)
+    layers = [r.layer for r in edges.select("layer").distinct().orderBy(F.col("layer").desc()).collect()]  # about log n / log m of them
+    parts = [reachable(durable(layer_of(edges, layer)), start).select(F.lit(layer).cast("long").alias("layer"), F.col("node").alias("src"), "depth") for layer in layers]
+    if not parts:
+        return lines.select("layer", F.lit(0).cast("long").alias("depth"), "src", "line")
+    return reduce(DataFrame.union, parts).join(lines, ["layer", "src"]).select("layer", "depth", "src", "line").orderBy(F.col("layer").desc(), "depth", "src")
+
+
 def layer_of(edges: DataFrame, layer: int) -> DataFrame:
     return edges.where(F.col("layer") == layer)
 

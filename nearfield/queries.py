@@ -65,7 +65,7 @@ def knn_sql(k: int, condition: str = "true", distance=cos, ask: str = "q.vec_id
 
 GRAPH_K = 5
 GRAPH_SQL = f"""graph AS (SELECT 0::BIGINT AS layer, query_id AS src, rank AS pos, id AS dst, distance FROM ({knn_sql(GRAPH_K, "q.vec_id <> e.vec_id", ask="true")}))"""
-LEVEL_SQL = "least(floor(-ln((((vec_id % 4294967296) * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0) / ln(16.0)), 31)::BIGINT"
+LEVEL_SQL = "least(floor(-ln((((vec_id % 2147483648) * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0) / ln(16.0)), 31)::BIGINT"
 
 
 # --- distances: each vector with the first one of its label ---
@@ -327,6 +327,13 @@ def print_adjacency(spark, sf):
     return graph.printed(_edges(spark, sf))
 
 
+@query(f"""WITH RECURSIVE {GRAPH_SQL.replace("graph AS (", "graph AS MATERIALIZED (", 1)}, walk(node, depth) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT g.dst, min(w.depth) + 1 FROM walk w
+    JOIN graph g ON g.src = w.node WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = g.dst) GROUP BY g.dst)
+    SELECT layer, depth, src, line FROM walk JOIN (SELECT layer, src, '(' || src || ') -> {{' || string_agg(dst::VARCHAR, ', ' ORDER BY pos) || '}}' AS line FROM graph GROUP BY layer, src) ON src = node""")
+def print_reachable(spark, sf):
+    return graph.printed_reachable(durable(_edges(spark, sf)), items(spark, sf).where("id = 0"))
+
+
 @query(f"WITH {GRAPH_SQL} SELECT src, pos, dst FROM graph WHERE layer = 0")
 def enumerate_layer(spark, sf):
     return graph.layer_of(_edges(spark, sf), 0).select("src", "pos", "dst")
@@ -374,6 +381,18 @@ def attribute_histogram(spark, sf):
     return items(spark, sf).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT vec_id AS id, (floor(((vec_id % 2147483648) * 2654435761 + 42) % 4294967296 * 12 / 4294967296.0::DOUBLE) + 1)::BIGINT AS attribute FROM embeddings")
+def random_attribute(spark, sf):
+    return items(spark, sf).select("id", ev.random_attribute(F.col("id")).alias("attribute"))
+
+
+@query(knn_sql(10, "q.label < e.label AND e.vec_id % 3 <> q.vec_id % 7"))
+def knn_predicate(spark, sf):
+    """A filter of columns of the query and of the item."""
+    q = asked(spark, sf).select("query_id", "vector", F.col("label").alias("q_label"))
+    return exact.knn_by(items(spark, sf), q, 10, v.cosine_distance, where="q_label < label AND id % 3 <> query_id % 7")
+
+
 @query(f"""SELECT t.query_id, count(f.id) AS matches, round(count(f.id) / 10.0, 6) AS recall, round(count(f.id) / count(*), 6) AS recall_vs_available
     FROM ({TRUTH_SQL}) t LEFT JOIN ({FOUND_SQL}) f ON t.query_id = f.query_id AND t.id = f.id GROUP BY t.query_id""")
 def recall_at_k(spark, sf):

@@ -207,3 +207,13 @@ def test_cells(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.knn(x, asked, 5).collect()))
     none = x.where("false")
     assert cells.search(cells.with_cells(none, cells.centroids(none, 8)), cells.centroids(none, 8), asked, 5, 3).count() == 0
+
+
+def test_hashes_of_large_ids(spark):
+    ids = spark.createDataFrame([(x,) for x in (0, 1, 2**32 - 1, 2**40 + 7, 2**62, -5)], "id long")
+    from nearfield.operators import evaluation as ev
+
+    rows = ids.select(g.level(F.col("id"), 16).alias("l"), ev.random_attribute(F.col("id")).alias("a")).collect()
+    assert all(0 <= r.l <= 31 and 1 <= r.a <= 12 for r in rows)
+    counts = {r.a: r["count"] for r in spark.range(24000).groupBy(ev.random_attribute(F.col("id")).alias("a")).count().collect()}
+    assert sorted(counts) == list(range(1, 13)) and all(1800 < n < 2200 for n in counts.values())
