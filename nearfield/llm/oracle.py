@@ -37,4 +37,30 @@ left_ AS (SELECT r, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (kept.b - kep
 SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(left_.h)) AS kept_sha256
 FROM d JOIN left_ USING (r) LEFT JOIN gone USING (r)"""
 
-ORACLE_SQL = {"op2_decontamination": OP2, "op4_jaccard_join": OP4, "op7_suffix_dedup": OP7}
+_CUT = "least(h1 % (n + 1), h2 % (n + 1))", "greatest(h1 % (n + 1), h2 % (n + 1))"
+OP12 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT doc_id, t, w, len(w) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(w[1 : {_CUT[0]}], '') AS p, array_to_string(w[{_CUT[0]} + 1 : {_CUT[1]}], '') AS m, array_to_string(w[{_CUT[1]} + 1 :], '') AS f FROM h)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || f || '<M>' || m ELSE '<S>' || f || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+# crc32 by its table, from the polynomial; a run of period q is a stretch of places whose 16 words stand again q words on
+OP13 = f"""WITH RECURSIVE poly(i, k, c) AS (SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8),
+steps AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_PLAIN}') AS w,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS h FROM documents, steps),
+p AS (SELECT *, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d), q AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM p),
+x AS MATERIALIZED (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: w[(CASE WHEN i >= a THEN a + (i - a) % p ELSE i END) + 1]) ELSE w END AS w FROM q),
+grams AS MATERIALIZED (SELECT r, i, md5(array_to_string(w[i + 1 : i + 16], ' ')) AS g FROM (SELECT r, w, unnest(range(len(w) - 15)) AS i FROM x WHERE len(w) >= 24)),
+again AS (SELECT a.r, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.r = b.r AND a.g = b.g AND a.i < b.i),
+islands AS (SELECT r, q, min(i) AS start, max(i) + 16 + q - min(i) AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM again) GROUP BY r, q, k),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+lists AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS l FROM runs GROUP BY r),
+best AS (SELECT r, start, length, period FROM runs a WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE a.r = b.r AND (b.length * a.period > a.length * b.period OR (b.length * a.period = a.length * b.period AND (b.start, b.period) < (a.start, a.period))))),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(v, ' ' ORDER BY i) AS c FROM (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS v FROM x) LEFT JOIN gone USING (r, i) WHERE gone.i IS NULL GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM x LEFT JOIN lists USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+ORACLE_SQL = {"op12_fill_in_middle": OP12, "op13_periodic_runs": OP13, "op2_decontamination": OP2, "op4_jaccard_join": OP4, "op7_suffix_dedup": OP7}
