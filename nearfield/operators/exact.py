@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import Metric, rounded
@@ -50,8 +50,6 @@ def matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
 def _packed(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = batch.column(1).is_valid()
-            batch = batch.filter(keep) if not keep.to_numpy(zero_copy_only=False).all() else batch
             group = batch.column(2)
             names = group.to_pylist() if group.null_count < len(group) else []
             cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), batch.num_rows]
@@ -65,8 +63,8 @@ def _packed(rows: int):
 
 
 def packed(rows: DataFrame, rows_a_block: int, grouped: bool = False) -> DataFrame:
-    """Blocks of (dim, ids, vectors, g), each of one group, of rows (id, vector, group as string); null vectors are left out."""
-    rows = rows.toDF("id", "vector", "g")
+    """Blocks of (dim, ids, vectors, g), each of one group, of rows (id, vector, group as string); rows without id or vector are left out."""
+    rows = rows.toDF("id", "vector", "g").where("id IS NOT NULL AND vector IS NOT NULL")
     return (rows.sortWithinPartitions("g") if grouped else rows).mapInArrow(_packed(rows_a_block), "dim int, ids binary, vectors binary, g string")
 
 
@@ -95,11 +93,11 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
 
-def near_by_block(items: DataFrame, queries: DataFrame, k: int, metric: str, group: Column | None = None, same: bool = True, skip_self: bool = False, digits: int = 6, item_group: Column | None = None) -> DataFrame:
+def near_by_block(items: DataFrame, queries: DataFrame, k: int, metric: str, group: Column | None = None, same: bool = True, skip_self: bool = False, digits: int = 6, item_group: Column | None = None, watch: Observation | str | None = None) -> DataFrame:
     """query_id, id and distance of each query's k nearest in every block of items of one group.
 
     With `same`, queries meet the items of their group alone: blocks are joined on it, so other groups' blocks aren't
-    touched. Query blocks are broadcast only if they are small.
+    touched. Query blocks are broadcast only if they are small. watch: see `watched`.
     """
     none = F.lit(None).cast("string")
     own = none if group is None else group.cast("string")
@@ -109,14 +107,25 @@ def near_by_block(items: DataFrame, queries: DataFrame, k: int, metric: str, gro
     asked = packed(asked, QUERY_BLOCK, group is not None and same).toDF("q_dim", "q_ids", "q_vectors", "g")
     asked = F.broadcast(asked) if n * (8 * (dim or 0) + 16) <= MOST_BROADCAST else asked
     pairs = blocks.join(asked, "g") if group is not None and same else blocks.drop("g").crossJoin(asked.drop("g"))
-    return pairs.mapInArrow(_nearest(metric, k, digits, skip_self), "query_id long, id long, distance double")
+    return watched(pairs, watch).mapInArrow(_nearest(metric, k, digits, skip_self), "query_id long, id long, distance double")
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | str | None = None, same: str | None = None, skip_self: bool = False, digits: int = 6) -> DataFrame:
+def watched(pairs: DataFrame, watch: Observation | str | None) -> DataFrame:
+    """Pairs of blocks that count themselves as they pass, if somebody listens: block_pairs, and distances, of an item and a query.
+
+    watch: an Observation of one search, or the name of the metrics in a stream's progress. Without it nothing is added to the plan.
+    """
+    if watch is None:
+        return pairs
+    n = F.length("ids").cast("long") * F.length("q_ids") / 64  # of eight bytes an id
+    return pairs.observe(watch, F.count(F.lit(1)).alias("block_pairs"), F.coalesce(F.sum(n.cast("long")), F.lit(0)).alias("distances"))
+
+
+def knn(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | str | None = None, same: str | None = None, skip_self: bool = False, digits: int = 6, watch: Observation | str | None = None) -> DataFrame:
     """query_id, id, distance and rank of the k nearest items (id, vector, ...) of each query (query_id, vector, ...).
 
-    where: a condition on items. same: a column that items and query must share; a null matches nothing. Distances are
-    rounded before ranking. Fewer than k rows where fewer items pass; none for an empty table; vectors of zeros have cosine distance 1.
+    where: a condition on items. watch: see `watched`. same: a column that items and query must share; a null matches nothing. Distances are
+    rounded before ranking. Rows without id or vector neither ask nor are found. Fewer than k rows where fewer items pass; none for an empty table; vectors of zeros have cosine distance 1.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
@@ -124,7 +133,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", wh
         items = items.where(where)
     if same:
         items, queries = items.where(F.col(same).isNotNull()), queries.where(F.col(same).isNotNull())
-    return ranked(near_by_block(items, queries, k, metric, F.col(same) if same else None, skip_self=skip_self, digits=digits), k)
+    return ranked(near_by_block(items, queries, k, metric, F.col(same) if same else None, skip_self=skip_self, digits=digits, watch=watch), k)
 
 
 def knn_by(items: DataFrame, queries: DataFrame, k: int, metric: Metric, where: Column | str | None = None) -> DataFrame:

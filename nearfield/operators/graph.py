@@ -6,14 +6,13 @@ comes first; repeated edges count once where a function says so; empty tables gi
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact import knn
-from .storage import durable
+from .storage import Scratch, durable
 
 
 def assign_ids(items: DataFrame, order: str, start: int = 0) -> DataFrame:
@@ -85,16 +84,21 @@ def two_hop(edges: DataFrame, passing: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, most_hops: int | None = None, checkpoint_every: int = 8) -> DataFrame:
     """node and depth of all that can be reached from the start nodes (id), breadth first, or of those within so many hops."""
-    seen = durable(start.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("depth")))
-    frontier = seen
+    scratch = Scratch(edges.sparkSession)
+    seen = scratch.put(start.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("depth")))
+    frontier, parts = seen, [seen]
     for hop in count(1) if most_hops is None else range(1, most_hops + 1):
         out = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = durable(out.join(seen, "node", "left_anti").select("node", F.lit(hop).cast("long").alias("depth")))
+        frontier = scratch.put(out.join(seen, "node", "left_anti").select("node", F.lit(hop).cast("long").alias("depth")))
         if frontier.isEmpty():
+            scratch.drop(frontier)
             break
+        parts.append(frontier)
         seen = seen.union(frontier)
-        if hop % checkpoint_every == 0:
-            seen = durable(seen)
+        if hop % checkpoint_every == 0:  # one table instead of those of each hop
+            seen = scratch.put(seen)
+            scratch.drop(*parts[:-1])
+            parts = [seen, frontier]
     return seen
 
 
@@ -105,14 +109,37 @@ def printed(edges: DataFrame) -> DataFrame:
     return lists.select("layer", "src", F.concat(F.lit("("), F.col("src").cast("string"), F.lit(") -> {"), names, F.lit("}")).alias("line"))
 
 
+def walked(edges: DataFrame, start: DataFrame, checkpoint_every: int = 8) -> DataFrame:
+    """node, depth and path of all that can be reached from the start nodes (id), in each layer that has edges.
+
+    path: the place of the start node, then the positions of the edges by which a walk breadth first comes to the node, so depth and path are the
+    order in which its queue holds the nodes.
+    """
+    scratch = Scratch(edges.sparkSession)
+    first = start.select("id").distinct().withColumn("place", F.row_number().over(Window.orderBy("id")))  # of the start nodes alone
+    layers = edges.select("layer").distinct()  # about log n / log m of them
+    seen = scratch.put(layers.crossJoin(F.broadcast(first)).select("layer", F.col("id").alias("node"), F.lit(0).cast("long").alias("depth"), F.array(F.col("place").cast("long")).alias("path")))
+    frontier = seen
+    for hop in count(1):
+        step = frontier.join(edges.select("layer", F.col("src").alias("node"), "pos", "dst"), ["layer", "node"])
+        out = step.groupBy("layer", F.col("dst").alias("node")).agg(F.min(F.array_append("path", F.col("pos").cast("long"))).alias("path"))
+        frontier = scratch.put(out.join(seen.select("layer", "node"), ["layer", "node"], "left_anti").select("layer", "node", F.lit(hop).cast("long").alias("depth"), "path"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.union(frontier)
+        if hop % checkpoint_every == 0:
+            seen = scratch.put(seen)
+
+
 def printed_reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """layer, depth, src and line of the nodes that a walk from the start nodes (id) reaches in their layer, breadth first by depth and id."""
+    """layer, depth, path, src and line: for each layer from the top the line `[LEVEL n]`, then the nodes that a walk from the start nodes (id) reaches, in the order of its queue.
+
+    A node without edges of its own in a layer has no line there.
+    """
     lines = printed(edges)
-    layers = [r.layer for r in edges.select("layer").distinct().orderBy(F.col("layer").desc()).collect()]  # about log n / log m of them
-    parts = [reachable(durable(layer_of(edges, layer)), start).select(F.lit(layer).cast("long").alias("layer"), F.col("node").alias("src"), "depth") for layer in layers]
-    if not parts:
-        return lines.select("layer", F.lit(0).cast("long").alias("depth"), "src", "line")
-    return reduce(DataFrame.union, parts).join(lines, ["layer", "src"]).select("layer", "depth", "src", "line").orderBy(F.col("layer").desc(), "depth", "src")
+    body = walked(edges, start).withColumnRenamed("node", "src").join(lines, ["layer", "src"]).select("layer", "depth", "path", "src", "line")
+    heads = edges.select("layer").distinct().select("layer", F.lit(-1).cast("long").alias("depth"), F.array().cast("array<long>").alias("path"), F.lit(None).cast("long").alias("src"), F.concat(F.lit("[LEVEL "), F.col("layer").cast("string"), F.lit("]")).alias("line"))
+    return heads.union(body).orderBy(F.col("layer").desc(), "depth", "path")
 
 
 def layer_of(edges: DataFrame, layer: int) -> DataFrame:

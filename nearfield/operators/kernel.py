@@ -16,11 +16,8 @@ from nearfield.plans.params import MOST_LEVEL, IndexParams
 
 
 def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
-    """Of ids, in (0, 1), whatever the partitions."""
-    x = ids.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+    """Of ids, in (0, 1), whatever the partitions: the draw of `graph.level`."""
+    return ((np.mod(ids.astype(np.int64), 1 << 31) * 2654435761 + seed) % (1 << 32) + 0.5) / (1 << 32)
 
 
 class Graph:

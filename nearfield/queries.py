@@ -7,16 +7,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as v
 from nearfield.functions.vectors import rounded
 from nearfield.operators import evaluation as ev
-from nearfield.operators import cells, exact, graph, index
+from nearfield.operators import budgeted, cell_index, descent, exact, graph, index, masked, pruned
+from nearfield.operators.masked import item
+from nearfield.operators.masked import query as of_query
+from nearfield.operators.skyline import skyline
 from nearfield.operators.storage import durable, fresh_path
 from nearfield.plans.params import IndexParams
 from nearfield.sources import vector_files
+from nearfield.streaming import standing
 
 PARAMS = IndexParams(m=16, ef_construction=200, heuristic="diverse", keep_pruned=True)
 SHARD = 1000
@@ -155,7 +160,7 @@ def knn_l2sq(spark, sf):
 
 @query(knn_sql(10, distance=l1))
 def knn_custom_metric(spark, sf):
-    return exact.knn_by(items(spark, sf).select("id", "vector"), asked(spark, sf).select("query_id", "vector"), 10, v.l1_distance)
+    return masked.knn(items(spark, sf), asked(spark, sf), 10, lambda q, x: np.stack([np.abs(x - row).sum(1) for row in q]))
 
 
 @query(f"SELECT query_id, id, distance FROM ({knn_sql(1)})")
@@ -188,56 +193,171 @@ def knn_ann_exhaustive(spark, sf):
 
 N_CELLS = 16
 PROBES = 14
+#: Items that are compared by their vectors after codes have ranked all: of the ten that are looked for.
+RERANK = 19
+_STORED: dict = {}
 
 
-def _cells(spark: SparkSession, sf: str):
-    """All items with their cells, as a table, and the centroids."""
-    x = items(spark, sf)
-    centres = cells.centroids(x, N_CELLS)
-    return durable(cells.with_cells(x, centres).repartition("cell").sortWithinPartitions("cell")), centres
+def _stored(spark: SparkSession, sf: str) -> cell_index.CellIndex:
+    """The index of a table's items, made once in an application and then loaded."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _STORED:
+        path = fresh_path(spark, "cells")
+        cell_index.create(items(spark, sf), path, N_CELLS, pieces=32)
+        _STORED[key] = path
+    return cell_index.load(spark, _STORED[key], metric="cosine")
 
 
 @query()
 def knn_ann(spark, sf):
-    celled, centres = _cells(spark, sf)
-    return cells.search(celled, centres, asked(spark, sf), 10, PROBES)
+    """By codes in the nearest cells, then by the vectors of a few."""
+    return cell_index.search(_stored(spark, sf), asked(spark, sf), 10, PROBES, rerank=4 * RERANK)
 
 
 @query()
 def knn_ann_filtered(spark, sf):
-    celled, centres = _cells(spark, sf)
-    return cells.search(celled, centres, asked(spark, sf), 10, PROBES, where="label = 3")
+    return cell_index.search(_stored(spark, sf), asked(spark, sf), 10, N_CELLS, where="label = 3", rerank=RERANK)
 
 
 @query(knn_sql(10))
 def knn_cells_all(spark, sf):
     """As many probes as cells: exact."""
-    celled, centres = _cells(spark, sf)
-    return cells.search(celled, centres, asked(spark, sf), 10, N_CELLS)
+    return cell_index.search(_stored(spark, sf), asked(spark, sf), 10, N_CELLS)
 
 
 @query("SELECT * FROM (VALUES (14, 'all', true), (16, 'all', true), (14, 'label = 3', true), (16, 'label = 3', true)) t(probes, items, enough)")
 def ann_recall(spark, sf):
     """Whether searches of cells find 0.9 or more of what exact ones find, by probes and filter."""
-    celled, centres = _cells(spark, sf)
-    out = []
+    stored, out = _stored(spark, sf), []
     for where in (None, "label = 3"):
         truth = durable(exact.knn(items(spark, sf), asked(spark, sf), 10, where=where))
         for probes in (PROBES, N_CELLS):
-            found = cells.search(celled, centres, asked(spark, sf), 10, probes, where=where)
+            found = cell_index.search(stored, asked(spark, sf), 10, probes, where=where)
             both = truth.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
             out.append(both.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough")).select(F.lit(probes).alias("probes"), F.lit(where or "all").alias("items"), "enough"))
     return reduce(DataFrame.union, out)
 
 
-@query("SELECT * FROM (VALUES ('all', 1.0::DOUBLE)) t(front, recall)")
+@query("SELECT items, n_queries, true AS enough, true AS few_read FROM (VALUES ('all'), ('label = 3')) t(items), (SELECT count(*) AS n_queries FROM embeddings WHERE vec_id % 100 = 0)")
+def quantised_recall(spark, sf):
+    """Whether codes, and the vectors of under a fifth of all items, find 0.9 or more of what exact searches find."""
+    stored, q, out = _stored(spark, sf), asked(spark, sf), []
+    for where in (None, "label = 3"):
+        near = durable(cell_index.candidates(stored, cell_index.probed(stored, q, N_CELLS), stored.rows() if where is None else stored.rows().where(where), RERANK))
+        found = cell_index.reranked(stored, q, near, 10)
+        both = exact.knn(items(spark, sf), q, 10, where=where).join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+        read = near.agg((F.countDistinct("id") < 0.2 * stored.n_items).alias("few_read"))
+        recall = both.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"), F.countDistinct("query_id").alias("n_queries"))
+        out.append(recall.crossJoin(read).select(F.lit(where or "all").alias("items"), "n_queries", "enough", "few_read"))  # a row each
+    return reduce(DataFrame.union, out)
+
+
+# an index whose centres are the first items, so that SQL can say what is found: three quarters of the items at first, the others appended
+GROWN_SQL = """c AS (SELECT vec_id AS cell, embedding AS v FROM embeddings WHERE vec_id < 16),
+    near AS MATERIALIZED (SELECT e.vec_id, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], c.v::DOUBLE[]), c.cell) AS r FROM embeddings e, c)"""
+_GROWN: dict = {}
+
+
+def grown_sql(probes: str, k: int = 10) -> str:
+    d = cos("q.embedding", "e.embedding")
+    return f"""(SELECT probes, query_id, id, distance, rank FROM (SELECT t.probes, q.vec_id AS query_id, e.vec_id AS id, {d} AS distance, row_number() OVER (PARTITION BY t.probes, q.vec_id ORDER BY {d}, e.vec_id) AS rank
+        FROM (SELECT unnest({probes}) AS probes) t JOIN embeddings q ON q.vec_id % 100 = 0 JOIN near p ON p.vec_id = q.vec_id AND p.r <= t.probes JOIN near o ON o.cell = p.cell AND o.r = 1 JOIN embeddings e ON e.vec_id = o.vec_id) WHERE rank <= {k})"""
+
+
+def _grown(spark: SparkSession, sf: str) -> cell_index.CellIndex:
+    key = spark.sparkContext.applicationId, sf
+    if key not in _GROWN:
+        path, x = fresh_path(spark, "cells"), items(spark, sf)
+        centres = [r.vector for r in x.where("id < 16").orderBy("id").collect()]
+        cell_index.create(x.where("id % 4 <> 0"), path, centres=centres)
+        cell_index.append(spark, path, x.where("id % 4 = 0"))
+        _GROWN[key] = path
+    return cell_index.load(spark, _GROWN[key])
+
+
+@query(f"WITH {GROWN_SQL} SELECT query_id, id, distance, rank FROM {grown_sql('[4]')}")
+def knn_cell_index(spark, sf):
+    """Four of sixteen cells of an index that was appended to."""
+    return cell_index.search(_grown(spark, sf), asked(spark, sf), 10, 4)
+
+
+@query(f"""WITH {GROWN_SQL}, parts AS (SELECT cell, (vec_id % 4 = 0) AS appended, count(*) AS n FROM near WHERE r = 1 GROUP BY ALL),
+    hit AS (SELECT DISTINCT t.probes, p.cell FROM (SELECT unnest([1, 4, 16]) AS probes) t JOIN near p ON p.vec_id % 100 = 0 AND p.r <= t.probes)
+    SELECT probes, count(DISTINCT cell) AS cells_read, count(*) AS files_read, sum(n)::BIGINT AS rows_read, (SELECT count(*) FROM parts) AS files, (SELECT count(*) FROM embeddings) AS rows FROM hit JOIN parts USING (cell) GROUP BY probes""")
+def cell_index_reads(spark, sf):
+    """Cells, files and rows that a search of all queries reads, by probes."""
+    return reduce(DataFrame.union, [cell_index.reads(_grown(spark, sf), asked(spark, sf), p) for p in (1, 4, 16)])
+
+
+@query(f"""WITH {GROWN_SQL}, truth AS ({knn_sql(10)}), found AS {grown_sql("[1, 4, 8, 16]")}
+    SELECT probes, round(count(f.id) / (SELECT count(*) FROM truth), 6) AS recall, (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS n_queries, true AS timed
+    FROM (SELECT unnest([1, 4, 8, 16])::BIGINT AS probes) t CROSS JOIN truth LEFT JOIN found f USING (probes, query_id, id) GROUP BY probes""")
 def evaluation_runs(spark, sf):
-    """A grid of probes searched, measured and cut to its front: of the best recall there is one that probes all cells."""
-    celled, centres = _cells(spark, sf)
+    """A grid of probes searched, timed after a warm-up, and measured: recall at each setting."""
     truth = durable(exact.knn(items(spark, sf), asked(spark, sf), 10))
-    found = ev.runs(celled, asked(spark, sf), truth, lambda x, q, k, probes: cells.search(x, centres, q, k, probes), [{"probes": p} for p in (4, N_CELLS)])
-    front = ev.pareto_front(found, [], "qps", "recall")
-    return front.agg(F.max("recall").alias("recall")).select(F.lit("all").alias("front"), "recall")
+    grid = ev.param_grid(spark, probes=[1, 4, 8, 16])
+    found = ev.runs(_grown(spark, sf), asked(spark, sf), truth, cell_index.search, grid)
+    return found.select("probes", F.round("recall", 6).alias("recall"), "n_queries", ((F.col("qps") > 0) & (F.col("ms_a_query") > 0)).alias("timed"))
+
+
+@query(knn_sql(10))
+def knn_pruned(spark, sf):
+    """Exact, with the blocks left out that the triangle inequality rules out."""
+    return pruned.knn(items(spark, sf), asked(spark, sf), 10, n_cells=N_CELLS)
+
+
+PARTS_SQL = "(SELECT p_partkey AS vec_id, [p_size::DOUBLE, p_retailprice / 10] AS embedding FROM part)"
+
+
+@query(knn_sql(10, distance=l2sq).replace("embeddings q", f"{PARTS_SQL} q").replace("embeddings e", f"{PARTS_SQL} e").replace("SELECT query_id, id, distance, rank", "SELECT query_id, id, distance, rank, true AS skipped", 1))
+def knn_pruned_clustered(spark, sf):
+    """Parts by size and price, where most blocks are far from a query; skipped: whether under half of the pairs were compared."""
+    x = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", "array(double(p_size), p_retailprice / 10) AS vector")
+    q = x.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    options = {"n_cells": 12, "item_block": 256, "query_block": 16}
+    kept = pruned.pairs_kept(x, q, 10, "l2sq", **options).select((F.col("kept") < 0.5 * F.col("pairs")).alias("skipped"))
+    return pruned.knn(x, q, 10, "l2sq", **options).crossJoin(F.broadcast(kept))  # one row
+
+
+@query(knn_sql(10).replace("SELECT query_id, id, distance, rank", "SELECT query_id, id, distance, rank, true AS exact", 1))
+def knn_budgeted(spark, sf):
+    """Wave by wave without a deadline: exact, and known to be."""
+    found, status = budgeted.search(_stored(spark, sf), asked(spark, sf), 10)
+    return found.join(status.select("query_id", "exact"), "query_id")
+
+
+@query("SELECT search, count(*) * (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS distances, true AS in_blocks FROM embeddings, (VALUES ('exact'), ('cells')) t(search) GROUP BY search")
+def search_counters(spark, sf):
+    """Distances that searches computed, as observed while they ran."""
+    rows = []
+    for name, search in (("exact", lambda w: exact.knn(items(spark, sf), asked(spark, sf), 10, watch=w)), ("cells", lambda w: cell_index.search(_stored(spark, sf), asked(spark, sf), 10, N_CELLS, watch=w))):
+        watch = Observation()
+        search(watch).write.format("noop").mode("overwrite").save()
+        rows.append((name, watch.get["distances"], 0 < watch.get["block_pairs"] < watch.get["distances"]))
+    return spark.createDataFrame(rows, "search string, distances long, in_blocks boolean")
+
+
+@query(knn_sql(10))
+def standing_queries(spark, sf):
+    """Answers kept up as items arrive in four batches, the stream ended and started again between them."""
+    folder, schema = fresh_path(spark, "arriving"), "id long, vector array<float>"
+    q = durable(asked(spark, sf).select("query_id", "vector"))
+    for part in range(2):
+        for half in range(2):
+            items(spark, sf).where(f"id % 4 = {2 * half + part}").select("id", "vector").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        standing.keep(arriving, q, 10, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return standing.current(spark, f"{folder}/out")
+
+
+@query("SELECT 5 * count(*) AS n_edges, true AS enough, true AS linear FROM embeddings")
+def descent_recall(spark, sf):
+    """Of the graph that neighbours' neighbours lead to: whether it has 0.9 of the exact edges or more, and no round had more rows than twice the pool for each item."""
+    x, pool = items(spark, sf), 24
+    edges, history = descent.knn_graph(x, GRAPH_K, pool=pool)
+    linear = all(h["neighbours"] <= 2 * pool * x.count() for h in history)
+    hits = graph.knn_graph(x, GRAPH_K).select("src", "dst").join(edges.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
+    return hits.agg(F.count("*").alias("n"), F.count("hit").alias("hits")).crossJoin(edges.agg(F.count("*").alias("n_edges"))).select("n_edges", (F.col("hits") >= 0.9 * F.col("n")).alias("enough"), F.lit(linear).alias("linear"))
 
 
 @query()
@@ -331,7 +451,16 @@ def print_adjacency(spark, sf):
     JOIN graph g ON g.src = w.node WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = g.dst) GROUP BY g.dst)
     SELECT layer, depth, src, line FROM walk JOIN (SELECT layer, src, '(' || src || ') -> {{' || string_agg(dst::VARCHAR, ', ' ORDER BY pos) || '}}' AS line FROM graph GROUP BY layer, src) ON src = node""")
 def print_reachable(spark, sf):
-    return graph.printed_reachable(durable(_edges(spark, sf)), items(spark, sf).where("id = 0"))
+    return graph.printed_reachable(durable(_edges(spark, sf)), items(spark, sf).where("id = 0")).where("depth >= 0").select("layer", "depth", "src", "line")
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL.replace("graph AS (", "graph AS MATERIALIZED (", 1)}, walk(node, depth, path) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT, [1::BIGINT] UNION SELECT g.dst, min(w.depth) + 1, min(list_append(w.path, g.pos)) FROM walk w
+    JOIN graph g ON g.src = w.node WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = g.dst) GROUP BY g.dst)
+    SELECT layer, depth, array_to_string(path, '.') AS place, line FROM walk JOIN (SELECT layer, src, '(' || src || ') -> {{' || string_agg(dst::VARCHAR, ', ' ORDER BY pos) || '}}' AS line FROM graph GROUP BY layer, src) ON src = node
+    UNION ALL SELECT DISTINCT layer, -1, '', '[LEVEL ' || layer || ']' FROM graph""")
+def print_levels(spark, sf):
+    """A line for the layer and then its nodes in the order of a queue, which their places tell."""
+    return graph.printed_reachable(durable(_edges(spark, sf)), items(spark, sf).where("id = 0")).select("layer", "depth", F.array_join(F.col("path").cast("array<string>"), ".").alias("place"), "line")
 
 
 @query(f"WITH {GRAPH_SQL} SELECT src, pos, dst FROM graph WHERE layer = 0")
@@ -390,11 +519,20 @@ def random_attribute(spark, sf):
 def knn_predicate(spark, sf):
     """A filter of columns of the query and of the item."""
     q = asked(spark, sf).select("query_id", "vector", F.col("label").alias("q_label"))
-    return exact.knn_by(items(spark, sf), q, 10, v.cosine_distance, where="q_label < label AND id % 3 <> query_id % 7")
+    return masked.knn(items(spark, sf), q, 10, where=(of_query("q_label") < item("label")) & (item("id") % 3 != of_query("query_id") % 7))
+
+
+@query(knn_sql(10, "e.label - q.label >= 6").replace("SELECT query_id, id, distance, rank", "SELECT query_id, id, distance, rank, true AS skipped", 1))
+def knn_narrow_predicate(spark, sf):
+    """A condition that few blocks can meet; skipped: whether under half of the pairs of blocks were compared."""
+    q, where = asked(spark, sf).select("query_id", "vector", F.col("label").alias("q_label")), item("label") - of_query("q_label") >= 6
+    options = {"cluster_by": "label", "item_block": 16, "query_block": 1}
+    kept = masked.pairs_kept(items(spark, sf), q, where, **options).select((F.col("kept") < 0.5 * F.col("pairs")).alias("skipped"))
+    return masked.knn(items(spark, sf), q, 10, where=where, **options).crossJoin(F.broadcast(kept))  # one row
 
 
 @query(f"""SELECT t.query_id, count(f.id) AS matches, round(count(f.id) / 10.0, 6) AS recall, round(count(f.id) / count(*), 6) AS recall_vs_available
-    FROM ({TRUTH_SQL}) t LEFT JOIN ({FOUND_SQL}) f ON t.query_id = f.query_id AND t.id = f.id GROUP BY t.query_id""")
+    FROM ({TRUTH_SQL}) t LEFT JOIN ({FOUND_SQL}) f ON t.query_id = f.query_id AND t.id = f.id AND f.rank <= 10 GROUP BY t.query_id""")
 def recall_at_k(spark, sf):
     truth, found = _truth_and_found(spark, sf)
     return ev.recall_at_k(found, truth, 10)
@@ -426,6 +564,30 @@ def pareto_front(spark, sf):
     return ev.pareto_front(rows, ["method", "lim"], "qps", "recall")
 
 
+@query("""SELECT l_orderkey AS run, l_extendedprice AS price, l_discount AS discount FROM lineitem QUALIFY l_extendedprice > coalesce(max(l_extendedprice) OVER (ORDER BY l_discount DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 0.001 PRECEDING), -1)
+    AND l_extendedprice = max(l_extendedprice) OVER (PARTITION BY l_discount)""")
+def skyline_continuous(spark, sf):
+    """Price and discount of all lines, without keys."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey AS run", "l_extendedprice AS price", "l_discount AS discount")
+    return skyline(rows, [], ["price", "discount"])
+
+
+@query("""WITH r AS (SELECT l_suppkey AS supplier, l_orderkey AS run, l_extendedprice AS price, l_discount AS discount, l_tax AS tax FROM lineitem)
+    SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE a.supplier = b.supplier AND b.price >= a.price AND b.discount >= a.discount AND b.tax >= a.tax AND (b.price > a.price OR b.discount > a.discount OR b.tax > a.tax))""")
+def skyline_three_goals(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_suppkey AS supplier", "l_orderkey AS run", "l_extendedprice AS price", "l_discount AS discount", "l_tax AS tax")
+    return skyline(rows, ["supplier"], ["price", "discount", "tax"])
+
+
+@query("""WITH r AS (SELECT l_returnflag AS method, l_linenumber::BIGINT AS lim, l_quantity AS qps, l_discount AS recall, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE a.method = b.method AND a.lim = b.lim AND b.qps >= a.qps AND b.recall >= a.recall AND (b.qps > a.qps OR b.recall > a.recall))""")
+def report_front(spark, sf):
+    """The front as a report has it, written as JSON and read again."""
+    runs = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_returnflag AS method", "CAST(l_linenumber AS LONG) AS lim", "l_quantity AS qps", "l_discount AS recall").groupBy("method", "lim", "qps", "recall").agg(F.count("*").alias("n"))
+    ev.write_report(runs, path := fresh_path(spark, "report"), ["method", "lim"])
+    return spark.read.schema(runs.schema).json(f"{path}/front")
+
+
 @query("SELECT DISTINCT l_returnflag AS method, l_linenumber::BIGINT AS lim FROM lineitem ORDER BY 1, 2")
 def distinct_configs(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_returnflag AS method", "CAST(l_linenumber AS LONG) AS lim")
@@ -464,3 +626,32 @@ def tsv_roundtrip(spark, sf):
     vector_files.write_tsv(items(spark, sf).select(F.concat(F.array(F.col("id").cast("float")), F.col("vector")).alias("vector")), folder)
     back = vector_files.read_tsv(spark, folder).select(F.col("vector")[0].cast("long").alias("id"), F.expr("slice(vector, 2, size(vector) - 1)").alias("vector"))
     return back.select("id", F.posexplode("vector").alias("place", "c")).select("id", F.col("place").cast("long").alias("place"), rounded(F.col("c").cast("double")).alias("component"))
+
+
+_COMPONENTS_SQL = "SELECT id, (i - 1)::BIGINT AS place, round(x[i], 6) + 0.0 AS component FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"
+
+
+@query(_COMPONENTS_SQL)
+def fvecs_roundtrip(spark, sf):
+    """Vectors as .fvecs, a file for each task, the id first, and back."""
+    vector_files.write_fvecs(items(spark, sf).repartition(5).select(F.concat(F.array(F.col("id").cast("float")), F.col("vector")).alias("vector")), path := fresh_path(spark, "fvecs"))
+    back = vector_files.read_fvecs(spark, path).select(F.col("vector")[0].cast("long").alias("id"), F.expr("slice(vector, 2, size(vector) - 1)").alias("vector"))
+    return back.select("id", F.posexplode("vector").alias("place", "c")).select("id", F.col("place").cast("long").alias("place"), rounded(F.col("c").cast("double")).alias("component"))
+
+
+@query("SELECT event_id::INTEGER AS event, user_id::INTEGER AS by_user FROM events")
+def ivecs_roundtrip(spark, sf):
+    """Pairs of numbers as .ivecs and back."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.array(F.col("event_id").cast("int"), F.col("user_id").cast("int")).alias("vector"))
+    vector_files.write_ivecs(events.repartition(3), path := fresh_path(spark, "ivecs"))
+    return vector_files.read_ivecs(spark, path).select(F.col("vector")[0].alias("event"), F.col("vector")[1].alias("by_user"))
+
+
+@query(f"SELECT dense_rank() OVER (ORDER BY query_id) - 1 AS query_id, rank - 1 AS place, id::INTEGER AS id FROM ({knn_sql(10, 'q.label = e.label', ask='q.vec_id % 10 = 0')})")
+def truth_roundtrip(spark, sf):
+    """Ground truth under a filter, written in order of the queries and read again: queries are numbered from 0."""
+    x = items(spark, sf)
+    found = exact.knn(x, x.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 10, same="label")
+    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("l")).select("query_id", F.col("l.id").alias("ids"))
+    vector_files.write_truth(lists, path := fresh_path(spark, "truth"))
+    return vector_files.read_truth(spark, path).select("query_id", F.posexplode("ids").alias("place", "id")).select("query_id", F.col("place").cast("long").alias("place"), "id")

@@ -1,74 +1,54 @@
-"""Vector files: fixed-stride .fvecs and .ivecs, ground-truth .bin and tab-separated text.
+"""Vector files: .fvecs, .ivecs and ground-truth files by `vector_source`, tab-separated text, and vectors from hashes.
 
-Files of fixed stride are read through Hadoop's input format of fixed-length records, which reaches any store that
-Spark does and splits a file between tasks; the driver reads each file's length and first four bytes only. A
-ground-truth file, a few ids a query, is read as one row. Parquet is the format to keep vectors in.
-
-Defined results: an empty file has no records; one that isn't whole records of the first one's dimension is an error;
-a missing path is an error of Spark's.
+Parquet is the format to keep vectors in. What is defined for odd files stands with the sources.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(path, length, dimension of the first record) of a file, or of the files of a folder or pattern."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = []
-    for found in store.globStatus(at) or []:
-        for status in store.listStatus(found.getPath()) if found.isDirectory() else [found]:
-            name, length = status.getPath().toString(), status.getLen()
-            if length and not status.getPath().getName().startswith(("_", ".")):
-                stream = store.open(status.getPath())
-                dim = int.from_bytes(stream.readInt().to_bytes(4, "big", signed=True), "little", signed=True)
-                stream.close()
-                if dim < 1 or length % (4 + 4 * dim):
-                    raise ValueError(f"{name}: not whole records of {dim} components")
-                out.append((name, length, dim))
-    if not out and not (store.globStatus(at) or []):
-        raise ValueError(f"{path}: no such file")
-    return sorted(out)
-
-
-def _decoded(name: str, dim: int, kind: str):
-    def run(records: Iterator[tuple[bytes, int]]) -> Iterator[tuple[str, int, list]]:
-        while some := list(itertools.islice(records, 4096)):
-            table_ = np.frombuffer(b"".join(r for r, _ in some), "<i4").reshape(len(some), dim + 1)
-            if (table_[:, 0] != dim).any():
-                raise ValueError(f"{name}: records differ in dimension")
-            values = np.ascontiguousarray(table_[:, 1:])
-            for (_, pos), row in zip(some, (values.view("<f4") if kind == "float" else values).tolist(), strict=True):
-                yield name, pos, row
-
-    return run
+from . import vector_source
 
 
 def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    schema = f"file string, pos long, vector array<{kind}>"
-    parts = [
-        spark.createDataFrame(spark.sparkContext.binaryRecords(name, 4 + 4 * dim).zipWithIndex().mapPartitions(_decoded(name, dim, kind)), schema)
-        for name, _, dim in _files(spark, path)
-    ]
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+    vector_source.register(spark)
+    return spark.read.format(kind).load(path)
 
 
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos (of the record in its file) and vector."""
-    return _read(spark, path, "float")
+    """file, pos (of the record in its file) and vector, of a file or of the files of a folder."""
+    return _read(spark, path, "fvecs")
 
 
 def read_ivecs(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, "int")
+    return _read(spark, path, "ivecs")
+
+
+def write_fvecs(items: DataFrame, path: str, mode: str = "append") -> None:
+    """The column vector, a file for each task."""
+    vector_source.register(items.sparkSession)
+    items.select(F.col("vector").cast("array<float>").alias("vector")).write.format("fvecs").mode(_mode(mode)).save(path)
+
+
+def write_ivecs(items: DataFrame, path: str, mode: str = "append") -> None:
+    vector_source.register(items.sparkSession)
+    items.select(F.col("vector").cast("array<int>").alias("vector")).write.format("ivecs").mode(_mode(mode)).save(path)
+
+
+def _mode(mode: str) -> str:
+    """Sources in Python know these two."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError("mode must be append or overwrite")
+    return mode
+
+
+def write_truth(lists: DataFrame, path: str, mode: str = "append") -> None:
+    """The column ids in order of query_id: a file for each range of it, whose names are in the same order."""
+    vector_source.register(lists.sparkSession)
+    ordered = lists.repartitionByRange("query_id").sortWithinPartitions("query_id")
+    ordered.select(F.col("ids").cast("array<int>").alias("ids")).write.format("truth").mode(_mode(mode)).save(path)
 
 
 def encode_vecs(vectors: list, dtype: str = "<f4") -> bytes:
@@ -81,20 +61,9 @@ def encode_truth(lists: list[list[int]]) -> bytes:
     return np.int32(len(lists)).tobytes() + encode_vecs(lists, "<i4")
 
 
-def _truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            numbers, at, out = np.frombuffer(row["content"], "<i4").tolist(), 1, []
-            for q in range(numbers[0]):
-                n = numbers[at]
-                out.append((q, numbers[at + 1 : at + 1 + n]))
-                at += n + 1
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int32()))], names=["query_id", "ids"])
-
-
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """query_id and ids, in ascending distance."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_truth, "query_id long, ids array<int>")
+    """query_id, from 0 through all files in order of their names, and ids, in ascending distance."""
+    return _read(spark, path, "truth")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
