@@ -119,20 +119,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """_a and _b of each place, those of the place before it, and half the characters of that one.
+    """_a and _b of each place; of the place before it those, whether its doc_id is null, and half its characters.
 
     Ids alone are dealt by ranges and written with the number of their part; a row a part links the ranges.
     """
     order = [F.col("_null"), F.desc("_a"), F.col("_b")]
     places = rows.groupBy("_a", "_b", F.col("doc_id").isNull().alias("_null")).agg(F.floor(F.max(F.length("text")) / 2).cast("int").alias("_half"))
     places = scratch.put(places.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    within, place = Window.partitionBy("_part").orderBy(*order), F.struct("_a", "_b", "_half")
+    within, place = Window.partitionBy("_part").orderBy(*order), F.struct("_a", "_b", "_null", "_half")
     numbered = places.select("*", F.lag(place).over(within).alias("_before"))
     lasts = places.groupBy("_part").agg(F.max_by(place, F.struct("_null", F.bitwise_not("_a").alias("_a"), "_b")).alias("_last"))
     parts = Window.orderBy("_part")  # a row for each partition of the ids
     ends = lasts.select("_part", F.coalesce(F.lag("_last").over(parts), F.last("_last").over(parts.rowsBetween(0, Window.unboundedFollowing))).alias("_last"))
     before = F.coalesce("_before", "_last")
-    return numbered.join(F.broadcast(ends), "_part").select("_a", "_b", before["_a"].alias("_to_a"), before["_b"].alias("_to_b"), before["_half"].alias("_half"))
+    return numbered.join(F.broadcast(ends), "_part").select("_a", "_b", before["_a"].alias("_to_a"), before["_b"].alias("_to_b"), before["_null"].alias("_null"), before["_half"].alias("_half"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -141,8 +141,10 @@ def edited(docs: DataFrame) -> DataFrame:
     Each document sends the beginning that the one before it needs; texts are dealt by their place once, and beginnings once.
     """
     rows = _keyed(docs)
-    sent = rows.join(_linked(rows, Scratch(docs.sparkSession)), ["_a", "_b"]).select(F.col("_to_a").alias("_a"), F.col("_to_b").alias("_b"), F.col("_a").alias("_next_a"), F.col("_b").alias("_next_b"), F.expr("left(text, _half)").alias("ahead"))
-    return rows.join(sent.dropDuplicates(["_a", "_b"]), ["_a", "_b"])
+    texts = rows.select("_a", "_b", "text")  # the same columns on both sides, so that they are dealt once
+    sent = texts.join(_linked(rows, Scratch(docs.sparkSession)), ["_a", "_b"]).select(F.col("_to_a").alias("_a"), F.col("_to_b").alias("_b"), "_null", F.col("_a").alias("_next_a"), F.col("_b").alias("_next_b"), F.expr("left(text, _half)").alias("ahead"))
+    both = texts.join(sent.dropDuplicates(["_a", "_b"]), ["_a", "_b"])
+    return both.select(F.when(~F.col("_null"), F.col("_a")).alias("doc_id"), "_a", "_b", "text", "_next_a", "_next_b", "ahead")
 
 
 def compared(docs: DataFrame) -> DataFrame:
