@@ -18,32 +18,37 @@ from .storage import Scratch, durable
 def assign_ids(items: DataFrame, order: str, start: int = 0) -> DataFrame:
     """Adds item_id, dense from start on in the given order; equal values in any order.
 
-    Rows are dealt by ranges once and written with the number of their part, as a second deal may cut the ranges elsewhere;
+    Rows are dealt by ranges once, equal values too, and written with the number of their part, as a second deal may cut the ranges elsewhere;
     counts by part give each its first number, so that no task sees more than its part.
     """
-    spark = items.sparkSession
-    parts = durable(items.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
-    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    spark, scratch = items.sparkSession, Scratch(items.sparkSession)
+    rows = items.select(F.struct(*(F.col(f"`{c}`") for c in items.columns)).alias("row"), F.col(f"`{order}`").alias("by"), F.monotonically_increasing_id().alias("tie"))
+    parts = scratch.put(rows.repartitionByRange("by", "tie").withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
     firsts, so_far = [], start
     for part in sorted(sizes):
         firsts.append((part, so_far))
         so_far += sizes[part]
-    within = Window.partitionBy("_part").orderBy(order)
-    numbered = parts.withColumn("_n", F.row_number().over(within)).join(F.broadcast(spark.createDataFrame(firsts, "_part int, _first long")), "_part")
-    return numbered.withColumn("item_id", (F.col("_first") + F.col("_n") - 1).cast("long")).drop("_part", "_n", "_first")
+    within = Window.partitionBy("part").orderBy("by", "tie")
+    numbered = parts.withColumn("n", F.row_number().over(within)).join(F.broadcast(spark.createDataFrame(firsts, "part int, first long")), "part")
+    return numbered.select(*(F.col(f"row.`{c}`").alias(c) for c in items.columns), (F.col("first") + F.col("n") - 1).cast("long").alias("item_id"))
 
 
 def append_ids(numbered: DataFrame | None, batch: DataFrame, order: str) -> DataFrame:
-    """The rows of a table with dense item_id from 0 on and those of a batch, which go on where these end."""
+    """The rows of a table with dense item_id from 0 on and those of a batch, which go on where these end. The batch alone is written."""
     start = numbered.count() if numbered is not None else 0
-    fresh = assign_ids(batch, order, start)
+    fresh = durable(assign_ids(batch, order, start))
     return fresh if numbered is None else numbered.unionByName(fresh)
 
 
+def drawn(item_id: Column, seed: int = 12345) -> Column:
+    """A number in (0, 1) from a hash of an id: the draw of its layer."""
+    return (((F.pmod(item_id, F.lit(1 << 31)) * 2654435761 + seed) % (1 << 32) + F.lit(0.5)) / float(1 << 32)).cast("double")
+
+
 def level(item_id: Column, m: int, seed: int = 12345) -> Column:
-    """A node's top layer: floor(-ln(u) / ln(m)) with u in (0, 1) from a hash of its id, at most 31."""
-    u = ((F.pmod(item_id, F.lit(1 << 31)) * 2654435761 + seed) % (1 << 32) + F.lit(0.5)) / float(1 << 32)
-    return F.least(F.floor(-F.log(u.cast("double")) / F.log(F.lit(float(m)))), F.lit(31)).cast("long")
+    """A node's top layer: floor(-ln(u) / ln(m)) of what was drawn for it, at most 31."""
+    return F.least(F.floor(-F.log(drawn(item_id, seed)) / F.log(F.lit(float(m)))), F.lit(31)).cast("long")
 
 
 def entry_point(nodes: DataFrame) -> DataFrame:

@@ -384,7 +384,7 @@ def incremental_append(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), (F.col("event_id") % 4).alias("batch"))
     numbered = None
     for batch in range(4):
-        numbered = durable(graph.append_ids(numbered, events.where(F.col("batch") == batch), "id"))
+        numbered = graph.append_ids(numbered, events.where(F.col("batch") == batch), "id")
     return numbered.select("id", "item_id", "batch")
 
 
