@@ -2,8 +2,8 @@
 
 An index is a folder of Parquet tables. `graphs` has a row for each shard with its vectors and links packed
 as arrays, and `ids` the ids of each batch; every write goes to folders of its own, which are never written again.
-`manifest` has a row for each version, written last: the parameters, and which folders hold which batches. So a reader keeps the
-snapshot that it loaded, a write counts whole or not at all, and of two writers of one version the second fails.
+The log of `commits` says which folders hold which batches of a version, so a reader keeps the snapshot that it loaded, a write counts whole or not at all, and a
+writer that finds its version taken commits the next one.
 Shards hold a bounded number of items, dealt by a hash of their ids, and are built in parallel. Appending writes
 more shards under a batch number, and a batch written again replaces itself. Searching pairs shards with blocks of queries, and a
 window merges what they find.
@@ -18,15 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from nearfield.plans.params import IndexParams
 
+from . import commits
 from .exact import MOST_BROADCAST, packed, ranked
 from .kernel import Graph, built
 
-FORMAT = 2
+FORMAT = 3
 SHARD_ROWS = 20_000
 GRAPH = "shard long, batch long, n long, dim int, ids binary, vectors binary, links binary, link_ends binary, entry long, params string, n_dist long"
 
@@ -78,12 +78,10 @@ def _schema() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in GRAPH.split(", "))])
 
 
-def _manifest(spark: SparkSession, path: str):
-    """The row of the newest version, or none for an index that isn't there yet."""
-    try:
-        return spark.read.parquet(f"{path}/manifest/*").orderBy(F.col("version").desc()).first()
-    except AnalysisException:
-        return None
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    """The state of the newest version, or none for an index that isn't there yet."""
+    now = commits.state(spark, path)
+    return now if now["version"] else None
 
 
 def save(graphs: DataFrame, path: str, params: IndexParams) -> None:
@@ -93,11 +91,13 @@ def save(graphs: DataFrame, path: str, params: IndexParams) -> None:
     written = spark.read.schema(_types(graphs)).option("basePath", f"{path}/graphs").parquet(f"{path}/graphs/{folder}")
     _ids(written).write.partitionBy("batch").parquet(f"{path}/ids/{folder}")
     sizes = {r.batch: r.n for r in written.groupBy("batch").agg(F.sum("n").alias("n")).collect()}
-    old = _manifest(spark, path)
-    kept = [tuple(b) for b in old.batches if b.batch not in sizes] if old else []
-    row = (FORMAT, old.version + 1 if old else 1, params.metric, params.to_json(), kept + [(batch, folder, n) for batch, n in sorted(sizes.items())])
-    schema = "format int, version long, metric string, params string, batches array<struct<batch:long,folder:string,n:long>>"
-    spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{path}/manifest/{row[1]:09d}")
+    parts = {f"{folder}/batch={batch}": {"batch": batch, "n": n} for batch, n in sorted(sizes.items())}
+
+    def replaced(now: dict) -> dict:
+        old = [name for name, part in now["parts"].items() if part["batch"] in sizes]
+        return {"add": parts, "remove": old, "params": {"format": FORMAT, "metric": params.metric, "graph": params.to_json()}}
+
+    commits.commit(spark, path, replaced)
 
 
 def _types(graphs: DataFrame) -> str:
@@ -114,36 +114,36 @@ def _ids(graphs: DataFrame) -> DataFrame:
     return graphs.select("batch", "ids").mapInArrow(run, "batch long, id long")
 
 
-def _parts(spark: SparkSession, path: str, kind: str, schema: str, batches) -> DataFrame:
-    folders = [f"{path}/{kind}/{b.folder}/batch={b.batch}" for b in batches]
+def _parts(spark: SparkSession, path: str, kind: str, schema: str, names) -> DataFrame:
+    folders = [f"{path}/{kind}/{name}" for name in sorted(names)]
     reader = spark.read.schema(schema).option("basePath", f"{path}/{kind}")
     return reader.parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def load(spark: SparkSession, path: str, metric: str | None = None) -> DataFrame:
-    """The graph rows of an index as it is now; refuses another format or metric, and rows that don't add up to the manifest's."""
+    """The graph rows of an index as it is now; refuses another format or metric, and rows that don't add up to the version's."""
     meta = _manifest(spark, path)
-    if meta is None or meta.format != FORMAT:
+    if meta is None or meta["params"]["format"] != FORMAT:
         raise ValueError("not an index of this format")
-    if metric and metric != meta.metric:
-        raise ValueError(f"the index was built for {meta.metric}")
-    graphs = _parts(spark, path, "graphs", GRAPH, meta.batches).select(*(c.split()[0] for c in GRAPH.split(", ")))
-    if (graphs.agg(F.sum("n")).first()[0] or 0) != sum(b.n for b in meta.batches):
-        raise ValueError("the index lacks items that its manifest counts")
+    if metric and metric != meta["params"]["metric"]:
+        raise ValueError(f"the index was built for {meta['params']['metric']}")
+    graphs = _parts(spark, path, "graphs", GRAPH, meta["parts"]).select(*(c.split()[0] for c in GRAPH.split(", ")))
+    if (graphs.agg(F.sum("n")).first()[0] or 0) != sum(part["n"] for part in meta["parts"].values()):
+        raise ValueError("the index lacks items that its version counts")
     return graphs
 
 
 def append(spark: SparkSession, path: str, items: DataFrame, batch: int, shard_rows: int = SHARD_ROWS) -> None:
     """Adds items that the index doesn't have as shards of a batch; the same batch again replaces itself. Of the index only the ids are read."""
     meta = _manifest(spark, path)
-    params = IndexParams.from_json(meta.params)
-    old = _parts(spark, path, "ids", "id long, batch long", [b for b in meta.batches if b.batch != batch]).select("id")
+    params = IndexParams.from_json(meta["params"]["graph"])
+    old = _parts(spark, path, "ids", "id long, batch long", [name for name, part in meta["parts"].items() if part["batch"] != batch]).select("id")
     save(build(items.join(old, "id", "left_anti"), params, shard_rows, batch), path, params)
 
 
 def compact(spark: SparkSession, path: str, to: str, shard_rows: int = SHARD_ROWS) -> None:
     """Rewrites all batches as one, elsewhere, so that readers of the old snapshot aren't disturbed."""
-    params = IndexParams.from_json(_manifest(spark, path).params)
+    params = IndexParams.from_json(_manifest(spark, path)["params"]["graph"])
     save(build(vectors(load(spark, path)), params, shard_rows), to, params)
 
 

@@ -1,6 +1,6 @@
 """Layered proximity graphs, built and searched as Spark jobs over tables of nodes, edges and vectors.
 
-A node's top layer is drawn from its id. In every layer the candidates of a node are its near neighbours among the layer's nodes (all pairs
+A node's top layer is drawn from its id; the top of the graph is the highest layer that two nodes reach. In every layer the candidates of a node are its near neighbours among the layer's nodes (all pairs
 up to `MOST_EXACT` nodes, beyond by `descent`); a heuristic picks the links, links are made both ways, and each node is cut to its degree
 by the heuristic again. `add` takes a batch: its nodes find candidates in the graph by the search below, all at once, and among themselves;
 of the graph only nodes that gain links are cut anew.
@@ -173,17 +173,20 @@ def add(index: Layered, items: DataFrame, progress: Callable[[int, int], None] |
         return index
     everything = durable(index.items.unionByName(fresh))
     all_nodes = durable(index.nodes.union(nodes))
-    top = max(sizes)
+    reach = {r["level"]: r["n"] for r in all_nodes.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row a level
+    reach = {layer: sum(c for lv, c in reach.items() if lv >= layer) for layer in range(max(reach) + 1)}
+    top = max((layer for layer, n in reach.items() if n > 1), default=0)  # a layer of one node leads nowhere
     most = min(params.ef_construction, max(4 * params.degree(0), 64))
     found = None
     if index.entry is not None:  # the zoom: what each new node sees of the graph, by layer
         found = scratch.put(_zoomed(index, fresh.join(nodes, "id").select(F.col("id").alias("query_id"), "vector", "level"), most))
     layers = []
-    for layer in range(max(top, index.top), -1, -1):
+    for layer in range(top, -1, -1):
         held = index.edges.where(F.col("layer") == layer).select("src", "pos", "dst", "distance")
-        n = sum(c for lv, c in sizes.items() if lv >= layer)
+        opened = layer > index.top  # old nodes of a layer that opens now have no links there either
+        n = reach[layer] if opened else sum(c for lv, c in sizes.items() if lv >= layer)
         if n:
-            here = fresh.join(nodes.where(F.col("level") >= layer), "id", "left_semi").select("id", "vector")
+            here = (everything if opened else fresh).join((all_nodes if opened else nodes).where(F.col("level") >= layer), "id", "left_semi").select("id", "vector")
             candidates = _near(here, n, most, params.metric) if n > 1 else spark.createDataFrame([], "src long, dst long, distance double")
             if found is not None:
                 candidates = candidates.union(found.where(F.col("layer") == layer).select("src", "dst", "distance"))
@@ -199,7 +202,7 @@ def add(index: Layered, items: DataFrame, progress: Callable[[int, int], None] |
             held = held.join(changed.withColumnRenamed("n", "src"), "src", "left_anti").union(cut).union(_nearest(rest, cap))
         layers.append(scratch.put(held.select(F.lit(layer).cast("long").alias("layer"), "src", "pos", "dst", "distance")))
         if progress:
-            progress(len(layers), max(top, index.top) + 1)
+            progress(len(layers), top + 1)
     edges = layers[0]
     for part in layers[1:]:
         edges = edges.union(part)
@@ -207,8 +210,8 @@ def add(index: Layered, items: DataFrame, progress: Callable[[int, int], None] |
     scratch.clear()
     entry = index.entry
     if entry is None or top > index.top:
-        entry = all_nodes.where(F.col("level") == max(top, index.top)).agg(F.min("id")).first()[0]
-    return Layered(spark, everything, all_nodes, edges, entry, max(top, index.top), params)
+        entry = all_nodes.where(F.col("level") >= top).agg(F.min("id")).first()[0]
+    return Layered(spark, everything, all_nodes, edges, entry, top, params)
 
 
 def _zoomed(index: Layered, new: DataFrame, most: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import vectors as v
 from nearfield.functions.vectors import rounded
 from nearfield.operators import evaluation as ev
-from nearfield.operators import budgeted, cell_index, descent, exact, graph, index, masked, pruned
+from nearfield.operators import budgeted, cell_index, descent, exact, graph, index, layered, masked, pruned
 from nearfield.operators.masked import item
 from nearfield.operators.masked import query as of_query
 from nearfield.operators.skyline import skyline
@@ -319,6 +319,69 @@ def knn_pruned_clustered(spark, sf):
     return pruned.knn(x, q, 10, "l2sq", **options).crossJoin(F.broadcast(kept))  # one row
 
 
+LAYERED = IndexParams(m=12, ef_construction=64, heuristic="diverse", keep_pruned=True, seed=12345)
+_LAYERED: dict = {}
+
+
+def _layered(spark: SparkSession, sf: str) -> layered.Layered:
+    """The graph of a table's items, built and saved once in an application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _LAYERED:
+        path = fresh_path(spark, "layered")
+        layered.save(layered.build(items(spark, sf), LAYERED), path)
+        _LAYERED[key] = path
+    return layered.load(spark, _LAYERED[key], metric="cosine")
+
+
+@query(f"SELECT f.*, (SELECT count(*) FROM embeddings) AS reached FROM ({knn_sql(10)}) f")
+def graph_search_exhaustive(spark, sf):
+    """A beam as wide as the table walks all of the lowest layer, so the result is exact; reached: nodes that it visited there and above, each once."""
+    found, stats = layered.search(_layered(spark, sf), asked(spark, sf), 10, 100_000)
+    n = items(spark, sf).count()
+    return found.join(stats.select("query_id", F.least("visited", F.lit(n)).alias("reached")), "query_id")
+
+
+@query("SELECT items, n_queries, true AS enough, true AS fewer FROM (VALUES ('all'), ('label >= 5')) t(items), (SELECT count(*) AS n_queries FROM embeddings WHERE vec_id % 100 = 0)")
+def graph_recall(spark, sf):
+    """Whether a beam finds 0.9 or more of what exact searches find, plain and under a filter; fewer: whether it took fewer rounds than there are items."""
+    index, x, q, out = _layered(spark, sf), items(spark, sf), asked(spark, sf), []
+    for where in (None, "label >= 5"):
+        found, stats = layered.search(index, q, 10, 150, None if where is None else x.where(where))
+        hits = exact.knn(x, q, 10, where=where).join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+        rounds = stats.agg((F.max("rounds") < x.count()).alias("fewer"))
+        out.append(hits.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"), F.countDistinct("query_id").alias("n_queries")).crossJoin(rounds).select(F.lit(where or "all").alias("items"), "n_queries", "enough", "fewer"))  # a row each
+    return reduce(DataFrame.union, out)
+
+
+DRAWN_SQL = "least(floor(-ln((((vec_id % 2147483648) * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0) / ln(12.0)), 31)::BIGINT"
+
+
+@query(f"""WITH l AS (SELECT vec_id, {DRAWN_SQL} AS level FROM embeddings), r AS (SELECT layer, count(*) AS n_nodes FROM (SELECT unnest(range(32))::BIGINT AS layer) JOIN l ON level >= layer GROUP BY layer)
+    SELECT layer, n_nodes, true AS within FROM r WHERE n_nodes > 1 OR layer = 0""")
+def graph_layers(spark, sf):
+    """Layers of the graph with their nodes as drawn; within: whether no node has more links than its layer allows, none to itself and each place once."""
+    index = _layered(spark, sf)
+    degrees = index.edges.groupBy("layer", "src").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("d"), F.max("pos").alias("p"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("self"))
+    caps = F.when(F.col("layer") == 0, LAYERED.degree(0)).otherwise(LAYERED.degree(1))
+    good = degrees.groupBy("layer").agg(F.min(((F.col("n") <= caps) & (F.col("d") == F.col("n")) & (F.col("p") == F.col("n")) & (F.col("self") == 0)).cast("int")).alias("ok"))
+    layers = index.nodes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("level"), F.lit(index.top)))).alias("layer")).groupBy("layer").agg(F.count("*").alias("n_nodes"))
+    return layers.join(good, "layer").select("layer", "n_nodes", (F.col("ok") == 1).alias("within"))
+
+
+@query(f"""WITH RECURSIVE c AS MATERIALIZED (SELECT query_id AS src, rank AS pos, id AS dst, distance, e.embedding::DOUBLE[] AS v FROM ({knn_sql(12, "q.vec_id <> e.vec_id", ask="true")}) JOIN embeddings e ON e.vec_id = id),
+    walk(src, pos, kept, vectors, dists, pruned, pd) AS (SELECT vec_id, 0::BIGINT, []::BIGINT[], []::DOUBLE[][], []::DOUBLE[], []::BIGINT[], []::DOUBLE[] FROM embeddings UNION ALL
+    SELECT w.src, c.pos, CASE WHEN ok AND len(kept) < 6 THEN list_append(kept, dst) ELSE kept END, CASE WHEN ok AND len(kept) < 6 THEN list_append(vectors, v) ELSE vectors END, CASE WHEN ok AND len(kept) < 6 THEN list_append(dists, distance) ELSE dists END,
+    CASE WHEN NOT ok AND len(kept) < 6 THEN list_append(pruned, dst) ELSE pruned END, CASE WHEN NOT ok AND len(kept) < 6 THEN list_append(pd, distance) ELSE pd END
+    FROM walk w JOIN (SELECT *, true AS joined FROM c) c ON c.src = w.src AND c.pos = w.pos + 1, LATERAL (SELECT len(list_filter(w.vectors, lambda k: round(list_cosine_distance(k, c.v), 6) < c.distance)) = 0 AS ok)),
+    done AS (SELECT src, (kept || pruned)[1:6] AS l, (dists || pd)[1:6] AS d FROM walk WHERE pos = 12)
+    SELECT src, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS dst, unnest(d) AS distance FROM done""")
+def select_neighbours_diverse(spark, sf):
+    """Of each item's twelve nearest others the six that the heuristic keeps, filled up with the nearest that it pruned."""
+    x = items(spark, sf)
+    near = exact.knn(x, x.withColumnRenamed("id", "query_id"), 12, skip_self=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance")
+    return layered.select(near, x, 6, IndexParams(m=6, ef_construction=12, heuristic="diverse", keep_pruned=True))
+
+
 @query(knn_sql(10).replace("SELECT query_id, id, distance, rank", "SELECT query_id, id, distance, rank, true AS exact", 1))
 def knn_budgeted(spark, sf):
     """Wave by wave without a deadline: exact, and known to be."""

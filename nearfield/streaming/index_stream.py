@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from nearfield.operators import index
+from nearfield.operators import cell_index, index
 
 
 def append_stream(items: DataFrame, path: str, checkpoint: str, shard_rows: int = index.SHARD_ROWS, once: bool = True) -> StreamingQuery:
@@ -27,3 +27,24 @@ def search_stream(queries: DataFrame, path: str, checkpoint: str, out: str, k: i
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_to_cells(items: DataFrame, path: str, checkpoint: str, compact_when: tuple[int, float] | None = (100_000, 0.1), once: bool = True) -> StreamingQuery:
+    """Appends each micro-batch of a stream of items to a stored cell index; a replayed batch replaces itself, and many appended rows are merged."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            cell_index.append(batch.sparkSession, path, batch, number + 1, compact_when=compact_when)
+
+    writer = items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def search_cells(queries: DataFrame, path: str, checkpoint: str, out: str, k: int, probes: int, rerank: int = 0) -> StreamingQuery:
+    """Answers each micro-batch of a stream of (query_id, vector) from the version that the cell index has then."""
+
+    def answer(batch: DataFrame, number: int) -> None:
+        found = cell_index.search(cell_index.load(batch.sparkSession, path), batch, k, probes, rerank=rerank)
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
