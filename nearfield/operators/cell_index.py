@@ -168,6 +168,8 @@ def append(spark: SparkSession, path: str, items: DataFrame, batch: int | None =
     what was appended since the last compaction is merged (see `needs_compaction`).
     """
     index = load(spark, path)
+    if batch is not None and any(batch <= p.get("through", -1) for p in index.parts.values()):
+        return index  # a replay of what was merged since
     if not len(index.centres):
         raise ValueError("the index was made without items, so it has no cells: make it anew")
     others = {k: v for k, v in index.parts.items() if batch is None or v["batch"] != batch}
@@ -178,7 +180,7 @@ def append(spark: SparkSession, path: str, items: DataFrame, batch: int | None =
     name, facts = _written(items, path, index.params, rows_a_file)
 
     def add(now: dict) -> dict:
-        number = max((p["batch"] for p in now["parts"].values()), default=0) + 1 if batch is None else batch
+        number = max((max(p["batch"], p.get("through", 0)) for p in now["parts"].values()), default=0) + 1 if batch is None else batch
         return {"add": {name: facts | {"batch": number}}, "remove": [k for k, p in now["parts"].items() if p["batch"] == number]}
 
     index = _loaded(spark, path, commits.commit(spark, path, add))
@@ -192,7 +194,7 @@ def needs_compaction(index: CellIndex, least_rows: int = 1000, least_share: floa
 
 
 def compact(spark: SparkSession, path: str, rows_a_file: int = ROWS_A_FILE) -> CellIndex:
-    """Merges the parts of the newest version into one; parts that others append meanwhile stay beside it."""
+    """Merges the parts of the newest version into one, which knows the batches that it holds; parts that others append meanwhile stay beside it."""
     index = load(spark, path)
     name, facts = _written(index.items(), path, index.params, rows_a_file)
 
@@ -200,7 +202,8 @@ def compact(spark: SparkSession, path: str, rows_a_file: int = ROWS_A_FILE) -> C
         if missing := set(index.parts) - set(now["parts"]):
             commits._store(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/items/{name}"), True)
             raise commits.Conflict(f"{len(missing)} of the merged parts were replaced meanwhile")
-        return {"add": {name: facts | {"batch": max(p["batch"] for p in index.parts.values())}}, "remove": list(index.parts)}
+        through = max(max(p["batch"], p.get("through", 0)) for p in index.parts.values())
+        return {"add": {name: facts | {"batch": -1, "through": through}}, "remove": list(index.parts)}
 
     return _loaded(spark, path, commits.commit(spark, path, merge)) if index.parts else index
 

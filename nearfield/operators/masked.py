@@ -27,6 +27,8 @@ from .exact import ITEM_BLOCK, MOST_BROADCAST, QUERY_BLOCK, distances, matrix, r
 
 Metric = str | Callable[[np.ndarray, np.ndarray], np.ndarray]
 ARITHMETIC = {"+": operator.add, "-": operator.sub, "*": operator.mul, "%": np.fmod}  # the sign of a remainder is that of the dividend, as in SQL
+#: Types of columns in conditions.
+KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string")
 COMPARISONS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq, "!=": operator.ne}
 
 
@@ -114,8 +116,8 @@ class Expression:
             return F.col(f"{self.args[0]}_low_{self.args[1]}"), F.col(f"{self.args[0]}_high_{self.args[1]}")
         if self.op == "literal":
             v = self.args[0]
-            x = F.lit(float(v) if isinstance(v, (int, float)) else None).cast("double")
-            return x, x
+            low, high = _ends(v, v) if isinstance(v, (int, float)) else (None, None)
+            return F.lit(low).cast("double"), F.lit(high).cast("double")
         (a, b), (c, d) = (e.range() for e in self.args)
         if self.op == "+":
             return a + c, b + d
@@ -148,6 +150,11 @@ class Expression:
         return out & (x.bitwiseAND(y) != 0) if op == "==" and x is not None and y is not None else out
 
 
+def _ends(low, high) -> tuple[float, float]:
+    """Bounds as doubles, which don't hold every integer beyond 2 ** 53: there a little wider."""
+    return tuple(float(x) if abs(x) <= 1 << 53 else float(np.nextafter(float(x), side)) for x, side in ((low, -np.inf), (high, np.inf)))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -169,7 +176,8 @@ def _array(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     known = column.is_valid().to_numpy(zero_copy_only=False)
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         return np.array([x or "" for x in column.to_pylist()], dtype=str), known
-    return column.fill_null(False if pa.types.is_boolean(column.type) else 0).to_numpy(zero_copy_only=False), known
+    values = column.fill_null(False if pa.types.is_boolean(column.type) else 0).to_numpy(zero_copy_only=False)
+    return values.astype(np.float64) if values.dtype.kind == "f" else values, known
 
 
 def _zone(column: pa.Array) -> tuple[float | None, float | None, int]:
@@ -179,12 +187,14 @@ def _zone(column: pa.Array) -> tuple[float | None, float | None, int]:
     bits = 0
     for v in np.unique(values).tolist():
         bits |= 1 << _bit(v)
-    return (float(values.min()), float(values.max()), _signed(bits)) if numbers else (None, None, _signed(bits))
+    return (*_ends(values.min().item(), values.max().item()), _signed(bits)) if numbers else (None, None, _signed(bits))
 
 
 def _packed(side: str, rows: DataFrame, names: list[str], size: int) -> DataFrame:
     """Blocks of rows (id, vector, columns): ids, vectors, each column as an array, its bounds and its bitmap."""
     kinds = {f.name: f.dataType for f in rows.schema}
+    if odd := [n for n in names if kinds[n].simpleString() not in KINDS]:
+        raise ValueError(f"{', '.join(odd)}: conditions know numbers, strings and booleans; cast it to one of them")
     ends = [f"{side}_{end}_{n}" for n in names for end in ("values", "low", "high", "bits")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,15 @@ def test_nulls_match_nothing(spark, items, asked):
         assert rows(masked.knn(holes, asked, 5, where=condition, item_block=16)) == rows(exact.knn_by(holes, asked, 5, cosine_distance, where=sql))
 
 
+def test_large_integers_and_other_types(spark, items, asked):
+    large = items.withColumn("label", F.lit((1 << 53) + 1) + F.col("id") % 2).withColumn("day", F.current_date())
+    q = asked.withColumn("q_label", F.lit(1 << 53))
+    found = masked.knn(large, q, 3, where=(query("q_label") < item("label")) & (item("label") == (1 << 53) + 1), item_block=16)
+    assert found.count() == 3 * asked.count() and found.where("id % 2 = 1").count() == 0
+    with pytest.raises(ValueError):
+        masked.knn(large, q, 3, where=item("day") == "x")
+
+
 def test_any_metric(spark, items, asked):
     largest = lambda q, x: np.abs(q[:, None] - x[None]).max(-1)
     truth = exact.knn_by(items, asked, 5, lambda u, v: F.array_max(F.zip_with(u, v, lambda a, b: F.abs(a.cast("double") - b.cast("double")))))

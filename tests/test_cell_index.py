@@ -73,6 +73,8 @@ def test_compaction_by_its_predicate(spark, items, asked):
     merged = cell_index.append(spark, path, items.where("id >= 320"), compact_when=(50, 0.1))
     assert len(merged.parts) == 1 and merged.n_items == items.count()
     assert rows(cell_index.search(merged, asked, 10, 4)) == rows(exact.knn(items, asked, 10))
+    again = cell_index.append(spark, path, items.where("id >= 320"), batch=2)  # a replay of a batch that was merged changes nothing
+    assert again.version == merged.version and again.n_items == items.count()
     assert rows(cell_index.search(kept, asked, 10, 4)) == rows(exact.knn(items.where("id < 320"), asked, 10))
     assert len(cell_index.vacuum(spark, path, older_than_s=0)) == 3
     assert rows(cell_index.search(cell_index.load(spark, path), asked, 10, 4)) == rows(exact.knn(items, asked, 10))
