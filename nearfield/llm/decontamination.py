@@ -3,13 +3,13 @@
 Texts are normalised as bytes: A-Z lowered, every run of other separators one space, and cut into words.
 The benchmark's words are numbered, and the automaton reads word numbers; the words of a document that the
 benchmark doesn't have are one number that leads back to its root. Its patterns are every second half window of
-each item, as any window holds one of those whole: a node for each word of the benchmark. What a half window finds is extended to
-both sides as far as item and document agree, which gives all windows around it at once.
+each item, as any window holds one of those whole: a node for each word of the benchmark. The windows of a document around what it
+finds are looked up by their hashes among the different windows of the items and compared word by word, so a text costs time in line
+with its length, however repetitive it and the items are.
 Occurrences are mapped back through word numbers to code-point offsets of the original text.
 
 A worker builds the automaton once and keeps it for all its tasks. It holds the benchmark only; one of over
-`block_bytes` of text is dealt into blocks that are scanned one after another, so that memory stays bounded
-whatever its size. One block is the usual case.
+`block_bytes` of text is dealt into blocks with an automaton each. One block is the usual case.
 
 Defined results: null texts and items have no words; an item of fewer words than a window is one
 window, one of none has no window; equal windows of several items count for each of them; repeated
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flat import ALNUM, LOWER, column, slices, words
+from .flat import ALNUM, LOWER, U64, column, slices, window_hashes, words
 from .tables import packed, table, unpacked
 
 NORMAL = bytes(LOWER[i] if ALNUM[LOWER[i]] else 32 for i in range(256))
@@ -42,47 +42,88 @@ def normal_words(text: str | None) -> list[str]:
 
 
 class Scanner:
-    """The windows of some items as one automaton over word numbers."""
+    """The windows of some items: an automaton over word numbers, and the different windows by hash."""
 
     def __init__(self, items: list[tuple[str | None, str]], length: int):
-        self.length, self.numbers, half = length, {}, (length + 1) // 2
-        self.items = [(item, [self.numbers.setdefault(x, len(self.numbers) + 1) for x in normal_words(text)]) for item, text in items]
-        found: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for i, (_, w) in enumerate(self.items):
+        self.length, self.half, self.numbers = length, (length + 1) // 2, {}
+        self.names = [item for item, _ in items]
+        numbered = [np.array([self.numbers.setdefault(x, len(self.numbers) + 1) for x in normal_words(text)], np.int64) for _, text in items]
+        whole: dict[tuple, set[int]] = defaultdict(set)  # items of fewer words than a window
+        halves: set[tuple] = set()
+        for i, w in enumerate(numbered):
             if len(w) >= length:
-                for at in range(0, len(w) - half + 1, half):
-                    found[tuple(w[at : at + half])].append((i, at))
-            elif w:  # one window, whole
-                found[tuple(w)].append((i, 0))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if found else None
-        for w, places in found.items():
-            self.automaton.add_word(w, (len(w), places))
-        if found:
+                halves.update(tuple(w[at : at + self.half].tolist()) for at in range(0, len(w) - self.half + 1, self.half))
+            elif len(w):
+                whole[tuple(w.tolist())].add(i)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if whole or halves else None
+        for w in halves | set(whole):
+            self.automaton.add_word(w, (len(w), w in halves, tuple(sorted(whole.get(w, ())))))
+        if self.automaton is not None:
             self.automaton.make_automaton()
+        self._index([(i, w) for i, w in enumerate(numbered) if len(w) >= length])
+
+    def _index(self, long: list[tuple[int, np.ndarray]]) -> None:
+        """flat: the words of all longer items. hashes, places, ends, owners: of the different windows in order of hash, where one stands, and the items that have it."""
+        length = self.length
+        self.flat = np.concatenate([w for _, w in long]) if long else np.zeros(0, np.int64)
+        sizes = np.array([len(w) for _, w in long], np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        counts = sizes - length + 1
+        at = np.arange(counts.sum()) + np.repeat(firsts - (np.cumsum(counts) - counts), counts)
+        own = np.repeat(np.array([i for i, _ in long], np.int64), counts)
+        hashes = window_hashes(self.flat.astype(U64), at, length)
+        order = np.lexsort((own, hashes))
+        hashes, at, own = hashes[order], at[order], own[order]
+        fresh = np.ones(len(at), bool)
+        if len(at):
+            fresh[1:] = (hashes[1:] != hashes[:-1]) | ~self._same(self.flat, at[1:], self.flat, at[:-1])
+        self.hashes, self.places = hashes[fresh], at[fresh]
+        group = np.cumsum(fresh) - 1
+        once = np.ones(len(at), bool)
+        once[1:] = (group[1:] != group[:-1]) | (own[1:] != own[:-1])
+        self.owners = own[once]
+        self.ends = np.searchsorted(group[once], np.arange(len(self.places) + 1))
+
+    def _same(self, a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray) -> np.ndarray:
+        out = np.ones(len(at), bool)
+        for i in range(self.length):
+            out &= a[at + i] == b[bt + i]
+        return out
 
-    def hits(self, words_: list[str]) -> list[tuple[int, int, str | None]]:
-        """(first word, end, item) of all stretches of a document that are windows of an item, one next to another."""
+    def hits(self, words_: list[str]) -> tuple[list[list[int]], set[str | None]]:
+        """The stretches of a document that windows cover, and the items that these are of."""
         if self.automaton is None or not words_:
-            return []
-        get, out = self.numbers.get, []
+            return [], set()
+        get, marks, ranges, seen = self.numbers.get, [], [], set()
         text = tuple([get(w, 0) for w in words_])
-        reached: dict[tuple[int, int], int] = {}  # of an item laid against the document, where they agree up to
-        for last, (size, places) in self.automaton.iter(text):
-            for i, at in places:
-                name, w = self.items[i]
-                first, lies = last + 1 - size, (i, last + 1 - size - at)
-                if reached.get(lies, -1) > first:
-                    continue
-                end, stop = last + 1, at + size
-                if len(w) >= self.length:
-                    while first and at and text[first - 1] == w[at - 1]:
-                        first, at = first - 1, at - 1
-                    while end < len(text) and stop < len(w) and text[end] == w[stop]:
-                        end, stop = end + 1, stop + 1
-                reached[lies] = end
-                if end - first >= min(self.length, len(w)):
-                    out.append((first, end, name))
-        return out
+        for last, (size, is_half, items) in self.automaton.iter(text):
+            if is_half:
+                marks.append(last + 1 - size)
+            if items:
+                ranges.append([last + 1 - size, last + 1])
+                seen.add(items)
+        found = {i for items in seen for i in items}
+        if marks and len(text) >= self.length:
+            flat, marks = np.array(text, np.int64), np.array(marks)
+            steps = np.zeros(len(text) + 1, np.int64)
+            np.add.at(steps, np.maximum(marks - (self.length - self.half), 0), 1)
+            np.add.at(steps, marks + 1, -1)
+            at = np.flatnonzero(np.cumsum(steps)[: len(text) - self.length + 1] > 0)
+            hashes = window_hashes(flat.astype(U64), at, self.length)
+            place = np.searchsorted(self.hashes, hashes)
+            hit = np.zeros(len(at), bool)
+            while True:  # once, but for windows whose hashes clash
+                near = np.flatnonzero(~hit & (place < len(self.hashes)))
+                near = near[self.hashes[place[near]] == hashes[near]]
+                if not len(near):
+                    break
+                good = near[self._same(flat, at[near], self.flat, self.places[place[near]])]
+                hit[good] = True
+                place[near[~hit[near]]] += 1
+            for p in np.unique(place[hit]).tolist():
+                found.update(self.owners[self.ends[p] : self.ends[p + 1]].tolist())
+            ranges += [[a, a + self.length] for a in at[hit].tolist()]
+        return merged(ranges), {self.names[i] for i in found}
 
 
 _scanners: dict[tuple[str, int], Scanner] = {}
@@ -124,9 +165,9 @@ def _scanner(shared, name: str, length: int, key_columns: int):
                     w = flat[a:b].split(" ")
                     w = [x for x in w if x]
                     n_words.append(len(w))
-                    hits = scanner.hits(w)
-                    items.append(sorted({*items_before[row], *(x for _, _, x in hits)} - {None}))
-                    ranges.append(merged(ranges_before[row] + [[x, y] for x, y, _ in hits]))
+                    covered, names = scanner.hits(w)
+                    items.append(sorted({*items_before[row], *names} - {None}))
+                    ranges.append(merged(ranges_before[row] + covered) if ranges_before[row] else covered)
                     row += 1
             kept = [batch.column(i) for i in range(key_columns)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.list_(pa.int64())))], names=[*batch.schema.names[:key_columns], "_n_words", "_items", "_ranges"])

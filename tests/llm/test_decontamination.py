@@ -66,3 +66,13 @@ def test_stretches_of_items_that_share_words(spark):
             parts += [*w[a : a + draw.randrange(1, 30)], *(draw.choice(["zz", word()]) for _ in range(draw.randrange(3)))]
         docs.append((i, " ".join(parts)))
     check(spark, spark.createDataFrame(docs, "doc_id long, text string"), items)
+
+
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    scanner = d.Scanner([("a", "word " * 20_000), ("b", "word other " * 10_000)], 10)
+    began = time.perf_counter()
+    assert scanner.hits(["word"] * 20_000) == ([[0, 20_000]], {"a"})
+    assert scanner.hits(["word", "other"] * 10_000) == ([[0, 20_000]], {"b"})
+    assert time.perf_counter() - began < 5
