@@ -2,7 +2,7 @@
 
 First every task keeps the front of the points that it reads, by key, and passes on just that. The fronts are packed into blocks with their
 least and largest corner; a pair of blocks of one key meets only where a point of the second can dominate one of the first, and gives
-the points of the first that it dominates. What is left of the fronts, joined with the rows, is the result. No task sees all
+the points of the first that it dominates; a block meets itself too, as fronts of several tasks lie in it. What is left of the fronts, joined with the rows, is the result. No task sees all
 points of a key, and what is shuffled are fronts.
 
 Defined results: equal optima all stay; rows with a null or NaN goal are left out; a null key is a key of its own.
@@ -112,7 +112,7 @@ def skyline(rows: DataFrame, keys: list[str], goals: list[str]) -> DataFrame:
     blocks = scratch.put(fronts.sortWithinPartitions("_key", *names).mapInArrow(_blocks(n), "_key string, points binary, low array<double>, high array<double>"))
     a, b = blocks.alias("a"), blocks.alias("b")
     can = F.forall(F.zip_with("a.low", "b.high", lambda x, y: y >= x), lambda ok: ok) & (F.col("a._key") == F.col("b._key"))
-    pairs = a.join(b, can & (F.col("a.points") != F.col("b.points"))).select("a._key", F.col("a.points"), F.col("b.points"))
+    pairs = a.join(b, can).select("a._key", F.col("a.points"), F.col("b.points"))
     beaten = pairs.toDF("_key", "p", "q").mapInArrow(_beaten(n), schema).distinct()
     left = fronts.join(beaten, ["_key", *names], "left_anti")
     found = known.withColumns({"_key": key} | {x: value(g) for g, x in zip(goals, names, strict=True)})
