@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact import distances, matrix, near_by_block
@@ -95,14 +95,13 @@ def knn_graph(items: DataFrame, k: int, metric: str = "cosine", pool: int | None
         around = edges.select(F.col("src").alias("node"), F.col("dst").alias("id"), "fresh").union(reverse).groupBy("node", "id").agg(F.max("fresh").alias("fresh"))
         farthest = edges.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= pool, F.max("distance")).alias("far"))
         known = nodes.join(farthest, "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
-        watch = Observation()
-        around = around.observe(watch, F.count(F.lit(1)).alias("n"))
+        around = scratch.put(around)
         dealt = around.join(known, "id").select("node", "id", "fresh", "vector", "far").repartition("node").sortWithinPartitions("node")
         found = scratch.put(dealt.mapInArrow(_compared(metric), "src long, dst long, distance double").groupBy("src", "dst").agg(F.min("distance").alias("distance")))
         merged = scratch.put(_best(edges.select("src", "dst", "distance", F.lit(False).alias("fresh")).union(found.withColumn("fresh", F.lit(True))), pool))
         changed = merged.where("fresh").count()
-        history.append({"round": number, "neighbours": watch.get["n"], "found": found.count(), "changed": changed})
-        scratch.drop(edges, found)
+        history.append({"round": number, "neighbours": around.count(), "found": found.count(), "changed": changed})
+        scratch.drop(edges, found, around)
         edges = merged
         if changed <= stop * pool * n:
             break
