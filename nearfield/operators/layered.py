@@ -51,6 +51,7 @@ class Layered:
     entry: int | None
     top: int
     params: IndexParams
+    base: tuple[str, int] | None = None  # the folder and version that it was loaded from
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def add(index: Layered, items: DataFrame, progress: Callable[[int, int], None] |
     entry = index.entry
     if entry is None or top > index.top:
         entry = all_nodes.where(F.col("level") >= top).agg(F.min("id")).first()[0]
-    return Layered(spark, everything, all_nodes, edges, entry, top, params)
+    return Layered(spark, everything, all_nodes, edges, entry, top, params, index.base)
 
 
 def _zoomed(index: Layered, new: DataFrame, most: int) -> DataFrame:
@@ -324,12 +325,39 @@ def search(index: Layered, queries: DataFrame, k: int, ef: int = 50, passing: Da
 
 
 def save(index: Layered, path: str) -> int:
-    """Writes the tables as the next version of a folder, and gives its number."""
+    """Writes the tables as the next version of a folder, and gives its number.
+
+    An index that was loaded from the folder is saved only if no other version came after: else `commits.Conflict`. One from elsewhere replaces what is there.
+    """
     name = uuid.uuid4().hex
     for kind in ("items", "nodes", "edges"):
         getattr(index, kind).write.parquet(f"{path}/parts/{name}/{kind}")
     facts = {"entry": index.entry, "top": index.top, "n": index.nodes.count(), "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.items.schema)}
-    return commits.commit(index.spark, path, lambda now: {"add": {name: facts}, "remove": list(now["parts"]), "params": {"format": FORMAT, "graph": index.params.to_json()}})["version"]
+
+    def change(now: dict) -> dict:
+        if index.base and index.base[0] == path and index.base[1] != now["version"]:
+            raise commits.Conflict(f"{path} is at version {now['version']}, the index comes from {index.base[1]}")
+        return {"add": {name: facts}, "remove": list(now["parts"]), "params": {"format": FORMAT, "graph": index.params.to_json()}}
+
+    return commits.commit(index.spark, path, change)["version"]
+
+
+def grow(spark: SparkSession, path: str, items: DataFrame, most_tries: int = 20) -> int:
+    """Adds the items that a stored index doesn't have, and gives the version that has them all.
+
+    A writer that finds a newer version when it commits adds its items to that one; items that are there already, as of a batch that
+    comes again, change nothing. What lost writers wrote goes with `commits.vacuum`.
+    """
+    for _ in range(most_tries):
+        now = load(spark, path)
+        more = add(now, items)
+        if more is now:
+            return now.base[1]
+        try:
+            return save(more, path)
+        except commits.Conflict:
+            continue
+    raise commits.Conflict(f"{path}: {most_tries} versions were taken by others")
 
 
 def load(spark: SparkSession, path: str, version: int | None = None, metric: str | None = None) -> Layered:
@@ -342,7 +370,7 @@ def load(spark: SparkSession, path: str, version: int | None = None, metric: str
         raise ValueError(f"the index was built for {params.metric}")
     (name, facts), = state["parts"].items()
     read = lambda kind, schema: spark.read.schema(schema).parquet(f"{path}/parts/{name}/{kind}")
-    index = Layered(spark, read("items", facts["schema"]), read("nodes", "id long, level long"), read("edges", EDGE), facts["entry"], facts["top"], params)
+    index = Layered(spark, read("items", facts["schema"]), read("nodes", "id long, level long"), read("edges", EDGE), facts["entry"], facts["top"], params, (path, state["version"]))
     if index.nodes.count() != facts["n"]:
         raise ValueError("the index lacks nodes that its version counts")
     return index

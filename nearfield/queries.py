@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import vectors as v
 from nearfield.functions.vectors import rounded
 from nearfield.operators import evaluation as ev
-from nearfield.operators import budgeted, cell_index, descent, exact, graph, index, layered, masked, pruned
+from nearfield.operators import budgeted, cell_index, descent, exact, graph, layered, masked, pruned
 from nearfield.operators.masked import item
 from nearfield.operators.masked import query as of_query
 from nearfield.operators.skyline import skyline
@@ -23,8 +23,6 @@ from nearfield.plans.params import IndexParams
 from nearfield.sources import vector_files
 from nearfield.streaming import standing
 
-PARAMS = IndexParams(m=16, ef_construction=200, heuristic="diverse", keep_pruned=True)
-SHARD = 1000
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -178,19 +176,6 @@ def list_items(spark, sf):
     return exact.list_items(items(spark, sf).select("id", "label"))
 
 
-def _graphs(spark: SparkSession, sf: str) -> DataFrame:
-    """An index of all items, saved and loaded."""
-    path = fresh_path(spark, "index")
-    index.save(index.build(items(spark, sf), PARAMS, SHARD), path, PARAMS)
-    return index.load(spark, path, "cosine")
-
-
-@query(knn_sql(10))
-def knn_ann_exhaustive(spark, sf):
-    """Beams as wide as a shard walk all of it, so the result is exact."""
-    return index.search(_graphs(spark, sf), asked(spark, sf), 10, ef=2 * SHARD)
-
-
 N_CELLS = 16
 PROBES = 14
 #: Items that are compared by their vectors after codes have ranked all: of the ten that are looked for.
@@ -333,6 +318,15 @@ def _layered(spark: SparkSession, sf: str) -> layered.Layered:
     return layered.load(spark, _LAYERED[key], metric="cosine")
 
 
+@query(knn_sql(10))
+def knn_ann_exhaustive(spark, sf):
+    """Of a stored graph that grew in two batches: beams as wide as the table walk all of it, so the result is exact."""
+    x, path = items(spark, sf), fresh_path(spark, "layered")
+    layered.save(layered.build(x.where("id % 4 <> 0"), LAYERED), path)
+    layered.grow(spark, path, x)
+    return layered.search(layered.load(spark, path, metric="cosine"), asked(spark, sf), 10, 100_000)[0]
+
+
 @query(f"SELECT f.*, (SELECT count(*) FROM embeddings) AS reached FROM ({knn_sql(10)}) f")
 def graph_search_exhaustive(spark, sf):
     """A beam as wide as the table walks all of the lowest layer, so the result is exact; reached: nodes that it visited there and above, each once."""
@@ -423,14 +417,27 @@ def descent_recall(spark, sf):
     return hits.agg(F.count("*").alias("n"), F.count("hit").alias("hits")).crossJoin(edges.agg(F.count("*").alias("n_edges"))).select("n_edges", (F.col("hits") >= 0.9 * F.col("n")).alias("enough"), F.lit(linear).alias("linear"))
 
 
-@query()
+@query("SELECT vec_id AS query_id, 10::BIGINT AS n_found, true AS counted FROM embeddings WHERE vec_id % 100 = 0")
 def search_metrics(spark, sf):
-    return index.search_metrics(_graphs(spark, sf), asked(spark, sf), 10)
+    """Results of each query by beams; counted: whether its nodes visited lie between those found and all, a node once in each layer, and its rounds are some."""
+    index = _layered(spark, sf)
+    found, stats = layered.search(index, asked(spark, sf), 10, 50)
+    most = items(spark, sf).count() * (index.top + 1)
+    both = found.groupBy("query_id").agg(F.count("*").alias("n_found")).join(stats, "query_id")
+    return both.select("query_id", "n_found", (F.col("visited").between(F.col("n_found"), F.lit(most)) & (F.col("rounds") >= 1)).alias("counted"))
 
 
-@query()
+BUILT = IndexParams(m=6, ef_construction=64, heuristic="simple", seed=12345)
+
+
+@query(f"""WITH l AS (SELECT vec_id, embedding, {LEVEL_SQL.replace("16.0", "6.0")} AS level FROM embeddings), every AS (SELECT unnest(range(32))::BIGINT AS layer),
+    layers AS (SELECT layer, CASE WHEN layer = 0 THEN 12 ELSE 6 END AS cap FROM every JOIN l ON level >= layer GROUP BY layer HAVING layer = 0 OR count(*) > 1),
+    near AS (SELECT layer, cap, q.vec_id AS src, e.vec_id AS dst, {cos("q.embedding", "e.embedding")} AS distance FROM layers JOIN l q ON q.level >= layer JOIN l e ON e.level >= layer AND q.vec_id <> e.vec_id),
+    own AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY layer, src ORDER BY distance, dst) <= cap)
+    SELECT layer, src, row_number() OVER (PARTITION BY layer, src ORDER BY distance, dst) AS pos, dst, distance FROM (SELECT * FROM own UNION SELECT layer, cap, dst, src, distance FROM own) QUALIFY pos <= cap""")
 def build_index(spark, sf):
-    return index.edges(_graphs(spark, sf))
+    """All links of a graph of nearest neighbours, layer by layer (the SQL compares all pairs, as the build does up to layered.MOST_EXACT nodes)."""
+    return layered.build(items(spark, sf), BUILT).edges.select("layer", "src", "pos", "dst", "distance")
 
 
 # --- building blocks of graphs ---
@@ -476,9 +483,20 @@ def select_neighbours_first(spark, sf):
     return graph.nearest_edges(_edges(spark, sf), 1)
 
 
-@query()
+@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT query_id AS src, id AS dst, rank FROM ({knn_sql(6, "q.vec_id <> e.vec_id", ask="true")})),
+    p AS (SELECT src, dst FROM k UNION SELECT a.src, b.dst FROM k a JOIN k b ON b.src = a.dst AND b.rank <= 4 AND b.dst <> a.src),
+    c AS MATERIALIZED (SELECT src, dst, e.embedding::DOUBLE[] AS v, {cos("q.embedding", "e.embedding")} AS distance, row_number() OVER (PARTITION BY src ORDER BY {cos("q.embedding", "e.embedding")}, dst) AS pos
+    FROM p JOIN embeddings q ON q.vec_id = src JOIN embeddings e ON e.vec_id = dst QUALIFY pos <= 12),
+    walk(src, pos, kept, vectors, dists) AS (SELECT vec_id, 0::BIGINT, []::BIGINT[], []::DOUBLE[][], []::DOUBLE[] FROM embeddings UNION ALL
+    SELECT w.src, c.pos, CASE WHEN ok THEN list_append(kept, dst) ELSE kept END, CASE WHEN ok THEN list_append(vectors, v) ELSE vectors END, CASE WHEN ok THEN list_append(dists, distance) ELSE dists END
+    FROM walk w JOIN c ON c.src = w.src AND c.pos = w.pos + 1, LATERAL (SELECT len(kept) < 6 AND len(list_filter(w.vectors, lambda k: round(list_cosine_distance(k, c.v), 6) < c.distance)) = 0 AS ok)),
+    done AS (SELECT * FROM walk QUALIFY pos = max(pos) OVER (PARTITION BY src))
+    SELECT src, unnest(range(1, len(kept) + 1)) AS pos, unnest(kept) AS dst, unnest(dists) AS distance FROM done WHERE len(kept) > 0""")
 def select_neighbours_heuristic(spark, sf):
-    return index.edges(index.build(items(spark, sf), IndexParams(m=8, ef_construction=64, heuristic="diverse", expand_best=True), SHARD))
+    """Of each item's six nearest others and their four nearest, the links that the heuristic keeps; pruned ones don't fill up."""
+    x = items(spark, sf)
+    near = exact.knn(x, x.withColumnRenamed("id", "query_id"), 6, skip_self=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance")
+    return layered.select(near, x, 6, IndexParams(m=4, ef_construction=12, heuristic="diverse", expand_best=True))
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM graph UNION ALL
@@ -547,7 +565,7 @@ def needs_compaction(spark, sf):
 @query("SELECT vec_id AS id, label FROM embeddings WHERE label >= 8")
 def items_not_in_graph(spark, sf):
     x = items(spark, sf)
-    built = index.nodes(index.build(x.where("label < 8"), IndexParams(m=4, ef_construction=16), SHARD))
+    built = layered.build(x.where("label < 8"), IndexParams(m=4, ef_construction=16)).nodes
     return graph.items_not_in_graph(x, built).select("id", "label")
 
 
@@ -664,9 +682,13 @@ def selectivity_sweep(spark, sf):
     return ev.selectivity_sweep(items(spark, sf), asked(spark, sf), 50)
 
 
-@query("SELECT m, efc, method, efs, lim FROM (SELECT unnest([16, 32]) AS m), (SELECT unnest([50, 100, 200, 400]) AS efc), (SELECT unnest(['post', 'pre', 'acorn-1', 'acorn-12']) AS method), (SELECT unnest([50, 100, 200, 400]) AS efs), (SELECT unnest([10, 100]) AS lim)")
+@query("""SELECT m, efs, lim, label, n_items, n_items < lim AS short FROM (SELECT unnest([16, 32]) AS m), (SELECT unnest([50, 100, 200, 400]) AS efs), (SELECT unnest([10, 100]) AS lim),
+    (SELECT label::BIGINT AS label, count(*) AS n_items FROM embeddings GROUP BY 1)""")
 def param_grid(spark, sf):
-    return ev.param_grid(spark, m=[16, 32], efc=[50, 100, 200, 400], method=["post", "pre", "acorn-1", "acorn-12"], efs=[50, 100, 200, 400], lim=[10, 100])
+    """A grid of settings for the filter of each label, with the items that pass; short: whether they are fewer than are asked for."""
+    counts = items(spark, sf).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n_items"))
+    grid = ev.param_grid(spark, m=[16, 32], efs=[50, 100, 200, 400], lim=[10, 100])  # sixteen rows
+    return counts.crossJoin(F.broadcast(grid)).select("m", "efs", "lim", "label", "n_items", (F.col("n_items") < F.col("lim")).alias("short"))
 
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, max(value) AS largest, round(sum(value), 4) AS total FROM events GROUP BY event_type")

@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from nearfield.operators import cell_index, index
+from nearfield.operators import cell_index, layered
 
 
-def append_stream(items: DataFrame, path: str, checkpoint: str, shard_rows: int = index.SHARD_ROWS, once: bool = True) -> StreamingQuery:
-    """Appends each micro-batch of a stream of (id, vector) to an index as shards of its own; a replayed batch replaces itself."""
+def append_stream(items: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Adds each micro-batch of a stream of (id, vector) to a stored graph; a replayed batch changes nothing."""
 
     def add(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            index.append(batch.sparkSession, path, batch, number + 1, shard_rows)
+            layered.grow(batch.sparkSession, path, batch)
 
     writer = items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def search_stream(queries: DataFrame, path: str, checkpoint: str, out: str, k: int, ef: int = 50) -> StreamingQuery:
-    """Answers each micro-batch of a stream of (query_id, vector) from the snapshot that the index has then."""
+    """Answers each micro-batch of a stream of (query_id, vector) from the version that the graph has then."""
 
     def answer(batch: DataFrame, number: int) -> None:
-        found = index.search(index.load(batch.sparkSession, path), batch, k, ef)
+        found, _ = layered.search(layered.load(batch.sparkSession, path), batch, k, ef)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
