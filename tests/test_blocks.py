@@ -130,3 +130,27 @@ def test_null_ids_are_left_out(spark):
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, None)], "id long, vector array<double>")
     q = odd.withColumnRenamed("id", "query_id")
     assert rows(exact.knn(odd, q, 3)) == [(1, 1, 0.0, 1)] == rows(masked.knn(odd, q, 3))
+
+
+def test_a_task_passes_on_its_nearest_alone(spark):
+    """Three blocks of items in a task, with ties: k rows a query leave it, not k a block; and so by parts that aren't broadcast."""
+    draw = np.random.default_rng(3)
+    x = np.round(draw.normal(size=(3 * exact.ITEM_BLOCK, 3)), 1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").coalesce(1)
+    asked = rows.where("id % 500 = 0").withColumnRenamed("id", "query_id")
+    for metric in ("cosine", "l2sq", "inner_product", "l1"):
+        d = np.round(exact.distances(metric, x[::500].astype(np.float32), x.astype(np.float32)), 6)
+        want = [(500 * i, int(j)) for i, row in enumerate(d) for j in np.lexsort((np.arange(len(x)), row))[:7]]
+        assert exact.near_by_block(rows, asked, 7, metric).count() == len(want)
+        assert sorted((r.query_id, r.id) for r in exact.knn(rows, asked, 7, metric).collect()) == sorted(want)
+
+
+def test_queries_that_are_not_broadcast_meet_all_items(spark, monkeypatch):
+    monkeypatch.setattr(exact, "QUERY_PART", 40)
+    monkeypatch.setattr(exact, "ITEM_PART", 90)
+    x = np.random.default_rng(4).normal(size=(200, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    d = np.round(exact.distances("cosine", x, x), 6)
+    np.fill_diagonal(d, np.inf)
+    want = sorted((i, int(j)) for i in range(200) for j in np.lexsort((np.arange(200), d[i]))[:6])
+    assert sorted((r.query_id, r.id) for r in exact.knn(rows, rows.withColumnRenamed("id", "query_id"), 6, skip_self=True).collect()) == want
