@@ -141,3 +141,21 @@ def test_odd_items(spark):
     assert [r.id for r in layered.search(one, q, 3)[0].collect()] == [4]
     with pytest.raises(ValueError):
         layered.search(one, q, 0)
+
+
+def test_links_are_exact_if_asked_for(items, monkeypatch):
+    monkeypatch.setattr(layered, "MOST_EXACT", 8)
+    built = layered.build(items, IndexParams(m=6, ef_construction=64, heuristic="simple"), exact=True)
+    near = built.edges.where("layer = 0 AND pos <= 12").select(F.col("src").alias("query_id"), F.col("dst").alias("id"), F.round("distance", 6))
+    truth = exact.knn(items, items.select(F.col("id").alias("query_id"), "vector"), 12, skip_self=True)
+    assert rows(near) == rows(truth.select("query_id", "id", F.round("distance", 6)))
+
+
+def test_a_beam_as_wide_as_the_graph_walks_once(built, items, asked, monkeypatch):
+    """Over 2 nodes that only lead out: they are reached, too."""
+    monkeypatch.setattr(layered, "WIDE", 100)
+    alone = layered.replace(built, edges=built.edges.where("dst NOT IN (3, 50)"))
+    for where in (None, "label >= 5"):
+        found, stats = layered.search(alone, asked, 10, 300, None if where is None else items.where(where))
+        assert rows(found) == rows(exact.knn(items, asked, 10, where=where))
+        assert {r.visited for r in stats.collect()} == {items.count()}
