@@ -126,6 +126,21 @@ def test_descent_of_few_and_odd_items(spark):
     assert descent.knn_graph(odd.limit(1), 3)[0].count() == 0
 
 
+def test_descent_finds_neighbours_without_structure(spark, monkeypatch):
+    """Even directions, many of a node's neighbours beyond those of its neighbours, and a group of copies: rounds that have settled miss more than a tenth."""
+    monkeypatch.setattr(descent, "LEAF", 100)
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(2000, 64))
+    x[::20] = x[0]
+    rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    edges, history = descent.knn_graph(rows_, 5, pool=10)
+    d = np.round(exact.distances("cosine", x, x), 6)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(2000) for j in np.lexsort((np.arange(2000), d[i]))[:5]}
+    assert len(want & set(rows(edges.select("src", "dst")))) >= 0.9 * len(want)
+    assert all(h["neighbours"] <= 20 * 2000 for h in history) and "recall" in history[-1]
+
+
 def test_null_ids_are_left_out(spark):
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, None)], "id long, vector array<double>")
     q = odd.withColumnRenamed("id", "query_id")
