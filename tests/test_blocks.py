@@ -169,3 +169,19 @@ def test_queries_that_are_not_broadcast_meet_all_items(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     want = sorted((i, int(j)) for i in range(200) for j in np.lexsort((np.arange(200), d[i]))[:6])
     assert sorted((r.query_id, r.id) for r in exact.knn(rows, rows.withColumnRenamed("id", "query_id"), 6, skip_self=True).collect()) == want
+
+
+def test_candidates_by_tiles(monkeypatch):
+    """Queries looked through in tiles, some without a bound, and ids that equal ones leave out: the pairs of a plain search, few products held at once."""
+    monkeypatch.setattr(exact, "TILE", 7)
+    draw = np.random.default_rng(6)
+    q, x = np.round(draw.normal(size=(50, 4)), 1), np.round(draw.normal(size=(83, 4)), 1)
+    ids, own = draw.permutation(90)[:50], draw.permutation(90)[:83]
+    for metric in ("cosine", "l2sq", "inner_product", "l1"):
+        d = np.round(exact.distances(metric, q, x), 6) + 0.0
+        d[ids[:, None] == own[None]] = np.inf
+        bound = np.where(np.arange(50) % 3 == 0, np.inf, np.partition(d, 4, axis=1)[:, 4])
+        row, column, found = exact.candidates(metric, q, x, bound, 5, 6, (ids, own))
+        assert np.allclose(found, d[row, column]) and np.isfinite(d[row, column]).all()
+        near = d <= np.partition(d, 4, axis=1)[:, 4:5]
+        assert set(zip(*np.nonzero(near), strict=True)) <= set(zip(row.tolist(), column.tolist(), strict=True))
