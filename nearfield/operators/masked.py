@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exact import ITEM_BLOCK, MOST_BROADCAST, QUERY_BLOCK, distances, matrix, ranked
+from .exact import ITEM_BLOCK, MOST_BROADCAST, MOST_HELD, QUERY_BLOCK, Best, _kth, _true, distances, matrix, ranked
 
 Metric = str | Callable[[np.ndarray, np.ndarray], np.ndarray]
 ARITHMETIC = {"+": operator.add, "-": operator.sub, "*": operator.mul, "%": np.fmod}  # the sign of a remainder is that of the dividend, as in SQL
@@ -190,8 +190,11 @@ def _zone(column: pa.Array) -> tuple[float | None, float | None, int]:
     return (*_ends(values.min().item(), values.max().item()), _signed(bits)) if numbers else (None, None, _signed(bits))
 
 
-def _packed(side: str, rows: DataFrame, names: list[str], size: int) -> DataFrame:
-    """Blocks of rows (id, vector, columns): ids, vectors, each column as an array, its bounds and its bitmap."""
+def _packed(side: str, rows: DataFrame, names: list[str], size: int, most: int = 0) -> DataFrame:
+    """Blocks of rows (id, vector, columns): ids, vectors, each column as an array, its bounds and its bitmap.
+
+    most: blocks of `size` rows, one after another, that have the same bounds and bitmaps meet the same blocks, so they become one of up to so many rows.
+    """
     kinds = {f.name: f.dataType for f in rows.schema}
     if odd := [n for n in names if kinds[n].simpleString() not in KINDS]:
         raise ValueError(f"{', '.join(odd)}: conditions know numbers, strings and booleans; cast it to one of them")
@@ -199,12 +202,19 @@ def _packed(side: str, rows: DataFrame, names: list[str], size: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pieces = []  # first row, one after the last, bounds and bitmaps
             for first in range(0, batch.num_rows, size):
-                part = batch.slice(first, min(size, batch.num_rows - first))
+                end = min(first + size, batch.num_rows)
+                zones = [_zone(column.slice(first, end - first)) for column in batch.columns[2:]]
+                if pieces and pieces[-1][2] == zones and end - pieces[-1][0] <= most:
+                    pieces[-1] = pieces[-1][0], end, zones
+                else:
+                    pieces.append((first, end, zones))
+            for first, end, zones in pieces:
+                part = batch.slice(first, end - first)
                 x = matrix(part.column(1)).astype(float)
                 out = [pa.array([x.shape[1]], pa.int32()), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())]
-                for column in part.columns[2:]:
-                    low, high, bits = _zone(column)
+                for column, (low, high, bits) in zip(part.columns[2:], zones, strict=True):
                     out += [pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), pa.array([low], pa.float64()), pa.array([high], pa.float64()), pa.array([bits], pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=[f"{side}_dim", f"{side}_ids", f"{side}_vectors", *ends])
 
@@ -214,24 +224,26 @@ def _packed(side: str, rows: DataFrame, names: list[str], size: int) -> DataFram
     return rows.mapInArrow(run, ", ".join(fields))
 
 
-def _blocks(side: str, rows: DataFrame, key: str, condition: Expression | None, size: int, cluster_by: str | None = None) -> DataFrame:
+def _blocks(side: str, rows: DataFrame, key: str, condition: Expression | None, size: int, cluster_by: str | None = None, most: int = 0) -> DataFrame:
     names = sorted(n for s, n in condition.columns() if s == side) if condition is not None else []
     rows = rows.where(F.col(key).isNotNull() & F.col("vector").isNotNull()).select(F.col(key).cast("long").alias("_id"), "vector", *names)
     if cluster_by:
         rows = rows.repartitionByRange(cluster_by)
     order = [*([cluster_by] if cluster_by else []), *(n for n in names if n != cluster_by)]
-    return _packed(side, rows.sortWithinPartitions(*order, "_id") if order else rows, names, size)
+    return _packed(side, rows.sortWithinPartitions(*order, "_id") if order else rows, names, size, most)
 
 
-def block_pairs(items: DataFrame, queries: DataFrame, where: Expression | None = None, cluster_by: str | None = None, item_block: int = ITEM_BLOCK, query_block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame, Column]:
-    """Blocks of items, blocks of queries, and the condition on which a pair of them can hold a match."""
+def block_pairs(items: DataFrame, queries: DataFrame, where: Expression | None = None, cluster_by: str | None = None, item_block: int = ITEM_BLOCK, query_block: int = QUERY_BLOCK, merged: bool = False) -> tuple[DataFrame, DataFrame, Column]:
+    """Blocks of items, blocks of queries, and the condition on which a pair of them can hold a match. merged: see `_packed`."""
     n = queries.count()
     few = queries.coalesce(max(1, -(-n // query_block)))
-    return _blocks("item", items, "id", where, item_block, cluster_by), _blocks("query", few, "query_id", where, query_block), F.lit(True) if where is None else where.possible()
+    most = (ITEM_BLOCK, QUERY_BLOCK) if merged else (0, 0)
+    return _blocks("item", items, "id", where, item_block, cluster_by, most[0]), _blocks("query", few, "query_id", where, query_block, most=most[1]), F.lit(True) if where is None else where.possible()
 
 
 def _nearest(metric: Metric, k: int, digits: int, where: Expression | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
         for batch in batches:
             cell = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for r in range(batch.num_rows):
@@ -251,11 +263,18 @@ def _nearest(metric: Metric, k: int, digits: int, where: Expression | None):
                         values = own.slice(r, 1).flatten()
                         known[side, name] = tuple(v[None] if side == "item" else v[:, None] for v in _array(values))
                     d[~np.broadcast_to(where.holds(known)[0], d.shape)] = np.inf
-                d[np.isnan(d)] = np.inf
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, axis=1)
-                real = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, order.shape[1])[real.ravel()]), pa.array(ids[order][real]), pa.array(best[real])], names=["query_id", "id", "distance"])
+                d[~np.isfinite(d)] = np.inf
+                if best.n * k > MOST_HELD:
+                    yield from best.rows()
+                slots = best.slots_of(queries)
+                limit = best.distances[slots, k - 1]
+                if (open_ := np.flatnonzero(np.isinf(limit))).size:
+                    limit[open_] = _kth(d[open_], k)
+                row, column = np.divmod(_true(d <= limit[:, None]), len(ids))
+                real = np.isfinite(d[row, column])
+                row, column = row[real], column[real]
+                best.add(slots[row], d[row, column], ids[column])
+        yield from best.rows()
 
     return run
 
@@ -267,7 +286,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int, metric: Metric = "cosine",
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    blocks, asked, possible = block_pairs(items, queries, where, cluster_by, item_block, query_block)
+    blocks, asked, possible = block_pairs(items, queries, where, cluster_by, item_block, query_block, merged=True)
     n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
     width = 8 * (dim or 0) + 16 * (1 + (len(where.columns()) if where is not None else 0))
     pairs = blocks.join(F.broadcast(asked) if n * width <= MOST_BROADCAST else asked, possible)
@@ -278,5 +297,6 @@ def pairs_kept(items: DataFrame, queries: DataFrame, where: Expression, cluster_
     """pairs, of all blocks, and kept, of those that can hold a match."""
     blocks, asked, possible = block_pairs(items, queries, where, cluster_by, item_block, query_block)
     heads = [df.drop(*(c for c in df.columns if c.endswith(("_ids", "_vectors")) or "_values_" in c)) for df in (blocks, asked)]
-    n = heads[1].count()
-    return heads[0].join(F.broadcast(heads[1]) if n * 64 <= MOST_BROADCAST else heads[1], F.lit(True)).agg(F.count("*").alias("pairs"), F.count_if(possible).alias("kept"))
+    heads = [h.groupBy(*(F.col(f"`{c}`") for c in h.columns)).agg(F.count("*").alias(n)) for h, n in zip(heads, ("_blocks", "_asked"), strict=True)]  # those of the same bounds at once
+    pairs = F.col("_blocks") * F.col("_asked")
+    return heads[0].join(heads[1], F.lit(True)).agg(F.coalesce(F.sum(pairs), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum(F.when(possible, pairs)), F.lit(0)).cast("long").alias("kept"))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield.functions.vectors import cosine_distance, rounded
 from nearfield.operators import descent, exact, masked, pruned
 from nearfield.operators.masked import item, query
 
@@ -35,8 +36,6 @@ CONDITIONS = [
 @pytest.mark.parametrize("condition,sql", CONDITIONS)
 def test_conditions_as_row_by_row(items, asked, condition, sql):
     """Also in small blocks, of which some are left out."""
-    from nearfield.functions.vectors import cosine_distance
-
     truth = rows(exact.knn_by(items, asked, 7, cosine_distance, where=sql))
     assert rows(masked.knn(items, asked, 7, where=condition)) == truth
     assert rows(masked.knn(items, asked, 7, where=condition, cluster_by="label", item_block=16, query_block=2)) == truth
@@ -59,6 +58,17 @@ def test_nulls_match_nothing(spark, items, asked):
         assert rows(masked.knn(holes, asked, 5, where=condition, item_block=16)) == rows(exact.knn_by(holes, asked, 5, cosine_distance, where=sql))
 
 
+def test_small_blocks_of_the_same_bounds_are_searched_as_one(spark, items, asked):
+    q, where = asked.select("query_id", "vector", "q_label"), item("label") - query("q_label") >= 3
+    options = {"cluster_by": "label", "item_block": 4, "query_block": 1}
+    small, large = (masked.block_pairs(items, q, where, merged=m, **options) for m in (False, True))
+    assert 3 * large[0].count() < small[0].count() and large[1].count() <= small[1].count()
+    truth = exact.knn_by(items, q, 10, cosine_distance, "label - q_label >= 3")
+    assert rows(masked.knn(items, q, 10, where=where, **options)) == rows(truth)
+    kept = small[0].join(small[1], small[2]).count()
+    assert masked.pairs_kept(items, q, where, **options).first() == (small[0].count() * small[1].count(), kept)
+
+
 def test_large_integers_and_other_types(spark, items, asked):
     large = items.withColumn("label", F.lit((1 << 53) + 1) + F.col("id") % 2).withColumn("day", F.current_date())
     q = asked.withColumn("q_label", F.lit(1 << 53))
@@ -113,8 +123,6 @@ def test_descent_finds_the_graph(spark, items):
     assert all(h["neighbours"] <= 2 * pool * n for h in history)
     assert history[-1]["changed"] < history[0]["changed"]
     pairs = items.alias("a").join(edges, F.col("a.id") == F.col("src")).join(items.alias("b"), F.col("b.id") == F.col("dst"))
-    from nearfield.functions.vectors import cosine_distance, rounded
-
     assert pairs.where(rounded(cosine_distance(F.col("a.vector"), F.col("b.vector"))) != F.col("distance")).count() == 0
 
 
