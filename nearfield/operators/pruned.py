@@ -1,6 +1,6 @@
 """Exact neighbours that skip: blocks of near vectors with a centre and a radius, left out where the triangle inequality rules them out.
 
-Items are dealt to cells around centres of a bounded sample and packed by cell; each block knows the mean of its vectors and the
+Items are dealt to cells around centres of a bounded sample and packed by cell, those that a task has at once halved along the widest side down to blocks; each block knows the mean of its vectors and the
 distance of the farthest. A first pass compares each query with its own cell alone, which bounds the distance of
 its k-th neighbour. Queries are packed by cell too, with a centre, a radius and the largest bound among them, and a second pass joins
 just those pairs of blocks for which distance of centres - both radii <= bound. No block that could hold a neighbour is left out, so the rows
@@ -31,6 +31,20 @@ def _unit(x: np.ndarray, metric: str) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric == "cosine" else x
 
 
+def _tight(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of the rows in blocks of at most `size`: halved along the widest side, so that a block's radius is far below that of all."""
+    parts, out = [np.arange(len(x))], []
+    while parts:
+        at = parts.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        half = size * (-(-len(at) // size) // 2)
+        order = np.argpartition(x[at, np.ptp(x[at], axis=0).argmax()], half)
+        parts += [at[order[half:]], at[order[:half]]]
+    return out
+
+
 def _balls(rows: DataFrame, key: str, metric: str, size: int) -> DataFrame:
     """Blocks of one cell each of rows (key, vector, _cell, _bound): dim, ids, vectors, centre, radius and the largest bound."""
 
@@ -39,9 +53,9 @@ def _balls(rows: DataFrame, key: str, metric: str, size: int) -> DataFrame:
             cell = batch.column(2).to_numpy()
             cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
             for begin, end in zip(cuts, cuts[1:], strict=False):
-                for first in range(begin, end, size):
-                    part = batch.slice(first, min(size, end - first))
-                    x = matrix(part.column(1)).astype(float)
+                whole = matrix(batch.column(1).slice(begin, end - begin)).astype(float)
+                for at in _tight(_unit(whole, metric), size):
+                    part, x = batch.take(pa.array(begin + at)), whole[at]
                     own = _unit(x, metric)
                     centre = own.mean(0)
                     radius = float(np.sqrt(((own - centre) ** 2).sum(1).max()))

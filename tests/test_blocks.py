@@ -193,3 +193,13 @@ def test_candidates_by_tiles(monkeypatch):
         assert np.allclose(found, d[row, column]) and np.isfinite(d[row, column]).all()
         near = d <= np.partition(d, 4, axis=1)[:, 4:5]
         assert set(zip(*np.nonzero(near), strict=True)) <= set(zip(row.tolist(), column.tolist(), strict=True))
+
+
+def test_blocks_of_one_cell_are_tight(spark):
+    """Even points in one cell: most of its blocks are far from a block of queries."""
+    x = np.random.default_rng(8).random((4000, 2))
+    near = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").coalesce(1)
+    q = near.where("id % 40 = 0").withColumnRenamed("id", "query_id")
+    r = pruned.pairs_kept(near, q, 5, "l2sq", n_cells=1, item_block=64, query_block=8).first()
+    assert r.pairs == 4000 * 100 and r.kept < 0.5 * r.pairs
+    assert rows(pruned.knn(near, q, 5, "l2sq", n_cells=1, item_block=64, query_block=8)) == rows(exact.knn(near, q, 5, "l2sq"))
