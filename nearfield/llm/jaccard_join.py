@@ -23,8 +23,9 @@ Answers from similar sets. The set of a block that most other blocks hold too is
 2. Members' answers are derived from the pivot's by these differences alone (`derived`). Members that
    link with the pivot are one component and need no comparison. For the others, differences are
    what is joined: a pair of which one doesn't link with the pivot must share an element among the
-   first few of both differences, in an order with the elements that the pivot lacks first. So an edit
-   that copies have in common brings them together, and the text that all copies share doesn't.
+   first few of both differences, in an order with the rarest of the group first (`candidates`). So a
+   rare edit that copies have in common brings them together, and neither the text that all copies share
+   nor what many of them lack alike does.
 3. Remote members of a block have little but the block's part in common with the pivot. They are compared
    by sizes and parities, in tiles of bounded size (`remote_pairs`), and what that leaves exactly.
 
@@ -57,6 +58,8 @@ GROWTH = 1.5
 HELD = 1 << 18  # entries of a list that a task looks at together; the same blocks come out at any value
 SHARE = 1024  # sets in a share of a group
 TILE = 1024  # sets on either side of a tile
+COUNTED = 1 << 21  # elements of differences that a share counts together
+TALLY = 1 << 12  # elements of a share of which it says how often they are there
 NO_ID = -(1 << 63)
 
 
@@ -343,87 +346,170 @@ def _key() -> Column:
 
 
 def _answers(limits: Limits):
-    names = ["pivot", "class", "pivot_size", "size", "near", "more", "less"]
+    names = ["pivot", "share", "shares", "class", "pivot_size", "size", "near", "more", "less", "far", "whole"]
+    kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.list_(pa.int64())] * 2 + [pa.bool_()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own = None, None
+        held: list[np.ndarray] = []  # differences of the share that have not been counted
+        many, any_far, whole = 0, False, True
+
+        def tally(ended: bool) -> tuple:
+            elements, counts = np.unique(np.concatenate(held), return_counts=True)
+            elements, counts = elements[counts > 1], counts[counts > 1]
+            often = np.lexsort((elements, -counts))[:TALLY]
+            return (*group, group[0], len(own), 0, None, elements[often], counts[often], any_far, ended and whole and len(elements) <= TALLY)
+
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+
         for batch in batches:
-            pivots, shares, ids = (column(batch, c).to_numpy() for c in ("pivot", "share", "class"))
+            keys = zip(*(column(batch, c).to_pylist() for c in ("pivot", "share", "shares")), strict=True)
             out: list[tuple] = []
-            for pivot, share, class_, elements in zip(pivots.tolist(), shares.tolist(), ids.tolist(), column(batch, "elements"), strict=True):
+            for key, class_, elements in zip(keys, column(batch, "class").to_pylist(), column(batch, "elements"), strict=True):
                 grams = np.frombuffer(elements.as_buffer(), U64)
-                if pivot == class_:  # comes first in its share
-                    group, own = (pivot, share), grams.copy()
+                if key[0] == class_:  # comes first in its share
+                    if held:
+                        out.append(tally(True))
+                    if group != key:
+                        any_far, whole = False, True
+                    else:  # the pivot again, by a row that repeats
+                        whole = whole and not held
+                    group, own, held, many = key, grams.copy(), [], 0
                     continue
-                assert group == (pivot, share)
+                assert group == key
                 at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
                 common = own[at] == grams
                 missing = np.ones(len(own), bool)
                 missing[at[common]] = False
                 n = int(common.sum())
                 near = limits.whole * n >= limits.part * (len(own) + len(grams) - n)
-                out.append((pivot, class_, len(own), len(grams), near, grams[~common].astype(np.int64), own[missing].astype(np.int64)))
-            kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+                more, less = grams[~common].astype(np.int64), own[missing].astype(np.int64)
+                out.append((*key, class_, len(own), len(grams), near, more, less, not near, None))
+                any_far |= not near
+                held += [more, less]
+                many += len(more) + len(less)
+                if many > COUNTED:
+                    out.append(tally(False))
+                    held, many, whole = [], 0, False
+            yield sent(out)
+        if held:
+            yield sent([tally(True)])
 
     return run
 
 
 def answers(docs: DataFrame, pairs: DataFrame, groups: DataFrame, n: int, limits: Limits, clashes: np.ndarray, scratch: Scratch) -> DataFrame:
-    """For pairs (pivot, class): sizes, near (whether they link), more (elements that the pivot lacks) and less (those that the class lacks), by exact comparison.
+    """For pairs (pivot, class): sizes, near (whether they link), far (whether they don't), more (elements that the pivot lacks) and less (those that the class lacks), by exact comparison.
 
+    Rows that come before them with no value of near are tallies of a share: elements that several of its differences hold, the most frequent ones, in
+    more, their numbers in less; far, whether any member so far doesn't link; whole, whether no other element is in two differences of the share.
     A bitmap of bounded size tells tasks which sets to send; those it lets through by chance go in the join.
     """
     counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
     dealt = pairs.select("pivot", "class").join(counts, "pivot").withColumn("share", F.pmod(F.hash("class"), F.col("shares")))
-    asked = dealt.select("pivot", "share", "class").union(counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("pivot").alias("class")))
+    asked = dealt.select("pivot", "share", "shares", "class").union(counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "shares", F.col("pivot").alias("class")))
     keys = groups.select("class", "key")
     wanted = scratch.put(pairs.select("class").union(pairs.select("pivot")).distinct().join(keys, "class").select("class", "key"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
     sets = docs.select(_key().alias("key"), "text").mapInArrow(_sets(n, clashes, shared), "class long, key long, elements binary")
-    rows = asked.join(sets, "class").select("pivot", "share", "class", "elements").repartition("pivot", "share")
+    rows = asked.join(sets, "class").select("pivot", "share", "shares", "class", "elements").repartition("pivot", "share")
     ordered = rows.sortWithinPartitions("pivot", "share", F.col("class") != F.col("pivot"))
-    return ordered.mapInArrow(_answers(limits), "pivot long, class long, pivot_size long, size long, near boolean, more array<long>, less array<long>")
+    return ordered.mapInArrow(_answers(limits), "pivot long, share long, shares long, class long, pivot_size long, size long, near boolean, more array<long>, less array<long>, far boolean, whole boolean")
 
 
-def derived(found: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
-    """Links (a, b) between members of a pivot's group of which one at least doesn't link with the pivot, from their differences from it.
+def _ordered(limits: Limits):
+    names = ["pivot", "class", "size", "n", "far", "probed", "listed", "elements", "at"]
+    kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
 
-    With p the pivot and d the difference from it, the common elements of x and y are those of p in neither's `less` and those in
-    both's `more`; they differ in as many elements as d(x) and d(y) do. A far x, d(x) > most_different(x, p), that links with y has
-    at least (d(x) + d(y) - most_different(x, y)) / 2 elements of its d in d(y), and the first of these, in any order that holds for
-    the whole group, stands before the last of d but so many, in both. What that number is at least follows for y from
-    x being far, and for x from d(y) having all of them.
-    """
-    part, whole = limits.part, limits.whole
+    def lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+        flat = column(batch, name)
+        ends = flat.offsets.to_numpy()
+        return np.split(flat.values.to_numpy(), ends)[1:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, tallies, any_far, whole = None, [], False, False
+        known, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [column(batch, c).to_pylist() for c in ("pivot", "share", "shares", "class", "pivot_size", "size", "near", "far", "whole")]
+            for pivot, share, shares, class_, pivot_size, size, near, far, all_, more, less in zip(*columns, lists(batch, "more"), lists(batch, "less"), strict=True):
+                if near is None:  # tallies of the whole group come first in each share
+                    if group != (pivot, share):
+                        group, tallies, any_far, whole = (pivot, share), [], False, shares == 1
+                    tallies.append((more, less))
+                    any_far, whole = any_far or far, whole and all_
+                    continue
+                assert group == (pivot, share)
+                if not any_far:
+                    continue
+                if tallies:
+                    known, at = np.unique(np.concatenate([t[0] for t in tallies]), return_inverse=True)
+                    times = np.bincount(at, np.concatenate([t[1] for t in tallies]), len(known)).astype(np.int64)
+                    tallies = []
+                d = np.concatenate([more, less])
+                n, rank = len(d), np.zeros(len(d), np.int64)
+                if not n:
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, d), len(known) - 1)
+                    rank = np.where(known[at] == d, times[at], 0)
+                largest = limits.most_different(size + size * limits.whole // limits.part)
+                slack = limits.most_different(size - pivot_size) + 1 if size > pivot_size else 0
+                probed, listed = min(n, largest + 1) if far else 0, n - max(1, -((slack - n - 1) // 2), n - largest) + 1
+                first = np.argsort(rank, kind="stable")[: max(probed, listed, 0)]
+                place = np.arange(len(first), dtype=np.int32)
+                if whole:  # all other elements are in no other difference
+                    place = place[rank[first] > 0]
+                if len(place):
+                    out.append((pivot, class_, size, n, far, probed, listed, d[first[place]], place))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return run
 
-    def most(total: Column) -> Column:
-        return F.floor(total * (whole - part) / F.lit(whole + part))
 
-    groups = found.where("NOT near").select("pivot").distinct()
+def candidates(found: DataFrame, labels: DataFrame, limits: Limits, scratch: Scratch) -> DataFrame:
+    """Pairs (pivot, a, b) of members of a pivot's group in different components, one of which at least doesn't link with the pivot, that their differences from it allow to link.
+
+    With p the pivot and d the difference from it, x and y differ in as many elements as d(x) and d(y) do. A far x,
+    d(x) > most_different(x, p), that links with y has at least (d(x) + d(y) - most_different(x, y)) / 2 elements of its d in d(y), and
+    the first of these, in any order that holds for the whole group, stands before the last of d but so many, in both. What that
+    number is at least follows for y from x being far, and for x from d(y) having all of them. The order is by the tallies of all
+    shares, elements without one first, then those that the pivot lacks first. So elements that many differences hold are seldom
+    among the first, and pairs grow with the members, not with their square. In a group of one share the tallies also tell which
+    elements are in one difference only; these aren't sent.
+    """
     own = labels.select(F.col("node").alias("class"), "label")
-    rows = found.join(groups, "pivot", "left_semi").join(own, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    size, n = F.col("size"), F.col("n")
-    largest = most(size + F.floor(size * whole / part))
-    slack = F.when(size > F.col("pivot_size"), most(size - F.col("pivot_size")) + 1).otherwise(0)
-    rows = rows.withColumn("d", F.concat("more", "less")).withColumn("n", F.size("d").cast("long"))
-    rows = rows.withColumn("probed", F.least(n, largest + 1)).withColumn("listed", n - F.greatest(F.lit(1), F.ceil((n + 1 - slack) / 2), n - largest) + 1)
+    tallies = found.where("near IS NULL").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    dealt = tallies.union(found.where("near IS NOT NULL").select(tallies.columns)).repartition("pivot", "share").sortWithinPartitions("pivot", "share", F.col("near").isNotNull())
+    firsts = dealt.mapInArrow(_ordered(limits), "pivot long, class long, size long, n long, far boolean, probed long, listed long, elements array<long>, at array<int>")
+    rows = scratch.put(firsts.join(own, "class", "left").withColumn("label", F.coalesce("label", "class")))
 
     def entries(upto: str, side: str) -> DataFrame:
-        out = rows.where("n > 0") if upto == "listed" else rows.where("NOT near")
-        out = out.select("pivot", "class", "label", "size", "n", F.posexplode(F.slice("d", F.lit(1), F.col(upto).cast("int"))).alias("at", "element"))
-        return out.select("pivot", "element", *(F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "size", "n", "at")))
+        out = rows.where("far") if upto == "probed" else rows
+        out = out.select("pivot", "class", "label", "size", "n", upto, F.explode(F.arrays_zip("elements", "at")).alias("one")).where(F.col("one.at") < F.col(upto))
+        return out.select("pivot", F.col("one.elements").alias("element"), F.col("one.at").alias(f"{side}_at"), *(F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "size", "n")))
 
-    total = F.col("x_size") + F.col("y_size")
-    common = F.ceil((F.col("x_n") + F.col("y_n") - most(total)) / 2)
+    most = F.floor((F.col("x_size") + F.col("y_size")) * (limits.whole - limits.part) / F.lit(limits.whole + limits.part))
+    common = F.ceil((F.col("x_n") + F.col("y_n") - most) / 2)
     left = 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
-    alike = (F.least("x_size", "y_size") * whole >= F.greatest("x_size", "y_size") * part) & (left >= common)
+    alike = (F.least("x_size", "y_size") * limits.whole >= F.greatest("x_size", "y_size") * limits.part) & (left >= common)
     met = entries("probed", "x").join(entries("listed", "y"), ["pivot", "element"]).where((F.col("x_label") != F.col("y_label")) & alike)
-    pairs = met.select("pivot", F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
-    sides = found.select("pivot", "pivot_size", "class", "size", "more", "less")
+    pairs = scratch.put(met.select("pivot", F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct())
+    scratch.drop(rows)
+    return pairs
+
+
+def derived(found: DataFrame, labels: DataFrame, limits: Limits, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among `candidates`, from their differences from the pivot alone.
+
+    The common elements of x and y are those of the pivot in neither's `less` and those in both's `more`.
+    """
+    pairs = candidates(found, labels, limits, scratch)
+    sides = found.where("near IS NOT NULL").select("pivot", "pivot_size", "class", "size", "more", "less").join(pairs.select("pivot").distinct(), "pivot", "left_semi")
     both = pairs.join(sides.toDF("pivot", "pivot_size", "a", "x", "x_more", "x_less"), ["pivot", "a"]).join(sides.drop("pivot_size").toDF("pivot", "b", "y", "y_more", "y_less"), ["pivot", "b"])
     n_common = F.col("pivot_size") - F.size(F.array_union("x_less", "y_less")) + F.size(F.array_intersect("x_more", "y_more"))
-    both = both.withColumn("common", n_common).where(whole * F.col("common") >= part * (F.col("x") + F.col("y") - F.col("common")))
+    both = both.withColumn("common", n_common).where(limits.whole * F.col("common") >= limits.part * (F.col("x") + F.col("y") - F.col("common")))
     return both.select("a", "b").distinct()
 
 
@@ -537,7 +623,7 @@ def labelled(docs: DataFrame, part: int, whole: int, n: int) -> tuple[DataFrame,
     answered = scratch.put(answers(docs, star.where("NOT remote"), groups, n, limits, clashes, scratch))
     links = [answered.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))]
     labels = components(links[0], scratch)
-    links.append(scratch.put(derived(answered, labels, limits)))
+    links.append(scratch.put(derived(answered, labels, limits, scratch)))
     rest = scratch.put(remote_pairs(members, star, answered, labels, groups, limits))
     if not rest.isEmpty():
         more = scratch.put(answers(docs, rest, groups, n, limits, clashes, scratch).where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b")))

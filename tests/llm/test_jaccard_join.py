@@ -178,3 +178,31 @@ def test_long_lists_are_cut_into_the_same_blocks(monkeypatch):
     assert len(whole) > 6
     for held, size in ((20, 7), (20, 500), (3, 1), (300, 64)):
         assert together(held, size) == whole
+
+
+@pytest.mark.parametrize("shares", [1, 3])
+def test_what_many_members_have_alike_brings_no_pairs_together(spark, shares):
+    """Members far from their pivot that share a passage and a gap, and little else: only the two that link are compared, not all pairs."""
+    from nearfield.llm.tables import Scratch
+
+    draw, limits = np.random.default_rng(11), j.Limits(80, 100)
+    drawn = lambda n: draw.integers(0, 1 << 64, n, dtype=np.uint64)
+    pivot, passage = drawn(3000), drawn(300)
+    sets = [np.concatenate([pivot[300:], passage, drawn(400)]) for _ in range(30)]
+    sets.append(np.append(sets[0][:-20], drawn(20)))
+    rows = [(7, s, shares, 7, np.sort(pivot).tobytes()) for s in range(shares)]
+    rows += [(7, i % shares, shares, 100 + i, np.sort(s).tobytes()) for i, s in enumerate(sets)]
+    asked = spark.createDataFrame(rows, "pivot long, share long, shares long, class long, elements binary").coalesce(1).sortWithinPartitions("share", "class")
+    found = asked.mapInArrow(j._answers(limits), "pivot long, share long, shares long, class long, pivot_size long, size long, near boolean, more array<long>, less array<long>, far boolean, whole boolean").cache()
+    assert found.where("far AND near IS NOT NULL").count() == 31
+    labels = spark.createDataFrame([], "node long, label long")
+    pairs = j.candidates(found, labels, limits, Scratch(spark)).collect()
+    assert [(r.a, r.b) for r in pairs] == [(100, 130)]
+    assert [(r.a, r.b) for r in j.derived(found, labels, limits, Scratch(spark)).collect()] == [(100, 130)]
+
+
+@pytest.mark.parametrize("counted, tally", [(50, 1 << 12), (1 << 21, 3)])
+def test_brute_force_edited_copies_with_partial_tallies(spark, counted, tally, monkeypatch):
+    monkeypatch.setattr(j, "COUNTED", counted)
+    monkeypatch.setattr(j, "TALLY", tally)
+    check(spark, edited_copies(4), part=80)
