@@ -159,3 +159,15 @@ def test_a_beam_as_wide_as_the_graph_walks_once(built, items, asked, monkeypatch
         found, stats = layered.search(alone, asked, 10, 300, None if where is None else items.where(where))
         assert rows(found) == rows(exact.knn(items, asked, 10, where=where))
         assert {r.visited for r in stats.collect()} == {items.count()}
+
+
+def test_the_size_of_a_graph_does_not_switch_searches(built, items, asked, monkeypatch):
+    """A beam of an eighth of the nodes or more stays a beam; a search without a width is whole at any size."""
+    alone = layered.replace(built, edges=built.edges.where("dst NOT IN (3, 50)"))
+    walked = []
+    for wide in (10, 1 << 40):
+        monkeypatch.setattr(layered, "WIDE", wide)
+        walked.append([rows(x) for x in layered.search(alone, asked, 10, 30)])
+        found, stats = layered.search(alone, asked, 10, None)
+        assert rows(found) == rows(exact.knn(items, asked, 10)) and {r.visited for r in stats.collect()} == {items.count()}
+    assert walked[0] == walked[1]
