@@ -171,3 +171,54 @@ def test_the_size_of_a_graph_does_not_switch_searches(built, items, asked, monke
         found, stats = layered.search(alone, asked, 10, None)
         assert rows(found) == rows(exact.knn(items, asked, 10)) and {r.visited for r in stats.collect()} == {items.count()}
     assert walked[0] == walked[1]
+
+
+def test_beams_by_loops(built, items, asked):
+    """Found, visited and rounds are those of a walk in plain loops, though a round only knows the beams."""
+    x = {r.id: np.array(r.vector, float) for r in items.collect()}
+    links = {}
+    for e in built.edges.collect():
+        links.setdefault((e.layer, e.src), []).append(e.dst)
+    want = {}
+    for q in asked.collect():
+        far = lambda i: round(float(exact.apart("cosine", np.array([q.vector], float), x[i][None])[0]), 6) + 0.0  # noqa: B023, E731
+        start, total, rounds = built.entry, 0, 0
+        for layer in range(built.top, -1, -1):
+            width, met, done = 20 if layer == 0 else 1, {start: far(start)}, set()
+            while True:
+                order = sorted(met, key=lambda i: (met[i], i))  # noqa: B023
+                bound = met[order[width - 1]] if len(order) >= width else np.inf
+                opened = [i for i in order if i not in done and met[i] <= bound][: max(width, 16)]
+                if not opened:
+                    break
+                done.update(opened)
+                met.update({j: far(j) for i in opened for j in links.get((layer, i), [])})
+            total, start = total + len(met), order[0]
+        want[q.query_id] = (order[:10], total - built.top)
+    found, stats = layered.search(built, asked, 10, 20)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert {r.query_id: (got[r.query_id], r.visited) for r in stats.collect()} == want
+
+
+def test_links_of_many_nodes_at_once(spark, monkeypatch):
+    """Nodes of one to fifteen candidates, some at a time and some cut by a batch, against a loop for each."""
+    monkeypatch.setattr(layered, "MOST_AT_ONCE", 500)
+    draw = np.random.default_rng(2)
+    for metric in ("cosine", "l2sq", "l1", "inner_product", "cosine_units"):
+        x = draw.normal(size=(40, 5)).astype(np.float32)
+        d = np.round(exact.distances(metric, x, x), 6)
+        near = [sorted(draw.choice(40, n, replace=False).tolist(), key=lambda j: (d[i, j], j)) for i, n in enumerate(draw.integers(1, 16, 40))]  # noqa: B023
+        flat = [(i, j, float(d[i, j]), x[j].tobytes()) for i, row in enumerate(near) for j in row]
+        whole = layered.pa.Table.from_arrays([layered.pa.array(c) for c in zip(*flat, strict=True)], names=["src", "dst", "distance", "v"])
+        for keep in (False, True):
+            params, want = IndexParams(m=3, heuristic="diverse", keep_pruned=keep, metric=metric), []
+            for i, row in enumerate(near):
+                kept, left = [], []
+                for j in row:
+                    if len(kept) < 6:
+                        (left if any(d[j, o] < d[i, j] for o in kept) else kept).append(j)
+                want += [(i, p, j) for p, j in enumerate(kept + (left[: 6 - len(kept)] if keep else []), 1)]
+            got = layered.pa.Table.from_batches(layered._picked(params, 6, np.float32)(iter(whole.to_batches(max_chunksize=17))))
+            assert list(zip(*(got.column(c).to_pylist() for c in ("src", "pos", "dst")), strict=True)) == want
