@@ -90,3 +90,27 @@ def test_lines_by_level_in_the_order_of_a_queue(spark):
     edges = spark.createDataFrame([(1, 0, 1, 5, 0.1), (0, 0, 1, 2, 0.1), (0, 0, 2, 1, 0.2), (0, 1, 1, 4, 0.1), (0, 2, 1, 3, 0.1), (0, 2, 2, 4, 0.1), (0, 9, 1, 0, 0.1), (1, 5, 1, 0, 0.1)], "layer long, src long, pos long, dst long, distance double")
     lines = [r.line for r in graph.printed_reachable(edges, spark.createDataFrame([(0,)], "id long")).collect()]
     assert lines == ["[LEVEL 1]", "(0) -> {5}", "(5) -> {0}", "[LEVEL 0]", "(0) -> {2, 1}", "(2) -> {3, 4}", "(1) -> {4}"]
+
+
+def test_points_of_many_keys_are_thinned_at_once(monkeypatch):
+    """Keys of one to thirty points with ties and copies, some over the bound, against a loop for each."""
+    monkeypatch.setattr(skyline, "FEW", 8)
+    draw = np.random.default_rng(4)
+    for goals in (1, 2, 3):
+        own = np.repeat(np.arange(50), draw.integers(1, 31, 50))
+        points, order = draw.integers(0, 6, (len(own), goals)).astype(float), draw.permutation(len(own))
+        points[::17, 0] = -np.inf
+        want = {(k, *p) for k in range(50) for p in map(tuple, points[own == k][~skyline.dominated(points[own == k], points[own == k])])}
+        keys, left = skyline.thinned(own[order], points[order])
+        assert len(keys) == len(want) and {(k, *p) for k, p in zip(keys.tolist(), map(tuple, left), strict=True)} == want
+
+
+def test_a_key_of_few_points_is_one_block(spark, monkeypatch):
+    """Points of each key in eight tasks: blocks are about as many as keys, so that pairs of blocks don't grow with tasks."""
+    tables, put = [], skyline.Scratch.put
+    monkeypatch.setattr(skyline.Scratch, "put", lambda self, df: tables.append(put(self, df)) or tables[-1])
+    df = spark.range(8000).selectExpr("id % 300 AS k", "double(id % 7) AS a", "double(hash(id) % 50) AS b").repartition(8)
+    found = skyline.skyline(df, ["k"], ["a", "b"])
+    assert found.select("k").distinct().count() == 300
+    blocks = next(t for t in tables if "points" in t.columns)
+    assert 300 <= blocks.count() <= 300 + 2 * 8
